@@ -1,6 +1,6 @@
 """Importing this module registers every query."""
 
-from feedloom.plans import feature_queries  # noqa: F401
+from feedloom.plans import classify_queries, feature_queries  # noqa: F401
 from feedloom.plans.registry import REGISTRY, runner
 
 __all__ = ["REGISTRY", "runner"]

@@ -15,6 +15,8 @@ RUNTIME_SETTINGS = {
     # split hot join keys at run time, also where that costs one more shuffle downstream
     "spark.sql.adaptive.skewJoin.enabled": "true",
     "spark.sql.adaptive.forceOptimizeSkewedJoin": "true",
+    # the roll-up gathers small sets per review: keep hashing instead of sorting after 128 groups
+    "spark.sql.objectHashAggregate.sortBased.fallbackThreshold": "16384",
     # scorers receive whole reviews: bound an Arrow batch by bytes, not only by rows
     "spark.sql.execution.arrow.maxBytesPerBatch": "64m",
 }
