@@ -108,11 +108,11 @@ def kpis(reviews: DataFrame, sentiment: str = "text_sentiment") -> DataFrame:
     p = totals.select("*", of_people.alias("p"))
     return p.select(
         "reviews", F.col("p.customers").alias("customers"), "negative_reviews",
-        F.round(F.col("negative_reviews") / F.col("reviews"), 4).alias("negative_share"),
+        F.round(F.try_divide("negative_reviews", "reviews"), 4).alias("negative_share"),
         F.col("p.at_risk").alias("customers_at_risk"),
-        F.round(F.col("p.at_risk") / F.col("p.customers"), 4).alias("at_risk_share"),
+        F.round(F.try_divide("p.at_risk", "p.customers"), 4).alias("at_risk_share"),
         F.round("p.at_risk_revenue", 2).alias("revenue_at_risk"),
-        F.round(F.col("p.at_risk_revenue") / F.col("p.revenue"), 4).alias("revenue_at_risk_share"))
+        F.round(F.try_divide("p.at_risk_revenue", "p.revenue"), 4).alias("revenue_at_risk_share"))
 
 
 def pretty(label: str | Column) -> Column:

@@ -143,7 +143,7 @@ def rating_share(reviews: DataFrame, order_lines: DataFrame) -> DataFrame:
     counted = reviews.groupBy("rating").agg(F.count(F.lit(1)).alias("reviews"))
     total = F.sum("reviews").over(Window.partitionBy())  # five rows
     return counted.select("rating", "reviews", F.round(F.col("reviews") / total, 3).alias("share"),
-                          F.round(total / purchases, 4).alias("reviewed_share"))
+                          F.round(F.try_divide(total, purchases), 4).alias("reviewed_share"))
 
 
 def result_meta(sentences: DataFrame) -> DataFrame:

@@ -44,4 +44,4 @@ def quantiles_of_counts(df: DataFrame, by: Sequence[str], column: str, wanted: d
     """
     histogram = df.where(F.col(column).isNotNull()).groupBy(*by, column).agg(F.count(F.lit(1)).alias("times"))
     return histogram.groupBy(*by).agg(
-        *[F.percentile(column, q, "times").alias(name) for name, q in wanted.items()])
+        *[F.percentile(column, q, F.col("times")).alias(name) for name, q in wanted.items()])

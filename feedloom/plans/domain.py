@@ -22,6 +22,8 @@ from feedloom.fixed_values import (
 )
 from feedloom.functions.keys import product_slug
 from feedloom.operators.classify import clip, unit
+from feedloom.operators.dashboard import assign_risk
+from feedloom.operators.insights import reviews_view
 from feedloom.operators.load import load_reviews, with_text
 from feedloom.operators.sentences import split_sentences
 from feedloom.schemas import KEY
@@ -149,6 +151,20 @@ class Domain:
         """Every sentence of every review with its answers; no review text."""
         return self.sentences.drop("review_text").join(self.answers(salt), KEY, "left")
 
+    @cached_property
+    def review_facts(self) -> DataFrame:
+        """`loaded` without its text: the text is joined back by id where it is shown."""
+        return self.loaded.drop("review_text")
+
+    @cached_property
+    def reviews_view(self) -> DataFrame:
+        """One row per review with measures, sentiments and primary issue: each distinct text is rolled up once."""
+        return reviews_view(self.answers(), facts=self.review_facts, key="review_key")
+
+    @cached_property
+    def risky(self) -> DataFrame:
+        return assign_risk(self.reviews_view)
+
 
 def drawn(salt: str, block: int, part: int) -> Column:
     """A number in 0..1 drawn from the sentence key: the same in Spark, SQL and Python."""

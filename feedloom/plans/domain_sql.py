@@ -160,6 +160,41 @@ VIEWS: dict[str, tuple[list[str], str]] = {
     "answers_b": (["raw_b"], answers_sql("b")),
     "classified": (["sentences", "answers_a"], f"""
     SELECT s.*, {ANSWER_COLUMNS} FROM sentences s LEFT JOIN answers_a a USING (review_key, sentence_index)"""),
+    "rolled": (["classified"], """
+    SELECT review_id, count(*) AS sentences, max(frustration) AS peak_frustration, avg(frustration) AS mean_frustration,
+      coalesce(list_sort(list(DISTINCT problem_category) FILTER (problem_category <> 'none')), []) AS problems,
+      coalesce(list_sort(list_distinct(flatten(list(products_mentioned) FILTER (products_mentioned IS NOT NULL)))), []) AS mentioned,
+      coalesce(bool_or(churn_risk >= 0.5), false) AS churn_risk,
+      coalesce(bool_or(safety_concern >= 0.5), false) AS safety_concern,
+      coalesce(bool_or(suggestion >= 0.5), false) AS suggestion,
+      coalesce(bool_or(competitor_mention >= 0.5), false) AS competitor_mention,
+      count(*) FILTER (sentiment = 'positive') AS positive_sentences,
+      count(*) FILTER (sentiment = 'negative') AS negative_sentences,
+      coalesce(arg_max(problem_category, (frustration, -sentence_index)) FILTER (problem_category <> 'none'),
+               'no_issue') AS primary_issue
+    FROM classified GROUP BY 1"""),
+    "view": (["rolled", "loaded"], """
+    SELECT l.* EXCLUDE (review_text), r.* EXCLUDE (review_id),
+      CASE WHEN positive_sentences > negative_sentences THEN 'positive'
+           WHEN negative_sentences > positive_sentences THEN 'negative' ELSE 'mixed' END AS text_sentiment,
+      CASE WHEN rating <= 2 THEN 'negative' WHEN rating = 3 THEN 'mixed' ELSE 'positive' END AS star_sentiment,
+      CASE WHEN churn_risk OR peak_frustration >= 3.0 THEN 'At risk' WHEN peak_frustration >= 2.0 THEN 'Frustrated'
+           ELSE 'Satisfied' END AS risk_tier
+    FROM loaded l JOIN rolled r USING (review_id)"""),
+    "people": (["view"], """
+    SELECT * EXCLUDE (position) FROM (
+      SELECT *, count(*) OVER (PARTITION BY customer_id) AS reviews_written,
+        row_number() OVER (PARTITION BY customer_id ORDER BY reviewed_at DESC, review_id DESC) AS position
+      FROM view) WHERE position = 1"""),
+    "links": (["view"], """
+    SELECT 'sentiment' AS source_level, text_sentiment AS source, 'category' AS target_level, product_category AS target,
+      text_sentiment AS sentiment, count(*) AS reviews FROM view GROUP BY ALL
+    UNION ALL SELECT 'category', product_category, 'product', product_name, text_sentiment, count(*) FROM view GROUP BY ALL
+    UNION ALL SELECT 'product', product_name, 'issue', primary_issue, text_sentiment, count(*) FROM view GROUP BY ALL"""),
+    "problems": (["classified"], """
+    SELECT product_name, problem_category, count(*) AS sentences, count(DISTINCT review_id) AS reviews,
+      round(avg(frustration), 2) AS mean_frustration
+    FROM classified WHERE problem_category <> 'none' GROUP BY 1, 2"""),
 }
 
 

@@ -30,8 +30,13 @@ class TableSpec:
 
     @property
     def schema(self) -> StructType:
+        """Needs a running session."""
         return StructType.fromDDL(self.ddl)
 
+    @property
+    def columns(self) -> list[str]:
+        return [part.split()[0] for part in self.ddl.split(", ")]
+
 
 LINE_TOTAL_CHECK = "abs(bround(quantity * unit_price, 2) - line_total) < 0.005"
 ABOVE_ZERO, AT_LEAST_ONE = (0, None, True), (1, None, False)
