@@ -6,6 +6,7 @@ from feedloom.plans import (  # noqa: F401
     feature_queries,
     insight_queries,
     quality_queries,
+    storage_queries,
     text_queries,
 )
 from feedloom.plans.registry import REGISTRY, runner
