@@ -177,8 +177,9 @@ def mentioned_products(parsed: DataFrame, catalogue: DataFrame, threshold: float
     sentence holds only products named in that sentence.
     """
     slugs = catalogue.select(product_slug(F.col("product_name")).alias("slug"), "product_name").distinct()
-    entries = parsed.select(*KEY, F.explode(F.map_entries("answers")).alias("e")) \
-        .where(F.col("e.key").startswith(MENTION)) \
+    # explode the mentions only, and in the outer form: see split_sentences
+    named = F.filter(F.map_entries("answers"), lambda e: e["key"].startswith(MENTION))
+    entries = parsed.select(*KEY, F.explode_outer(named).alias("e")).where(F.col("e").isNotNull()) \
         .where(unit(F.col("e.value.probability")) >= threshold) \
         .select(*KEY, F.substring(F.col("e.key"), len(MENTION) + 1, 10_000).alias("slug"))
     return entries.join(slugs, "slug").groupBy(*KEY).agg(
@@ -222,8 +223,8 @@ def rethreshold(answers: DataFrame, catalogue: DataFrame, threshold: float) -> D
 
 def explode_answers(answers: DataFrame) -> DataFrame:
     """One row per key and question, decoded from the stored JSON."""
-    return parse_answers(answers).select(*KEY, F.explode("answers").alias("question", "answer")) \
-        .select(*KEY, "question", "answer.*")
+    return parse_answers(answers).select(*KEY, F.explode_outer("answers").alias("question", "answer")) \
+        .where(F.col("question").isNotNull()).select(*KEY, "question", "answer.*")
 
 
 def attach_answers(sentences: DataFrame, answers: DataFrame) -> DataFrame:

@@ -94,7 +94,7 @@ class Domain:
         first_line = self.raw("lineitem").groupBy(F.col("l_orderkey").alias("order_id")).agg(F.min(packed).alias("line"))
         n_orders = self.raw("orders").agg(F.count(F.lit(1))).scalar()
         n_parts = self.raw("part").agg(F.count(F.lit(1))).scalar()
-        written = self.raw("documents").select(
+        written = spread(self.raw("documents").select("doc_id")).select(
             F.col("doc_id").alias("review_id"), (F.col("doc_id") % n_orders).alias("order_id"),
             (F.col("doc_id") % n_parts).alias("any_product"))
         placed = self.orders.select("order_id", "customer_id", "ordered_at")
@@ -142,7 +142,7 @@ class Domain:
     @cached_property
     def sentences(self) -> DataFrame:
         """Every sentence of every review, with the review's columns but its features."""
-        return split_sentences(spread(self.texts))
+        return split_sentences(self.texts)
 
     def answers(self, salt: str = "a") -> DataFrame:
         return drawn_answers(self.sentences, self.products, salt)
@@ -166,10 +166,18 @@ class Domain:
         return assign_risk(self.reviews_view)
 
 
-def drawn(salt: str, block: int, part: int) -> Column:
-    """A number in 0..1 drawn from the sentence key: the same in Spark, SQL and Python."""
-    text = F.concat_ws(":", "review_key", F.col("sentence_index").cast("string"), F.lit(salt), F.lit(str(block)))
-    return F.conv(F.substring(F.md5(text), 1 + 8 * part, 8), 16, 10).cast("double") / 4294967296.0
+BLOCKS = 5
+
+
+def with_blocks(keys: DataFrame, salt: str) -> DataFrame:
+    """Add the hashes the numbers are drawn from: the same in Spark, SQL and Python."""
+    key = F.concat_ws(":", "review_key", F.col("sentence_index").cast("string"), F.lit(salt))
+    return keys.select("*", *[F.md5(F.concat(key, F.lit(f":{b}"))).alias(f"block_{b}") for b in range(1, BLOCKS + 1)])
+
+
+def drawn(block: int, part: int) -> Column:
+    """A number in 0..1: eight hex digits of a block."""
+    return F.conv(F.substring(f"block_{block}", 1 + 8 * part, 8), 16, 10).cast("double") / 4294967296.0
 
 
 def pick(labels: list[str], number: Column) -> Column:
@@ -182,9 +190,10 @@ def drawn_raw(sentences: DataFrame, products: DataFrame, salt: str) -> DataFrame
     They exercise the operators on whole tables; they are not a classifier.
     """
     n_products = products.agg(F.count(F.lit(1))).scalar()
-    keys = sentences.groupBy(*KEY).agg(F.min("product_name").alias("product_name"))
-    d = lambda block, part: drawn(salt, block, part)
-    numbers = keys.select(
+    # a content key has one product, so a distinct over plain columns finds the keys by hashing
+    keys = sentences.select(*KEY, "product_name").distinct()
+    d = drawn
+    numbers = with_blocks(keys, salt).select(
         *KEY, "product_name",
         (d(1, 0) * 4.4 - 0.2).alias("frustration"), (d(1, 1) * 1.1 - 0.05).alias("frustration_confidence"),
         pick(PROBLEM_DRAW, d(1, 2)).alias("problem_category"), (d(1, 3) * 1.1 - 0.05).alias("problem_category_confidence"),

@@ -9,6 +9,7 @@ from feedloom.operators import load, point_in_time as pit, sentences
 from feedloom.plans.domain import Domain
 from feedloom.plans.domain_sql import check_sql, split_array
 from feedloom.plans.registry import query
+from feedloom.session import spread
 
 STAMP = "yyyy-MM-dd HH:mm:ss"
 SQL_STAMP = "'%Y-%m-%d %H:%M:%S'"
@@ -169,7 +170,7 @@ def split_sentences(d: Domain):
 @query("sentence_counts", check_sql("""
     SELECT review_id, max(sentence_count) AS sentence_count FROM sentences GROUP BY 1""", "sentences"))
 def sentence_counts(d: Domain):
-    return sentences.sentence_counts(d.review_texts).select("review_id", *longs("sentence_count"))
+    return sentences.sentence_counts(spread(d.review_texts)).select("review_id", *longs("sentence_count"))
 
 
 @query("split_conversations", f"""

@@ -60,10 +60,11 @@ def materialise(df: DataFrame, name: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
-def spread(df: DataFrame) -> DataFrame:
-    """Spread rows over all cores when the input came as fewer pieces than there are cores.
+def spread(scan: DataFrame) -> DataFrame:
+    """Spread a table over all cores when it is stored in fewer pieces than there are cores.
 
-    A table of many files is left as it is: no shuffle is added there.
+    For plain scans only, whose pieces are known without running anything. A table of many files is
+    left as it is: no shuffle is added there.
     """
-    cores = df.sparkSession.sparkContext.defaultParallelism
-    return df.repartition(cores) if df.rdd.getNumPartitions() < cores else df
+    cores = scan.sparkSession.sparkContext.defaultParallelism
+    return scan.repartition(cores) if scan.rdd.getNumPartitions() < cores else scan

@@ -11,7 +11,7 @@ from feedloom.functions.keys import content_key
 from feedloom.operators.classify import Scorer, cache_misses, flatten_answers, score_sentences
 from feedloom.operators.sentences import split_sentences
 from feedloom.schemas import ANSWERS_DDL, conform
-from feedloom.session import materialise, spread
+from feedloom.session import materialise
 from feedloom.sources.dataset import committed_batches, read_or_none, write_commit
 
 SENTENCE_COLUMNS = ["review_id", "review_key", "product_name", "sentence_index", "sentence_count", "sentence"]
@@ -46,7 +46,7 @@ def classify_stream(spark: SparkSession, source: str, sink: str, checkpoint: str
 
     def process(reviews: DataFrame, epoch: int) -> None:
         keyed = reviews.withColumn("review_key", content_key("product_name", "review_text"))
-        sentences = materialise(split_sentences(spread(keyed)).select(SENTENCE_COLUMNS), "stream_sentences")
+        sentences = materialise(split_sentences(keyed).select(SENTENCE_COLUMNS), "stream_sentences")
         known = stored_answers(spark, sink, before=epoch).where("error IS NULL")
         raw = materialise(score_sentences(cache_misses(sentences, known), scorer, columns=columns,
                                           partitions=partitions), "stream_raw")
