@@ -16,9 +16,12 @@ def exact_quantile(df: DataFrame, column: str, q: float = 0.5, *, accuracy: int
     """
     values = df.select(F.col(column).alias("v")).where("v IS NOT NULL")
     margin = 4 / accuracy
-    edges = values.agg(F.percentile_approx("v", F.array(F.lit(max(q - margin, 0.0)), F.lit(min(q + margin, 1.0))),
-                                           accuracy)).scalar()
-    split = values.select("v", edges[0].alias("low"), edges[1].alias("high"))
+    around = F.percentile_approx("v", F.array(F.lit(max(q - margin, 0.0)), F.lit(min(q + margin, 1.0))), accuracy)
+    # few rows are all ranked: there the margin would be less than one rank
+    few = F.count(F.lit(1)) <= accuracy
+    edges = values.agg(F.struct(F.when(few, F.min("v")).otherwise(around[0]).alias("low"),
+                                F.when(few, F.max("v")).otherwise(around[1]).alias("high"))).scalar()
+    split = values.select("v", edges["low"].alias("low"), edges["high"].alias("high"))
     counted = split.agg(F.struct(F.count(F.lit(1)).alias("n"), F.count_if(F.expr("v < low")).alias("below"))).scalar()
     run = Window.orderBy("v").rowsBetween(Window.unboundedPreceding, Window.currentRow)
     ranked = (
