@@ -129,10 +129,10 @@ def language_confusion(sentences: DataFrame) -> DataFrame:
         F.count(F.lit(1)).alias("sentences"), F.min("language_confidence").alias("min_confidence"))
 
 
-def most_frustrated(reviews: DataFrame, *, n: int = 10, text_key: str = "review_key") -> DataFrame:
-    """The n most frustrated reviews, one per text."""
+def most_frustrated(reviews: DataFrame, *, n: int = 10, text: str = "review_text") -> DataFrame:
+    """The n most frustrated reviews, one per text. `text` may name a hash of it, so long texts need not come along."""
     scored = reviews.where(F.col("peak_frustration").isNotNull())
-    per_text = scored.groupBy(text_key).agg(F.min(F.struct(-F.col("peak_frustration"), "review_id")).alias("top"))
+    per_text = scored.groupBy(F.sha1(text)).agg(F.min(F.struct(-F.col("peak_frustration"), "review_id")).alias("top"))
     ids = per_text.select("top.*").toDF("worst_first", "review_id").orderBy("worst_first", "review_id").limit(n)
     return reviews.join(ids.select("review_id"), "review_id", "left_semi")
 

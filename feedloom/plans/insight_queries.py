@@ -175,12 +175,14 @@ def language_confusion(d: Domain):
 @query("most_frustrated", check_sql("""
     SELECT review_id, rating::BIGINT AS rating, product_name, round(peak_frustration, 2) AS peak_frustration, churn_risk,
       safety_concern, sha1(review_text) AS review_text_sha1
-    FROM (SELECT *, row_number() OVER (PARTITION BY review_key ORDER BY peak_frustration DESC, review_id) AS position
-          FROM view WHERE peak_frustration IS NOT NULL) JOIN review_texts USING (review_id)
-    WHERE position = 1 ORDER BY view.peak_frustration DESC, review_id LIMIT 10""".replace("view.peak", "peak"),
+    FROM (SELECT *, row_number() OVER (PARTITION BY review_text ORDER BY peak_frustration DESC, review_id) AS position
+          FROM (SELECT v.*, t.review_text, v.peak_frustration AS peak FROM view v JOIN review_texts t USING (review_id))
+          WHERE peak_frustration IS NOT NULL)
+    WHERE position = 1 ORDER BY peak DESC, review_id LIMIT 10""",
     "view", "review_texts"))
 def most_frustrated(d: Domain):
-    top = insights.most_frustrated(d.reviews_view)
+    hashes = d.review_texts.select("review_id", F.sha1("review_text").alias("text_hash"))
+    top = insights.most_frustrated(d.reviews_view.join(hashes, "review_id"), text="text_hash")
     return top.join(d.review_texts.select("review_id", "review_text"), "review_id").select(
         "review_id", *longs("rating"), "product_name", F.round("peak_frustration", 2).alias("peak_frustration"),
         "churn_risk", "safety_concern", F.sha1("review_text").alias("review_text_sha1"))
