@@ -41,8 +41,12 @@ Scorer = Callable[[Iterator[pd.DataFrame]], Iterator[pd.DataFrame]]
 
 # --- the question set ------------------------------------------------------------------------
 
-def question_set(catalogue: DataFrame) -> DataFrame:
-    """One row per question: name, kind, instructions, labels, version. Products add one question each."""
+def question_set(catalogue: DataFrame, *, max_range: int = 10_000) -> DataFrame:
+    """One row per question: name, kind, instructions, labels, version. Products add one question each.
+
+    One question quotes the whole range in its wording. A catalogue of more than `max_range` products
+    is refused with an error before anything of it is gathered.
+    """
     spark = catalogue.sparkSession
     labelled = {
         "problem_category": list(PROBLEM_CATEGORIES.items()),
@@ -55,12 +59,14 @@ def question_set(catalogue: DataFrame) -> DataFrame:
     rows += [(c, "choice", INSTRUCTIONS[c], written(labelled[c])) for c in CHOICES]
     rows += [(f, "probability", INSTRUCTIONS[f], []) for f in FLAGS]
     fixed = spark.createDataFrame(rows, "question STRING, kind STRING, instructions STRING, labels ARRAY<STRING>")
-    # only the competitor question names the whole range; it is one row by nature
-    ordered = catalogue.agg(F.array_sort(F.collect_list(F.struct("product_category", "product_name"))).alias("p"))
+    size = catalogue.agg(F.count(F.lit(1))).scalar()
+    ordered = catalogue.where(size <= max_range).agg(
+        F.array_sort(F.collect_list(F.struct("product_category", "product_name"))).alias("p"))
     product_range = ordered.select(F.array_join(F.col("p.product_name"), "; ")).scalar()
-    fixed = fixed.withColumn("instructions", F.when(
-        F.col("question") == "competitor_mention", F.replace("instructions", F.lit("{range}"), product_range)
-    ).otherwise(F.col("instructions")))
+    wording = F.when(size > max_range, F.raise_error(F.lit("the catalogue is too large to quote in one question"))) \
+        .otherwise(F.replace("instructions", F.lit("{range}"), product_range))
+    fixed = fixed.withColumn("instructions", F.when(F.col("question") == "competitor_mention", wording)
+                             .otherwise(F.col("instructions")))
     asked = F.replace(F.replace(F.lit(INSTRUCTIONS["mentions"]), F.lit("{product}"), F.col("product_name")),
                       F.lit("{category}"), F.col("product_category"))
     mentions = catalogue.select(

@@ -19,8 +19,9 @@ def with_text(tables: dict[str, DataFrame]) -> DataFrame:
     texts = tables["review_texts"].select("review_id", "review_text", F.col("language").alias("text_language"),
                                           F.col("model").alias("text_model"))
     products = tables["products"].select("product_id", "product_name", F.col("category").alias("product_category"))
+    # names join the narrow reviews first: the text is shuffled once, by its unique id, never by product
     return (
-        tables["reviews"].join(texts, "review_id").join(products, "product_id")
+        tables["reviews"].join(products, "product_id").join(texts, "review_id")
         .withColumn("review_key", content_key("product_name", "review_text"))
         .select([c for c in LOADED if c not in FEATURES])
     )

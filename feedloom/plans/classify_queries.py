@@ -13,6 +13,7 @@ from feedloom.plans.domain_sql import answers_sql, check_sql, text
 from feedloom.plans.feature_queries import longs
 from feedloom.plans.registry import query
 from feedloom.schemas import KEY
+from feedloom.session import materialise
 
 
 def joined(column: str):
@@ -42,15 +43,14 @@ FIXED_QUESTIONS = ", ".join(f"({text(q)}, {text(kind)}, {text(INSTRUCTIONS[q])})
 @query("question_set", check_sql(f"""
     SELECT question, kind, sha1(instructions) AS instructions_sha1, '{QUESTION_SET_VERSION}' AS version FROM (
       SELECT question, kind, replace(instructions, '{{range}}', (
-          SELECT string_agg(product_name, '; ' ORDER BY category, product_name) FROM products)) AS instructions
+          SELECT string_agg(product_name, '; ' ORDER BY category, product_name) FROM families)) AS instructions
       FROM (VALUES {FIXED_QUESTIONS}) q(question, kind, instructions)
       UNION ALL
       SELECT 'mentions__' || trim(regexp_replace(lower(product_name), '[^a-z0-9]+', '_', 'g'), '_'), 'probability',
         replace(replace({text(INSTRUCTIONS["mentions"])}, '{{product}}', product_name), '{{category}}', category)
-      FROM products)""", "products"))
+      FROM families)""", "families"))
 def question_set(d: Domain):
-    catalogue = d.products.select("product_name", F.col("category").alias("product_category"))
-    return classify.question_set(catalogue).select("question", "kind", F.sha1("instructions").alias("instructions_sha1"),
+    return classify.question_set(d.families).select("question", "kind", F.sha1("instructions").alias("instructions_sha1"),
                                                    "version")
 
 
@@ -118,8 +118,8 @@ def hashing_ask(row: dict) -> dict:
     FROM answers_a""", "answers_a"))
 def score_sentences(d: Domain):
     asked = classify.distinct_sentences(d.sentences.drop("review_text"))
-    raw = classify.score_sentences(asked, classify.per_sentence(hashing_ask, model="scorer-a"), columns=KEY,
-                                   partitions=d.spark.sparkContext.defaultParallelism)
+    raw = materialise(classify.score_sentences(asked, classify.per_sentence(hashing_ask, model="scorer-a"), columns=KEY,
+                                               partitions=d.spark.sparkContext.defaultParallelism), "raw_answers")
     catalogue = d.products.select("product_name")
     return classify.flatten_answers(raw, catalogue).select(
         "review_key", *longs("sentence_index"), *rounded(["frustration", "frustration_confidence"]), "model",
@@ -134,7 +134,8 @@ def failed_sentences(d: Domain):
 
 @query("flatten_answers", check_sql(f"SELECT {SQL_FLAT} FROM answers_a", "answers_a"))
 def flatten_answers(d: Domain):
-    raw = drawn_json(d.sentences, d.products, "a")
+    # a scorer's output is always written before it is read: the scorer must not run twice
+    raw = materialise(drawn_json(d.sentences, d.products, "a"), "raw_answers")
     return classify.flatten_answers(raw, d.products.select("product_name")).select(flat_columns())
 
 
@@ -167,7 +168,8 @@ def products_mentioned(d: Domain):
     FROM ({_threshold_sql(0.8)}) WHERE error IS NULL""", "raw_a"))
 def rethreshold(d: Domain):
     catalogue = d.products.select("product_name")
-    stored = classify.flatten_answers(drawn_json(d.sentences, d.products, "a"), catalogue)
+    raw = materialise(drawn_json(d.sentences, d.products, "a"), "raw_answers")
+    stored = classify.flatten_answers(raw, catalogue)
     return classify.rethreshold(stored.where("error IS NULL"), catalogue, 0.8).select(
         "review_key", *longs("sentence_index"), joined("products_mentioned"))
 

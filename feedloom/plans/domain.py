@@ -45,9 +45,12 @@ class Domain:
     def __init__(self, spark: SparkSession, sf_dir: str):
         self.spark = tune(spark)
         self.dir = sf_dir
+        self._read: dict[str, DataFrame] = {}
 
     def raw(self, name: str) -> DataFrame:
-        return self.spark.read.parquet(f"{self.dir}/{name}.parquet")
+        if name not in self._read:
+            self._read[name] = self.spark.read.parquet(f"{self.dir}/{name}.parquet")
+        return self._read[name]
 
     @cached_property
     def customers(self) -> DataFrame:
@@ -72,6 +75,12 @@ class Domain:
             F.col("p_retailprice").alias("list_price"),
             F.expr("date_add(DATE '1995-01-01', cast(p_partkey % 400 AS INT))").alias("launched_on"))
 
+    @cached_property
+    def families(self) -> DataFrame:
+        """Products by their plain name: a few dozen at any scale, as a question set needs them."""
+        return self.raw("part").groupBy(F.col("p_name").alias("product_name")).agg(
+            F.min("p_type").alias("product_category"))
+
     @cached_property
     def orders(self) -> DataFrame:
         return self.raw("orders").select(

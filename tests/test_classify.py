@@ -50,6 +50,11 @@ def test_question_set(catalogue):
     assert {r.version for r in rows.values()} == {"2026-09-18.3"}
 
 
+def test_a_range_too_large_to_quote_is_refused(catalogue):
+    with pytest.raises(Exception, match="too large to quote"):
+        classify.question_set(catalogue, max_range=1).collect()
+
+
 def test_state_holds_neither_rating_nor_customer(sentences):
     state = json.loads(classify.with_state(sentences).orderBy("review_id", "sentence_index").first().state)
     assert state["sentence_position"] == "1 of 2"
