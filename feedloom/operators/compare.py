@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from feedloom.fixed_values import CHOICES, EXPECTED_LANGUAGE, FLAGS, YES_THRESHOLD
 from feedloom.functions.keys import order_hash
-from feedloom.operators.classify import distinct_sentences
+from feedloom.operators.classify import distinct_sentences, with_state
 from feedloom.operators.prefix import earlier, hash_slice
 from feedloom.operators.quantiles import quantiles_of_counts
 from feedloom.schemas import KEY
@@ -143,8 +143,12 @@ def cost(results: DataFrame, prices: dict[str, tuple[float | None, float | None]
         usd.alias("usd_per_sentence"), F.round(usd * scale, 2).alias("usd_per_1000_customers"))
 
 
-def prompt_tokens(prompts: DataFrame, *, column: str = "state", chars_per_token: float = 4.0) -> DataFrame:
-    """One row: roughly how many tokens the prompts of the distinct sentences amount to."""
-    return distinct_sentences(prompts).agg(
-        F.count(F.lit(1)).alias("sentences"),
-        F.bround(F.sum(F.length(column)) / F.lit(chars_per_token), 0).cast("bigint").alias("prompt_tokens"))
+def prompt_tokens(sentences: DataFrame, texts: DataFrame | None = None, *, chars_per_token: float = 4.0) -> DataFrame:
+    """One row: roughly how many tokens the states of the distinct sentences amount to.
+
+    As in `with_state`, `texts` (review_key, review_text) lets the sentences travel without their review.
+    A state lives only as long as it takes to measure it.
+    """
+    sized = with_state(distinct_sentences(sentences), texts).select(F.length("state").cast("bigint").alias("size"))
+    return sized.agg(F.count(F.lit(1)).alias("sentences"),
+                     F.bround(F.sum("size") / F.lit(chars_per_token), 0).cast("bigint").alias("prompt_tokens"))

@@ -96,23 +96,26 @@ def filter_options(reviews: DataFrame) -> DataFrame:
 
 
 def kpis(reviews: DataFrame, sentiment: str = "text_sentiment") -> DataFrame:
-    """One row of headline numbers over reviews that have a risk tier; customers count by their latest review."""
-    people = customers_view(reviews.select("customer_id", "review_id", "reviewed_at", "risk_tier", "lifetime_revenue"))
+    """One row of headline numbers over reviews that have a risk tier; customers count by their latest review.
+
+    Reviews are counted per customer on the way, so one pass gives both the review and the customer numbers.
+    """
+    latest = F.max_by(F.struct("risk_tier", "lifetime_revenue"), F.struct("reviewed_at", "review_id"))
+    people = reviews.groupBy("customer_id").agg(
+        latest.alias("r"), F.count(F.lit(1)).alias("reviews"),
+        F.count_if(F.col(sentiment) == "negative").alias("negative")).select("r.*", "reviews", "negative")
     at_risk = F.col("risk_tier") == AT_RISK
-    of_people = people.agg(F.struct(
-        F.count(F.lit(1)).alias("customers"), F.count_if(at_risk).alias("at_risk"),
+    totals = people.agg(
+        F.coalesce(F.sum("reviews"), F.lit(0)).alias("reviews"), F.count(F.lit(1)).alias("customers"),
+        F.coalesce(F.sum("negative"), F.lit(0)).alias("negative_reviews"), F.count_if(at_risk).alias("customers_at_risk"),
         F.sum(F.when(at_risk, F.col("lifetime_revenue")).otherwise(0.0)).alias("at_risk_revenue"),
-        F.sum("lifetime_revenue").alias("revenue"))).scalar()
-    totals = reviews.agg(F.count(F.lit(1)).alias("reviews"),
-                         F.count_if(F.col(sentiment) == "negative").alias("negative_reviews"))
-    p = totals.select("*", of_people.alias("p"))
-    return p.select(
-        "reviews", F.col("p.customers").alias("customers"), "negative_reviews",
-        F.round(F.try_divide("negative_reviews", "reviews"), 4).alias("negative_share"),
-        F.col("p.at_risk").alias("customers_at_risk"),
-        F.round(F.try_divide("p.at_risk", "p.customers"), 4).alias("at_risk_share"),
-        F.round("p.at_risk_revenue", 2).alias("revenue_at_risk"),
-        F.round(F.try_divide("p.at_risk_revenue", "p.revenue"), 4).alias("revenue_at_risk_share"))
+        F.sum("lifetime_revenue").alias("revenue"))
+    return totals.select(
+        "reviews", "customers", "negative_reviews",
+        F.round(F.try_divide("negative_reviews", "reviews"), 4).alias("negative_share"), "customers_at_risk",
+        F.round(F.try_divide("customers_at_risk", "customers"), 4).alias("at_risk_share"),
+        F.round("at_risk_revenue", 2).alias("revenue_at_risk"),
+        F.round(F.try_divide("at_risk_revenue", "revenue"), 4).alias("revenue_at_risk_share"))
 
 
 def pretty(label: str | Column) -> Column:

@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 from feedloom.fixed_values import CHOICES, FLAGS, INSTRUCTIONS, QUESTION_SET_VERSION, STATE_NOTE, STATE_TASK
 from feedloom.operators import classify
 from feedloom.plans.domain import Domain, drawn_json, drawn_raw
-from feedloom.plans.domain_sql import answers_sql, check_sql, text
+from feedloom.plans.domain_sql import VIEWS, answers_sql, check_sql, text
 from feedloom.plans.feature_queries import longs
 from feedloom.plans.registry import query
 from feedloom.schemas import KEY
@@ -54,13 +54,16 @@ def question_set(d: Domain):
                                                    "version")
 
 
-@query("sentence_state", check_sql(f"""
-    SELECT review_key, sentence_index, sha1(state) AS state_sha1, length(state) AS state_length FROM (
-      SELECT DISTINCT s.review_key, s.sentence_index, json_object('task', {text(STATE_TASK)}, 'note', {text(STATE_NOTE)},
-        'sentence', s.sentence, 'sentence_position', (s.sentence_index + 1) || ' of ' || s.sentence_count,
-        'review', json_object('product_reviewed', t.product_name, 'product_category', t.product_category,
-                              'full_text', t.review_text))::VARCHAR AS state
-      FROM sentences s JOIN texts t USING (review_id))""", "sentences", "texts"))
+VIEWS["states"] = (["sentences", "texts"], f"""
+    SELECT DISTINCT s.review_key, s.sentence_index, json_object('task', {text(STATE_TASK)}, 'note', {text(STATE_NOTE)},
+      'sentence', s.sentence, 'sentence_position', (s.sentence_index + 1) || ' of ' || s.sentence_count,
+      'review', json_object('product_reviewed', t.product_name, 'product_category', t.product_category,
+                            'full_text', t.review_text))::VARCHAR AS state
+    FROM sentences s JOIN texts t USING (review_id)""")
+
+
+@query("sentence_state", check_sql("""
+    SELECT review_key, sentence_index, sha1(state) AS state_sha1, length(state) AS state_length FROM states""", "states"))
 def sentence_state(d: Domain):
     asked = classify.distinct_sentences(d.sentences.drop("review_text"))
     texts = classify.distinct_reviews(d.texts)

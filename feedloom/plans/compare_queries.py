@@ -143,15 +143,6 @@ def cost(d: Domain):
 
 
 @query("prompt_tokens", check_sql("""
-    SELECT count(*) AS sentences, round_even(sum(size) / 4, 0)::BIGINT AS prompt_tokens FROM (
-      SELECT DISTINCT s.review_key, s.sentence_index, length(s.sentence) + length(t.product_name)
-        + length(t.review_text) AS size
-      FROM sentences s JOIN texts t USING (review_id))""", "sentences", "texts"))
+    SELECT count(*) AS sentences, round_even(sum(length(state)) / 4, 0)::BIGINT AS prompt_tokens FROM states""", "states"))
 def prompt_tokens(d: Domain):
-    # the length of what a prompt quotes, without building each prompt
-    quoted = F.length("sentence") + F.length("product_name") + F.length("review_text")
-    asked = classify.distinct_sentences(d.sentences.drop("review_text"))
-    sized = asked.join(classify.distinct_reviews(d.texts).select("review_key", "review_text"), "review_key") \
-        .select("review_id", "review_key", "sentence_index", quoted.cast("bigint").alias("size"))
-    return sized.agg(F.count(F.lit(1)).alias("sentences"),
-                     F.bround(F.sum("size") / 4, 0).cast("bigint").alias("prompt_tokens"))
+    return compare.prompt_tokens(d.sentences.drop("review_text"), classify.distinct_reviews(d.texts))

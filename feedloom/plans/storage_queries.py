@@ -2,8 +2,11 @@
 
 from __future__ import annotations
 
+from dataclasses import replace
 from datetime import datetime
+from functools import reduce
 
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from feedloom.operators import classify, compare, incremental, texts
@@ -20,6 +23,13 @@ from feedloom.sources import caches, dataset, growth
 from feedloom.streaming import classify_stream as streaming
 
 ORDERS = {"orders": SPECS["orders"]}
+# the rules the given tables do keep; one customer may never have ordered and then has no signup
+SOUND = {
+    "customers": replace(SPECS["customers"], members={}, nullable=("signup_at",)),
+    "orders": replace(SPECS["orders"], ranges={"order_total": (0, None, True)}),
+    "review_texts": SPECS["review_texts"],
+    "review_truth": replace(SPECS["review_truth"], ranges={"satisfaction": (0.0, 1.0, False)}),
+}
 ORDER_SQL = f"order_id, customer_id, strftime(ordered_at, {SQL_STAMP}) AS ordered_at, order_total"
 
 
@@ -38,6 +48,19 @@ def read_orders(d: Domain):
     return dataset.read_dataset(d.spark, path, specs=ORDERS)["orders"].select(order_columns())
 
 
+@query("write_dataset", check_sql("""
+    SELECT 'customers' AS "table", count(*) AS rows FROM customers UNION ALL SELECT 'orders', count(*) FROM placed
+    UNION ALL SELECT 'review_texts', count(*) FROM review_texts UNION ALL SELECT 'review_truth', count(*) FROM review_truth""",
+    "customers", "placed", "review_texts", "review_truth"))
+def write_dataset(d: Domain):
+    # every table is checked on its own and against the others before anything is written
+    path = fresh_path(d.spark, "dataset")
+    dataset.write_dataset({name: d.tables[name] for name in SOUND}, path, specs=SOUND)
+    stored = dataset.read_dataset(d.spark, path, specs=SOUND)
+    counts = [df.agg(F.lit(name).alias("table"), F.count(F.lit(1)).alias("rows")) for name, df in stored.items()]
+    return reduce(DataFrame.unionByName, counts)
+
+
 LAST_YEAR = 7
 
 

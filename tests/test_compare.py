@@ -107,6 +107,11 @@ def test_cost(spark):
 
 
 def test_prompt_tokens_count_a_repeated_sentence_once(spark):
-    one = spark.createDataFrame([("R1", "k", 0, "x" * 40)], "review_id STRING, review_key STRING, sentence_index INT, state STRING")
+    ddl = ("review_id STRING, review_key STRING, sentence_index INT, sentence_count INT, sentence STRING, "
+           "review_text STRING, product_name STRING, product_category STRING")
+    one = spark.createDataFrame([("R1", "k", 0, 1, "Hot.", "Hot.", "Kettle", "kitchen")], ddl)
     two = one.union(one.withColumn("review_id", F.lit("R2")))
-    assert compare.prompt_tokens(two).first()[:] == compare.prompt_tokens(one).first()[:] == (1, 10)
+    counted = compare.prompt_tokens(two).first()
+    assert counted.sentences == 1 and tuple(counted) == tuple(compare.prompt_tokens(one).first())
+    texts = one.select("review_key", "review_text")
+    assert tuple(compare.prompt_tokens(two.drop("review_text"), texts).first()) == tuple(counted)
