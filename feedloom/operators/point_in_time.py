@@ -3,7 +3,8 @@
 Rows and events are first reduced to moments, one row per (entity, time), which a map-side aggregate
 does before anything is shuffled. `earlier` then accumulates the moments, and the answer for a moment
 is joined back to every row at it. Nothing is compared pairwise, there is no range join, and neither
-a busy entity nor a busy moment is ever held by one task.
+a busy entity nor a busy moment is ever held by one task: an entity with more than `busy_rows` moments
+is cut into slices of `slice_seconds`.
 """
 
 from __future__ import annotations
@@ -16,7 +17,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from feedloom.fixed_values import DAYS_PER_YEAR
-from feedloom.operators.prefix import earlier
+from feedloom.operators.prefix import BUSY_ROWS, earlier
 
 DAY = 86_400
 EPOCH = "TIMESTAMP_NTZ '1970-01-01 00:00:00'"
@@ -42,7 +43,8 @@ class History:
     last: str | None = None
 
 
-def as_of(left: DataFrame, histories: Sequence[History], *, by: str, at: str, slice_seconds: int = DAY) -> DataFrame:
+def as_of(left: DataFrame, histories: Sequence[History], *, by: str, at: str, slice_seconds: int = DAY,
+          busy_rows: int = BUSY_ROWS) -> DataFrame:
     """`left` plus what each history held for the same `by` strictly before `left[at]`, in one pass."""
     sums = [name for h in histories for name in h.sums]
     counts = [h.count or f"__n{i}" for i, h in enumerate(histories)]
@@ -63,14 +65,14 @@ def as_of(left: DataFrame, histories: Sequence[History], *, by: str, at: str, sl
         if h.last:
             values[h.last] = F.col(h.time)
         parts.append(moments_of(h.events, h.time, values))
+    rows = reduce(DataFrame.unionByName, parts)
     moments = (
-        reduce(DataFrame.unionByName, parts)
-        .withColumn("__slice", time_slice_of("__at", slice_seconds))
-        .groupBy("__by", "__slice", "__at")
+        rows.groupBy("__by", "__at")
         .agg(*[F.sum(c).alias(c) for c in [*sums, *counts]], *[F.max(c).alias(c) for c in lasts])
+        .withColumn("__slice", time_slice_of("__at", slice_seconds))
     )
     known = earlier(moments, by=["__by"], slice_by="__slice", order=[F.col("__at")], sums=[*sums, *counts],
-                    maxima=lasts)
+                    maxima=lasts, busy_rows=busy_rows, counted=rows)
     named = [h.count for h in histories if h.count]
     answers = known.select("__by", "__at", *[F.col(f"{c}_before").alias(c) for c in [*sums, *named, *lasts]])
     joined = left.join(answers, (left[by] == answers["__by"]) & (left[at] == answers["__at"]), "left")
@@ -79,24 +81,25 @@ def as_of(left: DataFrame, histories: Sequence[History], *, by: str, at: str, sl
 
 def point_in_time(left: DataFrame, events: DataFrame, *, by: str, at: str, event_time: str,
                   sums: dict[str, str] | None = None, count: str | None = None, last_event: str | None = None,
-                  slice_seconds: int = DAY) -> DataFrame:
+                  slice_seconds: int = DAY, busy_rows: int = BUSY_ROWS) -> DataFrame:
     """`left` plus totals, count and last time of the same entity's events strictly before `left[at]`."""
     history = History(events, event_time, sums or {}, count, last_event)
-    return as_of(left, [history], by=by, at=at, slice_seconds=slice_seconds)
+    return as_of(left, [history], by=by, at=at, slice_seconds=slice_seconds, busy_rows=busy_rows)
 
 
 def running_totals(events: DataFrame, *, by: str, at: str, sums: dict[str, str], count: str,
-                   slice_seconds: int = DAY) -> DataFrame:
+                   slice_seconds: int = DAY, busy_rows: int = BUSY_ROWS) -> DataFrame:
     """One row per (entity, time): totals and count up to and including that time."""
+    rows = events.where(F.col(by).isNotNull() & F.col(at).isNotNull())
     moments = (
-        events.where(F.col(by).isNotNull() & F.col(at).isNotNull())
-        .withColumn("__slice", time_slice_of(at, slice_seconds))
-        .groupBy(by, "__slice", at)
+        rows.groupBy(by, at)
         .agg(*[F.sum(F.coalesce(F.col(src), F.lit(0))).alias(out) for out, src in sums.items()],
              F.count(F.lit(1)).alias(count))
+        .withColumn("__slice", time_slice_of(at, slice_seconds))
     )
     names = [*sums, count]
-    known = earlier(moments, by=[by], slice_by="__slice", order=[F.col(at)], sums=names)
+    known = earlier(moments, by=[by], slice_by="__slice", order=[F.col(at)], sums=names, busy_rows=busy_rows,
+                    counted=rows)
     return known.select(by, at, *[(F.col(c) + F.col(f"{c}_before")).alias(c) for c in names])
 
 
@@ -105,7 +108,7 @@ FEATURES = ["tenure_days", "lifetime_revenue", "order_count", "days_since_last_o
 
 
 def review_features(reviews: DataFrame, customers: DataFrame, orders: DataFrame, *,
-                    slice_seconds: int = DAY) -> DataFrame:
+                    slice_seconds: int = DAY, busy_rows: int = BUSY_ROWS) -> DataFrame:
     """One row per review: what was known of its customer when it was written.
 
     Orders and the customer's own earlier reviews are accumulated in the same pass.
@@ -114,7 +117,7 @@ def review_features(reviews: DataFrame, customers: DataFrame, orders: DataFrame,
     known = as_of(base, [
         History(orders, "ordered_at", {"lifetime_revenue": "order_total"}, "order_count", "last_order_at"),
         History(base, "reviewed_at", count="previous_reviews"),
-    ], by="customer_id", at="reviewed_at", slice_seconds=slice_seconds)
+    ], by="customer_id", at="reviewed_at", slice_seconds=slice_seconds, busy_rows=busy_rows)
     people = customers.select("customer_id", "signup_at", "date_of_birth", "gender", "country")
     return known.join(people, "customer_id").select(
         "review_id", "customer_id",

@@ -1,9 +1,9 @@
-"""Totals over everything earlier, without ever putting a whole key into one task.
+"""Totals over everything earlier, without ever putting a whole busy key into one task.
 
 A plain window partitioned by key sorts all rows of a key in one task, so a key that holds a third
-of the table stalls the job. Here each key is cut into slices of its ordering (a day, a hash range).
-Rows are accumulated inside their slice, slice totals are accumulated per key, and the two are added.
-A task then holds one slice of one key, or one row per slice of a key.
+of the table stalls the job. Here the history of a busy key is cut into slices of its ordering (a day,
+a hash range). Rows are accumulated inside their slice, slice totals are accumulated per key, and the
+two are added. Other keys are one slice each and cost what a plain window costs.
 """
 
 from __future__ import annotations
@@ -13,29 +13,42 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+BUSY_ROWS = 1_000_000
+
 
 def earlier(df: DataFrame, *, by: Sequence[str], slice_by: str, order: Sequence[Column],
-            sums: Sequence[str] = (), maxima: Sequence[str] = ()) -> DataFrame:
+            sums: Sequence[str] = (), maxima: Sequence[str] = (), busy_rows: int = BUSY_ROWS,
+            counted: DataFrame | None = None) -> DataFrame:
     """Add `<column>_before` for each of `sums` and `maxima`: the aggregate over rows earlier in `order`.
 
-    `slice_by` must never decrease along `order`, and `order` must be unique within `by`.
-    Sums are 0 and maxima null where nothing is earlier. `by` may be empty: one sequence overall.
+    `slice_by` must never decrease along `order`, and `order` must be unique within `by`. Sums are 0 and
+    maxima null where nothing is earlier. `by` may be empty: one sequence overall, always sliced.
+    A key with more than `busy_rows` rows is sliced. `counted` may hold other rows of the same keys to
+    count instead, at least as many as `df` has: where `df` is an aggregate, what it was made from.
     """
-    inside = Window.partitionBy(*by, slice_by).orderBy(*order).rowsBetween(Window.unboundedPreceding, -1)
-    across = Window.partitionBy(*by).orderBy(slice_by).rowsBetween(Window.unboundedPreceding, -1)
+    columns = df.columns
+    if by:
+        # at most rows / busy_rows keys are busy, which bounds what is broadcast
+        busy = (df if counted is None else counted).groupBy(*by).agg(F.count(F.lit(1)).alias("__rows")).where(F.col("__rows") > busy_rows)
+        df = df.join(F.broadcast(busy), list(by), "left") \
+            .withColumn("__part", F.when(F.col("__rows").isNotNull(), F.col(slice_by))).drop("__rows")
+    else:
+        df = df.withColumn("__part", F.col(slice_by))
+    inside = Window.partitionBy(*by, "__part").orderBy(*order).rowsBetween(Window.unboundedPreceding, -1)
+    across = Window.partitionBy(*by).orderBy("__part").rowsBetween(Window.unboundedPreceding, -1)
     local = df.select("*",
                       *[F.sum(c).over(inside).alias(f"{c}__inside") for c in sums],
                       *[F.max(c).over(inside).alias(f"{c}__inside") for c in maxima])
     offsets = (
-        df.groupBy(*by, slice_by)
+        df.where(F.col("__part").isNotNull()).groupBy(*by, "__part")
         .agg(*[F.sum(c).alias(c) for c in sums], *[F.max(c).alias(c) for c in maxima])
-        .select(*by, slice_by,
+        .select(*by, "__part",
                 *[F.sum(c).over(across).alias(f"{c}__offset") for c in sums],
                 *[F.max(c).over(across).alias(f"{c}__offset") for c in maxima])
     )
     zero = F.lit(0)
-    return local.join(offsets, [*by, slice_by], "left").select(
-        *df.columns,
+    return local.join(offsets, [*by, "__part"], "left").select(
+        *columns,
         *[(F.coalesce(f"{c}__inside", zero) + F.coalesce(f"{c}__offset", zero)).alias(f"{c}_before") for c in sums],
         *[F.greatest(f"{c}__inside", f"{c}__offset").alias(f"{c}_before") for c in maxima],
     )

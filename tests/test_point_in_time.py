@@ -81,10 +81,10 @@ def random_tables(spark, seed=5, n=400):
                                           "gender STRING, country STRING"), orders, reviews)
 
 
-@pytest.mark.parametrize("seconds", [3_600, 86_400, 10**9])
-def test_equals_brute_force_under_any_slicing(spark, seconds):
+@pytest.mark.parametrize("seconds, busy", [(3_600, 0), (86_400, 0), (86_400, 50), (10**9, 0), (86_400, 10**6)])
+def test_equals_brute_force_under_any_slicing(spark, seconds, busy):
     orders, reviews, people, order_rows, review_rows = random_tables(spark)
-    got = {r.review_id: r for r in review_features(reviews, people, orders, slice_seconds=seconds).collect()}
+    got = {r.review_id: r for r in review_features(reviews, people, orders, slice_seconds=seconds, busy_rows=busy).collect()}
     assert len(got) == len(review_rows)
     for rid, who, at in review_rows:
         past = [(t, v) for _, c, t, v in order_rows if c == who and t < at]

@@ -10,14 +10,15 @@ from feedloom.operators.prefix import earlier, hash_slice
 from feedloom.operators.quantiles import exact_quantile, quantiles_of_counts
 
 
-@pytest.mark.parametrize("width", [1, 7, 1000])
-def test_totals_do_not_depend_on_the_slices(spark, width):
+@pytest.mark.parametrize("width, busy", [(1, 0), (7, 0), (1000, 0), (7, 100), (7, 10**6)])
+def test_totals_do_not_depend_on_the_slices(spark, width, busy):
     # one key holds a third of the rows
     rng = random.Random(3)
     rows = [("hot" if i % 3 == 0 else f"k{rng.randrange(20)}", i, rng.randrange(50)) for i in range(600)]
     df = spark.createDataFrame(rows, "k STRING, t INT, v BIGINT").withColumn("s", F.floor(F.col("t") / width))
     got = {(r.k, r.t): (r.v_before, r.t_before) for r in
-           earlier(df, by=["k"], slice_by="s", order=[F.col("t")], sums=["v"], maxima=["t"]).collect()}
+           earlier(df, by=["k"], slice_by="s", order=[F.col("t")], sums=["v"], maxima=["t"],
+                   busy_rows=busy).collect()}
     for k, t, _ in rows:
         past = [(u, v) for kk, u, v in rows if kk == k and u < t]
         assert got[k, t] == (sum(v for _, v in past), max((u for u, _ in past), default=None))
