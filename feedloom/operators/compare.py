@@ -20,7 +20,8 @@ def stratified_sample(sentences: DataFrame, target: int = 300, *, by: Sequence[s
     """All sentences of a sample of reviews, stratified, about `target` sentences and at least a review per stratum.
 
     Reviews are drawn in hash order, so the sample is the same on any partitioning. A stratum is cut by
-    hash into even slices to rank it, so one that holds most reviews is not sorted in one task.
+    hash into even slices to rank it, so one that holds most reviews is not sorted in one task. Pass a
+    stored table: it is read several times.
     """
     reviews = sentences.groupBy("review_id", F.struct(*by).alias("stratum")).agg(F.count(F.lit(1)).alias("n"))
     strata = reviews.groupBy("stratum").agg(F.sum("n").alias("total"), F.avg("n").alias("mean"))

@@ -10,6 +10,7 @@ from feedloom.plans.domain import Domain
 from feedloom.plans.domain_sql import check_sql
 from feedloom.plans.feature_queries import longs
 from feedloom.plans.registry import query
+from feedloom.session import materialise
 
 TARGET = 300
 
@@ -27,16 +28,22 @@ def sample_sql(body: str) -> str:
     return check_sql("", "sentences").rstrip() + "," + SAMPLE + body
 
 
+def stored_sentences(d: Domain):
+    """Sampling reads the sentences several times: split them once."""
+    return materialise(d.sentences.select("review_id", "text_language", "rating", "sentence_index", "sentence"),
+                       "sentences")
+
+
 @query("stratified_sample", sample_sql(" SELECT review_id, sentence_index, sentence FROM sample"))
 def stratified_sample(d: Domain):
-    return compare.stratified_sample(d.sentences.drop("review_text"), TARGET).select(
+    return compare.stratified_sample(stored_sentences(d), TARGET).select(
         "review_id", *longs("sentence_index"), "sentence")
 
 
 @query("sample_composition", sample_sql("""
     SELECT text_language, count(DISTINCT review_id) AS reviews, count(*) AS sentences FROM sample GROUP BY 1"""))
 def sample_composition(d: Domain):
-    return compare.sample_composition(compare.stratified_sample(d.sentences.drop("review_text"), TARGET))
+    return compare.sample_composition(compare.stratified_sample(stored_sentences(d), TARGET))
 
 
 def _agree(question: str, condition: str) -> str:

@@ -22,14 +22,20 @@ def append_answers(answers: DataFrame, path: str) -> None:
 
 
 def read_answers(spark: SparkSession, path: str, *, version: str = QUESTION_SET_VERSION,
-                 model: str | None = None) -> DataFrame:
-    """Stored answers that may be reused, one per key. Version and model are folders, so others are not read."""
+                 model: str | None = None, keys: DataFrame | None = None) -> DataFrame:
+    """Stored answers that may be reused, one per key, or only those of `keys`.
+
+    Version and model are folders, so others are not read.
+    """
     schema = StructType.fromDDL(ANSWERS_DDL)
     found = read_or_none(spark, path, schema)
     if found is None:
         return spark.createDataFrame([], schema)
-    # a job that was retried after its append may have stored a key twice
-    return conform(valid_answers(found, version, model), ANSWERS_DDL).dropDuplicates(KEY)
+    usable = conform(valid_answers(found, version, model), ANSWERS_DDL)
+    if keys is not None:
+        usable = usable.join(keys.select(*KEY), KEY, "left_semi")
+    # two runs at the same time may both have stored a key
+    return usable.dropDuplicates(KEY)
 
 
 def classify_sentences(sentences: DataFrame, catalogue: DataFrame, scorer: Scorer, *, columns: list[str],
@@ -42,16 +48,15 @@ def classify_sentences(sentences: DataFrame, catalogue: DataFrame, scorer: Score
     """
     spark = sentences.sparkSession
     schema = StructType.fromDDL(ANSWERS_DDL)
-    # taken before the append below, so that it does not see this run's answers
-    known = materialise(read_answers(spark, cache_path, model=model), "known_answers") if cache_path \
-        else spark.createDataFrame([], schema)
+    # written before the append below, so that it does not see this run's answers
+    known = materialise(read_answers(spark, cache_path, model=model, keys=sentences), "known_answers") \
+        if cache_path else spark.createDataFrame([], schema)
     asked = cache_misses(sentences, known)
     raw = materialise(score_sentences(asked, scorer, columns=columns, partitions=partitions), "raw_answers")
     fresh = materialise(flatten_answers(raw, catalogue, threshold), "fresh_answers")
     if cache_path:
         append_answers(fresh, cache_path)
-    wanted = sentences.select(*KEY).distinct()
-    return known.join(wanted, KEY, "left_semi").unionByName(fresh)
+    return known.unionByName(fresh)
 
 
 def append_texts(texts: DataFrame, path: str) -> None:
