@@ -82,7 +82,8 @@ def integrity_report(tables: dict[str, DataFrame], *, rules: list[str] | None =
     checked = [(INTEGRITY_RULES[name],) for name, (needs, _) in FINDERS.items()
                if (rules is None or name in rules) and all(n in tables for n in needs)]
     # per key first: a rule that nearly every row breaks is counted before it is gathered
-    per_key = violations(tables, rules).groupBy("rule", "key").agg(F.sum("rows").alias("rows"))
+    # (every key has rows; asking for them lets both uses below share one shuffle)
+    per_key = violations(tables, rules).groupBy("rule", "key").agg(F.sum("rows").alias("rows")).where("rows > 0")
     counted = per_key.groupBy("rule").agg(F.sum("rows").alias("violations"))
     first = per_key.select("rule", "key", F.row_number().over(Window.partitionBy("rule").orderBy("key")).alias("n")) \
         .where(F.col("n") <= samples)
