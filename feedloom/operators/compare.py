@@ -11,7 +11,6 @@ from feedloom.fixed_values import CHOICES, EXPECTED_LANGUAGE, FLAGS, YES_THRESHO
 from feedloom.functions.keys import order_hash
 from feedloom.operators.classify import distinct_sentences, with_state
 from feedloom.operators.prefix import earlier, hash_slice
-from feedloom.operators.quantiles import quantiles_of_counts
 from feedloom.schemas import KEY
 
 
@@ -103,29 +102,27 @@ def speed(results: DataFrame, runs: DataFrame, *, sentences_in_dataset: int | Co
     """Per run: latency, throughput and the time the whole dataset would take.
 
     `results` carries a `run` column; `runs` has one row (run, seconds, concurrency) per run. The 95th
-    percentile is the nearest element, the median interpolates.
+    percentile is the nearest element, the median interpolates. Results are read once: everything
+    follows from how often each millisecond occurs, of which a run has few.
     """
-    ok = results.where(F.col("error").isNull())
-    totals = results.groupBy("run").agg(F.count(F.lit(1)).alias("sentences"),
-                                        F.count_if(F.col("error").isNotNull()).alias("failed"))
-    median = quantiles_of_counts(ok, ["run"], "latency_ms", {"p50_ms": 0.5})
-    high = nearest_quantile(ok, "run", "latency_ms", 0.95, "p95_ms")
+    failed = F.col("error").isNotNull()
+    histogram = results.groupBy("run", "latency_ms", failed.alias("failed")).agg(F.count(F.lit(1)).alias("n"))
+    counts = F.when(~F.col("failed") & F.col("latency_ms").isNotNull(), F.col("n")).otherwise(0)
+    upto = Window.partitionBy("run").orderBy("latency_ms").rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    ranked = histogram.withColumn("ok", counts).select(
+        "*", F.sum("ok").over(upto).alias("upto"), F.sum("ok").over(Window.partitionBy("run")).alias("all"))
+    reaches = (F.col("ok") > 0) & (F.col("upto") > F.round((F.col("all") - 1) * 0.95))
+    measured = ranked.groupBy("run").agg(
+        F.sum("n").alias("sentences"), F.sum(F.when(F.col("failed"), F.col("n")).otherwise(0)).alias("failed"),
+        F.percentile("latency_ms", 0.5, F.col("ok")).alias("p50_ms"),
+        F.min(F.when(reaches, F.col("latency_ms"))).alias("p95_ms"))
     rate = F.col("sentences") / F.col("seconds")
     whole = F.lit(sentences_in_dataset) if isinstance(sentences_in_dataset, int) else sentences_in_dataset
-    return runs.join(totals, "run").join(median, "run", "left").join(high, "run", "left").select(
+    return runs.join(measured, "run").select(
         F.col("run").alias("classifier"), "sentences", "failed", "p50_ms", "p95_ms", "concurrency",
         F.round(rate, 2).alias("sentences_per_s"), F.round(whole / rate / 60, 1).alias("dataset_minutes"))
 
 
-def nearest_quantile(df: DataFrame, by: str, column: str, q: float, name: str) -> DataFrame:
-    """Per `by`, the element nearest to the quantile's rank. Ranks distinct values, so milliseconds stay few."""
-    counted = df.where(F.col(column).isNotNull()).groupBy(by, column).agg(F.count(F.lit(1)).alias("n"))
-    upto = Window.partitionBy(by).orderBy(column).rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    ranked = counted.select(by, column, F.sum("n").over(upto).alias("upto"),
-                            F.sum("n").over(Window.partitionBy(by)).alias("all"))
-    return ranked.where(F.col("upto") > F.round((F.col("all") - 1) * q)).groupBy(by).agg(F.min(column).alias(name))
-
-
 def cost(results: DataFrame, prices: dict[str, tuple[float | None, float | None]], *,
          sentences_per_1000_customers: int | Column) -> DataFrame:
     """Per run: tokens and dollars per sentence. `prices` gives USD per million (input, output) tokens."""

@@ -1,5 +1,8 @@
 """Sampling, agreement, accuracy, speed and cost."""
 
+import random
+import statistics
+
 import pytest
 from pyspark.sql import functions as F
 
@@ -98,6 +101,21 @@ def test_speed(spark):
     assert (row.sentences, row.failed, row.concurrency) == (4, 0, 8)
 
 
+def test_speed_with_failures_and_ties(spark):
+    rng = random.Random(4)
+    values = [rng.randrange(100, 140) for _ in range(201)]
+    rows = [{"sentence_index": i, "latency_ms": ms} for i, ms in enumerate(values)]
+    rows += [{"sentence_index": 500 + i, "latency_ms": 120, "error": "busy"} for i in range(50)]
+    runs = spark.createDataFrame([("a", 2.0, 8), ("b", 2.0, 8)], "run STRING, seconds DOUBLE, concurrency BIGINT")
+    only_failed = [{"sentence_index": 0, "error": "busy"}]
+    results = answers(spark, rows).withColumn("run", F.lit("a")).union(
+        answers(spark, only_failed).withColumn("run", F.lit("b")))
+    got = {r.classifier: r for r in compare.speed(results, runs, sentences_in_dataset=10).collect()}
+    assert (got["a"].sentences, got["a"].failed) == (251, 50)
+    assert (got["a"].p50_ms, got["a"].p95_ms) == (statistics.median(values), sorted(values)[round(200 * 0.95)])
+    assert (got["b"].failed, got["b"].p50_ms, got["b"].p95_ms) == (1, None, None)
+
+
 def test_cost(spark):
     results = answers(spark, [{}]).withColumn("run", F.lit("a")).union(answers(spark, [{}]).withColumn("run", F.lit("b")))
     rows = {r.classifier: r for r in compare.cost(results, {"a": (1, 4), "b": (None, None)},
