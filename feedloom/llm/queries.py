@@ -4,18 +4,55 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
+import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from feedloom.llm import minhash
+from feedloom.llm import decontaminate, language, line_dedup, minhash, packing
 from feedloom.llm.common import read
 
 
+TOKENIZER = public_tokenizers.path("word_bpe_49k.json")
+
+
 def op1_minhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return minhash.near_duplicates(read(spark, sf_dir, "documents"), words_per_shingle=3, percent=85)
 
 
+def op2_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document with what is left of its text; those of which nothing is left are not listed."""
+    docs = read(spark, sf_dir, "documents")
+    return line_dedup.without_repeats(docs).select("doc_id", "text")
+
+
+def op3_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return decontaminate.contaminated(read(spark, sf_dir, "documents"), read(spark, sf_dir, "benchmark"))
+
+
+def _remainder(modulus: int):
+    """crc32 of the doc_id as text, modulo; a null doc_id has remainder 0."""
+    return F.coalesce(F.crc32(F.col("doc_id").cast("string")) % modulus, F.lit(0))
+
+
+def op4_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = read(spark, sf_dir, "documents").withColumn("held_out", _remainder(4) == 2)
+    model = language.train(docs.filter("not held_out"))
+    return (language.label(docs.select("doc_id", "held_out", "text"), model)
+            .select("doc_id", "held_out", "lang_pred", "score", F.size("spans").alias("n_spans")))
+
+
+def op8_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    pieces = packing.pack(read(spark, sf_dir, "documents"), TOKENIZER)
+    return pieces.select("doc_id", "start", "length", F.crc32("ids").alias("ids_crc32"), "doc_tokens", "sequence_id",
+                         "offset", "bucket")
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_minhash_near_dedup": op1_minhash_near_dedup,
+    "op2_line_dedup": op2_line_dedup,
+    "op3_decontamination": op3_decontamination,
+    "op4_language_id": op4_language_id,
+    "op8_packing": op8_packing,
 }
 
 ORACLES: dict[str, str] = {}
