@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from feedloom.llm import decontaminate, language, line_dedup, minhash, packing
+from feedloom.llm import chat, decontaminate, language, line_dedup, minhash, oracles, packing, url_reputation
 from feedloom.llm.common import read
 
 
@@ -47,12 +47,26 @@ def op8_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
                          "offset", "bucket")
 
 
+def op9_chat_formatting(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return chat.preference_turns(*chat.pairs_from_replies(read(spark, sf_dir, "conversations")))
+
+
+def op10_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A page is bad if the label of its number says low quality or toxic."""
+    labels = read(spark, sf_dir, "labels").dropna(subset=["doc_id", "quality", "toxic"])
+    outcomes = labels.select(F.col("doc_id").alias("page_id"),
+                             ((F.col("quality") == 0) | (F.col("toxic") == 1)).cast("int").alias("bad"))
+    return url_reputation.judge(read(spark, sf_dir, "pages"), outcomes).drop("bad_bound")
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_minhash_near_dedup": op1_minhash_near_dedup,
     "op2_line_dedup": op2_line_dedup,
     "op3_decontamination": op3_decontamination,
     "op4_language_id": op4_language_id,
     "op8_packing": op8_packing,
+    "op9_chat_formatting": op9_chat_formatting,
+    "op10_url_filter": op10_url_filter,
 }
 
-ORACLES: dict[str, str] = {}
+ORACLES: dict[str, str] = {"op9_chat_formatting": oracles.OP9, "op10_url_filter": oracles.OP10}
