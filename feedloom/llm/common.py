@@ -138,6 +138,31 @@ def membership(bits: np.ndarray):
     return maybe
 
 
+def whole_groups(batches: Iterator[pa.RecordBatch], keys: list[str]) -> Iterator[tuple[pa.Table, np.ndarray]]:
+    """From batches sorted by `keys` (integer columns): tables of whole groups, and where each group starts."""
+    held = None
+    for batch in batches:
+        table = pa.Table.from_batches([batch])
+        table = table if held is None else pa.concat_tables([held, table])
+        values = np.stack([table.column(k).to_numpy() for k in keys])
+        starts = np.concatenate([[0], np.flatnonzero((values[:, 1:] != values[:, :-1]).any(axis=0)) + 1])
+        if starts[-1]:
+            yield table.slice(0, starts[-1]), starts[:-1]
+        held = table.slice(starts[-1])
+    if held is not None and held.num_rows:
+        yield held, np.zeros(1, np.int64)
+
+
+def in_blocks(rows: DataFrame, keys: list[str], member: str, blocks: str) -> DataFrame:
+    """`rows` grouped in partitions by `keys`; a group of several `blocks` (an int column) is cut by a hash of
+    `member`, and each pair of its blocks is a group of its own, named by `keys`, block_a and block_b."""
+    part, other = F.pmod(F.xxhash64(member), F.col(blocks)).cast("int"), F.col("__other")
+    named = [*keys, "block_a", "block_b"]
+    return (rows.withColumn("__part", part).withColumn("__other", F.explode(F.sequence(F.lit(0), F.col(blocks) - 1)))
+            .withColumn("block_a", F.least("__part", other)).withColumn("block_b", F.greatest("__part", other))
+            .drop("__part", "__other", blocks).repartition(*named).sortWithinPartitions(*named))
+
+
 def covered(intervals: list[tuple[int, int]]) -> list[tuple[int, int]]:
     """The union of half-open intervals as maximal runs; touching intervals are one run."""
     out: list[list[int]] = []
