@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from feedloom.llm import chat, decontaminate, language, line_dedup, minhash, neighbours, oracles, packing, suffix_dedup, url_reputation
+from feedloom.llm import chat, decontaminate, language, language_model, line_dedup, minhash, neighbours, oracles, packing, suffix_dedup, url_reputation
 from feedloom.llm.common import read
 
 
@@ -45,6 +45,11 @@ def op5_nearest_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
     return neighbours.search(read(spark, sf_dir, "embeddings"), F.col("vec_id") % 20 == 0, k=20)
 
 
+def op6_language_model(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = read(spark, sf_dir, "documents").withColumn("held_out", _remainder(7) == 2)
+    return language_model.score(docs)
+
+
 def op7_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = suffix_dedup.without_repeats(read(spark, sf_dir, "documents"))
     removed = F.aggregate("removed", F.lit(0).cast("long"), lambda n, r: n + r["end"] - r["begin"])
@@ -76,6 +81,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op3_decontamination": op3_decontamination,
     "op4_language_id": op4_language_id,
     "op5_nearest_neighbours": op5_nearest_neighbours,
+    "op6_language_model": op6_language_model,
     "op7_suffix_dedup": op7_suffix_dedup,
     "op8_packing": op8_packing,
     "op9_chat_formatting": op9_chat_formatting,
