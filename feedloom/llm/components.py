@@ -2,9 +2,11 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Observation
 from pyspark.sql import functions as F
 
+from feedloom.llm.common import stored
+
 
 def _large_star(edges: DataFrame) -> DataFrame:
     both = edges.unionAll(edges.select(F.col("dst").alias("src"), F.col("src").alias("dst")))
@@ -23,18 +25,19 @@ def _small_star(edges: DataFrame) -> DataFrame:
 def components(links: DataFrame) -> DataFrame:
     """(id, component) for every id in `links` (two long columns): the smallest id reachable.
 
-    Links with a null end are left out. Each round is written to the checkpoint folder; a root with very
+    Links with a null end are left out. Each round is written to the shared folder; a root with very
     many members is one row on the aggregated side of each join, so adaptive skew joins can split it.
     """
     a, b = links.columns[:2]
     edges = (links.filter(f"`{a}` <> `{b}`")
-             .select(F.greatest(a, b).alias("src"), F.least(a, b).alias("dst")).distinct().checkpoint())
+             .select(F.greatest(a, b).alias("src"), F.least(a, b).alias("dst")).distinct())
     seen = None
     while True:
-        edges = _small_star(_large_star(edges)).checkpoint()
-        state = edges.agg(F.count("*"), F.sum(F.xxhash64("src", "dst").cast("decimal(38,0)"))).first()
-        if state == seen:
+        state = Observation()
+        edges = stored(_small_star(_large_star(edges)).observe(
+            state, F.count("*").alias("n"), F.sum(F.xxhash64("src", "dst").cast("decimal(38,0)")).alias("sum")), "edges")
+        if state.get == seen:
             break
-        seen = state
+        seen = state.get
     roots = edges.select(F.col("dst").alias("id"), F.col("dst").alias("component")).distinct()
     return edges.select(F.col("src").alias("id"), F.col("dst").alias("component")).unionAll(roots)

@@ -9,12 +9,14 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from feedloom.llm.common import (MULTIPLIER, U64, WordHashes, as_long, bitmap_of, byte_texts, map_batches, membership,
-                                 mix, shingle_hashes, stored, words_of)
+from feedloom.llm.common import (MULTIPLIER, U64, WordHashes, as_long, bitmap_of, byte_texts, in_blocks, map_batches,
+                                 membership, mix, shingle_hashes, stored, whole_groups, words_of)
 from feedloom.llm.components import components
 
 #: 26 bands of 5 values: a pair at similarity 0.85 shares no band with probability 2.4e-7, at 0.8 with 3.3e-5.
 BANDS, ROWS = 26, 5
+BLOCK_CLASSES = 20_000  # of a bucket, compared by signatures in one task
+BLOCK_SHINGLES = 2_000_000  # of a group, compared on full sets in one task
 ELEMENTS_AT_ONCE = 60_000  # bounds the permutation state of a worker
 
 
@@ -67,7 +69,7 @@ def band_keys(signature: np.ndarray, bands: int, rows: int) -> np.ndarray:
 
 
 def _described(words_per_shingle: int, bands: int, rows: int):
-    schema = "doc_id long, n_shingles long, class_hi long, class_lo long, text_key long, bands array<long>"
+    schema = "doc_id long, n_shingles long, class_hi long, class_lo long, text_key long, bands array<long>, marks binary"
 
     def over(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         hashes = WordHashes()
@@ -84,38 +86,97 @@ def _described(words_per_shingle: int, bands: int, rows: int):
                 sizes = np.array([len(s) for s in sets], np.int64)
                 class_hi = np.array([np.bitwise_xor.reduce(mix(s * MULTIPLIER)) if len(s) else 0 for s in sets], U64)
                 class_lo = np.array([np.add.reduce(mix(s + MULTIPLIER)) if len(s) else 0 for s in sets], U64)
-                keys = band_keys(signatures(sets, bands * rows), bands, rows).reshape(-1).view(np.int64)
+                signed = signatures(sets, bands * rows)
+                keys = band_keys(signed, bands, rows).reshape(-1).view(np.int64)
+                marks = (mix(signed.view(U64)) & U64(255)).astype(np.uint8)
                 offsets = np.arange(0, len(sets) * bands + 1, bands, dtype=np.int32)
                 yield pa.RecordBatch.from_arrays(
                     [ids.slice(start, end - start), pa.array(sizes), as_long(class_hi), as_long(class_lo),
-                     text_keys.slice(start, end - start), pa.ListArray.from_arrays(pa.array(offsets), pa.array(keys))],
-                    ["doc_id", "n_shingles", "class_hi", "class_lo", "text_key", "bands"])
+                     text_keys.slice(start, end - start), pa.ListArray.from_arrays(pa.array(offsets), pa.array(keys)),
+                     pa.array([m.tobytes() for m in marks], pa.binary())],
+                    ["doc_id", "n_shingles", "class_hi", "class_lo", "text_key", "bands",
+                     "marks"])
                 start = end
 
     return over, schema
 
 
-def _verified(pairs: DataFrame, texts: DataFrame, words_per_shingle: int, percent: int) -> DataFrame:
-    """Those (a, b) whose full sets meet 100 * intersection >= percent * union."""
+def _forest(size: int, linked_to) -> Iterator[tuple[int, int]]:
+    """(root, member) of the components of `size` items, where linked_to(item, others) says which others it links to.
+
+    Every item is compared with the items that no one has reached yet: a group in which most are linked takes
+    few comparisons, and no pair is stored.
+    """
+    open_items = np.arange(size)
+    while len(open_items) > 1:
+        root, open_items = open_items[0], open_items[1:]
+        frontier = [root]
+        while frontier and len(open_items):
+            hit = linked_to(frontier.pop(), open_items)
+            for item in open_items[hit]:
+                yield int(root), int(item)
+                frontier.append(item)
+            open_items = open_items[~hit]
+
+
+def _likely(values: int, percent: int):
+    """Of the classes in one bucket: a forest of those whose signatures and sizes allow the wanted similarity."""
+    share = percent / 100
+    least = values * share - 5 * (values * share * (1 - share)) ** 0.5  # missed with probability 3e-7
+
+    def over(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for table, starts in whole_groups(batches, ["bucket", "block_a", "block_b"]):
+            ids, n = table.column("id").to_numpy(), table.column("n").to_numpy()
+            marks = np.frombuffer(b"".join(table.column("marks").to_pylist()), np.uint8).reshape(len(ids), values)
+            sizes = np.diff(np.append(starts, len(ids)))
+
+            def fit(a, b):
+                near = (marks[a] == marks[b]).sum(axis=1) >= least
+                return near & (100 * np.minimum(n[a], n[b]) >= percent * np.maximum(n[a], n[b]))
+
+            first = starts[sizes == 2]
+            good = first[fit(first, first + 1)]
+            left, right = [good], [good + 1]
+            for start, size in zip(starts[sizes > 2], sizes[sizes > 2]):
+                found = list(_forest(size, lambda item, others: fit(start + item, start + others)))
+                left.append(start + np.array([a for a, _ in found], np.int64))
+                right.append(start + np.array([b for _, b in found], np.int64))
+            a, b = ids[np.concatenate(left)], ids[np.concatenate(right)]
+            yield pa.RecordBatch.from_arrays([pa.array(a), pa.array(b)], ["a", "b"])
+
+    return over
+
+
+def _linked(words_per_shingle: int, percent: int):
+    """Of the classes in one likely group: a forest of the links on their full sets."""
 
     def over(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         hashes = WordHashes()
-        for batch in batches:
-            left, right = byte_texts(batch.column(2)), byte_texts(batch.column(3))
-            keep, last, set_a = [], None, None
-            for text_a, text_b in zip(left, right):
-                if text_a != last:
-                    last, set_a = text_a, np.unique(shingle_hashes(hashes.of(words_of(text_a)), words_per_shingle))
-                set_b = np.unique(shingle_hashes(hashes.of(words_of(text_b)), words_per_shingle))
-                both = len(np.intersect1d(set_a, set_b, assume_unique=True))
-                keep.append(100 * both >= percent * (len(set_a) + len(set_b) - both))
-            mask = pa.array(keep, pa.bool_())
-            yield pa.RecordBatch.from_arrays([batch.column(0).filter(mask), batch.column(1).filter(mask)], ["a", "b"])
-
-    side_b = texts.select(F.col("id").alias("b"), F.col("text").alias("text_b"))
-    side_a = texts.select(F.col("id").alias("a"), F.col("text").alias("text_a"))
-    both = pairs.select("a", "b").join(side_b, "b").join(side_a, "a").select("a", "b", "text_a", "text_b")
-    return map_batches(both, over, "a long, b long")
+        for table, starts in whole_groups(batches, ["likely", "block_a", "block_b"]):
+            ids, texts = table.column("id").to_numpy(), byte_texts(table.column("text").combine_chunks())
+            left, right = [], []
+            for start, end in zip(starts, np.append(starts[1:], len(ids))):
+                sets = [np.unique(shingle_hashes(hashes.of(words_of(t)), words_per_shingle)) for t in texts[start:end]]
+                n = np.array([len(s) for s in sets])
+                owner = np.repeat(np.arange(len(sets)), n)
+                _, number = np.unique(np.concatenate(sets), return_inverse=True)
+                order = np.argsort(number, kind="stable")
+                holders, first = owner[order], np.searchsorted(number[order], np.arange(number.max() + 2))
+                bounds = np.concatenate([[0], np.cumsum(n)])
+
+                def linked_to(item: int, others: np.ndarray) -> np.ndarray:
+                    mine = number[bounds[item]:bounds[item + 1]]
+                    lengths = first[mine + 1] - first[mine]
+                    at = np.repeat(first[mine] - np.concatenate([[0], np.cumsum(lengths)[:-1]]), lengths)
+                    both = np.bincount(holders[at + np.arange(len(at))], minlength=len(sets))[others]
+                    return 100 * both >= percent * (n[item] + n[others] - both)
+
+                for a, b in _forest(len(sets), linked_to):
+                    left.append(ids[start + a])
+                    right.append(ids[start + b])
+            yield pa.RecordBatch.from_arrays([pa.array(left, pa.int64()), pa.array(right, pa.int64())], ["a", "b"])
+
+    return over
 
 
 def near_duplicates(docs: DataFrame, words_per_shingle: int = 5, percent: int = 80, bands: int = BANDS,
@@ -127,9 +188,9 @@ def near_duplicates(docs: DataFrame, words_per_shingle: int = 5, percent: int =
     its smallest doc_id (`class_id`); only one text per class is compared. Two classes are linked if
     100 * intersection >= percent * union on the full sets.
 
-    Links are found in two steps, so that a bucket of many near-copies does not emit its pairs: first every
-    class is compared with the smallest class of the buckets it shares most; then only classes that share
-    a bucket and are in different components so far.
+    Classes that share a bucket are compared by their signatures, with five standard deviations to spare; the
+    groups that remain connected are compared on full sets. Inside a group every class is compared with those not
+    yet reached, so near-copies need few comparisons and no pairs are stored; large groups are cut into blocks.
 
     Rows that repeat a doc_id are one document, whose set is the smallest of theirs; each row is returned with
     its own n_shingles. Rows without doc_id are returned with null component_id, kept and class_id, and are
@@ -140,43 +201,28 @@ def near_duplicates(docs: DataFrame, words_per_shingle: int = 5, percent: int =
                        "signatures")
     whole = ["n_shingles", "class_hi", "class_lo"]
     sets = (described.filter("doc_id is not null").groupBy("doc_id")
-            .agg(F.min(F.struct(*whole, "text_key", "bands")).alias("least")).select("doc_id", "least.*"))
+            .agg(F.min(F.struct(*whole, "text_key", "bands", "marks")).alias("least")).select("doc_id", "least.*"))
     filled = stored(sets.filter("n_shingles > 0"), "sets")
-    classes = (filled.groupBy(*whole).agg(F.min(F.struct("doc_id", "text_key", "bands")).alias("least"))
-               .select(*whole, F.col("least.doc_id").alias("id"), "least.text_key", "least.bands"))
-    buckets = classes.select("id", "text_key", F.col("n_shingles").alias("n"), F.explode("bands").alias("bucket"))
-    shared = (buckets.groupBy("bucket").agg(F.min(F.struct("id", "n")).alias("low"), F.max("id").alias("high"))
-              .filter("low.id <> high"))
-    members = stored(buckets.join(shared.select("bucket", "low"), "bucket"), "buckets")
-
-    named = members.select("id", "text_key").distinct()
+    classes = stored(filled.groupBy(*whole).agg(F.min(F.struct("doc_id", "text_key", "bands", "marks")).alias("least"))
+                     .select(*whole, F.col("least.doc_id").alias("id"), "least.text_key", "least.bands",
+                             "least.marks"), "classes")
+    buckets = classes.select("id", F.explode("bands").alias("bucket"))
+    shared = (buckets.groupBy("bucket").agg(F.count("*").alias("size")).filter("size > 1")
+              .select("bucket", F.ceil(F.col("size") / F.lit(BLOCK_CLASSES)).cast("int").alias("blocks")))
+    members = (buckets.join(shared, "bucket")
+               .join(classes.select("id", F.col("n_shingles").alias("n"), "marks"), "id"))
+
+    likely = components(map_batches(in_blocks(members.select("bucket", "id", "n", "marks", "blocks"), ["bucket"], "id",
+                                              "blocks"), _likely(bands * rows, percent), "a long, b long"))
+    named = stored(classes.select("id", "text_key", "n_shingles").join(likely, "id")
+                   .withColumnRenamed("component", "likely"), "likely")
+    sizes = named.groupBy("likely").agg(F.ceil(F.sum("n_shingles") / F.lit(BLOCK_SHINGLES)).cast("int").alias("blocks"))
     maybe = membership(bitmap_of(named, "id"))
-    texts = stored(docs.select(F.col("doc_id").alias("id"), "text", F.xxhash64("text").alias("text_key"))
-                   .filter(maybe("id")).join(named, ["id", "text_key"], "left_semi")
-                   .groupBy("id").agg(F.min("text").alias("text")), "texts")
-
-    fits = f"100 * least(n_a, n_b) >= {percent} * greatest(n_a, n_b)"
-    stars = (members.filter("id <> low.id")
-             .select(F.col("low.id").alias("a"), F.col("low.n").alias("n_a"), F.col("id").alias("b"),
-                     F.col("n").alias("n_b")).filter(fits)
-             .groupBy("a", "b").agg(F.count("*").alias("times"))
-             .groupBy("b").agg(F.max(F.struct("times", (-F.col("a")).alias("a"))).alias("best"))
-             .select((-F.col("best.a")).alias("a"), "b"))
-    first = _verified(stars, texts, words_per_shingle, percent).checkpoint()
-
-    placed = stored(members.join(components(first), "id", "left")
-                    .select("bucket", "id", "n", F.coalesce("component", "id").alias("component")), "placed")
-    parts = placed.select("bucket", "component").distinct()
-    meeting = (parts.withColumnRenamed("component", "left").join(parts.withColumnRenamed("component", "right"), "bucket")
-               .filter("left < right"))
-    pairs = (meeting
-             .join(placed.select("bucket", F.col("component").alias("left"), F.col("id").alias("x"),
-                                 F.col("n").alias("n_a")), ["bucket", "left"])
-             .join(placed.select("bucket", F.col("component").alias("right"), F.col("id").alias("y"),
-                                 F.col("n").alias("n_b")), ["bucket", "right"])
-             .filter(fits).select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")).distinct())
-    second = _verified(pairs, texts, words_per_shingle, percent).checkpoint()
-    final = components(first.unionAll(second))
+    texts = (docs.select(F.col("doc_id").alias("id"), "text", F.xxhash64("text").alias("text_key"))
+             .filter(maybe("id")).join(named.join(sizes, "likely"), ["id", "text_key"])
+             .groupBy("likely", "id", "blocks").agg(F.min("text").alias("text")))
+    final = components(map_batches(in_blocks(texts, ["likely"], "id", "blocks"), _linked(words_per_shingle, percent),
+                                   "a long, b long"))
 
     roots = (classes.select(*whole, "id").join(final, "id", "left")
              .select(*whole, F.col("id").alias("class_id"), F.coalesce("component", "id").alias("root")))
