@@ -106,17 +106,17 @@ def _matrix(column: pd.Series) -> np.ndarray:
     return np.stack(column.to_numpy()) if len(column) else np.empty((0, 0))
 
 
-def _best(queries: pd.DataFrame, rows: pd.DataFrame, wanted: np.ndarray | None, k: int) -> pd.DataFrame:
-    """The k best rows of a block for each query; `wanted[q, bucket]` says which buckets of the rows it visits."""
-    ids, matrix = rows["vec_id"].to_numpy(), _matrix(rows["v"])
+def _best(queries: pd.DataFrame, ids: np.ndarray, matrix: np.ndarray, k: int, visits=None) -> pd.DataFrame:
+    """The k best rows (distinct `ids`) of a block for each query; visits(first, last) says which rows the queries of
+    that range visit."""
     out = []
     for first in range(0, len(queries), BLOCK_QUERIES):
         part = queries.iloc[first:first + BLOCK_QUERIES]
         own = part["query_id"].to_numpy()
         scores = _matrix(part["q"]) @ matrix.T
         banned = own[:, None] == ids[None, :]
-        if wanted is not None:
-            banned |= ~wanted[first:first + BLOCK_QUERIES][:, rows["place"].to_numpy()]
+        if visits is not None:
+            banned |= ~visits(first, first + len(part))
         scores[banned] = -np.inf
         if scores.shape[1] > k:  # ties at the cut are kept, so that the smaller ids win later
             cut = -np.partition(-scores, k - 1, axis=1)[:, k - 1:k]
@@ -124,9 +124,7 @@ def _best(queries: pd.DataFrame, rows: pd.DataFrame, wanted: np.ndarray | None,
         else:
             q, r = np.nonzero(~banned)
         out.append(pd.DataFrame({"query_id": own[q], "vec_id": ids[r], "score": scores[q, r]}))
-    found = pd.concat(out)
-    found = found.sort_values(["query_id", "score", "vec_id"], ascending=[True, False, True]).drop_duplicates(
-        ["query_id", "vec_id"])
+    found = pd.concat(out).sort_values(["query_id", "score", "vec_id"], ascending=[True, False, True])
     return found[found.groupby("query_id").cumcount() < k]
 
 
@@ -154,7 +152,7 @@ def exact(queries: DataFrame, rows: DataFrame, k: int) -> DataFrame:
     def compare(asked: pd.DataFrame, block: pd.DataFrame) -> pd.DataFrame:
         if not len(asked) or not len(block):
             return pd.DataFrame({"query_id": [], "vec_id": [], "score": []})
-        return _best(asked, block, None, k)
+        return _best(asked, block["vec_id"].to_numpy(), _matrix(block["v"]), k)
 
     return _ranked(right.groupBy("block", "group").cogroup(left.groupBy("block", "group")).applyInPandas(compare, FOUND),
                    k)
@@ -235,13 +233,16 @@ def search(table: DataFrame, is_query, k: int = 20, target: float = TARGET, tabl
     def compare(some: pd.DataFrame, block: pd.DataFrame) -> pd.DataFrame:
         if not len(some) or not len(block):
             return pd.DataFrame({"query_id": [], "vec_id": [], "score": []})
+        block = block.sort_values("vec_id", kind="stable")  # a row is here once for each of its buckets
+        ids, starts = np.unique(block["vec_id"].to_numpy(), return_index=True)
         names, place = np.unique(block["bucket"].to_numpy(), return_inverse=True)
         table_of = np.zeros((len(some), len(names)), bool)
         for q, keys in enumerate(some["buckets"]):
             at = np.searchsorted(names, keys)
             hit = (at < len(names)) & (names[np.minimum(at, len(names) - 1)] == keys)
             table_of[q, at[hit]] = True
-        return _best(some, block.assign(place=place), table_of, k)
+        return _best(some, ids, _matrix(block["v"].iloc[starts]), k, lambda first, last: np.logical_or.reduceat(
+            table_of[first:last][:, place], starts, axis=1))
 
     key = ["group", "block", "crowd"]
     found = _ranked(right.groupBy(*key).cogroup(left.groupBy(*key)).applyInPandas(compare, FOUND), k).checkpoint()
