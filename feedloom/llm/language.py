@@ -72,8 +72,7 @@ def find_words(texts: list[str]) -> Words:
     start, end = np.flatnonzero(letter & ~before), np.flatnonzero(letter & ~after) + 1
     small = np.where(letter, lower[codes], np.uint32(0))  # 0 marks both ends of a word
     at = np.flatnonzero(letter)
-    x = small[at - 1] * np.uint32(0x9E3779B1) if len(at) else small
-    x = np.where(at > 0, x, np.uint32(0))
+    x = np.where(at > 0, small[at - 1] * np.uint32(0x9E3779B1), np.uint32(0))
     x = (x ^ small[at]) * np.uint32(0x85EBCA6B)
     x = ((x ^ (x >> np.uint32(15))) ^ small[np.minimum(at + 1, len(small) - 1)]) * np.uint32(0xC2B2AE35)
     grams = ((x ^ (x >> np.uint32(16))) & np.uint32(GRAM_CELLS - 1)).astype(np.int32)

@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from feedloom.llm.common import stored
+
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 
 #: (verdict, host, path): a rule fits its host and all subdomains, below its path.
@@ -51,12 +53,13 @@ def _strength(children: DataFrame) -> Column:
     """Strength of the prior, in pages, from how far the rates of `children` (n, bad) spread: the moment estimate of
     a beta-binomial. Rates that spread no more than chance give the largest strength."""
     n, bad = F.sum("n").cast("double"), F.sum("bad").cast("double")
-    p, k = bad / n, F.count("*").cast("double")
+    p, k = F.try_divide(bad, n), F.count("*").cast("double")
     spread = F.sum(F.col("bad") * F.col("bad") / F.col("n").cast("double")) - bad * p
     room = p * (1 - p)
     squares = F.sum(F.col("n") * F.col("n")).cast("double")
-    rho = (spread - room * (k - 1)) / (room * (n - squares / n - (k - 1)))
-    strength = F.when(rho > 0, F.least(F.greatest(1 / rho - 1, F.lit(LEAST_STRENGTH)), F.lit(MOST_STRENGTH)))
+    rho = F.try_divide(spread - room * (k - 1), room * (n - F.try_divide(squares, n) - (k - 1)))
+    strength = F.when(rho > 0, F.least(F.greatest(F.try_divide(F.lit(1.0), rho) - 1, F.lit(LEAST_STRENGTH)),
+                                       F.lit(MOST_STRENGTH)))
     return F.round(F.coalesce(strength, F.lit(MOST_STRENGTH)), 3)
 
 
@@ -68,7 +71,7 @@ def reputation(labelled: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame, Da
     priors comes from the spread of the rates on that level.
     """
     hosts = labelled.groupBy("host").agg(F.count("*").alias("n"), F.sum("bad").alias("bad"))
-    hosts = hosts.select("host", domain_of(F.col("host")).alias("domain"), "n", "bad")
+    hosts = stored(hosts.select("host", domain_of(F.col("host")).alias("domain"), "n", "bad"), "hosts")
     domains = hosts.groupBy("domain").agg(F.sum("n").alias("n"), F.sum("bad").alias("bad"))
     domains = domains.select("domain", suffix_of(F.col("domain")).alias("suffix"), "n", "bad")
     suffixes = domains.groupBy("suffix").agg(F.sum("n").alias("n"), F.sum("bad").alias("bad"))

@@ -1,0 +1,69 @@
+from itertools import product
+
+import numpy as np
+from pyspark.sql import functions as F
+
+from feedloom.llm import language, queries
+from tests.llm.samples import ODD_TEXTS, documents
+
+ENGLISH = "the house is near the river and the children are playing with the dog in the garden"
+GERMAN = "das haus ist nahe am fluss und die kinder spielen mit dem hund in dem garten"
+RUSSIAN = "дом стоит у реки и дети играют с собакой в саду"
+
+
+def plain_path(scores, penalty):
+    best = max(product(range(scores.shape[1]), repeat=len(scores)), key=lambda p: (
+        sum(scores[k, x] for k, x in enumerate(p)) - penalty * sum(a != b for a, b in zip(p, p[1:]))))
+    return list(best)
+
+
+def test_path_is_the_best_of_all():
+    random = np.random.default_rng(1)
+    for _ in range(60):
+        scores = random.normal(0, 3, (6, 3))
+        got = language.best_path(scores, 2.0).tolist()
+        value = lambda p: sum(scores[k, x] for k, x in enumerate(p)) - 2.0 * sum(a != b for a, b in zip(p, p[1:]))
+        assert abs(value(got) - value(plain_path(scores, 2.0))) < 1e-9
+
+
+def test_words_of_texts():
+    words = language.find_words(["", "Ab, cde", "é"])
+    assert words.text.tolist() == [1, 1, 2]
+    assert list(zip(words.start.tolist(), words.end.tolist())) == [(0, 2), (4, 7), (0, 1)]
+    upper, lower = language.find_words(["HAUS"]), language.find_words(["haus"])
+    assert upper.grams.tolist() == lower.grams.tolist()
+
+
+def labelled(spark):
+    rows = [(f"{text} {k}", lang) for k in range(30) for text, lang in ((ENGLISH, "en"), (GERMAN, "de"), (RUSSIAN, "ru"))]
+    return spark.createDataFrame([*rows, (None, "en"), ("hello", None)], "text string, lang string")
+
+
+def test_spans_of_mixed_text(spark):
+    model = language.train(labelled(spark))
+    mixed = f"{ENGLISH}. {GERMAN}, {RUSSIAN}!"
+    texts = [(1, ENGLISH), (2, mixed), (3, "1234 %%%"), (4, None), (5, ""), (6, RUSSIAN.upper()), (7, "ελληνικά")]
+    rows = {r.doc_id: r for r in language.label(documents(spark, texts, ("score", "spans")), model).collect()}
+    assert rows[1].lang_pred == "en" and rows[1].score == 1.0 and len(rows[1].spans) == 1
+    assert [s.lang for s in rows[2].spans] == ["en", "de", "ru"]
+    assert mixed[rows[2].spans[1].start:rows[2].spans[1].end] == GERMAN
+    assert all((rows[k].lang_pred, rows[k].score, rows[k].spans) == ("und", 0.0, []) for k in (3, 4, 5))
+    assert rows[6].lang_pred == "ru" and rows[7].lang_pred in model.languages
+
+
+def test_held_out_accuracy(spark):
+    sf = "/root/testdata/sf0.01"
+    found = queries.op4_language_id(spark, sf).join(spark.read.parquet(f"{sf}/documents.parquet"), "doc_id")
+    share = found.filter("held_out").agg(F.avg((F.col("lang_pred") == F.col("lang")).cast("int"))).first()[0]
+    assert share > 0.97
+
+
+def test_odd_rows(spark):
+    docs = documents(spark, [*ODD_TEXTS, (50, ENGLISH), (51, "12 34")], ("lang_pred",))
+    out = language.accepted(docs)
+    assert out.columns == docs.columns
+    kept = {r.doc_id for r in out.collect()}
+    assert 51 not in kept and not {1, 2, 3} & kept and {4, 5, 50} <= kept
+    unlabelled = docs.withColumn("lang", F.lit(None).cast("string"))
+    assert language.accepted(unlabelled).count() == docs.count()
+    assert language.accepted(documents(spark, [])).collect() == []
