@@ -41,11 +41,11 @@ Scorer = Callable[[Iterator[pd.DataFrame]], Iterator[pd.DataFrame]]
 
 # --- the question set ------------------------------------------------------------------------
 
-def question_set(catalogue: DataFrame, *, max_range: int = 10_000) -> DataFrame:
+def question_set(catalogue: DataFrame) -> DataFrame:
     """One row per question: name, kind, instructions, labels, version. Products add one question each.
 
-    One question quotes the whole range in its wording. A catalogue of more than `max_range` products
-    is refused with an error before anything of it is gathered.
+    One question speaks of the whole range: its wording holds `{range}`, which stands for the rows of
+    `product_range`, so that a catalogue of any size stays a table.
     """
     spark = catalogue.sparkSession
     labelled = {
@@ -59,14 +59,6 @@ def question_set(catalogue: DataFrame, *, max_range: int = 10_000) -> DataFrame:
     rows += [(c, "choice", INSTRUCTIONS[c], written(labelled[c])) for c in CHOICES]
     rows += [(f, "probability", INSTRUCTIONS[f], []) for f in FLAGS]
     fixed = spark.createDataFrame(rows, "question STRING, kind STRING, instructions STRING, labels ARRAY<STRING>")
-    size = catalogue.agg(F.count(F.lit(1))).scalar()
-    ordered = catalogue.where(size <= max_range).agg(
-        F.array_sort(F.collect_list(F.struct("product_category", "product_name"))).alias("p"))
-    product_range = ordered.select(F.array_join(F.col("p.product_name"), "; ")).scalar()
-    wording = F.when(size > max_range, F.raise_error(F.lit("the catalogue is too large to quote in one question"))) \
-        .otherwise(F.replace("instructions", F.lit("{range}"), product_range))
-    fixed = fixed.withColumn("instructions", F.when(F.col("question") == "competitor_mention", wording)
-                             .otherwise(F.col("instructions")))
     asked = F.replace(F.replace(F.lit(INSTRUCTIONS["mentions"]), F.lit("{product}"), F.col("product_name")),
                       F.lit("{category}"), F.col("product_category"))
     mentions = catalogue.select(
@@ -76,6 +68,12 @@ def question_set(catalogue: DataFrame, *, max_range: int = 10_000) -> DataFrame:
     return fixed.unionByName(mentions).withColumn("version", F.lit(QUESTION_SET_VERSION))
 
 
+def product_range(catalogue: DataFrame) -> DataFrame:
+    """What `{range}` stands for: one row per product (question, product_category, product_name), to be quoted in
+    the order of category and name."""
+    return catalogue.select(F.lit("competitor_mention").alias("question"), "product_category", "product_name").distinct()
+
+
 def sentence_state(*, text: str = "review_text") -> Column:
     """The JSON a scorer sees for one sentence: the sentence and its whole review, never the rating or the customer."""
     position = F.concat((F.col("sentence_index") + 1).cast("string"), F.lit(" of "), F.col("sentence_count").cast("string"))
@@ -95,9 +93,10 @@ def with_state(sentences: DataFrame, texts: DataFrame | None = None) -> DataFram
 # --- what is still to ask --------------------------------------------------------------------
 
 def distinct_sentences(sentences: DataFrame) -> DataFrame:
-    """One row per sentence key: that of the smallest review_id. Only keys and ids are aggregated."""
-    first = sentences.groupBy(*KEY).agg(F.min("review_id").alias("review_id"))
-    return sentences.join(first, [*KEY, "review_id"], "left_semi")
+    """One row per sentence key: that of the smallest review_id. Equal keys meet once, combined before the shuffle."""
+    others = [c for c in sentences.columns if c not in KEY]
+    first = F.min_by(F.struct(*others), "review_id").alias("first")
+    return sentences.groupBy(*KEY).agg(first).select(*[c if c in KEY else f"first.{c}" for c in sentences.columns])
 
 
 def distinct_reviews(reviews: DataFrame) -> DataFrame:
@@ -187,7 +186,7 @@ def mentioned_products(parsed: DataFrame, catalogue: DataFrame, threshold: float
     named = F.filter(F.map_entries("answers"), lambda e: e["key"].startswith(MENTION))
     entries = parsed.select(*KEY, F.explode_outer(named).alias("e")).where(F.col("e").isNotNull()) \
         .where(unit(F.col("e.value.probability")) >= threshold) \
-        .select(*KEY, F.substring(F.col("e.key"), len(MENTION) + 1, 10_000).alias("slug"))
+        .select(*KEY, F.expr(f"substring(e.key, {len(MENTION) + 1})").alias("slug"))
     return entries.join(slugs, "slug").groupBy(*KEY).agg(
         F.array_sort(F.collect_set("product_name")).alias("products_mentioned"))
 

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from itertools import pairwise
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from feedloom.fixed_values import (
@@ -66,10 +66,20 @@ def sankey_nodes(links: DataFrame) -> DataFrame:
     placed = ends.groupBy("level", "name").agg(F.sum("reviews").alias("reviews")).withColumns({
         "__level": rank, "__mood": F.when(mood > 0, mood).otherwise(9), "__last": F.col("name") == NO_ISSUE,
         "__size": -F.col("reviews"), "__tie": F.md5("name"), "__one": F.lit(1)})
-    parts = ["__level", "__mood", "__last", "__size"]
-    sliced = placed.withColumn("__slice", F.struct(*parts, hash_slice(F.col("__tie"), 2).alias("part")))
-    numbered = earlier(sliced, by=[], slice_by="__slice", order=[F.col("__tie")], sums=["__one"])
-    return numbered.select(F.col("__one_before").alias("index"), "level", "name", "reviews")
+    # three ranks are added: of the doublings of size (a few hundred rows at any scale), of the sizes inside a doubling
+    # (at most the root of twice the reviews), and of the nodes of one size, sliced by hash
+    bands, sizes = ["__level", "__mood", "__last", "__band"], ["__level", "__mood", "__last", "__band", "__size"]
+    banded = placed.withColumn("__band", -F.floor(F.log2("reviews")))
+    sliced = banded.withColumn("__slice", hash_slice(F.col("__tie"), 3))
+    among = earlier(sliced, by=sizes, slice_by="__slice", order=[F.col("__tie")], sums=["__one"], busy_rows=0)
+    before = (Window.unboundedPreceding, -1)
+    per_size = banded.groupBy(*sizes).agg(F.count(F.lit(1)).alias("nodes"))
+    larger = per_size.select(*sizes, F.sum("nodes").over(
+        Window.partitionBy(*bands).orderBy("__size").rowsBetween(*before)).alias("__larger"))
+    per_band = per_size.groupBy(*bands).agg(F.sum("nodes").alias("nodes"))
+    ahead = per_band.select(*bands, F.sum("nodes").over(Window.orderBy(*bands).rowsBetween(*before)).alias("__ahead"))
+    index = F.coalesce("__ahead", F.lit(0)) + F.coalesce("__larger", F.lit(0)) + F.col("__one_before")
+    return among.join(larger, sizes).join(ahead, bands).select(index.alias("index"), "level", "name", "reviews")
 
 
 def sankey_conservation(links: DataFrame) -> DataFrame:
@@ -123,7 +133,7 @@ def pretty(label: str | Column) -> Column:
     c = F.col(label) if isinstance(label, str) else label
     words = F.replace(c, F.lit("_"), F.lit(" "))
     return F.when(c == NO_ISSUE, NO_ISSUE_LABEL).otherwise(
-        F.concat(F.upper(F.substring(words, 1, 1)), F.lower(F.substring(words, 2, 1000))))
+        F.concat(F.upper(F.substring(words, 1, 1)), F.lower(words.substr(F.lit(2), F.length(words)))))
 
 
 def excerpt(text: str) -> Column:

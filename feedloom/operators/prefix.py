@@ -13,7 +13,8 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-BUSY_ROWS = 1_000_000
+BUSY_ROWS = 1_000_000  # of one key in one task; a matter of speed only
+DIGITS = 6  # decimal places in which fractions are added
 
 
 def earlier(df: DataFrame, *, by: Sequence[str], slice_by: str, order: Sequence[Column],
@@ -22,34 +23,35 @@ def earlier(df: DataFrame, *, by: Sequence[str], slice_by: str, order: Sequence[
     """Add `<column>_before` for each of `sums` and `maxima`: the aggregate over rows earlier in `order`.
 
     `slice_by` must never decrease along `order`, and `order` must be unique within `by`. Sums are 0 and
-    maxima null where nothing is earlier. `by` may be empty: one sequence overall, always sliced.
-    A key with more than `busy_rows` rows is sliced. `counted` may hold other rows of the same keys to
-    count instead, at least as many as `df` has: where `df` is an aggregate, what it was made from.
+    maxima null where nothing is earlier. A key with more than `busy_rows` rows is sliced; `counted` may hold
+    other rows of the same keys to count instead, at least as many as `df` has: where `df` is an aggregate,
+    what it was made from. Slicing changes no result: fractions are added as decimals of DIGITS places, whose
+    sums do not depend on the order.
     """
-    columns = df.columns
-    if by:
-        # at most rows / busy_rows keys are busy, which bounds what is broadcast
-        busy = (df if counted is None else counted).groupBy(*by).agg(F.count(F.lit(1)).alias("__rows")).where(F.col("__rows") > busy_rows)
-        df = df.join(F.broadcast(busy), list(by), "left") \
-            .withColumn("__part", F.when(F.col("__rows").isNotNull(), F.col(slice_by))).drop("__rows")
-    else:
-        df = df.withColumn("__part", F.col(slice_by))
+    columns, kinds = df.columns, dict(df.dtypes)
+    broken = {c for c in sums if kinds[c] in ("double", "float")}
+    exact = {c: F.col(c).cast(f"decimal(28,{DIGITS})") if c in broken else F.col(c) for c in sums}
+    busy = (df if counted is None else counted).groupBy(*by).agg(F.count(F.lit(1)).alias("__rows")) \
+        .where(F.col("__rows") > busy_rows)
+    df = df.join(busy, list(by), "left") \
+        .withColumn("__part", F.when(F.col("__rows").isNotNull(), F.col(slice_by))).drop("__rows")
     inside = Window.partitionBy(*by, "__part").orderBy(*order).rowsBetween(Window.unboundedPreceding, -1)
     across = Window.partitionBy(*by).orderBy("__part").rowsBetween(Window.unboundedPreceding, -1)
     local = df.select("*",
-                      *[F.sum(c).over(inside).alias(f"{c}__inside") for c in sums],
+                      *[F.sum(exact[c]).over(inside).alias(f"{c}__inside") for c in sums],
                       *[F.max(c).over(inside).alias(f"{c}__inside") for c in maxima])
     offsets = (
         df.where(F.col("__part").isNotNull()).groupBy(*by, "__part")
-        .agg(*[F.sum(c).alias(c) for c in sums], *[F.max(c).alias(c) for c in maxima])
+        .agg(*[F.sum(exact[c]).alias(c) for c in sums], *[F.max(c).alias(c) for c in maxima])
         .select(*by, "__part",
                 *[F.sum(c).over(across).alias(f"{c}__offset") for c in sums],
                 *[F.max(c).over(across).alias(f"{c}__offset") for c in maxima])
     )
     zero = F.lit(0)
+    total = {c: F.coalesce(f"{c}__inside", zero) + F.coalesce(f"{c}__offset", zero) for c in sums}
     return local.join(offsets, [*by, "__part"], "left").select(
         *columns,
-        *[(F.coalesce(f"{c}__inside", zero) + F.coalesce(f"{c}__offset", zero)).alias(f"{c}_before") for c in sums],
+        *[(total[c].cast("double") if c in broken else total[c]).alias(f"{c}_before") for c in sums],
         *[F.greatest(f"{c}__inside", f"{c}__offset").alias(f"{c}_before") for c in maxima],
     )
 

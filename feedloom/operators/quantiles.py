@@ -8,36 +8,47 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 
-def exact_quantile(df: DataFrame, column: str, q: float = 0.5, *, accuracy: int = 20_000) -> DataFrame:
-    """One row `(value)`: the linearly interpolated quantile, the same as sorting the whole column.
-
-    A mergeable sketch gives two values that surround the wanted rank. Only what lies between them
-    (a few parts in `accuracy`, equal values collapsed) is ranked exactly; the rest is counted.
+CUTS = 256  # parts a range is cut into at a time
+RANKED = 100_000  # distinct values that are ranked in one task; a matter of speed only
+
+
+def _at_rank(values: DataFrame, rank: int) -> object:
+    """The value at a rank (from 0) of the column v, by narrowing the range around it. Runs jobs."""
+    while True:
+        seen = values.agg(F.count(F.lit(1)).alias("n"), F.approx_count_distinct("v").alias("kinds"),
+                          F.percentile_approx("v", [k / CUTS for k in range(CUTS + 1)], 10_000).alias("cuts")).first()
+        cuts = sorted(set(seen["cuts"]))
+        if seen["kinds"] <= RANKED or len(cuts) == 1:
+            run = Window.orderBy("v").rowsBetween(Window.unboundedPreceding, Window.currentRow)
+            ranked = values.groupBy("v").agg(F.count(F.lit(1)).alias("times")).select(
+                "v", F.sum("times").over(run).alias("upto"))
+            return ranked.where(F.col("upto") > rank).agg(F.min("v")).first()[0]
+        # exact counts per part decide, so a poor sketch costs another round but never a wrong value
+        edges = F.array(*[F.lit(c) for c in cuts])
+        part = F.size(F.filter(edges, lambda c: c <= F.col("v")))
+        below = 0
+        for row in values.groupBy(part.alias("part")).agg(F.count(F.lit(1)).alias("n")).orderBy("part").collect():
+            if below + row["n"] > rank:
+                break
+            below += row["n"]
+        values = values.where(part == row["part"])
+        rank -= below
+
+
+def exact_quantile(df: DataFrame, column: str, q: float = 0.5) -> DataFrame:
+    """One row `(value)`: the linearly interpolated quantile, the same as sorting the whole column; null without values.
+
+    Runs jobs: the range around the rank is cut by a mergeable sketch and counted, again and again until few
+    distinct values are left. Pass a stored table.
     """
     values = df.select(F.col(column).alias("v")).where("v IS NOT NULL")
-    margin = 4 / accuracy
-    around = F.percentile_approx("v", F.array(F.lit(max(q - margin, 0.0)), F.lit(min(q + margin, 1.0))), accuracy)
-    # few rows are all ranked: there the margin would be less than one rank
-    few = F.count(F.lit(1)) <= accuracy
-    edges = values.agg(F.struct(F.when(few, F.min("v")).otherwise(around[0]).alias("low"),
-                                F.when(few, F.max("v")).otherwise(around[1]).alias("high"))).scalar()
-    split = values.select("v", edges["low"].alias("low"), edges["high"].alias("high"))
-    counted = split.agg(F.struct(F.count(F.lit(1)).alias("n"), F.count_if(F.expr("v < low")).alias("below"))).scalar()
-    run = Window.orderBy("v").rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    ranked = (
-        split.where("v BETWEEN low AND high").groupBy("v").agg(F.count(F.lit(1)).alias("times"))
-        .select("v", "times", F.sum("times").over(run).alias("upto"))
-        .select("v", (counted["below"] + F.col("upto") - F.col("times")).alias("first"),
-                (counted["below"] + F.col("upto") - 1).alias("last"),
-                ((counted["n"] - 1) * F.lit(q)).alias("at"))
-    )
-
-    def at_rank(rank):
-        return F.max(F.when(rank.between(F.col("first"), F.col("last")), F.col("v")))
-
-    picked = ranked.agg(at_rank(F.floor("at")).alias("low"), at_rank(F.ceil("at")).alias("high"),
-                        F.max(F.col("at") - F.floor("at")).alias("part"))
-    return picked.select((F.col("low") + (F.col("high") - F.col("low")) * F.col("part")).alias("value"))
+    n = values.count()
+    if not n:
+        return df.sparkSession.range(1).select(F.lit(None).cast("double").alias("value"))
+    at = (n - 1) * q
+    low = _at_rank(values, int(at))
+    high = _at_rank(values, int(at) + 1) if at > int(at) else low
+    return df.sparkSession.range(1).select(F.lit(float(low + (high - low) * (at - int(at)))).alias("value"))
 
 
 def quantiles_of_counts(df: DataFrame, by: Sequence[str], column: str, wanted: dict[str, float]) -> DataFrame:

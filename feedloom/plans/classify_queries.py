@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 
 from feedloom.fixed_values import CHOICES, FLAGS, INSTRUCTIONS, QUESTION_SET_VERSION, STATE_NOTE, STATE_TASK
 from feedloom.operators import classify
+from feedloom.operators.load import product_catalogue
 from feedloom.plans.domain import Domain, drawn_json, drawn_raw
 from feedloom.plans.domain_sql import VIEWS, answers_sql, check_sql, text
 from feedloom.plans.feature_queries import longs
@@ -42,18 +43,23 @@ FIXED_QUESTIONS = ", ".join(f"({text(q)}, {text(kind)}, {text(INSTRUCTIONS[q])})
 
 @query("question_set", check_sql(f"""
     SELECT question, kind, sha1(instructions) AS instructions_sha1, '{QUESTION_SET_VERSION}' AS version FROM (
-      SELECT question, kind, replace(instructions, '{{range}}', (
-          SELECT string_agg(product_name, '; ' ORDER BY category, product_name) FROM families)) AS instructions
-      FROM (VALUES {FIXED_QUESTIONS}) q(question, kind, instructions)
+      SELECT question, kind, instructions FROM (VALUES {FIXED_QUESTIONS}) q(question, kind, instructions)
       UNION ALL
       SELECT 'mentions__' || trim(regexp_replace(lower(product_name), '[^a-z0-9]+', '_', 'g'), '_'), 'probability',
         replace(replace({text(INSTRUCTIONS["mentions"])}, '{{product}}', product_name), '{{category}}', category)
-      FROM families)""", "families"))
+      FROM products)""", "products"))
 def question_set(d: Domain):
-    return classify.question_set(d.families).select("question", "kind", F.sha1("instructions").alias("instructions_sha1"),
+    return classify.question_set(product_catalogue(d.products)).select("question", "kind", F.sha1("instructions").alias("instructions_sha1"),
                                                    "version")
 
 
+@query("product_range", check_sql("""
+    SELECT DISTINCT 'competitor_mention' AS question, category AS product_category, product_name FROM products""",
+    "products"))
+def product_range(d: Domain):
+    return classify.product_range(product_catalogue(d.products))
+
+
 VIEWS["states"] = (["sentences", "texts"], f"""
     SELECT DISTINCT s.review_key, s.sentence_index, json_object('task', {text(STATE_TASK)}, 'note', {text(STATE_NOTE)},
       'sentence', s.sentence, 'sentence_position', (s.sentence_index + 1) || ' of ' || s.sentence_count,

@@ -27,7 +27,7 @@ from feedloom.operators.insights import reviews_view
 from feedloom.operators.load import load_reviews, with_text
 from feedloom.operators.sentences import split_sentences
 from feedloom.schemas import KEY
-from feedloom.session import spread, tune
+from feedloom.session import tune
 
 LINE_SHIFT = 40  # a line number and a part number packed into one sortable long
 FIRST_YEAR = 1994
@@ -75,12 +75,6 @@ class Domain:
             F.col("p_retailprice").alias("list_price"),
             F.expr("date_add(DATE '1995-01-01', cast(p_partkey % 400 AS INT))").alias("launched_on"))
 
-    @cached_property
-    def families(self) -> DataFrame:
-        """Products by their plain name: a few dozen at any scale, as a question set needs them."""
-        return self.raw("part").groupBy(F.col("p_name").alias("product_name")).agg(
-            F.min("p_type").alias("product_category"))
-
     @cached_property
     def orders(self) -> DataFrame:
         return self.raw("orders").select(
@@ -103,7 +97,7 @@ class Domain:
         first_line = self.raw("lineitem").groupBy(F.col("l_orderkey").alias("order_id")).agg(F.min(packed).alias("line"))
         n_orders = self.raw("orders").agg(F.count(F.lit(1))).scalar()
         n_parts = self.raw("part").agg(F.count(F.lit(1))).scalar()
-        written = spread(self.raw("documents").select("doc_id")).select(
+        written = self.raw("documents").select(
             F.col("doc_id").alias("review_id"), (F.col("doc_id") % n_orders).alias("order_id"),
             (F.col("doc_id") % n_parts).alias("any_product"))
         placed = self.orders.select("order_id", "customer_id", "ordered_at")

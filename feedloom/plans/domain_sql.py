@@ -104,7 +104,6 @@ VIEWS: dict[str, tuple[list[str], str]] = {
       p_brand || ' ' || p_name AS description, p_brand AS brand, p_retailprice AS list_price,
       DATE '1995-01-01' + (p_partkey % 400)::INT AS launched_on
     FROM part"""),
-    "families": ([], "SELECT p_name AS product_name, min(p_type) AS category FROM part GROUP BY 1"),
     "placed": ([], f"""
     SELECT o_orderkey AS order_id, o_custkey AS customer_id, o_orderdate AS ordered_at, o_totalprice AS order_total,
       year(o_orderdate) - {FIRST_YEAR} AS batch_id FROM orders"""),

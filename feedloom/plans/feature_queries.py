@@ -9,7 +9,6 @@ from feedloom.operators import load, point_in_time as pit, sentences
 from feedloom.plans.domain import Domain
 from feedloom.plans.domain_sql import check_sql, split_array
 from feedloom.plans.registry import query
-from feedloom.session import spread
 
 STAMP = "yyyy-MM-dd HH:mm:ss"
 SQL_STAMP = "'%Y-%m-%d %H:%M:%S'"
@@ -91,11 +90,10 @@ def review_features(d: Domain):
 
 @query("previous_events", check_sql("""
     SELECT l.event_id, count(e.event_id) AS previous_events
-    FROM events l LEFT JOIN events e ON e.user_id = l.user_id AND e.event_type = l.event_type AND e.ts < l.ts
-    WHERE l.event_type = 'signup' GROUP BY 1"""))
+    FROM events l LEFT JOIN events e ON e.user_id = l.user_id AND e.ts < l.ts GROUP BY 1"""))
 def previous_events(d: Domain):
-    signups = d.raw("events").where("event_type = 'signup'").select("event_id", "user_id", "ts")
-    return pit.point_in_time(signups, signups, by="user_id", at="ts", event_time="ts", count="previous_events") \
+    events = d.raw("events").select("event_id", "user_id", "ts")
+    return pit.point_in_time(events, events, by="user_id", at="ts", event_time="ts", count="previous_events") \
         .select("event_id", "previous_events")
 
 
@@ -170,7 +168,7 @@ def split_sentences(d: Domain):
 @query("sentence_counts", check_sql("""
     SELECT review_id, max(sentence_count) AS sentence_count FROM sentences GROUP BY 1""", "sentences"))
 def sentence_counts(d: Domain):
-    return sentences.sentence_counts(spread(d.review_texts)).select("review_id", *longs("sentence_count"))
+    return sentences.sentence_counts(d.review_texts).select("review_id", *longs("sentence_count"))
 
 
 @query("split_conversations", f"""

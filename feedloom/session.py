@@ -30,8 +30,8 @@ def tune(spark: SparkSession) -> SparkSession:
 
 
 @lru_cache(maxsize=1)
-def _local_scratch() -> str:
-    return tempfile.mkdtemp(prefix="feedloom-")
+def _local_scratch() -> tempfile.TemporaryDirectory:
+    return tempfile.TemporaryDirectory(prefix="feedloom-")  # goes when the driver's Python ends
 
 
 def shared_dir(spark: SparkSession) -> str:
@@ -45,12 +45,12 @@ def shared_dir(spark: SparkSession) -> str:
         return named.rstrip("/")
     if not spark.sparkContext.master.startswith("local"):
         raise RuntimeError("set spark.checkpoint.dir to a folder every executor can reach")
-    return _local_scratch()
+    return _local_scratch().name
 
 
 def fresh_path(spark: SparkSession, name: str) -> str:
-    """A new, unused path under the shared folder."""
-    return f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
+    """A new, unused path under the shared folder, below one folder per application, which may go when that has ended."""
+    return f"{shared_dir(spark)}/feedloom-{spark.sparkContext.applicationId}/{name}-{uuid.uuid4().hex}"
 
 
 def materialise(df: DataFrame, name: str) -> DataFrame:
@@ -58,13 +58,3 @@ def materialise(df: DataFrame, name: str) -> DataFrame:
     path = fresh_path(df.sparkSession, name)
     df.write.parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
-
-
-def spread(scan: DataFrame) -> DataFrame:
-    """Spread a table over all cores when it is stored in fewer pieces than there are cores.
-
-    For plain scans only, whose pieces are known without running anything. A table of many files is
-    left as it is: no shuffle is added there.
-    """
-    cores = scan.sparkSession.sparkContext.defaultParallelism
-    return scan.repartition(cores) if scan.rdd.getNumPartitions() < cores else scan

@@ -34,8 +34,13 @@ def read_answers(spark: SparkSession, path: str, *, version: str = QUESTION_SET_
     usable = conform(valid_answers(found, version, model), ANSWERS_DDL)
     if keys is not None:
         usable = usable.join(keys.select(*KEY), KEY, "left_semi")
-    # two runs at the same time may both have stored a key
-    return usable.dropDuplicates(KEY)
+    return one_per_key(usable)
+
+
+def one_per_key(answers: DataFrame) -> DataFrame:
+    """One row per key, where several runs stored one: always the same, by model, latency and answer."""
+    first = F.min_by(F.struct("*"), F.struct("model", "latency_ms", "answers_json")).alias("first")
+    return answers.groupBy(*KEY).agg(first).select("first.*")
 
 
 def classify_sentences(sentences: DataFrame, catalogue: DataFrame, scorer: Scorer, *, columns: list[str],

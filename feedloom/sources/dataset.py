@@ -16,6 +16,7 @@ from collections.abc import Iterable, Mapping
 from datetime import UTC, datetime
 from functools import reduce
 
+from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import IntegerType, StructType
@@ -27,15 +28,14 @@ from feedloom.schemas import COMMITS_DDL, TABLES, TableSpec, conform
 COMMITS = "commits"
 
 
-def path_exists(spark: SparkSession, path: str) -> bool:
-    """Whether a folder or file is there, on whatever file system its path names."""
-    place = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
-    return place.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(place)
-
-
 def read_or_none(spark: SparkSession, path: str, schema: StructType) -> DataFrame | None:
     """A Parquet table under a declared schema, or None where there is none yet."""
-    return spark.read.schema(schema).parquet(path) if path_exists(spark, path) else None
+    try:
+        return spark.read.schema(schema).parquet(path)
+    except AnalysisException as error:
+        if error.getCondition() == "PATH_NOT_FOUND":
+            return None
+        raise
 
 
 def read_catalogue(spark: SparkSession, path: str, spec: TableSpec = TABLES["products"]) -> DataFrame:
@@ -61,8 +61,18 @@ def write_commit(spark: SparkSession, path: str, *, batch_id: int, kind: str, co
         .write.mode("overwrite").parquet(f"{path}/{COMMITS}/batch_id={batch_id}")
 
 
+def committed(spark: SparkSession, path: str) -> DataFrame:
+    """(batch_id) of every committed batch, to join with."""
+    return read_commits(spark, path).select(F.col("batch_id").cast("int").alias("batch_id")).distinct()
+
+
+def last_batch(spark: SparkSession, path: str) -> int | None:
+    """The largest committed batch id."""
+    return read_commits(spark, path).agg(F.max("batch_id")).first()[0]
+
+
 def committed_batches(spark: SparkSession, path: str) -> list[int]:
-    """The committed batch ids: control data, one number per batch ever run."""
+    """The committed batch ids in order, for a look at the history; readers join with `committed`."""
     return [r.batch_id for r in read_commits(spark, path).select("batch_id").orderBy("batch_id").collect()]
 
 
@@ -78,10 +88,11 @@ def read_dataset(spark: SparkSession, path: str, *, batches: Iterable[int] | Non
                  specs: Mapping[str, TableSpec] = TABLES) -> dict[str, DataFrame]:
     """Every table present, lazily; absent tables are absent from the result.
 
-    Batches are limited to `batches` or else to the committed ones. The ids become literals on the
-    partition column, so other batches' files are not even listed for reading.
+    Batches are limited to `batches` or else to the committed ones, by a semi join on the partition column,
+    which prunes other batches' files at run time.
     """
-    visible = list(batches) if batches is not None else committed_batches(spark, path)
+    visible = committed(spark, path) if batches is None else spark.createDataFrame(
+        [(int(b),) for b in batches], "batch_id INT")
     tables = {}
     for name, spec in specs.items():
         whole = read_or_none(spark, f"{path}/{name}.parquet", spec.schema)
@@ -89,7 +100,7 @@ def read_dataset(spark: SparkSession, path: str, *, batches: Iterable[int] | Non
         parts = read_or_none(spark, f"{path}/{name}", layered)
         found = [] if whole is None else [whole]
         if parts is not None:
-            found.append(conform(parts.where(F.col("batch_id").isin(visible)), spec.ddl))
+            found.append(conform(parts.join(visible, "batch_id", "left_semi"), spec.ddl))
         if found:
             tables[name] = reduce(DataFrame.unionByName, found)
     return tables

@@ -14,8 +14,18 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from feedloom.operators.incremental import time_slice
-from feedloom.schemas import TABLES, TableSpec
-from feedloom.sources.dataset import committed_batches, read_commits, read_dataset, settings_hash, write_batch, write_commit
+from feedloom.operators.integrity import FINDERS, check_integrity
+from feedloom.operators.validate import check_tables
+from feedloom.schemas import TABLES, TableSpec, conform
+from feedloom.sources.dataset import (
+    last_batch,
+    read_commits,
+    read_dataset,
+    read_or_none,
+    settings_hash,
+    write_batch,
+    write_commit,
+)
 
 # the column that says when a row of a table came to be
 EVENT_TIMES = {"orders": "ordered_at", "reviews": "reviewed_at"}
@@ -37,6 +47,11 @@ def init_dataset(spark: SparkSession, path: str, *, as_of: datetime, settings: M
     if read_commits(spark, path).limit(1).count():
         _same_settings(spark, path, wanted)
         return
+    left_over = [name for name, spec in TABLES.items()
+                 if read_or_none(spark, f"{path}/{name}.parquet", spec.schema) is not None
+                 or read_or_none(spark, f"{path}/{name}", spec.schema) is not None]
+    if left_over:
+        raise ValueError(f"{path} holds tables but no commit list: {', '.join(left_over)}")
     write_commit(spark, path, batch_id=0, kind="init", counts={}, as_of=as_of, settings_hash=wanted)
 
 
@@ -54,13 +69,35 @@ def current(spark: SparkSession, path: str) -> tuple[int, datetime]:
 
 
 def _commit(spark: SparkSession, path: str, kind: str, tables: Mapping[str, DataFrame], as_of: datetime, wanted: str,
-            specs: Mapping[str, TableSpec]) -> BatchReport:
-    batch_id = max(committed_batches(spark, path)) + 1
+            specs: Mapping[str, TableSpec], rules: list[str] | None, dry_run: bool, writer: str | None = None) -> BatchReport:
+    """Check the batch, write it, commit it. With `dry_run` it is checked and counted only."""
+    check_batch(tables, read_dataset(spark, path, specs=specs), specs=specs, rules=rules)
+    if dry_run:
+        return BatchReport(kind, None, {name: df.count() for name, df in tables.items()}, "dry run: nothing is written")
+    batch_id = max(0, last_batch(spark, path)) + 1
     counts = write_batch(tables, batch_id, path, specs=specs)
-    write_commit(spark, path, batch_id=batch_id, kind=kind, counts=counts, as_of=as_of, settings_hash=wanted)
+    write_commit(spark, path, batch_id=batch_id, kind=kind, counts=counts, as_of=as_of, settings_hash=wanted,
+                 writer=writer)
     return BatchReport(kind, batch_id, counts)
 
 
+def check_batch(new: Mapping[str, DataFrame], stored: Mapping[str, DataFrame], *,
+                specs: Mapping[str, TableSpec] = TABLES, rules: list[str] | None = None) -> None:
+    """Raise if a new table breaks its schema or value rules, or old and new rows together a rule across tables.
+
+    `rules` names the rules across tables to hold (all, if None; none, if empty); those whose tables are absent
+    are skipped. Unique columns are checked among the new rows. Runs jobs.
+    """
+    fresh = {name: conform(df, specs[name].ddl) for name, df in new.items()}
+    check_tables(fresh, dict(specs))
+    whole = dict(stored) | {name: df.unionByName(stored[name].select(df.columns)) if name in stored else df
+                            for name, df in fresh.items()}
+    named = [name for name, (needs, _) in FINDERS.items()
+             if (rules is None or name in rules) and all(n in whole for n in needs)]
+    if named:
+        check_integrity(whole, rules=named)
+
+
 def _of_customers(source: Mapping[str, DataFrame], people: DataFrame, since: datetime | None, until: datetime) -> dict:
     """Orders, lines, reviews and truth of `people` that happened in the slice.
 
@@ -80,7 +117,8 @@ def _of_customers(source: Mapping[str, DataFrame], people: DataFrame, since: dat
 
 
 def add_customers(spark: SparkSession, path: str, source: Mapping[str, DataFrame], *, settings: Mapping,
-                  specs: Mapping[str, TableSpec] = TABLES, up_to: object = None) -> BatchReport:
+                  specs: Mapping[str, TableSpec] = TABLES, up_to: object = None, rules: list[str] | None = None,
+                  dry_run: bool = False) -> BatchReport:
     """Add every customer of the source, or those with an id up to `up_to`, that is not stored yet, with their history."""
     wanted = settings_hash(settings)
     _same_settings(spark, path, wanted)
@@ -92,11 +130,12 @@ def add_customers(spark: SparkSession, path: str, source: Mapping[str, DataFrame
     if people.isEmpty():
         return BatchReport("add-customers", None, {}, "nothing to do: every customer is stored")
     new = {"customers": people, **_of_customers(source, people, None, as_of)}
-    return _commit(spark, path, "add-customers", new, as_of, wanted, specs)
+    return _commit(spark, path, "add-customers", new, as_of, wanted, specs, rules, dry_run)
 
 
 def advance(spark: SparkSession, path: str, source: Mapping[str, DataFrame], *, to: datetime, settings: Mapping,
-            specs: Mapping[str, TableSpec] = TABLES) -> BatchReport:
+            specs: Mapping[str, TableSpec] = TABLES, rules: list[str] | None = None,
+            dry_run: bool = False) -> BatchReport:
     """Move the dataset to a later date: what the stored customers bought and reviewed since."""
     wanted = settings_hash(settings)
     _same_settings(spark, path, wanted)
@@ -107,11 +146,12 @@ def advance(spark: SparkSession, path: str, source: Mapping[str, DataFrame], *,
     if "customers" not in stored:
         raise ValueError("add customers before moving time")
     new = _of_customers(source, stored["customers"], as_of, to)
-    return _commit(spark, path, "advance", new, to, wanted, specs)
+    return _commit(spark, path, "advance", new, to, wanted, specs, rules, dry_run)
 
 
 def fill_texts(spark: SparkSession, path: str, texts: DataFrame, *, settings: Mapping, writer: str,
-               specs: Mapping[str, TableSpec] = TABLES) -> BatchReport:
+               specs: Mapping[str, TableSpec] = TABLES, rules: list[str] | None = None,
+               dry_run: bool = False) -> BatchReport:
     """Store texts for reviews that still lack one. Texts already stored stay as they are."""
     wanted = settings_hash(settings)
     _same_settings(spark, path, wanted)
@@ -123,8 +163,4 @@ def fill_texts(spark: SparkSession, path: str, texts: DataFrame, *, settings: Ma
     fresh = texts.join(waiting, "review_id", "left_semi")
     if fresh.isEmpty():
         return BatchReport("fill-texts", None, {}, "nothing to do: no waiting review has a text")
-    batch_id = max(committed_batches(spark, path)) + 1
-    counts = write_batch({"review_texts": fresh}, batch_id, path, specs=specs)
-    write_commit(spark, path, batch_id=batch_id, kind="fill-texts", counts=counts, as_of=as_of, settings_hash=wanted,
-                 writer=writer)
-    return BatchReport("fill-texts", batch_id, counts)
+    return _commit(spark, path, "fill-texts", {"review_texts": fresh}, as_of, wanted, specs, rules, dry_run, writer)

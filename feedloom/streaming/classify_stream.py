@@ -2,34 +2,74 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.errors import AnalysisException
+from pyspark.sql import DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 from pyspark.sql.types import IntegerType, StructType
 
 from feedloom.functions.keys import content_key
-from feedloom.operators.classify import Scorer, cache_misses, flatten_answers, score_sentences
+from feedloom.operators.classify import Scorer, cache_misses, distinct_sentences, flatten_answers, score_sentences
 from feedloom.operators.sentences import split_sentences
-from feedloom.schemas import ANSWERS_DDL, conform
+from feedloom.schemas import ANSWERS_DDL, KEY, conform
 from feedloom.session import materialise
-from feedloom.sources.dataset import committed_batches, read_or_none, write_commit
+from feedloom.sources.dataset import committed, read_commits, read_or_none, write_commit
 
 SENTENCE_COLUMNS = ["review_id", "review_key", "product_name", "sentence_index", "sentence_count", "sentence"]
 
 
 def stored_answers(spark: SparkSession, sink: str, *, before: int | None = None) -> DataFrame:
-    """Answers of committed batches, or of those before one. Failures are among them."""
+    """One answer per key of committed batches, or of those before one: the earliest that succeeded, else a failure."""
     schema = StructType.fromDDL(ANSWERS_DDL).add("batch_id", IntegerType())
     found = read_or_none(spark, f"{sink}/answers", schema)
     if found is None:
         return spark.createDataFrame([], schema)
-    batches = [b for b in committed_batches(spark, sink) if before is None or b < before]
-    return found.where(F.col("batch_id").isin(batches))
+    batches = committed(spark, sink)
+    rows = found.join(batches if before is None else batches.where(F.col("batch_id") < before), "batch_id",
+                      "left_semi").select(*schema.names)
+    order = F.struct(F.col("error").isNotNull(), F.col("batch_id"), "model", "latency_ms", "answers_json", "error")
+    return rows.groupBy(*KEY).agg(F.min_by(F.struct("*"), order).alias("first")).select("first.*")
 
 
-def stored_sentences(spark: SparkSession, sink: str) -> DataFrame:
-    """Sentences of committed batches."""
-    return spark.read.parquet(f"{sink}/sentences").where(F.col("batch_id").isin(committed_batches(spark, sink)))
+def stored_sentences(spark: SparkSession, sink: str, *, before: int | None = None) -> DataFrame | None:
+    """Sentences of committed batches, or of those before one; None before the first."""
+    try:
+        found = spark.read.parquet(f"{sink}/sentences")
+    except AnalysisException as error:
+        if error.getCondition() in ("PATH_NOT_FOUND", "UNABLE_TO_INFER_SCHEMA"):
+            return None
+        raise
+    batches = committed(spark, sink)
+    return found.join(batches if before is None else batches.where(F.col("batch_id") < before), "batch_id", "left_semi")
+
+
+def still_failed(spark: SparkSession, sink: str, *, before: int | None = None) -> DataFrame | None:
+    """One sentence per key whose every stored answer is a failure; None before the first batch."""
+    sentences = stored_sentences(spark, sink, before=before)
+    if sentences is None:
+        return None
+    failed = stored_answers(spark, sink, before=before).where("error IS NOT NULL").select(*KEY)
+    return distinct_sentences(sentences.join(failed, KEY, "left_semi").select(SENTENCE_COLUMNS))
+
+
+def retry_failed(spark: SparkSession, sink: str, *, catalogue: DataFrame, scorer: Scorer, columns: list[str],
+                 partitions: int | None = None) -> int:
+    """Ask again for every sentence that has failed so far, also when no review arrives; the number asked. Runs jobs.
+
+    A retry is a batch of its own, numbered downwards from -1, so that it never meets a batch of the stream.
+    """
+    failed = still_failed(spark, sink)
+    if failed is None:
+        return 0
+    asked = materialise(failed, "stream_retry")
+    n = asked.count()
+    if n:
+        batch = min(0, read_commits(spark, sink).agg(F.min("batch_id")).first()[0]) - 1
+        raw = materialise(score_sentences(asked, scorer, columns=columns, partitions=partitions), "stream_raw")
+        conform(flatten_answers(raw, catalogue), ANSWERS_DDL).write.mode("overwrite").parquet(
+            f"{sink}/answers/batch_id={batch}")
+        write_commit(spark, sink, batch_id=batch, kind="retry", counts={"sentences": 0, "answers": n})
+    return n
 
 
 def classify_stream(spark: SparkSession, source: str, sink: str, checkpoint: str, *, reviews_ddl: str,
@@ -39,22 +79,25 @@ def classify_stream(spark: SparkSession, source: str, sink: str, checkpoint: str
 
     The checkpoint says which files were taken, so each is taken once. A batch writes into its own
     folder and is committed last: if it is run again after a failure it replaces that folder, and it
-    looks for known answers only in earlier batches, never in its own. Failed sentences are not counted
-    as known and are asked again when their text comes back.
+    looks for known answers only in earlier batches, never in its own. Every batch also asks again for the
+    sentences that have failed before; `retry_failed` does so without a new review.
     """
     arriving = spark.readStream.schema(reviews_ddl).option("maxFilesPerTrigger", files_per_batch).parquet(source)
 
     def process(reviews: DataFrame, epoch: int) -> None:
         keyed = reviews.withColumn("review_key", content_key("product_name", "review_text"))
-        sentences = materialise(split_sentences(keyed).select(SENTENCE_COLUMNS), "stream_sentences")
+        place, seen, scored = f"{sink}/sentences/batch_id={epoch}", Observation(), Observation()
+        split_sentences(keyed).select(SENTENCE_COLUMNS).observe(seen, F.count(F.lit(1)).alias("n")) \
+            .write.mode("overwrite").parquet(place)
+        sentences = spark.read.parquet(place)
+        failed = still_failed(spark, sink, before=epoch)
         known = stored_answers(spark, sink, before=epoch).where("error IS NULL")
-        raw = materialise(score_sentences(cache_misses(sentences, known), scorer, columns=columns,
-                                          partitions=partitions), "stream_raw")
-        answers = conform(flatten_answers(raw, catalogue), ANSWERS_DDL)
-        sentences.write.mode("overwrite").parquet(f"{sink}/sentences/batch_id={epoch}")
-        answers.write.mode("overwrite").parquet(f"{sink}/answers/batch_id={epoch}")
+        asked = cache_misses(sentences if failed is None else sentences.unionByName(failed), known)
+        raw = materialise(score_sentences(asked, scorer, columns=columns, partitions=partitions), "stream_raw")
+        conform(flatten_answers(raw, catalogue), ANSWERS_DDL).observe(scored, F.count(F.lit(1)).alias("n")) \
+            .write.mode("overwrite").parquet(f"{sink}/answers/batch_id={epoch}")
         write_commit(spark, sink, batch_id=epoch, kind="classify",
-                     counts={"sentences": sentences.count(), "answers": raw.count()})
+                     counts={"sentences": seen.get["n"], "answers": scored.get["n"]})
 
     return (arriving.writeStream.foreachBatch(process).option("checkpointLocation", checkpoint)
             .trigger(availableNow=True).start())

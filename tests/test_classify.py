@@ -44,15 +44,27 @@ def raw(spark, answers, error=None):
 def test_question_set(catalogue):
     rows = {r.question: r for r in classify.question_set(catalogue).collect()}
     assert len(rows) == 9 + 2
-    assert rows["competitor_mention"].instructions.endswith("Our range is: Steel Kettle; Camp Stove.")
+    assert rows["competitor_mention"].instructions.endswith("Our range is: {range}.")
     assert "the Camp Stove (outdoor)?" in rows["mentions__camp_stove"].instructions
     assert len(rows["frustration"].labels) == 5 and len(rows["problem_category"].labels) == 13
     assert {r.version for r in rows.values()} == {"2026-09-18.3"}
 
 
-def test_a_range_too_large_to_quote_is_refused(catalogue):
-    with pytest.raises(Exception, match="too large to quote"):
-        classify.question_set(catalogue, max_range=1).collect()
+def test_the_range_is_a_table_of_any_size(spark, catalogue):
+    assert {r.product_name for r in classify.product_range(catalogue).collect()} == {"Steel Kettle", "Camp Stove"}
+    many = spark.range(30_000).select(F.concat(F.lit("P"), F.col("id").cast("string")).alias("product_name"),
+                                      F.lit("c").alias("product_category"))
+    assert classify.question_set(many).count() == 9 + 30_000 and classify.product_range(many).count() == 30_000
+
+
+def test_a_very_long_slug_is_matched(spark):
+    name = "long " * 2100 + "name"
+    one = spark.createDataFrame([(name, "c")], "product_name STRING, product_category STRING")
+    slug = one.select(classify.product_slug(F.col("product_name"))).first()[0]
+    assert len(slug) > 10_000
+    body = json.dumps({f"mentions__{slug}": {"probability": 0.9}})
+    raw = spark.createDataFrame([("k1", 0, body, "m", 1, 1, 1, None)], RAW_ANSWERS_DDL)
+    assert classify.flatten_answers(raw, one).first().products_mentioned == [name]
 
 
 def test_state_holds_neither_rating_nor_customer(sentences):

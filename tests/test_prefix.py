@@ -6,6 +6,7 @@ import statistics
 import pytest
 from pyspark.sql import functions as F
 
+from feedloom.operators import quantiles
 from feedloom.operators.prefix import earlier, hash_slice
 from feedloom.operators.quantiles import exact_quantile, quantiles_of_counts
 
@@ -24,16 +25,26 @@ def test_totals_do_not_depend_on_the_slices(spark, width, busy):
         assert got[k, t] == (sum(v for _, v in past), max((u for u, _ in past), default=None))
 
 
+def test_fractions_add_up_the_same_in_slices(spark):
+    rng = random.Random(8)
+    rows = [("k", t, round(rng.uniform(0, 1e6), 2)) for t in range(3000)]
+    df = spark.createDataFrame(rows, "k STRING, t INT, v DOUBLE").withColumn("s", F.floor(F.col("t") / 50))
+    run = lambda busy: {r.t: r.v_before for r in earlier(
+        df, by=["k"], slice_by="s", order=[F.col("t")], sums=["v"], busy_rows=busy).collect()}
+    assert run(0) == run(10 ** 9)
+
+
 def test_one_sequence_over_everything(spark):
     df = spark.range(1000).select("id", F.md5(F.col("id").cast("string")).alias("h"), F.lit(1).alias("one"))
     sliced = df.withColumn("s", hash_slice(F.col("h"), 1))
-    ranked = earlier(sliced, by=[], slice_by="s", order=[F.col("h")], sums=["one"]).orderBy("h").collect()
+    whole = sliced.withColumn("k", F.lit(0))
+    ranked = earlier(whole, by=["k"], slice_by="s", order=[F.col("h")], sums=["one"], busy_rows=0).orderBy("h").collect()
     assert [r.one_before for r in ranked] == list(range(1000))
 
 
 @pytest.mark.parametrize("q", [0.0, 0.25, 0.5, 0.95, 1.0])
 @pytest.mark.parametrize("n", [1, 2, 999, 5000])
-def test_exact_quantile_equals_sorting(spark, q, n):
+def test_exact_quantile_equals_sorting(spark, monkeypatch, q, n):
     rng = random.Random(n)
     values = [round(rng.gauss(0, 100), 1) for _ in range(n)]
     df = spark.createDataFrame([(v,) for v in values] + [(None,)], "v DOUBLE")
@@ -41,8 +52,10 @@ def test_exact_quantile_equals_sorting(spark, q, n):
     ordered = sorted(values)
     low, high = ordered[int(at)], ordered[min(int(at) + 1, n - 1)]
     expected = low + (high - low) * (at - int(at))
-    # a coarse sketch, so that most values lie outside the ranked part
-    assert exact_quantile(df, "v", q, accuracy=200).first().value == pytest.approx(expected)
+    assert exact_quantile(df, "v", q).first().value == pytest.approx(expected)
+    monkeypatch.setattr(quantiles, "RANKED", 20)  # so that the range is narrowed several times
+    monkeypatch.setattr(quantiles, "CUTS", 5)
+    assert exact_quantile(df, "v", q).first().value == pytest.approx(expected)
 
 
 def test_quantile_with_a_third_of_equal_values(spark):

@@ -10,7 +10,7 @@ from feedloom.operators import classify, incremental
 from feedloom.operators.validate import ValidationError
 from feedloom.schemas import KEY, TABLES, TableSpec
 from feedloom.sources import caches, dataset, growth
-from feedloom.streaming.classify_stream import classify_stream, stored_answers, stored_sentences
+from feedloom.streaming.classify_stream import classify_stream, retry_failed, stored_answers, stored_sentences
 from test_quality import base
 
 ORDERS = {"orders": TABLES["orders"]}
@@ -105,9 +105,9 @@ def source(spark):
 def grow(spark, path, source, *steps, people=(None,)):
     growth.init_dataset(spark, path, as_of=steps[0], settings=SETTINGS)
     for up_to in people:
-        growth.add_customers(spark, path, source, settings=SETTINGS, specs=SPECS, up_to=up_to)
+        growth.add_customers(spark, path, source, settings=SETTINGS, specs=SPECS, rules=[], up_to=up_to)
     for to in steps[1:]:
-        growth.advance(spark, path, source, to=to, settings=SETTINGS, specs=SPECS)
+        growth.advance(spark, path, source, to=to, settings=SETTINGS, specs=SPECS, rules=[])
     return dataset.read_dataset(spark, path, specs=SPECS)
 
 
@@ -137,9 +137,9 @@ def test_growth_is_idempotent_and_refuses_other_settings(spark, source, tmp_path
     path = str(tmp_path)
     grow(spark, path, source, T0, T1)
     before = dataset.committed_batches(spark, path)
-    again = growth.advance(spark, path, source, to=T1, settings=SETTINGS, specs=SPECS)
+    again = growth.advance(spark, path, source, to=T1, settings=SETTINGS, specs=SPECS, rules=[])
     assert again.batch_id is None and "nothing to do" in again.note
-    assert growth.add_customers(spark, path, source, settings=SETTINGS, specs=SPECS).batch_id is None
+    assert growth.add_customers(spark, path, source, settings=SETTINGS, specs=SPECS, rules=[]).batch_id is None
     growth.init_dataset(spark, path, as_of=T0, settings=SETTINGS)
     assert dataset.committed_batches(spark, path) == before
     with pytest.raises(ValueError, match="other settings"):
@@ -155,7 +155,7 @@ def test_waiting_texts_are_filled_once(spark, source, tmp_path):
     specs = SPECS | {"review_texts": TableSpec("review_id STRING, review_text STRING")}
     grow(spark, path, source, T0, T1)
     texts = source["reviews"].select("review_id", F.lit("fine").alias("review_text"))
-    fill = lambda df: growth.fill_texts(spark, path, df, settings=SETTINGS, writer="w", specs=specs)
+    fill = lambda df: growth.fill_texts(spark, path, df, settings=SETTINGS, writer="w", specs=specs, rules=[])
     some = fill(texts.where("review_id < 'RO000000010'"))
     rest = fill(texts)
     assert some.counts["review_texts"] == 10 and rest.batch_id == some.batch_id + 1
@@ -202,6 +202,59 @@ def test_shared_folder(spark, monkeypatch):
     assert feed_session.fresh_path(spark, "x") != feed_session.fresh_path(spark, "x")
 
 
+def test_a_broken_batch_leaves_no_commit(spark, source, tmp_path):
+    path = str(tmp_path)
+    growth.init_dataset(spark, path, as_of=T0, settings=SETTINGS)
+    dry = growth.add_customers(spark, path, source, settings=SETTINGS, specs=SPECS, rules=["order_customer"], dry_run=True)
+    assert dry.batch_id is None and dry.counts["customers"] == 7 and dataset.committed_batches(spark, path) == [0]
+    growth.add_customers(spark, path, source, settings=SETTINGS, specs=SPECS, rules=["order_customer"])
+    before = dataset.committed_batches(spark, path)
+    orphans = source | {"order_lines": source["order_lines"].withColumn("order_id", F.lit("O-none"))}
+    lines = orphans["order_lines"]
+    with pytest.raises(ValueError, match="broken rules"):
+        growth.check_batch({"order_lines": lines}, dataset.read_dataset(spark, path, specs=SPECS), specs=SPECS,
+                           rules=["line_order"])
+    assert dataset.committed_batches(spark, path) == before
+    other = str(tmp_path / "tables")
+    source["customers"].write.parquet(f"{other}/customers.parquet")
+    with pytest.raises(ValueError, match="no commit list"):
+        growth.init_dataset(spark, other, as_of=T0, settings=SETTINGS)
+
+
+def test_the_stream_asks_again_for_what_failed(spark, tmp_path):
+    arriving, sink, checkpoint = (str(tmp_path / n) for n in ("in", "out", "cp"))
+    catalogue = spark.createDataFrame([("Kettle",)], "product_name STRING")
+    healthy = tmp_path / "healthy"
+    flag = str(healthy)
+
+    def ask(row):
+        if not __import__("os").path.exists(flag):
+            raise TimeoutError("busy")
+        return {"answers": {"frustration": {"score": 1.0, "confidence": 1.0}}}
+
+    scorer = classify.per_sentence(ask, model="m", concurrency=1)
+
+    def run(rows):
+        spark.createDataFrame(rows, REVIEWS).coalesce(1).write.mode("append").parquet(arriving)
+        classify_stream(spark, arriving, sink, checkpoint, reviews_ddl=REVIEWS, catalogue=catalogue, scorer=scorer,
+                        columns=KEY, partitions=1).awaitTermination()
+
+    run([("R1", "Kettle", "Good. Fine.")])
+    assert stored_answers(spark, sink).where("error IS NOT NULL").count() == 2
+    healthy.touch()
+    run([("R2", "Kettle", "New.")])  # the second run answers what failed in the first
+    answers = stored_answers(spark, sink)
+    assert answers.count() == 3 and answers.where("error IS NOT NULL").count() == 0
+    healthy.unlink()
+    run([("R3", "Kettle", "Another.")])
+    healthy.touch()
+    retry = lambda: retry_failed(spark, sink, catalogue=catalogue, scorer=scorer, columns=KEY)
+    assert retry() == 1 and retry() == 0
+    answers = stored_answers(spark, sink)
+    assert answers.count() == answers.select(*KEY).distinct().count() == 4
+    assert answers.where("error IS NOT NULL").count() == 0
+
+
 REVIEWS = "review_id STRING, product_name STRING, review_text STRING"
 
 
