@@ -109,18 +109,19 @@ def cross_mentions(sentences: DataFrame) -> DataFrame:
 
 
 def flagged(sentences: DataFrame, flag: str, threshold: float = YES_THRESHOLD) -> DataFrame:
-    """Distinct sentences whose flag clears the threshold, with how often each occurs."""
+    """Distinct sentences whose flag clears the threshold, with how often each occurs: the most certain first."""
     first = F.struct("review_id", "sentence_index")
     return sentences.where(F.col(flag) >= threshold).groupBy("product_name", "sentence").agg(
         F.round(F.min_by(flag, first), 2).alias(flag), F.count(F.lit(1)).alias("occurrences"),
-        F.round(F.min_by("frustration", first), 2).alias("frustration"))
+        F.round(F.min_by("frustration", first), 2).alias("frustration")).orderBy(F.desc(flag), "product_name", "sentence")
 
 
 def needs_review(sentences: DataFrame, min_confidence: float = 0.6) -> DataFrame:
-    """Distinct sentences whose problem category is too uncertain to trust."""
+    """Distinct sentences whose problem category is too uncertain to trust: the least certain first."""
     return sentences.where(F.col("problem_category_confidence") < min_confidence).select(
         "product_name", "sentence", "problem_category",
-        F.round("problem_category_confidence", 2).alias("problem_category_confidence")).distinct()
+        F.round("problem_category_confidence", 2).alias("problem_category_confidence")).distinct() \
+        .orderBy("problem_category_confidence", "product_name", "sentence")
 
 
 def language_confusion(sentences: DataFrame) -> DataFrame:

@@ -60,6 +60,17 @@ def running_totals(d: Domain):
     return totals.select("customer_id", stamp("ordered_at"), F.round("revenue", 2).alias("revenue"), *longs("orders"))
 
 
+@query("running_totals_sliced", check_sql(f"""
+    SELECT customer_id, strftime(ordered_at, {SQL_STAMP}) AS ordered_at, round(revenue, 2) AS revenue, orders FROM (
+      SELECT customer_id, ordered_at, sum(t) OVER w AS revenue, (sum(n) OVER w)::BIGINT AS orders
+      FROM (SELECT customer_id, ordered_at, sum(order_total) AS t, count(*) AS n FROM placed GROUP BY 1, 2)
+      WINDOW w AS (PARTITION BY customer_id ORDER BY ordered_at ROWS UNBOUNDED PRECEDING))""", "placed"))
+def running_totals_sliced(d: Domain):
+    totals = pit.running_totals(d.orders, by="customer_id", at="ordered_at", sums={"revenue": "order_total"},
+                                count="orders", busy_rows=0)
+    return totals.select("customer_id", stamp("ordered_at"), F.round("revenue", 2).alias("revenue"), *longs("orders"))
+
+
 @query("asof_last_event", """
     SELECT l.event_id, strftime(max(e.ts), '%Y-%m-%d %H:%M:%S') AS last_click
     FROM events l LEFT JOIN events e ON e.user_id = l.user_id AND e.event_type = 'click' AND e.ts < l.ts

@@ -27,9 +27,15 @@ ORDERS = {"orders": SPECS["orders"]}
 SOUND = {
     "customers": replace(SPECS["customers"], members={}, nullable=("signup_at",)),
     "orders": replace(SPECS["orders"], ranges={"order_total": (0, None, True)}),
+    "products": replace(SPECS["products"], members={}, ranges={}),
+    "order_lines": replace(SPECS["order_lines"], unique=(), ranges={"quantity": (1, None, False)}, row_checks={}),
+    "reviews": replace(SPECS["reviews"], nullable=("order_line_id",), ranges={"rating": (1, 5, False)},
+                       unique=("review_id",)),
     "review_texts": SPECS["review_texts"],
     "review_truth": replace(SPECS["review_truth"], ranges={"satisfaction": (0.0, 1.0, False)}),
 }
+HELD = ["order_customer", "line_order", "line_product", "order_after_signup", "review_customer", "review_product",
+        "text_review"]
 ORDER_SQL = f"order_id, customer_id, strftime(ordered_at, {SQL_STAMP}) AS ordered_at, order_total"
 
 
@@ -50,12 +56,14 @@ def read_orders(d: Domain):
 
 @query("write_dataset", check_sql("""
     SELECT 'customers' AS "table", count(*) AS rows FROM customers UNION ALL SELECT 'orders', count(*) FROM placed
+    UNION ALL SELECT 'products', count(*) FROM products UNION ALL SELECT 'order_lines', count(*) FROM order_lines
+    UNION ALL SELECT 'reviews', count(*) FROM reviews
     UNION ALL SELECT 'review_texts', count(*) FROM review_texts UNION ALL SELECT 'review_truth', count(*) FROM review_truth""",
-    "customers", "placed", "review_texts", "review_truth"))
+    "customers", "placed", "products", "order_lines", "reviews", "review_texts", "review_truth"))
 def write_dataset(d: Domain):
     # every table is checked on its own and against the others before anything is written
     path = fresh_path(d.spark, "dataset")
-    dataset.write_dataset({name: d.tables[name] for name in SOUND}, path, specs=SOUND)
+    dataset.write_dataset({name: d.tables[name] for name in SOUND}, path, specs=SOUND, rules=HELD)
     stored = dataset.read_dataset(d.spark, path, specs=SOUND)
     counts = [df.agg(F.lit(name).alias("table"), F.count(F.lit(1)).alias("rows")) for name, df in stored.items()]
     return reduce(DataFrame.unionByName, counts)

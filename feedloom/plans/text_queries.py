@@ -124,10 +124,16 @@ SOUTH_SQL = ", ".join(text(c) for c in SOUTH)
     SELECT southern, month, orders, round(orders / sum(orders) OVER (PARTITION BY southern), 4) AS share FROM (
       SELECT country IN ({SOUTH_SQL}) AS southern, month(ordered_at) AS month, count(*) AS orders
       FROM placed JOIN customers USING (customer_id)
-      WHERE ordered_at >= TIMESTAMP '1996-01-01' AND ordered_at < TIMESTAMP '2001-01-01' GROUP BY 1, 2)""",
+      WHERE year(ordered_at) < (SELECT CASE WHEN max(month(ordered_at)) = 12 THEN y + 1 ELSE y END
+                                FROM (SELECT *, max(year(ordered_at)) OVER () AS y FROM placed)
+                                WHERE year(ordered_at) = y GROUP BY y)
+      GROUP BY 1, 2)""",
     "placed", "customers"))
 def monthly_share(d: Domain):
-    return profile.monthly_share(d.orders, d.customers, SOUTH, since="1996-01-01", until="2001-01-01").select(
+    # whole years only: the last one counts if it has come to December
+    last = d.orders.agg(F.max("ordered_at")).first()[0]
+    until = f"{last.year + 1 if last.month == 12 else last.year}-01-01"
+    return profile.monthly_share(d.orders, d.customers, SOUTH, until=until).select(
         "southern", *longs("month"), "orders", "share")
 
 

@@ -106,13 +106,14 @@ def read_dataset(spark: SparkSession, path: str, *, batches: Iterable[int] | Non
     return tables
 
 
-def write_dataset(tables: Mapping[str, DataFrame], path: str, *, specs: Mapping[str, TableSpec] = TABLES) -> None:
-    """Check every table and the rules across them, then write each whole. Runs jobs."""
+def write_dataset(tables: Mapping[str, DataFrame], path: str, *, specs: Mapping[str, TableSpec] = TABLES,
+                  rules: list[str] | None = None) -> None:
+    """Check every table and the rules across them, or those of `rules`, then write each whole. Runs jobs."""
     unknown = set(tables) - set(specs)
     if unknown:
         raise ValueError(f"unknown tables: {sorted(unknown)}")
     check_tables(dict(tables), dict(specs))
-    check_integrity(dict(tables))
+    check_integrity(dict(tables), rules=rules)
     for name, df in tables.items():
         df.write.mode("overwrite").parquet(f"{path}/{name}.parquet")
 
