@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-import hashlib
-
 from pyspark.sql import functions as F
 
 from feedloom.fixed_values import CHOICES, FLAGS, INSTRUCTIONS, QUESTION_SET_VERSION, STATE_NOTE, STATE_TASK
@@ -12,6 +10,7 @@ from feedloom.operators.load import product_catalogue
 from feedloom.plans.domain import Domain, drawn_json, drawn_raw
 from feedloom.plans.domain_sql import VIEWS, answers_sql, check_sql, text
 from feedloom.plans.feature_queries import longs
+from feedloom.plans.lexical import ask
 from feedloom.plans.registry import query
 from feedloom.schemas import KEY
 from feedloom.session import materialise
@@ -107,27 +106,16 @@ def cache_misses(d: Domain):
         "review_key", *longs("sentence_index"), "review_id")
 
 
-def _draw(row: dict, block: int, part: int) -> float:
-    text = f"{row['review_key']}:{row['sentence_index']}:a:{block}"
-    return int(hashlib.md5(text.encode()).hexdigest()[8 * part:8 * part + 8], 16) / 4294967296.0
-
-
-def hashing_ask(row: dict) -> dict:
-    """A scorer's call, drawn from the sentence key. It fails for the same sentences as the SQL says."""
-    if _draw(row, 5, 2) < 0.02:
-        raise TimeoutError("busy")
-    return {"answers": {"frustration": {"score": _draw(row, 1, 0) * 4.4 - 0.2,
-                                        "confidence": _draw(row, 1, 1) * 1.1 - 0.05}},
-            "input_tokens": int(_draw(row, 5, 3) * 300) + 2600, "output_tokens": int(_draw(row, 5, 3) * 500)}
-
-
 @query("score_sentences", check_sql("""
     SELECT review_key, sentence_index, round(frustration, 6) AS frustration,
       round(frustration_confidence, 6) AS frustration_confidence, model, input_tokens, output_tokens, error
     FROM answers_a""", "answers_a"))
 def score_sentences(d: Domain):
-    asked = classify.distinct_sentences(d.sentences.drop("review_text"))
-    raw = materialise(classify.score_sentences(asked, classify.per_sentence(hashing_ask, model="scorer-a"), columns=KEY,
+    # the scorer is handed the state: the sentence, where it stands, and the whole review
+    asked = classify.with_state(classify.distinct_sentences(d.sentences.drop("review_text")),
+                                classify.distinct_reviews(d.texts))
+    raw = materialise(classify.score_sentences(asked, classify.per_sentence(ask, model="scorer-a"),
+                                               columns=[*KEY, "state"],
                                                partitions=d.spark.sparkContext.defaultParallelism), "raw_answers")
     catalogue = d.products.select("product_name")
     return classify.flatten_answers(raw, catalogue).select(

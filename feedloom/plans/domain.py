@@ -14,11 +14,8 @@ from pyspark.sql import functions as F
 from feedloom.fixed_values import (
     CHOICES,
     FLAGS,
-    LANGUAGE_LABELS,
     PROBLEM_CATEGORIES,
     QUESTION_SET_VERSION,
-    RECOMMENDATION_LABELS,
-    SENTIMENT_LABELS,
 )
 from feedloom.functions.keys import product_slug
 from feedloom.operators.classify import clip, unit
@@ -26,6 +23,7 @@ from feedloom.operators.dashboard import assign_risk
 from feedloom.operators.insights import reviews_view
 from feedloom.operators.load import load_reviews, with_text
 from feedloom.operators.sentences import split_sentences
+from feedloom.plans.lexical import DENSITY_CUES, choice, cues, density, hits, words_of
 from feedloom.schemas import KEY
 from feedloom.session import tune
 
@@ -33,12 +31,6 @@ LINE_SHIFT = 40  # a line number and a part number packed into one sortable long
 FIRST_YEAR = 1994
 LANGUAGES = {"en": "english", "fr": "french", "de": "german", "es": "spanish"}
 ASPECTS = [p for p in PROBLEM_CATEGORIES if p not in ("none", "other")]
-# one problem in three sentences: the list a drawn number picks from
-PROBLEM_DRAW = ["none"] * 24 + [p for p in PROBLEM_CATEGORIES if p != "none"]
-LANGUAGE_DRAW = ["english", "french", "german", "spanish", "other"]
-SENTIMENT_DRAW = list(SENTIMENT_LABELS)
-RECOMMENDATION_DRAW = list(RECOMMENDATION_LABELS)
-assert set(LANGUAGE_DRAW) <= set(LANGUAGE_LABELS)
 
 
 class Domain:
@@ -169,46 +161,27 @@ class Domain:
         return assign_risk(self.reviews_view)
 
 
-BLOCKS = 5
-
-
-def with_blocks(keys: DataFrame, salt: str) -> DataFrame:
-    """Add the hashes the numbers are drawn from: the same in Spark, SQL and Python."""
-    key = F.concat_ws(":", "review_key", F.col("sentence_index").cast("string"), F.lit(salt))
-    return keys.select("*", *[F.md5(F.concat(key, F.lit(f":{b}"))).alias(f"block_{b}") for b in range(1, BLOCKS + 1)])
-
-
-def drawn(block: int, part: int) -> Column:
-    """A number in 0..1: eight hex digits of a block."""
-    return F.conv(F.substring(f"block_{block}", 1 + 8 * part, 8), 16, 10).cast("double") / 4294967296.0
-
-
-def pick(labels: list[str], number: Column) -> Column:
-    return F.element_at(F.array(*[F.lit(x) for x in labels]), (F.floor(number * len(labels)) + 1).cast("int"))
-
-
 def drawn_raw(sentences: DataFrame, products: DataFrame, salt: str) -> DataFrame:
-    """Unclipped stand-in answers for every distinct sentence key, derived from the key's hash.
-
-    They exercise the operators on whole tables; they are not a classifier.
-    """
+    """Unclipped answers of the cue-word scorer for every distinct sentence key; which other product a sentence speaks
+    of, if any, follows from the hash of its text."""
     n_products = products.agg(F.count(F.lit(1))).scalar()
-    # a content key has one product, so a distinct over plain columns finds the keys by hashing
-    keys = sentences.select(*KEY, "product_name").distinct()
-    d = drawn
-    numbers = with_blocks(keys, salt).select(
-        *KEY, "product_name",
-        (d(1, 0) * 4.4 - 0.2).alias("frustration"), (d(1, 1) * 1.1 - 0.05).alias("frustration_confidence"),
-        pick(PROBLEM_DRAW, d(1, 2)).alias("problem_category"), (d(1, 3) * 1.1 - 0.05).alias("problem_category_confidence"),
-        pick(LANGUAGE_DRAW, d(2, 0)).alias("language"), (d(2, 1) * 1.1 - 0.05).alias("language_confidence"),
-        pick(SENTIMENT_DRAW, d(2, 2)).alias("sentiment"), (d(2, 3) * 1.1 - 0.05).alias("sentiment_confidence"),
-        pick(RECOMMENDATION_DRAW, d(3, 0)).alias("recommendation"), (d(3, 1) * 1.1 - 0.05).alias("recommendation_confidence"),
-        (d(3, 2) * 1.2 - 0.1).alias("churn_risk"), (d(3, 3) * 1.2 - 0.1).alias("safety_concern"),
-        (d(4, 0) * 1.2 - 0.1).alias("suggestion"), (d(4, 1) * 1.2 - 0.1).alias("competitor_mention"),
-        d(4, 2).alias("other_mention"), F.floor(d(4, 3) * n_products).alias("other_id"),
-        d(5, 0).alias("own_mention"),
-        (F.floor(d(5, 1) * 4900) + 100).alias("latency_ms"), (d(5, 2) < 0.02).alias("failed"),
-        (F.floor(d(5, 3) * 300) + 2600).alias("input_tokens"), F.floor(d(5, 3) * 500).alias("output_tokens"))
+    # a content key has one product and a key one sentence, so a distinct over plain columns finds the keys by hashing
+    keys = sentences.select(*KEY, "product_name", "sentence").distinct().withColumn("words", words_of("sentence"))
+    read = keys.withColumns({"n": F.greatest(F.size("words"), F.lit(1)), "hash": F.md5("sentence")})
+    place = F.conv(F.substring("hash", 1, 8), 16, 10).cast("double") / 4294967296.0
+    labels = {c: choice(c, salt) for c in CHOICES}
+    found = hits(cues(DENSITY_CUES["frustration"], salt))
+    numbers = read.select(
+        *KEY, "product_name", (density("frustration", salt) * 4.4 - 0.2).alias("frustration"),
+        ((found + 1.0) / (F.col("n") + 1.0) * 1.1 - 0.05).alias("frustration_confidence"),
+        *[label.alias(c) for c, (label, _) in labels.items()],
+        *[(lead * 1.1 - 0.05).alias(f"{c}_confidence") for c, (_, lead) in labels.items()],
+        *[(density(f, salt) * 1.2 - 0.1).alias(f) for f in FLAGS],
+        density("other_mention", salt).alias("other_mention"), F.floor(place * n_products).alias("other_id"),
+        density("own_mention", salt).alias("own_mention"),
+        (F.length("sentence").cast("bigint") * 13 % 4900 + 100).alias("latency_ms"),
+        (F.size("words") < 2).alias("failed"), (F.length("sentence").cast("bigint") + 2600).alias("input_tokens"),
+        (F.size("words").cast("bigint") * 3).alias("output_tokens"))
     others = products.select(F.col("product_id").alias("other_id"), F.col("product_name").alias("other_name"))
     return numbers.join(others, "other_id", "left").drop("other_id")
 

@@ -3,15 +3,8 @@
 from __future__ import annotations
 
 from feedloom.fixed_values import CHOICES, FLAGS, QUESTION_SET_VERSION
-from feedloom.plans.domain import (
-    ASPECTS,
-    FIRST_YEAR,
-    LANGUAGE_DRAW,
-    LANGUAGES,
-    PROBLEM_DRAW,
-    RECOMMENDATION_DRAW,
-    SENTIMENT_DRAW,
-)
+from feedloom.plans.domain import ASPECTS, FIRST_YEAR, LANGUAGES
+from feedloom.plans.lexical import DENSITY_CUES, cues, sql_choice, sql_density, sql_hits, sql_words
 
 WHITESPACE = r"[\t-\r \x{85}\p{Z}]+"
 
@@ -24,15 +17,6 @@ def listed(values: list[str]) -> str:
     return "[" + ", ".join(text(v) for v in values) + "]"
 
 
-def number(salt: str, block: int, part: int) -> str:
-    key = f"review_key || ':' || sentence_index || ':{salt}:{block}'"
-    return f"(('0x' || substr(md5({key}), {1 + 8 * part}, 8))::BIGINT / 4294967296::DOUBLE)"
-
-
-def drawn_from(values: list[str], salt: str, block: int, part: int) -> str:
-    return f"({listed(values)})[floor({number(salt, block, part)} * {len(values)})::INT + 1]"
-
-
 def clipped(expr: str, top: str = "1") -> str:
     return f"CASE WHEN {expr} IS NOT NULL THEN greatest(0::DOUBLE, least({top}::DOUBLE, {expr})) END"
 
@@ -45,24 +29,25 @@ def split_array(column: str) -> str:
 
 
 def raw_sql(salt: str) -> str:
-    u = lambda b, p: number(salt, b, p)
-    conf = lambda b, p: f"{u(b, p)} * 1.1::DOUBLE - 0.05::DOUBLE"
-    flag = lambda b, p: f"{u(b, p)} * 1.2::DOUBLE - 0.1::DOUBLE"
+    labels = {c: sql_choice(c, salt) for c in CHOICES}
+    columns = [f"{sql_density('frustration', salt)} * 4.4::DOUBLE - 0.2::DOUBLE AS frustration",
+               f"({sql_hits(cues(DENSITY_CUES['frustration'], salt))} + 1)::DOUBLE / (n + 1)::DOUBLE * 1.1::DOUBLE "
+               "- 0.05::DOUBLE AS frustration_confidence"]
+    columns += [f"{label} AS {c}" for c, (label, _) in labels.items()]
+    columns += [f"{lead} * 1.1::DOUBLE - 0.05::DOUBLE AS {c}_confidence" for c, (_, lead) in labels.items()]
+    columns += [f"{sql_density(f, salt)} * 1.2::DOUBLE - 0.1::DOUBLE AS {f}" for f in FLAGS]
     return f"""
     SELECT k.*, o.product_name AS other_name FROM (
-      SELECT review_key, sentence_index, product_name,
-        {u(1, 0)} * 4.4::DOUBLE - 0.2::DOUBLE AS frustration, {conf(1, 1)} AS frustration_confidence,
-        {drawn_from(PROBLEM_DRAW, salt, 1, 2)} AS problem_category, {conf(1, 3)} AS problem_category_confidence,
-        {drawn_from(LANGUAGE_DRAW, salt, 2, 0)} AS language, {conf(2, 1)} AS language_confidence,
-        {drawn_from(SENTIMENT_DRAW, salt, 2, 2)} AS sentiment, {conf(2, 3)} AS sentiment_confidence,
-        {drawn_from(RECOMMENDATION_DRAW, salt, 3, 0)} AS recommendation, {conf(3, 1)} AS recommendation_confidence,
-        {flag(3, 2)} AS churn_risk, {flag(3, 3)} AS safety_concern,
-        {flag(4, 0)} AS suggestion, {flag(4, 1)} AS competitor_mention,
-        {u(4, 2)} AS other_mention, floor({u(4, 3)} * (SELECT count(*) FROM part))::BIGINT AS other_id,
-        {u(5, 0)} AS own_mention,
-        floor({u(5, 1)} * 4900)::BIGINT + 100 AS latency_ms, {u(5, 2)} < 0.02::DOUBLE AS failed,
-        floor({u(5, 3)} * 300)::BIGINT + 2600 AS input_tokens, floor({u(5, 3)} * 500)::BIGINT AS output_tokens
-      FROM (SELECT review_key, sentence_index, min(product_name) AS product_name FROM sentences GROUP BY ALL)
+      SELECT review_key, sentence_index, product_name, {", ".join(columns)},
+        {sql_density('other_mention', salt)} AS other_mention,
+        floor((('0x' || substr(md5(sentence), 1, 8))::BIGINT / 4294967296::DOUBLE)
+              * (SELECT count(*) FROM part))::BIGINT AS other_id,
+        {sql_density('own_mention', salt)} AS own_mention,
+        length(sentence)::BIGINT * 13 % 4900 + 100 AS latency_ms, len(words) < 2 AS failed,
+        length(sentence)::BIGINT + 2600 AS input_tokens, len(words)::BIGINT * 3 AS output_tokens
+      FROM (SELECT *, {sql_words('sentence')} AS words, greatest(len({sql_words('sentence')}), 1) AS n
+            FROM (SELECT review_key, sentence_index, min(product_name) AS product_name, min(sentence) AS sentence
+                  FROM sentences GROUP BY ALL))
     ) k LEFT JOIN products o ON o.product_id = k.other_id"""
 
 

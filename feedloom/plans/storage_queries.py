@@ -10,11 +10,12 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from feedloom.operators import classify, compare, incremental, texts
-from feedloom.plans.classify_queries import hashing_ask, joined, rounded
+from feedloom.plans.classify_queries import joined, rounded
 from feedloom.plans.domain import Domain
 from feedloom.plans.domain_sql import check_sql
 from feedloom.plans.feature_queries import SQL_STAMP, longs, stamp
 from feedloom.plans.quality_queries import SPECS
+from feedloom.plans.lexical import ask
 from feedloom.plans.registry import query
 from feedloom.plans.text_queries import WRITER, briefs
 from feedloom.schemas import KEY
@@ -200,11 +201,11 @@ def classify_with_cache(d: Domain):
     path = fresh_path(d.spark, "answer_cache")
     sentences = materialise(d.sentences.drop("review_text"), "sentences")
     catalogue = d.products.select("product_name")
-    scorer = classify.per_sentence(hashing_ask, model="scorer-a")
+    scorer = classify.per_sentence(ask, model="scorer-a")
     partitions = d.spark.sparkContext.defaultParallelism
     early = incremental.time_slice(sentences, "reviewed_at", until=BORDER)
-    caches.classify_sentences(early, catalogue, scorer, columns=KEY, cache_path=path, partitions=partitions)
-    return caches.classify_sentences(sentences, catalogue, scorer, columns=KEY, cache_path=path,
+    caches.classify_sentences(early, catalogue, scorer, columns=[*KEY, "sentence"], cache_path=path, partitions=partitions)
+    return caches.classify_sentences(sentences, catalogue, scorer, columns=[*KEY, "sentence"], cache_path=path,
                                      partitions=partitions).select(scored_columns())
 
 
@@ -272,17 +273,17 @@ def classify_stream(d: Domain):
     checkpoint = fresh_path(d.spark, "stream_checkpoint")
     ddl = "review_id BIGINT, product_name STRING, review_text STRING"
     arriving = d.texts.select("review_id", "product_name", "review_text", "reviewed_at")
-    scorer = classify.per_sentence(hashing_ask, model="scorer-a")
+    scorer = classify.per_sentence(ask, model="scorer-a")
 
     def run():
         streaming.classify_stream(
             d.spark, source, sink, checkpoint, reviews_ddl=ddl, catalogue=d.products.select("product_name"),
-            scorer=scorer, columns=KEY, partitions=d.spark.sparkContext.defaultParallelism).awaitTermination()
+            scorer=scorer, columns=[*KEY, "sentence"], partitions=d.spark.sparkContext.defaultParallelism).awaitTermination()
 
     parts = [incremental.time_slice(arriving, "reviewed_at", until=BORDER),
              incremental.time_slice(arriving, "reviewed_at", since=BORDER)]
     for part in parts:
         part.drop("reviewed_at").write.mode("append").parquet(source)
         run()
-    streaming.retry_failed(d.spark, sink, catalogue=d.products.select("product_name"), scorer=scorer, columns=KEY)
+    streaming.retry_failed(d.spark, sink, catalogue=d.products.select("product_name"), scorer=scorer, columns=[*KEY, "sentence"])
     return streaming.stored_answers(d.spark, sink).select(scored_columns())
