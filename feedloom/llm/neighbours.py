@@ -13,10 +13,11 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from feedloom.llm.common import MULTIPLIER, U64, map_batches, mix, stored
+from feedloom.llm.common import MULTIPLIER, U64, as_long, map_batches, mix, stored
 
 TABLES = 2
-CELL_ROWS = 64  # rows a bucket holds on average: with more rows, more hashes per table
+PROBES = 200  # buckets of a table a query visits on average, at most: it decides how many hashes a table has
+MOST_HASHES = 12
 WIDTH = 1.2  # of a hash cell, in units of the largest norm
 TARGET = 0.97  # estimated probability that a true neighbour shares a visited bucket of some table
 PILOT_ROWS = 64  # rows whose exact neighbours give the distance the estimates are made for
@@ -72,12 +73,12 @@ def _normal(x: np.ndarray) -> np.ndarray:
     return 0.5 * (1.0 + np.vectorize(erf)(x / sqrt(2.0)))
 
 
-def probes(place: np.ndarray, distance: float, target: float) -> np.ndarray:
+def probes(place: np.ndarray, distance: float, target: float, limit: int | None = None) -> np.ndarray | None:
     """Cells (probes x hashes) around one place, most promising first, until their estimated success reaches `target`.
 
     A neighbour at `distance` is normally distributed around the place along each projection. The probability of a
     set of cells is the product over the projections; sets are visited in its order, by a heap over per-projection
-    ranks, and never twice.
+    ranks, and never twice. With a `limit`, None if more are needed.
     """
     home = np.floor(place)
     reach = int(np.ceil(4 * distance / WIDTH)) + 1
@@ -91,6 +92,8 @@ def probes(place: np.ndarray, distance: float, target: float) -> np.ndarray:
     heap = [(-float(logs[:, 0].sum()), 0, (0,) * hashes)]
     found, success = [], 0.0
     while heap and success < target:
+        if limit is not None and len(found) >= limit:
+            return None
         cost, last, ranks = heapq.heappop(heap)
         found.append(ranks)
         success += float(np.exp(-cost))
@@ -123,7 +126,8 @@ def _best(queries: pd.DataFrame, ids: np.ndarray, matrix: np.ndarray, k: int, vi
             q, r = np.nonzero((scores >= cut) & ~banned)
         else:
             q, r = np.nonzero(~banned)
-        out.append(pd.DataFrame({"query_id": own[q], "vec_id": ids[r], "score": scores[q, r]}))
+        exactly = (_matrix(part["q"])[q] * matrix[r]).sum(axis=1)  # the same in whatever block a pair meets
+        out.append(pd.DataFrame({"query_id": own[q], "vec_id": ids[r], "score": exactly}))
     found = pd.concat(out).sort_values(["query_id", "score", "vec_id"], ascending=[True, False, True])
     return found[found.groupby("query_id").cumcount() < k]
 
@@ -133,8 +137,8 @@ FOUND = "query_id long, vec_id long, score double"
 
 def _ranked(found: DataFrame, k: int) -> DataFrame:
     """The k best of all partial results: (query_id, rank, vec_id, score). A query has at most k rows per block."""
-    best = F.sort_array(F.collect_set(F.struct((-F.col("score")).alias("less"), "vec_id")))
-    return (found.groupBy("query_id").agg(F.slice(best, 1, k).alias("best"))
+    best = F.sort_array(F.collect_list(F.struct((-F.col("score")).alias("less"), "vec_id")))
+    return (found.groupBy("query_id", "vec_id").agg(F.max("score").alias("score")).groupBy("query_id").agg(F.slice(best, 1, k).alias("best"))
             .select("query_id", F.posexplode("best").alias("at", "x"))
             .select("query_id", (F.col("at") + 1).alias("rank"), F.col("x.vec_id").alias("vec_id"),
                     (-F.col("x.less")).alias("score")))
@@ -158,8 +162,20 @@ def exact(queries: DataFrame, rows: DataFrame, k: int) -> DataFrame:
                    k)
 
 
-def search(table: DataFrame, is_query, k: int = 20, target: float = TARGET, tables: int = TABLES,
-           cell_rows: int = CELL_ROWS) -> DataFrame:
+def hashes_for(pilot: np.ndarray, dimension: int, norm: float, distance: float, each: float, tables: int) -> Hashes:
+    """The most selective tables whose buckets some pilot queries can visit with PROBES probes on average."""
+    for count in range(MOST_HASHES, 1, -1):
+        hashes = Hashes.drawn(dimension, count, norm, tables)
+        needed = []
+        for place in hashes.places(pilot, query=True):
+            cells = probes(place[0], distance, each, 4 * PROBES)
+            needed.append(4 * PROBES if cells is None else len(cells))
+        if np.mean(needed) <= PROBES:
+            break
+    return hashes
+
+
+def search(table: DataFrame, is_query, k: int = 20, target: float = TARGET, tables: int = TABLES) -> DataFrame:
     """(query_id, rank, vec_id, score, probes): the k rows of largest inner product found for each query.
 
     `table` holds (vec_id, embedding); the rows for which the Column `is_query` holds are queries, and every row but
@@ -176,59 +192,61 @@ def search(table: DataFrame, is_query, k: int = 20, target: float = TARGET, tabl
     queries = rows.filter(is_query).select(F.col("vec_id").alias("query_id"), F.col("v").alias("q"))
     shape = rows.agg(F.count("*").alias("n"), F.max(F.expr("aggregate(v, 0D, (s, x) -> s + x * x)")).alias("norm"),
                      F.max(F.size("v")).alias("d")).first()
-    if not shape["n"]:
+    pilot = stored(queries.orderBy(F.xxhash64("query_id")).limit(PILOT_ROWS), "pilot")
+    vectors = pilot.orderBy("query_id").toPandas()["q"]  # PILOT_ROWS rows
+    if not len(vectors):
         return queries.select("query_id", F.lit(0).alias("rank"), F.lit(0).cast("long").alias("vec_id"),
                               F.lit(0.0).alias("score"), F.lit(0).alias("probes"))
-    hashes = Hashes.drawn(shape["d"], max(2, round(np.log2(max(2, shape["n"] / cell_rows)) / 1.7)),
-                          sqrt(shape["norm"]), tables)
-
-    pilot = queries.orderBy(F.xxhash64("query_id")).limit(PILOT_ROWS)
+    norm = sqrt(shape["norm"])
     known = exact(pilot, rows, k).groupBy("query_id").agg(F.min("score").alias("least")).join(pilot, "query_id").select(
-        (F.col("least") / F.sqrt(F.expr("aggregate(q, 0D, (s, x) -> s + x * x)")) / hashes.norm).alias("cosine"))
+        (F.col("least") / F.sqrt(F.expr("aggregate(q, 0D, (s, x) -> s + x * x)")) / norm).alias("cosine"))
     cosine = known.agg(F.percentile_approx("cosine", 0.25).alias("c")).first()["c"]
     distance = max(0.05, sqrt(max(0.0, 2.0 - 2.0 * (cosine if cosine is not None else 0.0))))
     each = 1.0 - (1.0 - target) ** (1.0 / tables)
+    hashes = hashes_for(_matrix(vectors)[:16], shape["d"], norm, distance, each, tables)
+    # buckets are spread over groups of about BLOCK_ROWS rows; a group larger than that is cut into blocks
+    groups = max(1, -(-shape["n"] * tables // BLOCK_ROWS))
 
     def indexed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             cells = np.floor(hashes.places(_matrix(batch.column(1).to_pandas()), query=False))
-            keys = np.stack([_bucket(cells[:, t], t) for t in range(tables)], axis=1)
-            yield pa.RecordBatch.from_arrays(
-                [batch.column(0), batch.column(1),
-                 pa.ListArray.from_arrays(pa.array(np.arange(0, keys.size + 1, tables, dtype=np.int32)),
-                                          pa.array(keys.reshape(-1).view(np.int64)))], ["vec_id", "v", "buckets"])
+            for t in range(tables):
+                keys = _bucket(cells[:, t], t)
+                yield pa.RecordBatch.from_arrays(
+                    [batch.column(0), batch.column(1), as_long(keys), as_long(keys % U64(groups))],
+                    ["vec_id", "v", "bucket", "group"])
 
     def visited(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            keys = []
-            for place in hashes.places(_matrix(batch.column(1).to_pandas()), query=True):
-                keys.append(np.concatenate([_bucket(probes(place[t], distance, each), t) for t in range(tables)])
-                            .view(np.int64))
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(keys, pa.list_(pa.int64()))],
-                                             ["query_id", "q", "buckets"])
-
-    index = (map_batches(rows.select("vec_id", "v"), indexed, "vec_id long, v array<double>, buckets array<long>")
-             .withColumn("bucket", F.explode("buckets")).drop("buckets"))
-    asked = stored(map_batches(queries, visited, "query_id long, q array<double>, buckets array<long>"), "probes")
-
-    # buckets are spread over groups of about BLOCK_ROWS rows; a bucket larger than that is cut into blocks
-    groups = max(1, -(-shape["n"] * tables // BLOCK_ROWS))
-    group = F.pmod(F.xxhash64("bucket"), F.lit(groups))
-    placed = index.withColumn("group", group)
+            row, group, buckets, count = [], [], [], []
+            for number, place in enumerate(hashes.places(_matrix(batch.column(1).to_pandas()), query=True)):
+                keys = np.concatenate([_bucket(probes(place[t], distance, each), t) for t in range(tables)])
+                order = np.argsort(keys % U64(groups), kind="stable")
+                names, starts = np.unique((keys % U64(groups))[order], return_index=True)
+                row += [number] * len(names)
+                group += names.astype(np.int64).tolist()
+                buckets += np.split(keys[order].view(np.int64), starts[1:])
+                count += [len(keys)] * len(names)
+            at = pa.array(row, pa.int64())
+            yield pa.RecordBatch.from_arrays(
+                [batch.column(0).take(at), batch.column(1).take(at), pa.array(group, pa.int64()),
+                 pa.array(buckets, pa.list_(pa.int64())), pa.array(count, pa.int32())],
+                ["query_id", "q", "group", "buckets", "probes"])
+
+    placed = map_batches(rows.select("vec_id", "v"), indexed, "vec_id long, v array<double>, bucket long, group long")
+    asked = stored(map_batches(queries, visited, "query_id long, q array<double>, group long, buckets array<long>, "
+                                                 "probes int"), "probes")
     sizes = placed.groupBy("group").agg(F.ceil(F.count("*") / F.lit(2 * BLOCK_ROWS)).cast("int").alias("blocks"))
-    wanted = (asked.withColumn("bucket", F.explode("buckets")).withColumn("group", group)
-              .groupBy("query_id", "group").agg(F.collect_set("bucket").alias("buckets")))
-    crowds = wanted.groupBy("group").agg(F.ceil(F.count("*") / F.lit(2 * BLOCK_QUERIES)).cast("int").alias("crowds"))
-    cut = sizes.join(crowds, "group")
+    crowds = asked.groupBy("group").agg(F.ceil(F.count("*") / F.lit(2 * BLOCK_QUERIES)).cast("int").alias("crowds"))
+    cut = stored(sizes.join(crowds, "group"), "groups")
     left = (placed.join(cut, "group")
             .withColumn("block", F.pmod(F.xxhash64("vec_id"), F.col("blocks")).cast("int"))
             .withColumn("crowd", F.explode(F.sequence(F.lit(0), F.col("crowds") - 1)))
             .select("group", "block", "crowd", "bucket", "vec_id", "v"))
-    right = (wanted.join(cut, "group")
+    right = (asked.join(cut, "group")
              .withColumn("crowd", F.pmod(F.xxhash64("query_id"), F.col("crowds")).cast("int"))
              .withColumn("block", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
-             .join(asked.select("query_id", "q"), "query_id")
-             .select("group", "block", "crowd", "query_id", "q", F.col("buckets")))
+             .select("group", "block", "crowd", "query_id", "q", "buckets"))
 
     def compare(some: pd.DataFrame, block: pd.DataFrame) -> pd.DataFrame:
         if not len(some) or not len(block):
@@ -250,5 +268,5 @@ def search(table: DataFrame, is_query, k: int = 20, target: float = TARGET, tabl
     full = found.groupBy("query_id").count().filter(F.col("count") >= enough).select("query_id")
     short = queries.join(full, "query_id", "left_anti").checkpoint()
     rest = exact(short, rows, k)
-    counts = asked.select("query_id", F.size("buckets").alias("probes"))
+    counts = asked.groupBy("query_id").agg(F.max("probes").alias("probes"))
     return found.join(full, "query_id", "left_semi").unionAll(rest).join(counts, "query_id")
