@@ -154,10 +154,10 @@ def repeated_strings(collection: np.ndarray, lead: np.ndarray, strings: np.ndarr
     left = reach - lead
     right = left + np.array([len(t) for t in texts])
     columns = int(right.max())
-    matrix = np.zeros((columns, len(texts)), np.uint8)
-    size = right - left
-    at = np.arange(size.sum()) - np.repeat(np.cumsum(size) - size, size)
-    matrix[np.repeat(left, size) + at, np.repeat(np.arange(len(texts)), size)] = np.frombuffer(b"".join(texts), np.uint8)
+    aligned = np.zeros((len(texts), columns), np.uint8)
+    for row, text in enumerate(texts):
+        aligned[row, left[row]:right[row]] = np.frombuffer(text, np.uint8)
+    matrix = np.ascontiguousarray(aligned.T)
     _, group = np.unique(collection, return_inverse=True)
     group = group.astype(np.int64) << 8
     by_end = np.argsort(-right, kind="stable")
