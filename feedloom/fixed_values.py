@@ -97,6 +97,15 @@ WRITER_SYSTEM = (
     "review is generated or fictional."
 )
 
+WRITER_PROMPT = (
+    "Product: {product_name} ({product_category}). {product_description}\n"
+    "Stars the customer gave: {rating} of 5.\n"
+    "How the customer feels: {feeling}.\n"
+    "Focus mainly on: {aspect}.\n"
+    "Write it in {language}.\n"
+    "Length: about {sentences} sentences."
+)
+
 WRITER_LANGUAGE_NAMES = {
     "english": "English", "german": "German", "portuguese": "Brazilian Portuguese", "spanish": "Spanish",
     "japanese": "Japanese", "chinese": "Simplified Chinese", "swahili": "Swahili", "zulu": "Zulu",

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 from collections.abc import Callable, Iterator
 from concurrent.futures import ThreadPoolExecutor
 from datetime import UTC, datetime
@@ -18,6 +19,7 @@ from feedloom.fixed_values import (
     FEELINGS,
     WRITER_CONCURRENCY,
     WRITER_LANGUAGE_NAMES,
+    WRITER_PROMPT,
     WRITER_PROMPT_TOKENS,
     WRITER_SECONDS_PER_REVIEW,
     WRITER_SYSTEM,
@@ -59,13 +61,10 @@ def language_name(language: Column) -> Column:
 
 def with_prompt(briefs: DataFrame, model: str) -> DataFrame:
     """Add `sentences`, `prompt` and `prompt_hash`; the hash covers the writer, its instructions and the prompt."""
-    lines = F.concat(
-        F.lit("Product: "), "product_name", F.lit(" ("), "product_category", F.lit("). "), "product_description",
-        F.lit("\nStars the customer gave: "), F.col("rating").cast("string"), F.lit(" of 5."),
-        F.lit("\nHow the customer feels: "), feeling(F.col("satisfaction")), F.lit("."),
-        F.lit("\nFocus mainly on: "), F.replace(F.col("aspect"), F.lit("_"), F.lit(" ")), F.lit("."),
-        F.lit("\nWrite it in "), language_name(F.col("language")), F.lit("."),
-        F.lit("\nLength: about "), F.col("sentences").cast("string"), F.lit(" sentences."))
+    values = {"feeling": feeling(F.col("satisfaction")), "aspect": F.replace(F.col("aspect"), F.lit("_"), F.lit(" ")),
+              "language": language_name(F.col("language"))}
+    lines = F.concat(*[values.get(part, F.col(part)).cast("string") if k % 2 else F.lit(part)
+                       for k, part in enumerate(re.split(r"\{(\w+)\}", WRITER_PROMPT))])
     hashed = F.substring(F.sha2(F.concat_ws(SEPARATOR, F.lit(model), F.lit(WRITER_SYSTEM), "prompt"), 256), 1, 16)
     return briefs.withColumn("sentences", brief_length(F.col("review_id"))).withColumn("prompt", lines) \
         .withColumn("prompt_hash", hashed)
@@ -76,7 +75,10 @@ PROMPTED = ["review_id", "prompt_hash"]
 
 def cached_texts(prompted: DataFrame, cache: DataFrame) -> DataFrame:
     """Stored texts for exactly these prompts, one per review."""
-    return cache.join(prompted.select(*PROMPTED), PROMPTED, "left_semi").dropDuplicates(PROMPTED)
+    found = cache.join(prompted.select(*PROMPTED), PROMPTED, "left_semi")
+    others = [c for c in found.columns if c not in PROMPTED]
+    return found.groupBy(*PROMPTED).agg(F.min(F.struct(*others)).alias("first")).select(
+        *[c if c in PROMPTED else f"first.{c}" for c in found.columns])  # of several always the same
 
 
 def texts_to_write(prompted: DataFrame, cache: DataFrame) -> DataFrame:

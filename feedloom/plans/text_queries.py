@@ -2,9 +2,11 @@
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import functions as F
 
-from feedloom.fixed_values import FEELINGS, HOLIDAYS, WRITER_LANGUAGE_NAMES, WRITER_SYSTEM
+from feedloom.fixed_values import FEELINGS, HOLIDAYS, WRITER_LANGUAGE_NAMES, WRITER_PROMPT, WRITER_SYSTEM
 from feedloom.functions import profile as formulas
 from feedloom.operators import profile, texts
 from feedloom.plans.classify_queries import rounded
@@ -26,13 +28,10 @@ VIEWS["briefs"] = (["reviews", "review_truth", "products"], """
       r.rating, t.satisfaction, t.aspect, t.language,
       2 + (('0x' || substr(sha256(r.review_id::VARCHAR), 1, 16))::UBIGINT % 6)::BIGINT AS sentences
     FROM reviews r JOIN review_truth t USING (review_id) JOIN products p USING (product_id)""")
-VIEWS["prompts"] = (["briefs"], f"""
-    SELECT *, 'Product: ' || product_name || ' (' || product_category || '). ' || product_description || chr(10)
-      || 'Stars the customer gave: ' || rating || ' of 5.' || chr(10)
-      || 'How the customer feels: ' || {FEELING_SQL} || '.' || chr(10)
-      || 'Focus mainly on: ' || replace(aspect, '_', ' ') || '.' || chr(10)
-      || 'Write it in ' || {LANGUAGE_SQL} || '.' || chr(10)
-      || 'Length: about ' || sentences || ' sentences.' AS prompt FROM briefs""")
+PROMPT_VALUES = {"feeling": FEELING_SQL, "aspect": "replace(aspect, '_', ' ')", "language": LANGUAGE_SQL}
+PROMPT_SQL = " || ".join(PROMPT_VALUES.get(part, part) if k % 2 else text(part)
+                         for k, part in enumerate(re.split(r"\{(\w+)\}", WRITER_PROMPT)))
+VIEWS["prompts"] = (["briefs"], f"SELECT *, {PROMPT_SQL} AS prompt FROM briefs")
 
 
 def hash_sql(model: str) -> str:
