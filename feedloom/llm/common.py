@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import ctypes
 from collections.abc import Callable, Iterator
 
 import numpy as np
@@ -14,8 +15,8 @@ from pyspark.sql import functions as F
 from feedloom.session import materialise, shared_dir, tune
 
 #: Bounds memory of a Python worker only; results do not depend on them.
-ARROW_BYTES = "16m"
-CACHED_WORDS = 400_000
+ARROW_BYTES = "4m"
+CACHED_WORDS = 150_000
 CACHED_WORD_BYTES = 64
 
 MULTIPLIER = np.uint64(0x9E3779B97F4A7C15)
@@ -40,20 +41,43 @@ def stored(df: DataFrame, name: str) -> DataFrame:
     return materialise(df, name)
 
 
-def map_arrow(df: DataFrame, fn: Callable[[pa.RecordBatch], pa.RecordBatch | None], schema: str) -> DataFrame:
-    """Apply `fn` to each Arrow batch; None means no rows."""
+class Kept(dict):
+    """What a function has computed; it does not travel with the function, every task fills its own."""
 
-    def over(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            if batch.num_rows and (out := fn(batch)) is not None:
-                yield out
+    def __reduce__(self):
+        return type(self), ()
+
+
+def once(fn: Callable) -> Callable:
+    """`fn`, computed once per arguments and task. Unlike the standard caches it can be shipped by value."""
+    kept = Kept()
+
+    def call(*args):
+        if args not in kept:
+            kept[args] = fn(*args)
+        return kept[args]
+
+    call.forget = kept.clear
+    return call
 
-    return df.mapInArrow(over, schema)
+
+def give_back() -> None:
+    """Hand memory that a worker has freed back to the system: idle workers stay alive and share it with busy ones."""
+    pa.default_memory_pool().release_unused()
+    trim = getattr(ctypes.CDLL(None), "malloc_trim", None)
+    if trim is not None:
+        trim(0)
 
 
 def map_batches(df: DataFrame, fn: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]],
                 schema: str) -> DataFrame:
-    return df.mapInArrow(fn, schema)
+    """`fn` over the Arrow batches of each partition; its memory is given back at the end."""
+
+    def over(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        yield from fn(batches)
+        give_back()
+
+    return df.mapInArrow(over, schema)
 
 
 def byte_texts(column: pa.Array) -> list[bytes | None]:
