@@ -5,14 +5,13 @@ from __future__ import annotations
 import unicodedata
 from collections.abc import Iterator
 from dataclasses import dataclass
-from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from feedloom.llm.common import map_batches
+from feedloom.llm.common import map_batches, once
 
 #: First and last code point of scripts; letters elsewhere belong to one further script, "other".
 SCRIPT_RANGES = [
@@ -27,16 +26,16 @@ GRAM_CELLS = 1 << 16  # hashed letter trigrams; bounds the model at 65,536 x lan
 SAMPLE_PER_LANGUAGE = 4_000  # documents of each language that the scores are fitted on, about
 SWITCH_PENALTY = 15.0  # nats: several words in a row must speak for another language
 OUTSIDE = -30.0  # score of a word for a language that is not a candidate of its script
-CHARS_AT_ONCE = 2_000_000  # bounds a worker's arrays
+CHARS_AT_ONCE = 400_000  # bounds a worker's arrays
 UNKNOWN = "und"
 
 
-@lru_cache(maxsize=1)
+@once
 def _tables() -> tuple[np.ndarray, np.ndarray]:
     """Script of every code point (0: no letter) and its lower-case form."""
-    size = 0x110000
+    size, last = 0x110000, 0x32400  # there are no letters beyond
     script, lower = np.zeros(size, np.uint8), np.arange(size, dtype=np.uint32)
-    for code in range(size):
+    for code in range(last):
         char = chr(code)
         if unicodedata.category(char)[0] == "L":
             script[code] = len(SCRIPTS) - 1
@@ -231,8 +230,9 @@ def label(docs: DataFrame, model: Model, penalty: float = SWITCH_PENALTY) -> Dat
     return map_batches(docs.select(*[F.col(f"`{c}`") for c in kept]), over, schema)
 
 
-def accepted(docs: DataFrame, least_share: float = 0.5) -> DataFrame:
-    """The rows of `docs` (columns text and lang at least) in a learned language, in at least half of their letters.
+def accepted(docs: DataFrame, least_share: float = 0.3) -> DataFrame:
+    """The rows of `docs` (columns text and lang at least) in which a learned language labels `least_share` of
+    the letters: texts that mix a few languages stay.
 
     The languages are learned from the rows that name one; if none does, no row is rejected.
     """

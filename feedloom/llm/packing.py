@@ -4,7 +4,6 @@ from __future__ import annotations
 
 from array import array
 from collections.abc import Iterator
-from functools import lru_cache
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -14,10 +13,10 @@ from feedloom.llm.common import byte_texts, map_batches
 
 LONGEST = 2048
 END_ID = 1
-MEMO_WORDS = 800_000  # words whose ids a worker keeps; bounds memory only
+MEMO_WORDS = 300_000  # words whose ids a worker keeps; bounds memory only
 MEMO_WORD_BYTES = 64
 PUNCTUATION = b"!\"#$%&()*+,-./:;<=>?@[]^_`{|}~"  # all but the apostrophe, which starts contractions
-TEXT_AT_ONCE = 4_000_000
+TEXT_AT_ONCE = 1_000_000
 
 SCHEMA = "doc_id long, start long, length long, ids binary, doc_tokens long"
 
@@ -77,12 +76,6 @@ class WordIds(dict):
         return b"".join(map(self.__getitem__, text.split()))
 
 
-@lru_cache(maxsize=1)
-def encoder(path: str) -> WordIds:
-    """One per Python worker, so that its memo serves all tasks the worker runs."""
-    return WordIds(path)
-
-
 def binary_lengths(tokens: int, longest: int = LONGEST) -> list[int]:
     """Whole pieces of `longest` (a power of two), then the powers of two of the rest, largest first."""
     rest = tokens % longest
@@ -102,7 +95,7 @@ def pack(docs: DataFrame, tokenizer: str, longest: int = LONGEST) -> DataFrame:
     """
 
     def over(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        words, end = encoder(tokenizer), array("I", [END_ID]).tobytes()
+        words, end = WordIds(tokenizer), array("I", [END_ID]).tobytes()
         for batch in batches:
             names, texts = batch.column(0).to_pylist(), byte_texts(batch.column(1))
             first = 0

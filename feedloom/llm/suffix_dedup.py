@@ -11,7 +11,6 @@ neighbours. Only one column is ever held, and a string stands elsewhere if a nei
 from __future__ import annotations
 
 from collections.abc import Iterator
-from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
@@ -19,7 +18,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from feedloom.llm.common import (U64, as_long, bitmap_of, byte_texts, covered, map_batches, membership, mix, stored,
+from feedloom.llm.common import (U64, as_long, bitmap_of, byte_texts, covered, map_batches, membership, mix, once, stored,
                                  whole_groups)
 
 LENGTH, ANCHOR = 400, 128
@@ -29,7 +28,7 @@ PIECE_BITS = 19  # long texts are looked at in pieces of 2^19 bytes, overlapping
 BASE = 0x5851F42D4C957F2D
 
 
-@lru_cache(maxsize=1)
+@once
 def _powers() -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     n = (1 << PIECE_BITS) + 1
     inverse = pow(BASE, -1, 1 << 64)

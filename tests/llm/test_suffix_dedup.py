@@ -46,14 +46,14 @@ def test_removal_equals_counting_all_strings(spark, monkeypatch, hot, piece_bits
     if piece_bits == 9 and hot == 1:
         pytest.skip("covered by the two alone")
     monkeypatch.setattr(suffix_dedup, "PIECE_BITS", piece_bits)
-    suffix_dedup._powers.cache_clear()
+    suffix_dedup._powers.forget()
     texts = mingled(30, 1)
     docs = documents(spark, enumerate(texts), ("anchor", "row_key", "ranges"))
     rows = {r.doc_id: r for r in suffix_dedup.without_repeats(docs, length=60, anchor=20, hot=hot).collect()}
     want = plain(texts, 60)
     got = [(r.n_bytes, sum(x.end - x.begin for x in r.removed), len(r.removed), bytes(r.kept)) for _, r in sorted(
         rows.items())]
-    suffix_dedup._powers.cache_clear()
+    suffix_dedup._powers.forget()
     assert got == want and any(w[1] for w in want)
 
 
