@@ -87,6 +87,7 @@ def repeated_chunks(docs: DataFrame) -> DataFrame:
     keyed = docs.select("doc_id", F.xxhash64("text").alias("text_key"), "text")
     chunks = stored(map_batches(keyed, _hashed, "doc_id long, text_key long, chunk int, hi long, lo long"), "chunks")
     place = F.struct("doc_id", "text_key", "chunk")
+    # merge joins at every size: the lists grow with the documents, and skewed keys are split at run time
     repeated = (chunks.groupBy("hi", "lo").agg(F.min(place).alias("first"), F.max(place).alias("last"))
                 .filter("first <> last").select("hi", "lo", "first"))
     listed = stored(chunks.join(repeated, ["hi", "lo"]).select("doc_id", "text_key", "chunk", "hi", "lo", "first"),
@@ -94,14 +95,14 @@ def repeated_chunks(docs: DataFrame) -> DataFrame:
     wanted = listed.groupBy("doc_id", "text_key").agg(F.collect_set("chunk").alias("wanted"))
     maybe = membership(bitmap_of(listed.select("text_key").distinct(), "text_key"))
     texts = keyed.filter("text is not null").filter(maybe("text_key")).alias("t").join(
-        wanted.alias("w"), F.expr("t.text_key = w.text_key and t.doc_id <=> w.doc_id")).select("t.*", "wanted")
+        wanted.hint("merge").alias("w"), F.expr("t.text_key = w.text_key and t.doc_id <=> w.doc_id")).select("t.*", "wanted")
     cut = map_batches(texts, _cut_out, "doc_id long, text_key long, chunk int, content binary")
-    content = stored(cut.alias("c").join(listed.alias("l"), F.expr(
+    content = stored(cut.alias("c").join(listed.hint("merge").alias("l"), F.expr(
         "c.text_key = l.text_key and c.chunk = l.chunk and c.doc_id <=> l.doc_id"))
         .select("l.*", "content"), "contents")
     mine = content.select("first", "hi", "lo", F.struct("doc_id", "text_key", "chunk").alias("place"), "content")
     firsts = (mine.filter("first = place").groupBy("hi", "lo").agg(F.min("content").alias("first_content")))
-    return (mine.filter("first <> place").join(firsts, ["hi", "lo"]).filter("content = first_content")
+    return (mine.filter("first <> place").join(firsts.hint("merge"), ["hi", "lo"]).filter("content = first_content")
             .select("place.doc_id", "place.text_key", "place.chunk", F.col("first.doc_id").alias("first_doc_id"))
             .distinct())
 
@@ -118,7 +119,7 @@ def without_repeats(docs: DataFrame) -> DataFrame:
     maybe = membership(bitmap_of(found.select("text_key").distinct(), "text_key"))
     keyed = docs.withColumn("__key", F.xxhash64("text")).withColumn("__maybe", maybe("__key"))
     joined = keyed.filter("__maybe and text is not null").alias("t").join(
-        lists.alias("l"), F.expr("t.__key = l.text_key and t.doc_id <=> l.doc_id"), "left").select("t.*", "__removed")
+        lists.hint("merge").alias("l"), F.expr("t.__key = l.text_key and t.doc_id <=> l.doc_id"), "left").select("t.*", "__removed")
 
     @F.pandas_udf("string")
     def rebuilt(texts: pd.Series, removed: pd.Series) -> pd.Series:
