@@ -34,8 +34,8 @@ class WordIds(dict):
 
     The vocabulary drops white space and never joins letters across it, so the ids of a text are those of its
     words, cut at ASCII white space, one after the other; it lower-cases, so words are looked up in lower case.
-    Words of Latin-1 letters with trailing punctuation, which the vocabulary cuts into just these two parts, go
-    straight to its merges; all others through the whole tokenizer.
+    Lower-case words of Latin-1 letters with trailing punctuation, which the vocabulary cuts into just these two
+    parts, go straight to its merges; all others, capitals among them, through the whole tokenizer.
     """
 
     def __init__(self, path: str):
@@ -55,7 +55,7 @@ class WordIds(dict):
     def __missing__(self, word: bytes) -> bytes:
         core = word.rstrip(PUNCTUATION)
         if core.isalpha():
-            plain = True
+            plain = core.islower()
         else:
             text = core.decode()
             plain = text.isalpha() and max(text) < "\u0100" and text.islower()

@@ -22,6 +22,14 @@ def test_words_give_the_ids_of_the_text():
         assert words.encode(text.encode()) == want
 
 
+def test_capitals_beside_special_tokens():
+    whole, words = Tokenizer.from_file(PATH), packing.WordIds(PATH)
+    for text in ["<| Hello The", "<|user|> Hello. THE end, Straße <|endoftext|> World!", "hello <| Hello hello"]:
+        want = np.array(whole.encode(text, add_special_tokens=False).ids, "<u4").tobytes()
+        assert words.encode(text.encode()) == want
+    assert words.encode(b"<| Hello")[-4:] == words.encode(b"hello")[-4:]
+
+
 @pytest.mark.parametrize("tokens", [0, 1, 2, 3, 1000, 2047, 2048, 2049, 5000])
 def test_binary_lengths(tokens):
     lengths = packing.binary_lengths(tokens)
