@@ -22,7 +22,7 @@ def op1_minhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op2_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every document with what is left of its text; those of which nothing is left are not listed."""
     docs = read(spark, sf_dir, "documents")
-    return line_dedup.without_repeats(docs).select("doc_id", "text")
+    return line_dedup.without_passages(docs).select("doc_id", "text")
 
 
 def op3_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -65,3 +65,36 @@ def test_odd_rows(spark):
     assert sum(r.doc_id == 4 for r in rows) == 2
     assert all(r.n_chars == len(r.text) for r in rows if r.text is not None)
     assert line_dedup.without_repeats(documents(spark, [])).collect() == []
+
+
+def plain_passages(texts):
+    """Every run of lines, without chunks or windows, beside all earlier runs."""
+    places = defaultdict(list)
+    lines = {i: text.split("\n") for i, text in texts}
+    runs = [(i, a, b) for i in lines for a in range(len(lines[i])) for b in range(a + 2, min(a + 9, len(lines[i]) + 1))]
+    for i, a, b in sorted(runs):
+        content = "\n".join(lines[i][a:b])
+        if len(content.encode()) >= line_dedup.LEAST_BYTES:
+            places[content].append((i, a, b))
+    gone = defaultdict(set)
+    for at in places.values():
+        first = at[0]
+        for i, a, b in at[1:]:
+            if i != first[0] or a >= first[2]:
+                gone[i] |= set(range(a, b))
+    left = {i: "\n".join(x for k, x in enumerate(lines[i]) if k not in gone[i]) for i in lines}
+    return {i: t for i, t in left.items() if t.strip() or not gone[i]}
+
+
+def test_short_passages_go_whole(spark):
+    line = lambda k: prose(7000 + k, 45)
+    passages = ["\n".join(line(10 * k + j) for j in range(2 + k % 3)) for k in range(9)]
+    texts = [(n, "\n".join([line(1000 + n), passages[n % 9], line(2000 + n), f"short {n}"])) for n in range(27)]
+    texts += [(30, texts[0][1]), (31, "\n".join(["a b", "x" * 30, "y" * 30, "z"])), (32, "\n".join(["x" * 30, "y" * 30, "z", "new"])),
+              (33, "\n".join([line(5)] * 5)), (34, "one\ntwo"), (35, "one\ntwo"), (36, line(2003)), (37, "é" * 25 + "\nß\n" + line(9))]
+    out = {r.doc_id: r.text for r in line_dedup.without_passages(documents(spark, texts)).collect()}
+    assert out == plain_passages(texts)
+    assert out[9] == "\n".join([line(1009), line(2009), "short 9"]) and 30 not in out
+    assert out[36] == line(2003)  # a single line is no passage
+    odd = line_dedup.without_passages(documents(spark, ODD_TEXTS))
+    assert odd.count() == len(ODD_TEXTS)
