@@ -17,6 +17,7 @@ from feedloom.llm.common import (CACHED_WORD_BYTES, CACHED_WORDS, U64, as_long,
 
 WINDOW = 8  # template tokens
 MATCH = 13  # consistent tokens that make a match, or 80 % of a shorter item
+SHIFT = 3  # tokens inserted or left out at one place that do not end a match
 
 #: Words taken for a unit after a number.
 UNITS = frozenset(b"""
@@ -78,8 +79,13 @@ class Tokens(dict):
         return (np.where(slot, SLOT_HASH[kind], value)[some], np.where(slot, value | U64(1), U64(0))[some])
 
 
-def _windows(texts: DataFrame, window: int, bits: np.ndarray | None) -> DataFrame:
-    """(key, position, hash, slots, tokens): windows of the template, those of fewer literals than slots left out."""
+def _windows(texts: DataFrame, window: int, bits: np.ndarray | None, short: list[int]) -> DataFrame:
+    """(key, position, hash, slots, tokens): windows of the template. One of fewer literals than slots is hashed with
+    the values of its slots, so that it meets only the same values.
+
+    Without `bits`, a text shorter than the window is one window of its own length; with them, windows of the lengths
+    in `short` are made too.
+    """
 
     def over(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         tokens = Tokens()
@@ -87,52 +93,100 @@ def _windows(texts: DataFrame, window: int, bits: np.ndarray | None) -> DataFram
             names, found = batch.column(0).to_numpy(zero_copy_only=False), []
             for name, text in zip(names, byte_texts(batch.column(1))):
                 template, slots = tokens.template(text or b"")
-                if len(template) < window:
-                    continue
-                hashes = shingle_hashes(template, window)
                 filled = np.concatenate([[0], np.cumsum(slots != 0)])
-                good = 2 * (filled[window:] - filled[:-window]) <= window
-                if bits is not None:
-                    good &= in_bitmap(bits, hashes)
-                at = np.flatnonzero(good)
-                if len(at):
-                    found.append((np.full(len(at), name, np.int64), at, hashes[at],
-                                  np.lib.stride_tricks.sliding_window_view(slots, window)[at],
-                                  np.full(len(at), len(template))))
+                for size in [min(window, len(template))] if bits is None else [*short, window]:
+                    if not 0 < size <= len(template):
+                        continue
+                    hashes = shingle_hashes(template, size)
+                    many = 2 * (filled[size:] - filled[:-size]) > size
+                    if many.any():
+                        hashes = np.where(many, ~shingle_hashes(template ^ slots, size), hashes)
+                    at = np.arange(len(hashes)) if bits is None else np.flatnonzero(in_bitmap(bits, hashes))
+                    if len(at):
+                        found.append((np.full(len(at), name, np.int64), at, hashes[at],
+                                      [slots[k:k + size] for k in at], np.full(len(at), len(template))))
             if found:
-                key, at, hashes, slots, count = (np.concatenate(x) for x in zip(*found))
-                offsets = np.arange(0, slots.size + 1, window, dtype=np.int32)
+                key, at, hashes, count = (np.concatenate([x[k] for x in found]) for k in (0, 1, 2, 4))
+                values = [v for x in found for v in x[3]]
+                offsets = np.concatenate([[0], np.cumsum([len(v) for v in values])]).astype(np.int32)
                 yield pa.RecordBatch.from_arrays(
                     [pa.array(key), pa.array(at), as_long(hashes),
-                     pa.ListArray.from_arrays(pa.array(offsets), as_long(np.ascontiguousarray(slots).reshape(-1))),
+                     pa.ListArray.from_arrays(pa.array(offsets), as_long(np.concatenate(values))),
                      pa.array(count)], ["key", "position", "hash", "slots", "tokens"])
 
     return map_batches(texts, over, "key long, position long, hash long, slots array<long>, tokens long")
 
 
-def _judged(window: int):
-    """Of the windows of one document and item on one diagonal: tokens matched, and whether the slots agree."""
-    schema = "doc_id long, item_id long, item_tokens long, matched long, changed_slots long, consistent boolean"
-
-    def over(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            rows = []
-            for row in batch.to_pylist():
-                pairs: dict[int, tuple[int, int]] = {}
-                for w in row["windows"]:
-                    for k in range(window):
-                        pairs[w["item_position"] + k] = (w["item_slots"][k], w["doc_slots"][k])
-                slots = {p for p in pairs.values() if p[0]}
-                one_way = len({a for a, _ in slots}) == len(slots) == len({b for _, b in slots})
-                rows.append((row["doc_id"], row["item_id"], row["item_tokens"], len(pairs),
-                             sum(a != b for a, b in slots), one_way))
-            columns = list(zip(*rows))
-            kinds = [pa.int64()] * 5 + [pa.bool_()]
-            yield pa.RecordBatch.from_arrays(
-                [pa.array(c, k) for c, k in zip(columns, kinds)],
-                ["doc_id", "item_id", "item_tokens", "matched", "changed_slots", "consistent"])
-
-    return over, schema
+#: An aligned token: position in the document and in the item, slot value of the item (0: a literal) and the document.
+Cell = tuple[int, int, int, int]
+
+
+def _diagonals(windows: list[dict]) -> list[list[Cell]]:
+    cells: dict[int, dict[int, Cell]] = {}
+    for w in windows:
+        p, q = w["position"], w["item_position"]
+        mine = cells.setdefault(p - q, {})
+        for k, (a, b) in enumerate(zip(w["item_slots"], w["doc_slots"])):
+            mine[q + k] = (p + k, q + k, a, b)
+    return [[mine[q] for q in sorted(mine)] for _, mine in sorted(cells.items())]
+
+
+def _chains(diagonals: list[list[Cell]]) -> Iterator[list[Cell]]:
+    """Runs of neighbouring cells, each followed by the best run on a diagonal at most SHIFT away that ends before it
+    or, cut short, does; the longest chains."""
+    runs = []
+    for cells in diagonals:
+        first = 0
+        for k in range(1, len(cells) + 1):
+            if k == len(cells) or cells[k][1] != cells[k - 1][1] + 1:
+                runs.append(cells[first:k])
+                first = k
+    runs.sort(key=lambda r: (r[0][1], r[0][0]))
+    latest: dict[int, tuple[int, int]] = {}  # of a diagonal: cells of the chain that ends with its last run, and the run
+    before, skipped, followed = [-1] * len(runs), [0] * len(runs), set()
+    for k, run in enumerate(runs):
+        d, best = run[0][0] - run[0][1], len(run)
+        for other in range(d - SHIFT, d + SHIFT + 1):
+            if other in latest:
+                size, j = latest[other]
+                skip = max(0, runs[j][-1][1] + 1 - run[0][1], runs[j][-1][0] + 1 - run[0][0])
+                if skip < len(run) and size + len(run) - skip > best:
+                    best, before[k], skipped[k] = size + len(run) - skip, j, skip
+        latest[d] = best, k
+        followed.add(before[k])
+    for k in range(len(runs)):
+        if k not in followed and before[k] >= 0:
+            parts = []
+            while k >= 0:
+                parts.append(runs[k][skipped[k]:])
+                k = before[k]
+            yield [cell for part in reversed(parts) for cell in part]
+
+
+def _judge(cells: list[Cell]) -> tuple[int, int]:
+    """Tokens matched and slots changed: all cells if their values map one to one, else the longest stretch of cells
+    without another value."""
+    slots = {(a, b) for _, _, a, b in cells if a}
+    if len({a for a, _ in slots}) == len(slots) == len({b for _, b in slots}):
+        return len(cells), sum(a != b for a, b in slots)
+    longest = length = 0
+    for _, _, a, b in cells:
+        length = length + 1 if a == b else 0
+        longest = max(longest, length)
+    return longest, 0
+
+
+def _judged(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Of the windows that one document and item share: the most tokens matched, and how many slots are changed."""
+    for batch in batches:
+        rows = []
+        for row in batch.to_pylist():
+            diagonals = _diagonals(row["windows"])
+            matched, less = max((m, -c) for m, c in map(_judge, [*diagonals, *_chains(diagonals)]))
+            rows.append((row["doc_id"], row["item_id"], row["item_tokens"], matched, -less))
+        columns = list(zip(*rows)) or [[]] * 5
+        yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in columns],
+                                         ["doc_id", "item_id", "item_tokens", "matched", "changed_slots"])
 
 
 def contaminated(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, match: int = MATCH) -> DataFrame:
@@ -140,27 +194,29 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, ma
 
     Texts become templates: numbers, units after numbers and names (capitalised words inside a sentence) are typed
     slots, other words are lower-cased, punctuation is dropped. Windows of `window` tokens are joined on their hash.
-    The windows that one document and item share at one distance are a match if they cover `match` tokens, or 80 %
-    of an item of fewer, and if equal slot values of the item always meet equal values of the document and the
-    other way round. `changed_slots` counts the values that differ: more than 0 is a re-parameterised question.
-
-    Only windows that pass a fixed-size bitmap of the benchmark's windows are shuffled. Rows without id or text, and
-    texts of fewer tokens than a window, match nothing. Rows that repeat an id count as one text each, their matches
+    The windows that one document and item share at one distance, or at distances that differ by a few inserted or
+    missing tokens, are a match if they cover `match` tokens, or 80 % of an item of fewer, and if equal slot values of
+    the item always meet equal values of the document and the other way round; where they do not, a stretch of so
+    many tokens without any changed value is. An item shorter than a window is one window. `changed_slots` counts the
+    values that differ: more than 0 is a re-parameterised question.
+
+    Only windows that pass a fixed-size bitmap of the benchmark's windows are shuffled. Rows without id or text
+    match nothing. Rows that repeat an id count as one text each, their matches
     are merged. Either table may be empty, and may have further columns.
     """
-    items = stored(_windows(benchmark.filter("item_id is not null").select("item_id", "text").distinct(), window, None),
-                   "benchmark-windows")
+    items = stored(_windows(benchmark.filter("item_id is not null").select("item_id", "text").distinct(), window, None,
+                            []), "benchmark-windows")
     bits = bitmap_of(items, "hash")
-    found = _windows(docs.filter("doc_id is not null").select("doc_id", "text"), window, bits)
+    short = sorted(r["tokens"] for r in items.filter(F.col("tokens") < window).select("tokens").distinct().collect())
+    found = _windows(docs.filter("doc_id is not null").select("doc_id", "text"), window, bits, short)
     pairs = (found.select(F.col("key").alias("doc_id"), "position", "hash", F.col("slots").alias("doc_slots"))
              .join(items.select(F.col("key").alias("item_id"), F.col("position").alias("item_position"), "hash",
                                 F.col("slots").alias("item_slots"), F.col("tokens").alias("item_tokens")), "hash"))
-    aligned = (pairs.groupBy("doc_id", "item_id", "item_tokens", (F.col("position") - F.col("item_position")).alias("d"))
-               .agg(F.collect_list(F.struct("item_position", "item_slots", "doc_slots")).alias("windows")))
-    over, schema = _judged(window)
-    judged = map_batches(aligned.select("doc_id", "item_id", "item_tokens", "windows"), over, schema)
+    aligned = (pairs.filter(F.size("item_slots") == F.size("doc_slots")).groupBy("doc_id", "item_id", "item_tokens")
+               .agg(F.collect_list(F.struct("position", "item_position", "item_slots", "doc_slots")).alias("windows")))
+    judged = map_batches(aligned, _judged, "doc_id long, item_id long, item_tokens long, matched long, changed_slots long")
     needed = F.least(F.lit(match), F.ceil(F.col("item_tokens") * 0.8))
-    return (judged.filter("consistent").filter(F.col("matched") >= needed)
+    return (judged.filter(F.col("matched") >= needed)
             .groupBy("doc_id", "item_id").agg(F.max(F.struct("matched", "item_tokens", (-F.col("changed_slots"))
                                                              .alias("less"))).alias("best"))
             .select("doc_id", "item_id", "best.item_tokens", "best.matched", (-F.col("best.less")).alias("changed_slots")))

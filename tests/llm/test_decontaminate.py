@@ -49,3 +49,18 @@ def test_every_planted_passage_is_found(spark):
     clean = [(100 + k, prose(2000 + k, 150)) for k in range(40)]
     out = found(spark, texts + clean, benchmark)
     assert set(out) == {(k, k % 30) for k in range(60)}
+
+
+def test_partly_changed_dense_short_and_shifted_items(spark):
+    long = prose(3001, 20).replace(".", "") + " paid Alice then " + prose(3002, 20).replace(".", "") + " asked Alice again"
+    numbers = "12 45 7 88 901 3 64 5 17 29 33 41 56 72 90"
+    few = "purple Alice sings over quiet rivers"
+    shifted = "then farmer Mary walks slowly along green river banks near old stone mills today"
+    three = "rent 3 pays 4 " + prose(3003, 16).replace(".", "")
+    rest = lambda k: prose(4000 + k, 40)
+    texts = [(1, f"{rest(1)} {long.replace('Alice', 'Bob', 1)} {rest(2)}"), (2, f"{rest(3)} {numbers} {rest(4)}"),
+             (3, f"{rest(5)} {few} {rest(6)}"), (4, f"{rest(7)} {shifted.replace('Mary', 'Mary Ann')} {rest(8)}"),
+             (5, f"{rest(9)} {three.replace('3', '5', 1).replace('4', '5', 1)} {rest(10)}"), (6, rest(11)),
+             (7, f"{rest(12)} {numbers.replace('7 88', '8 87').replace('17 29', '18 92')} {rest(13)}")]
+    out = found(spark, texts, [(1, long), (2, numbers), (3, few), (4, shifted), (5, three)])
+    assert set(out) == {(k, k) for k in range(1, 6)}
