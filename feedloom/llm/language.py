@@ -159,15 +159,20 @@ def train(labelled: DataFrame, per_language: int = SAMPLE_PER_LANGUAGE) -> Model
 def best_path(scores: np.ndarray, penalty: float = SWITCH_PENALTY) -> np.ndarray:
     """The labels of the Viterbi path over the rows of `scores`, where each change of label costs `penalty`.
 
-    If no run of words gains more than the penalty by any other label than the best single one, staying with
-    that one is the best path, and no table is filled.
+    If what every word gains by its best label over the best single one adds up to no more than the penalty, staying
+    with that one is the best path. Nor can another path be better if no run of words gains more than half of the
+    penalty by any other label: a path of k switches away from it has at most k + 1 runs of other labels. Then no table
+    is filled.
     """
     n, labels = scores.shape
     single = int(scores.sum(axis=0).argmax())
     if n == 0 or labels == 1:
         return np.full(n, single)
-    gain = np.vstack([np.zeros((1, labels)), np.cumsum(scores - scores[:, [single]], axis=0, dtype=np.float64)])
-    if (gain - np.minimum.accumulate(gain, axis=0)).max() <= penalty:
+    more = scores - scores[:, [single]]
+    if more.max(axis=1).sum(dtype=np.float64) <= penalty:
+        return np.full(n, single)
+    gain = np.vstack([np.zeros((1, labels)), np.cumsum(more, axis=0, dtype=np.float64)])
+    if (gain - np.minimum.accumulate(gain, axis=0)).max() <= penalty / 2:
         return np.full(n, single)
     came = np.empty((n, labels), np.int16)
     stay = np.arange(labels)

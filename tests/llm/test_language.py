@@ -26,6 +26,17 @@ def test_path_is_the_best_of_all():
         assert abs(value(got) - value(plain_path(scores, 2.0))) < 1e-9
 
 
+def test_path_without_the_best_single_label():
+    scores = np.array([[0, -7, 3.5]] * 4 + [[0, 3.5, -7]] * 4, np.float32)  # 14 + 14 gained for one switch
+    assert language.best_path(scores, 15.0).tolist() == [2] * 4 + [1] * 4
+    random = np.random.default_rng(5)
+    for _ in range(150):
+        scores = random.normal(0, 2, (6, 3))
+        scores[:, 0] = scores[:, 1:].mean(axis=1) + 1
+        value = lambda p: sum(scores[k, x] for k, x in enumerate(p)) - 5.0 * sum(a != b for a, b in zip(p, p[1:]))
+        assert abs(value(language.best_path(scores, 5.0)) - value(plain_path(scores, 5.0))) < 1e-9
+
+
 def test_words_of_texts():
     words = language.find_words(["", "Ab, cde", "é"])
     assert words.text.tolist() == [1, 1, 2]
