@@ -12,7 +12,7 @@ TOKENIZER = public_tokenizers.path("word_bpe_49k.json")
 
 
 def languages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents without letters, or of which no language has 30 % of the letters, go."""
+    """Documents without letters, of which no learned language has 30 % of the letters, or unlike all of them, go."""
     prepare(spark)
     return language.accepted(docs)
 

@@ -26,6 +26,8 @@ GRAM_CELLS = 1 << 16  # hashed letter trigrams; bounds the model at 65,536 x lan
 SAMPLE_PER_LANGUAGE = 4_000  # documents of each language that the scores are fitted on, about
 SWITCH_PENALTY = 15.0  # nats: several words in a row must speak for another language
 OUTSIDE = -30.0  # score of a word for a language that is not a candidate of its script
+FAR_BELOW = 1.0  # nats per trigram under the labelled texts of a language, besides how these differ and chance
+CHANCE = 4.0  # standard deviations that chance explains
 CHARS_AT_ONCE = 400_000  # bounds a worker's arrays
 UNKNOWN = "und"
 
@@ -95,11 +97,24 @@ def _chunks(texts: list[str | None]) -> Iterator[tuple[int, list[str]]]:
 
 @dataclass
 class Model:
-    """Languages, log-probabilities of trigrams (cells x languages) and the languages each script may be in."""
+    """Languages, log-probabilities of trigrams (cells x languages), the languages each script may be in, and per
+    language the variance of the score of a trigram, and mean and deviation of the mean scores of the labelled texts."""
 
     languages: list[str]
     scores: np.ndarray
     candidates: np.ndarray
+    variance: np.ndarray
+    mean: np.ndarray
+    deviation: np.ndarray
+
+    def supported(self, words: Words, scores: np.ndarray, paths: np.ndarray, n_grams: np.ndarray) -> tuple[np.ndarray, bool]:
+        """Of the words of a text with their scores, labels and trigrams: which are in a script of their label, and
+        whether these score about as the labelled texts of their languages do."""
+        known = self.candidates[words.script, paths]
+        n = np.where(known, n_grams, 0).astype(np.float64)
+        excess = np.where(known, scores[np.arange(len(paths)), paths], 0).sum() - (n * self.mean[paths]).sum()
+        chance = CHANCE * np.sqrt((n * self.variance[paths]).sum())
+        return known, bool(excess >= -(n * (FAR_BELOW + 2 * self.deviation[paths])).sum() - chance)
 
     def word_scores(self, words: Words) -> np.ndarray:
         """One row per word, one column per language; a script that was never seen says nothing."""
@@ -111,18 +126,19 @@ class Model:
                         np.float32(0))
 
 
-def train(labelled: DataFrame, per_language: int = SAMPLE_PER_LANGUAGE) -> Model:
+def train(labelled: DataFrame, per_language: int = SAMPLE_PER_LANGUAGE, typical: bool = False) -> Model:
     """Fit on about `per_language` documents of each language, drawn by a hash of the text. Runs jobs.
 
     `labelled` holds text and lang; rows without either are left out. The languages are the distinct values of
     lang, taken to be a small closed set. Trigram counts are summed by Spark; cells x languages rows reach
-    the driver at most.
+    the driver at most. How the texts drawn score is measured only if `typical`; label() needs it for evidence.
     """
     labelled = labelled.select("text", "lang").dropna()
     found = {r["lang"]: r["n"] for r in labelled.groupBy("lang").agg(F.count("*").alias("n")).collect()}
     languages = sorted(found)
     if not languages:
-        return Model([], np.zeros((GRAM_CELLS, 0), np.float32), np.zeros((len(SCRIPTS), 0), bool))
+        return Model([], np.zeros((GRAM_CELLS, 0), np.float32), np.zeros((len(SCRIPTS), 0), bool),
+                     *[np.zeros(0)] * 3)
     share = F.create_map(*[F.lit(x) for name in languages for x in (name, min(1.0, per_language / found[name]))])
     drawn = labelled.filter(F.pmod(F.xxhash64("text"), F.lit(1 << 24)) < share[F.col("lang")] * (1 << 24))
 
@@ -153,7 +169,36 @@ def train(labelled: DataFrame, per_language: int = SAMPLE_PER_LANGUAGE) -> Model
     letters[cell[kind == 1], number[kind == 1]] = n[kind == 1]
     scores = np.log((grams + 0.1) / (grams.sum(axis=0) + 0.1 * GRAM_CELLS)).astype(np.float32)
     candidates = letters > 0.01 * letters.sum(axis=0)  # a script counts for a language from 1 % of its words on
-    return Model(languages, scores, candidates)
+    shares = grams / np.maximum(1, grams.sum(axis=0))
+    variance = (shares * (scores - (shares * scores).sum(axis=0)) ** 2).sum(axis=0)
+    if not typical:
+        return Model(languages, scores, candidates, variance, *[np.zeros(len(languages))] * 2)
+
+    def means(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        sums = np.zeros((3, len(languages)))
+        for batch in batches:
+            numbers = np.array([languages.index(x) for x in batch.column(1).to_pylist()])
+            for first, texts in _chunks(batch.column(0).to_pylist()):
+                words = find_words(texts)
+                if len(words.start):
+                    n_grams = np.diff(np.append(words.first_gram, len(words.grams)))
+                    own = np.add.reduceat(scores[words.grams, np.repeat(numbers[first + words.text], n_grams)],
+                                          words.first_gram)
+                    n = np.bincount(words.text, n_grams, len(texts))
+                    mean = np.bincount(words.text, own, len(texts))[n > 0] / n[n > 0]
+                    for k in range(3):
+                        sums[k] += np.bincount(numbers[first:first + len(texts)][n > 0], mean ** k, len(languages))
+        yield pa.RecordBatch.from_arrays([pa.array(np.arange(len(languages))), *map(pa.array, sums)],
+                                         ["number", "n", "total", "squares"])
+
+    rows = (map_batches(drawn, means, "number long, n double, total double, squares double").groupBy("number")
+            .agg(F.sum("n").alias("n"), F.sum("total").alias("total"), F.sum("squares").alias("squares")).collect())
+    mean, deviation = np.zeros(len(languages)), np.zeros(len(languages))
+    for r in rows:
+        if r["n"]:
+            mean[r["number"]] = r["total"] / r["n"]
+            deviation[r["number"]] = np.sqrt(max(0.0, r["squares"] / r["n"] - mean[r["number"]] ** 2))
+    return Model(languages, scores, candidates, variance, mean, deviation)
 
 
 def best_path(scores: np.ndarray, penalty: float = SWITCH_PENALTY) -> np.ndarray:
@@ -192,57 +237,72 @@ def best_path(scores: np.ndarray, penalty: float = SWITCH_PENALTY) -> np.ndarray
 SCHEMA = "lang_pred string, score double, spans array<struct<lang:string,start:int,end:int>>"
 
 
-def label(docs: DataFrame, model: Model, penalty: float = SWITCH_PENALTY) -> DataFrame:
+def label(docs: DataFrame, model: Model, penalty: float = SWITCH_PENALTY, evidence: str | None = None) -> DataFrame:
     """`docs` with lang_pred, score and spans, which replace columns of these names.
 
     Spans are runs of words of one language: lang, first character, end. lang_pred is the language that labels
     most letters (ties: the higher total score), score the share of letters it labels. A text that is null
     or has no letter is `und` with score 0 and no spans, as is every text if no language was learned.
     No other column than text is looked at.
+
+    `evidence` names a further column: the share of letters that lang_pred labels in a script it is written in, and 0
+    if the text scores far below the labelled texts of its languages.
     """
     kept = [c for c in docs.columns if c not in ("lang_pred", "score", "spans")]
     names = [*kept, "lang_pred", "score", "spans"]
     place = kept.index("text")
     schema = ", ".join([*[f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema if f.name in kept], SCHEMA])
+    if evidence is not None:
+        names, schema = [*names, evidence], f"{schema}, `{evidence}` double"
 
-    def one(scores: np.ndarray, start: np.ndarray, end: np.ndarray) -> tuple[str, float, list[dict]]:
+    def one(words: Words, scores: np.ndarray, a: int, b: int) -> tuple[str, float, list[dict], float]:
+        scores, start, end = scores[a:b], words.start[a:b], words.end[a:b]
         path = best_path(scores, penalty)
         letters = np.bincount(path, (end - start), len(model.languages))
         top = max(range(len(model.languages)), key=lambda k: (letters[k], float(scores[:, k].sum()), -k))
         cuts = np.flatnonzero(np.diff(path)) + 1
         spans = [{"lang": model.languages[path[a]], "start": int(start[a]), "end": int(end[b - 1])}
                  for a, b in zip([0, *cuts], [*cuts, len(path)])]
-        return model.languages[top], float(letters[top] / letters.sum()), spans
+        support = 0.0
+        if evidence is not None:
+            firsts = words.first_gram[a:b + 1] if b < len(words.start) else np.append(words.first_gram[a:b], len(words.grams))
+            mine = Words(words.text[a:b], start, end, words.script[a:b], firsts[:-1], words.grams)
+            known, like = model.supported(mine, scores, path, np.diff(firsts))
+            support = float((end - start)[known & (path == top)].sum() / letters.sum()) if like else 0.0
+        return model.languages[top], float(letters[top] / letters.sum()), spans, support
 
     def over(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            labels, shares, spans = [], [], []
+            labels, shares, spans, supports = [], [], [], []
             for _, texts in _chunks(batch.column(place).to_pylist()):
                 words = find_words(texts)
                 scores = model.word_scores(words)
                 cuts = np.searchsorted(words.text, np.arange(len(texts) + 1))
                 for a, b in zip(cuts[:-1], cuts[1:]):
-                    found = one(scores[a:b], words.start[a:b], words.end[a:b]) if b > a and model.languages else None
-                    lang, share, runs = found or (UNKNOWN, 0.0, [])
+                    found = one(words, scores, a, b) if b > a and model.languages else None
+                    lang, share, runs, support = found or (UNKNOWN, 0.0, [], 0.0)
                     labels.append(lang)
                     shares.append(share)
                     spans.append(runs)
+                    supports.append(support)
             kind = pa.list_(pa.struct([("lang", pa.string()), ("start", pa.int32()), ("end", pa.int32())]))
             yield pa.RecordBatch.from_arrays(
-                [*batch.columns, pa.array(labels, pa.string()), pa.array(shares, pa.float64()), pa.array(spans, kind)],
-                names)
+                [*batch.columns, pa.array(labels, pa.string()), pa.array(shares, pa.float64()), pa.array(spans, kind),
+                 *([] if evidence is None else [pa.array(supports, pa.float64())])], names)
 
     return map_batches(docs.select(*[F.col(f"`{c}`") for c in kept]), over, schema)
 
 
 def accepted(docs: DataFrame, least_share: float = 0.3) -> DataFrame:
     """The rows of `docs` (columns text and lang at least) in which a learned language labels `least_share` of
-    the letters: texts that mix a few languages stay.
+    the letters, in a script it is written in: texts that mix a few languages stay. A text whose trigrams score far
+    below those of the labelled texts of the languages it is taken for goes: none of them is its language.
 
     The languages are learned from the rows that name one; if none does, no row is rejected.
     """
-    model = train(docs)
+    model = train(docs, typical=True)
     if not model.languages:
         return docs
     columns = docs.columns
-    return label(docs, model).filter(f"lang_pred <> '{UNKNOWN}' and score >= {least_share}").select(*columns)
+    found = label(docs, model, evidence="__evidence")
+    return found.filter(f"lang_pred <> '{UNKNOWN}' and __evidence >= {least_share}").select(*columns)

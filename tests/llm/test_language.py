@@ -78,3 +78,17 @@ def test_odd_rows(spark):
     unlabelled = docs.withColumn("lang", F.lit(None).cast("string"))
     assert language.accepted(unlabelled).count() == docs.count()
     assert language.accepted(documents(spark, [])).collect() == []
+
+
+def test_unlearned_scripts_and_languages_go(spark):
+    given = spark.read.parquet("/root/testdata/sf0.01/documents.parquet").select("doc_id", "text", "lang")
+    sample = {r.lang: r.text[:300] for r in given.filter("length(text) > 400").orderBy("doc_id").collect()}
+    mixed = " ".join(sample[k] for k in sorted(sample)[:2])
+    planted = [(-1, "η γλώσσα αυτή δεν είναι γνωστή σε κανέναν εδώ και το κείμενο μένει ελληνικό " * 3),
+               (-2, "hogy az erdőben járó vándorok közül néhányan később visszatérjenek a faluba nagyszüleikhez " * 3),
+               (-3, "xqzv wvkq jxxz qqpw zzkx vvqj kxwz pqxv jzqk wxvq " * 6), (-4, mixed), (-5, mixed + " 12 λόγος")]
+    docs = given.unionByName(spark.createDataFrame([(i, t, None) for i, t in planted], given.schema))
+    kept = {r.doc_id for r in language.accepted(docs).select("doc_id").collect()}
+    assert not kept & {-1, -2, -3} and {-4, -5} <= kept
+    lost = {r.doc_id for r in given.select("doc_id").collect()} - kept
+    assert len(lost) <= 0.002 * given.count()  # those of the table are in learned languages
