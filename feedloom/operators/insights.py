@@ -8,6 +8,12 @@ from pyspark.sql import functions as F
 from feedloom.fixed_values import CARRIED, FLAGS, NO_ISSUE, YES_THRESHOLD
 
 
+def cents(value: str | Column) -> Column:
+    """Two digits, rounded half up from six decimal digits: so it does not hang on how a binary fraction is stored."""
+    number = F.col(value) if isinstance(value, str) else value
+    return F.round(number.cast("decimal(18,6)"), 2).cast("double")
+
+
 def _measures(sentences: DataFrame, threshold: float, key: str, carried: list[str]) -> DataFrame:
     """Everything a review needs from its sentences, in one aggregate.
 
@@ -78,15 +84,15 @@ def frustration_by_rating(reviews: DataFrame) -> DataFrame:
     """Frustration should fall as stars rise, although the scorer never saw the stars."""
     return reviews.groupBy("rating").agg(
         F.count(F.lit(1)).alias("reviews"),
-        F.round(F.avg("peak_frustration"), 2).alias("peak_frustration"),
-        F.round(F.avg("mean_frustration"), 2).alias("mean_frustration"))
+        cents(F.avg("peak_frustration")).alias("peak_frustration"),
+        cents(F.avg("mean_frustration")).alias("mean_frustration"))
 
 
 def problems_by_product(sentences: DataFrame) -> DataFrame:
     """Per product and kind of problem: sentences, reviews and mean frustration."""
     return sentences.where(F.col("problem_category") != "none").groupBy("product_name", "problem_category").agg(
         F.count(F.lit(1)).alias("sentences"), F.countDistinct("review_id").alias("reviews"),
-        F.round(F.avg("frustration"), 2).alias("mean_frustration"))
+        cents(F.avg("frustration")).alias("mean_frustration"))
 
 
 def problem_pivot(problems: DataFrame, categories: list[str]) -> DataFrame:
@@ -112,15 +118,15 @@ def flagged(sentences: DataFrame, flag: str, threshold: float = YES_THRESHOLD) -
     """Distinct sentences whose flag clears the threshold, with how often each occurs: the most certain first."""
     first = F.struct("review_id", "sentence_index")
     return sentences.where(F.col(flag) >= threshold).groupBy("product_name", "sentence").agg(
-        F.round(F.min_by(flag, first), 2).alias(flag), F.count(F.lit(1)).alias("occurrences"),
-        F.round(F.min_by("frustration", first), 2).alias("frustration")).orderBy(F.desc(flag), "product_name", "sentence")
+        cents(F.min_by(flag, first)).alias(flag), F.count(F.lit(1)).alias("occurrences"),
+        cents(F.min_by("frustration", first)).alias("frustration")).orderBy(F.desc(flag), "product_name", "sentence")
 
 
 def needs_review(sentences: DataFrame, min_confidence: float = 0.6) -> DataFrame:
     """Distinct sentences whose problem category is too uncertain to trust: the least certain first."""
     return sentences.where(F.col("problem_category_confidence") < min_confidence).select(
         "product_name", "sentence", "problem_category",
-        F.round("problem_category_confidence", 2).alias("problem_category_confidence")).distinct() \
+        cents("problem_category_confidence").alias("problem_category_confidence")).distinct() \
         .orderBy("problem_category_confidence", "product_name", "sentence")
 
 

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from feedloom.fixed_values import CHOICES, FLAGS, INSTRUCTIONS, QUESTION_SET_VERSION, STATE_NOTE, STATE_TASK
 from feedloom.operators import classify
 from feedloom.operators.load import product_catalogue
-from feedloom.plans.domain import Domain, drawn_json, drawn_raw
+from feedloom.plans.domain import Domain
 from feedloom.plans.domain_sql import VIEWS, answers_sql, check_sql, text
 from feedloom.plans.feature_queries import longs
 from feedloom.plans.lexical import ask
@@ -131,9 +131,7 @@ def failed_sentences(d: Domain):
 
 @query("flatten_answers", check_sql(f"SELECT {SQL_FLAT} FROM answers_a", "answers_a"))
 def flatten_answers(d: Domain):
-    # a scorer's output is always written before it is read: the scorer must not run twice
-    raw = materialise(drawn_json(d.sentences, d.products, "a"), "raw_answers")
-    return classify.flatten_answers(raw, d.products.select("product_name")).select(flat_columns())
+    return classify.flatten_answers(d.stored("json", "a"), d.products.select("product_name")).select(flat_columns())
 
 
 @query("clip_answers", check_sql(f"""
@@ -142,7 +140,7 @@ def flatten_answers(d: Domain):
     FROM raw_a""", "raw_a"))
 def clip_answers(d: Domain):
     limit = {"frustration": classify.clip}
-    return drawn_raw(d.sentences, d.products, "a").agg(
+    return d.stored("raw", "a").agg(
         F.count(F.lit(1)).alias("answers"),
         *[F.count_if(limit.get(c, classify.unit)(c) != F.col(c)).alias(f"{c}_clipped") for c in SCORES])
 
@@ -155,7 +153,7 @@ def _threshold_sql(threshold: float) -> str:
     SELECT review_key, sentence_index, array_to_string(products_mentioned, ';') AS products_mentioned
     FROM answers_a WHERE len(products_mentioned) > 0""", "answers_a"))
 def products_mentioned(d: Domain):
-    parsed = classify.parse_answers(drawn_json(d.sentences, d.products, "a"))
+    parsed = classify.parse_answers(d.stored("json", "a"))
     return classify.mentioned_products(parsed, d.products.select("product_name")).select(
         "review_key", *longs("sentence_index"), joined("products_mentioned"))
 
@@ -165,8 +163,7 @@ def products_mentioned(d: Domain):
     FROM ({_threshold_sql(0.8)}) WHERE error IS NULL""", "raw_a"))
 def rethreshold(d: Domain):
     catalogue = d.products.select("product_name")
-    raw = materialise(drawn_json(d.sentences, d.products, "a"), "raw_answers")
-    stored = classify.flatten_answers(raw, catalogue)
+    stored = classify.flatten_answers(d.stored("json", "a"), catalogue)
     return classify.rethreshold(stored.where("error IS NULL"), catalogue, 0.8).select(
         "review_key", *longs("sentence_index"), joined("products_mentioned"))
 
@@ -182,7 +179,7 @@ def rethreshold(d: Domain):
       UNION ALL SELECT 'mentions', NULL, other_mention, NULL FROM raw_a WHERE NOT failed AND other_name <> product_name)
     GROUP BY 1""", "raw_a"))
 def explode_answers(d: Domain):
-    decoded = classify.explode_answers(drawn_json(d.sentences, d.products, "a"))
+    decoded = classify.explode_answers(d.stored("json", "a"))
     kind = F.when(F.col("question").startswith(classify.MENTION), "mentions").otherwise(F.col("question"))
     return decoded.groupBy(kind.alias("question")).agg(
         F.count(F.lit(1)).alias("answers"), F.round(F.avg("confidence"), 6).alias("mean_confidence"),

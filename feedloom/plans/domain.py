@@ -23,9 +23,9 @@ from feedloom.operators.dashboard import assign_risk
 from feedloom.operators.insights import reviews_view
 from feedloom.operators.load import load_reviews, with_text
 from feedloom.operators.sentences import split_sentences
-from feedloom.plans.lexical import DENSITY_CUES, choice, cues, density, hits, words_of
+from feedloom.plans.lexical import choice, counts, density, found, hits, marks, words_of
 from feedloom.schemas import KEY
-from feedloom.session import tune
+from feedloom.session import materialise, tune
 
 LINE_SHIFT = 40  # a line number and a part number packed into one sortable long
 FIRST_YEAR = 1994
@@ -139,8 +139,28 @@ class Domain:
         """Every sentence of every review, with the review's columns but its features."""
         return split_sentences(self.texts)
 
+    @cached_property
+    def asked(self) -> DataFrame:
+        """One row per distinct sentence key: equal texts meet before they are split, so sentences are never shuffled."""
+        # a content key has one product and one text, so a distinct over plain columns finds the keys by hashing
+        return split_sentences(self.texts.select("review_key", "product_name", "review_text").distinct()) \
+            .select(*KEY, "product_name", "sentence")
+
+    @cached_property
+    def _stored(self) -> dict[tuple[str, str], DataFrame]:
+        return {}
+
+    def stored(self, kind: str, salt: str) -> DataFrame:
+        """A scorer's output is written before it is read, so that no plan above it evaluates the scorer again. Runs a
+        job, once per domain."""
+        if (kind, salt) not in self._stored:
+            draw = {"answers": drawn_answers, "raw": drawn_raw, "json": drawn_json}[kind]
+            self._stored[kind, salt] = materialise(draw(self.asked, self.products, salt), f"{kind}_{salt}")
+        return self._stored[kind, salt]
+
     def answers(self, salt: str = "a") -> DataFrame:
-        return drawn_answers(self.sentences, self.products, salt)
+        """One answer row per distinct sentence key, as an answer cache holds them."""
+        return self.stored("answers", salt)
 
     def classified(self, salt: str = "a") -> DataFrame:
         """Every sentence of every review with its answers; no review text."""
@@ -161,19 +181,18 @@ class Domain:
         return assign_risk(self.reviews_view)
 
 
-def drawn_raw(sentences: DataFrame, products: DataFrame, salt: str) -> DataFrame:
-    """Unclipped answers of the cue-word scorer for every distinct sentence key; which other product a sentence speaks
-    of, if any, follows from the hash of its text."""
+def drawn_raw(keys: DataFrame, products: DataFrame, salt: str) -> DataFrame:
+    """Unclipped answers of the cue-word scorer, one row per row of `keys` (KEY, product_name, sentence); which other
+    product a sentence speaks of, if any, follows from the hash of its text."""
     n_products = products.agg(F.count(F.lit(1))).scalar()
-    # a content key has one product and a key one sentence, so a distinct over plain columns finds the keys by hashing
-    keys = sentences.select(*KEY, "product_name", "sentence").distinct().withColumn("words", words_of("sentence"))
-    read = keys.withColumns({"n": F.greatest(F.size("words"), F.lit(1)), "hash": F.md5("sentence")})
+    read = keys.withColumn("words", words_of("sentence")).withColumns({"n": F.greatest(F.size("words"), F.lit(1)), "marks": marks("words", salt),
+                             "hash": F.md5("sentence")}).withColumn("found", found()).withColumns(
+        {f"{c}_found": counts(c) for c in CHOICES})
     place = F.conv(F.substring("hash", 1, 8), 16, 10).cast("double") / 4294967296.0
-    labels = {c: choice(c, salt) for c in CHOICES}
-    found = hits(cues(DENSITY_CUES["frustration"], salt))
+    labels = {c: choice(c, F.col(f"{c}_found")) for c in CHOICES}
     numbers = read.select(
         *KEY, "product_name", (density("frustration", salt) * 4.4 - 0.2).alias("frustration"),
-        ((found + 1.0) / (F.col("n") + 1.0) * 1.1 - 0.05).alias("frustration_confidence"),
+        ((hits("frustration") + 1.0) / (F.col("n") + 1.0) * 1.1 - 0.05).alias("frustration_confidence"),
         *[label.alias(c) for c, (label, _) in labels.items()],
         *[(lead * 1.1 - 0.05).alias(f"{c}_confidence") for c, (_, lead) in labels.items()],
         *[(density(f, salt) * 1.2 - 0.1).alias(f) for f in FLAGS],
@@ -186,9 +205,9 @@ def drawn_raw(sentences: DataFrame, products: DataFrame, salt: str) -> DataFrame
     return numbers.join(others, "other_id", "left").drop("other_id")
 
 
-def drawn_answers(sentences: DataFrame, products: DataFrame, salt: str) -> DataFrame:
+def drawn_answers(keys: DataFrame, products: DataFrame, salt: str) -> DataFrame:
     """Stand-in answers in the answer schema: clipped, mentions decided, failures emptied."""
-    raw = drawn_raw(sentences, products, salt)
+    raw = drawn_raw(keys, products, salt)
     ok = ~F.col("failed")
     mentioned = F.array_compact(F.array(
         F.when(F.col("own_mention") >= 0.5, F.col("product_name")),
@@ -207,9 +226,9 @@ def drawn_answers(sentences: DataFrame, products: DataFrame, salt: str) -> DataF
         "latency_ms", F.when(~ok, F.lit("TimeoutError: busy")).alias("error"))
 
 
-def drawn_json(sentences: DataFrame, products: DataFrame, salt: str) -> DataFrame:
+def drawn_json(keys: DataFrame, products: DataFrame, salt: str) -> DataFrame:
     """The same stand-in answers as a scorer returns them: one JSON object per sentence."""
-    raw = drawn_raw(sentences, products, salt)
+    raw = drawn_raw(keys, products, salt)
 
     def answer(**parts: Column) -> Column:
         shape = {"score": "double", "choice": "string", "probability": "double", "confidence": "double"}

@@ -21,6 +21,10 @@ def clipped(expr: str, top: str = "1") -> str:
     return f"CASE WHEN {expr} IS NOT NULL THEN greatest(0::DOUBLE, least({top}::DOUBLE, {expr})) END"
 
 
+def cents(expr: str) -> str:
+    return f"round({expr}::DECIMAL(18,6), 2)::DOUBLE"
+
+
 def split_array(column: str) -> str:
     flat = f"regexp_replace({column}, '{WHITESPACE}', ' ', 'g')"
     marked = rf"regexp_replace({flat}, '([.!?]+) |([。！？]+) ?', '\1\2' || chr(31), 'g')"
@@ -176,9 +180,9 @@ VIEWS: dict[str, tuple[list[str], str]] = {
       text_sentiment AS sentiment, count(*) AS reviews FROM view GROUP BY ALL
     UNION ALL SELECT 'category', product_category, 'product', product_name, text_sentiment, count(*) FROM view GROUP BY ALL
     UNION ALL SELECT 'product', product_name, 'issue', primary_issue, text_sentiment, count(*) FROM view GROUP BY ALL"""),
-    "problems": (["classified"], """
+    "problems": (["classified"], f"""
     SELECT product_name, problem_category, count(*) AS sentences, count(DISTINCT review_id) AS reviews,
-      round(avg(frustration), 2) AS mean_frustration
+      {cents('avg(frustration)')} AS mean_frustration
     FROM classified WHERE problem_category <> 'none' GROUP BY 1, 2"""),
 }
 

@@ -8,7 +8,7 @@ from feedloom.fixed_values import FLAGS, PROBLEM_CATEGORIES
 from feedloom.operators import dashboard, insights
 from feedloom.plans.classify_queries import joined, rounded
 from feedloom.plans.domain import Domain
-from feedloom.plans.domain_sql import check_sql
+from feedloom.plans.domain_sql import cents, check_sql
 from feedloom.plans.feature_queries import FEATURE_COLUMNS, SQL_STAMP, feature_columns, longs, stamp
 from feedloom.plans.registry import query
 from feedloom.session import materialise
@@ -107,9 +107,9 @@ def sankey_conservation(d: Domain):
     return dashboard.sankey_conservation(dashboard.sankey_links(d.reviews_view))
 
 
-@query("frustration_by_rating", check_sql("""
-    SELECT rating::BIGINT AS rating, count(*) AS reviews, round(avg(peak_frustration), 2) AS peak_frustration,
-      round(avg(mean_frustration), 2) AS mean_frustration FROM view GROUP BY 1""", "view"))
+@query("frustration_by_rating", check_sql(f"""
+    SELECT rating::BIGINT AS rating, count(*) AS reviews, {cents('avg(peak_frustration)')} AS peak_frustration,
+      {cents('avg(mean_frustration)')} AS mean_frustration FROM view GROUP BY 1""", "view"))
 def frustration_by_rating(d: Domain):
     return insights.frustration_by_rating(d.reviews_view).select(
         *longs("rating"), "reviews", "peak_frustration", "mean_frustration")
@@ -145,8 +145,8 @@ def cross_mentions(d: Domain):
 
 def _register_flag(flag: str) -> None:
     @query(f"flagged_{flag}", check_sql(f"""
-        SELECT product_name, sentence, round(arg_min({flag}, (review_id, sentence_index)), 2) AS {flag},
-          count(*) AS occurrences, round(arg_min(frustration, (review_id, sentence_index)), 2) AS frustration
+        SELECT product_name, sentence, {cents(f'arg_min({flag}, (review_id, sentence_index))')} AS {flag},
+          count(*) AS occurrences, {cents('arg_min(frustration, (review_id, sentence_index))')} AS frustration
         FROM classified WHERE {flag} >= 0.5 GROUP BY 1, 2""", "classified"))
     def flagged(d: Domain):
         return insights.flagged(d.classified(), flag)
@@ -156,9 +156,9 @@ for _flag in FLAGS:
     _register_flag(_flag)
 
 
-@query("needs_review", check_sql("""
+@query("needs_review", check_sql(f"""
     SELECT DISTINCT product_name, sentence, problem_category,
-      round(problem_category_confidence, 2) AS problem_category_confidence
+      {cents('problem_category_confidence')} AS problem_category_confidence
     FROM classified WHERE problem_category_confidence < 0.6""", "classified"))
 def needs_review(d: Domain):
     return insights.needs_review(d.classified())

@@ -7,6 +7,7 @@ from its words, the same in all three forms. Two scorers are compared: "b" knows
 from __future__ import annotations
 
 import json
+import string
 
 import regex
 from pyspark.sql import Column
@@ -67,24 +68,58 @@ def words_of(sentence: str) -> Column:
     return F.regexp_extract_all(F.lower(F.col(sentence)), F.lit(f"({WORD})"), F.lit(1))
 
 
-def hits(words: list[str]) -> Column:
-    """How many words of the sentence (column `words`) are cues."""
-    return F.size(F.filter("words", lambda w: w.isin(words)))
+def lists_of(salt: str) -> dict[str, list[str]]:
+    """Every cue list by its mark, one letter: the labels of the choices in their order, then the densities."""
+    lists = [cues(words, salt) for labels, _ in CHOICE_CUES.values() for words in labels.values()]
+    lists += [cues(words, salt) for words in DENSITY_CUES.values()]
+    return dict(zip(string.ascii_letters, lists, strict=False))
+
+
+NAMES = [(name, label) for name, (labels, _) in CHOICE_CUES.items() for label in labels] \
+    + [(name, "") for name in DENSITY_CUES]
+MARKS = dict(zip(NAMES, string.ascii_letters, strict=False))
+
+
+def marks(words: str, salt: str) -> Column:
+    """The marks of the lists each word is on, as one string: a single walk over the words, whatever the lists."""
+    found: dict[str, str] = {}
+    for mark, listed in lists_of(salt).items():
+        for word in listed:
+            found[word] = found.get(word, "") + mark
+    book = F.create_map(*[F.lit(x) for pair in sorted(found.items()) for x in pair])
+    return F.array_join(F.transform(F.filter(words, lambda w: w.isin(sorted(found))), lambda w: book[w]), "")
+
+
+def found() -> Column:
+    """How many words are on each list, from the column `marks`: one short loop instead of wide generated code, which
+    the JVM would leave uncompiled."""
+    every = F.array(*[F.lit(m) for m in MARKS.values()])
+    return F.transform(every, lambda m: F.length("marks") - F.length(F.replace(F.col("marks"), m, F.lit(""))))
+
+
+def hits(name: str) -> Column:
+    """How many words of the sentence are cues of a density, from its column `found`."""
+    return F.col("found")[NAMES.index((name, ""))]
 
 
 def density(name: str, salt: str) -> Column:
     """0 to 1, from the share of cues among the words (`n`, at least 1)."""
-    return F.least(F.lit(1.0), F.lit(SHARPNESS[salt]) * hits(cues(DENSITY_CUES[name], salt)) / F.col("n"))
+    return F.least(F.lit(1.0), F.lit(SHARPNESS[salt]) * hits(name) / F.col("n"))
+
+
+def counts(name: str) -> Column:
+    """The cues found per label of a choice, in the order of the labels."""
+    lists, _ = CHOICE_CUES[name]
+    return F.slice("found", NAMES.index((name, next(iter(lists)))) + 1, len(lists))
 
 
-def choice(name: str, salt: str) -> tuple[Column, Column]:
-    """The label of most cues, the first of several, and how far it leads."""
+def choice(name: str, per_label: Column) -> tuple[Column, Column]:
+    """The label of most cues, the first of several, and how far it leads; `per_label` is a column of `counts`."""
     lists, otherwise = CHOICE_CUES[name]
-    found = F.array(*[hits(cues(words, salt)) for words in lists.values()])
-    best = F.array_max(found)
+    best = F.array_max(per_label)
     label = F.when(best == 0, otherwise).otherwise(
-        F.element_at(F.array(*[F.lit(x) for x in lists]), F.array_position(found, best).cast("int")))
-    return label, (best + 1.0) / (F.aggregate(found, F.lit(0), lambda a, b: a + b) + 1.0)
+        F.element_at(F.array(*[F.lit(x) for x in lists]), F.array_position(per_label, best).cast("int")))
+    return label, (best + 1.0) / (F.aggregate(per_label, F.lit(0), lambda a, b: a + b) + 1.0)
 
 
 # --- as SQL over the columns words and n ---------------------------------------------------------

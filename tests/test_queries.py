@@ -7,8 +7,9 @@ import pytest
 
 import __spark_entry__ as contract
 from feedloom.plans.all_queries import REGISTRY
-from feedloom.plans.domain import Domain
+from feedloom.plans.domain import Domain, drawn_answers
 from feedloom.session import materialise
+from tests.conftest import plan_of
 from tools.check_oracle import rows
 
 duckdb = pytest.importorskip("duckdb")
@@ -35,13 +36,6 @@ class StoredDomain(Domain):
     def reviews_view(self):
         return materialise(Domain.reviews_view.func(self), "reviews_view")
 
-    @cached_property
-    def _answers(self):
-        return {salt: materialise(Domain.answers(self, salt), f"answers_{salt}") for salt in ("a", "b")}
-
-    def answers(self, salt="a"):
-        return self._answers[salt]
-
 
 @pytest.fixture(scope="module")
 def con():
@@ -65,5 +59,13 @@ def test_query_equals_sql(spark, con, domain, name):
     assert rows(ours) == rows(theirs)
 
 
+def test_scorer_reads_each_sentence_once(spark):
+    d = Domain(spark, DATA)
+    scoring = drawn_answers(d.asked, d.products, "a")._jdf.queryExecution().optimizedPlan().toString()
+    assert scoring.count("regexp_extract_all") == 1
+    for name in ("needs_review", "problems_by_product", "flagged_safety_concern", "explode_answers"):
+        assert "regexp_extract_all" not in plan_of(REGISTRY[name].run(d))
+
+
 def test_entry(spark):
     assert contract.entry(spark).count() > 0
