@@ -102,3 +102,88 @@ SELECT page_id, l.host, l.path, fit.rule AS rule,
   coalesce(fit.verdict, CASE WHEN bad_bound > 0.5 THEN 'block' ELSE 'allow' END) AS verdict
 FROM located l LEFT JOIN fits f ON l.host = f.host AND l.path = f.path LEFT JOIN bounds b ON l.host = b.host
 """
+
+# the text of the given pages stands in their <article>, in p and h1 elements, with only these two references in it
+OP13 = r"""
+WITH cut AS (
+  SELECT page_id, url, regexp_split_to_array(
+    regexp_extract(coalesce(html, ''), '(?s)<article>(.*?)(</article>|$)', 1), '</?(?:p|h1)\b[^>]*>') AS pieces
+  FROM pages),
+plain AS (
+  SELECT page_id, url, list_transform(pieces, lambda p: trim(regexp_replace(replace(replace(
+    regexp_replace(regexp_replace(p, '</?b>', '', 'g'), '<[^>]*>', ' ', 'g'), '&quot;', '"'), '&amp;', '&'),
+    '\s+', ' ', 'g'))) AS pieces FROM cut),
+joined AS (
+  SELECT page_id, url, coalesce(array_to_string(list_filter(pieces, lambda p: p <> ''), chr(10)), '') AS text FROM plain)
+SELECT page_id, url, text, length(text) AS n_chars FROM joined
+"""
+
+
+def _rounds(n: int) -> str:
+    """The assignments and means of n rounds of k-means over (k, r, p) parts and (k, e, c) entries, compared in full."""
+    nearest = """a{0} AS MATERIALIZED (
+  SELECT k, r, arg_min(e, (d, e)) AS e, min(d) AS d FROM (
+    SELECT p.k, p.r, b.e, list_dot_product(p, p) + list_dot_product(c, c) - 2 * list_dot_product(p, c) AS d
+    FROM parts p JOIN b{0} b ON p.k = b.k) GROUP BY k, r)"""
+    moved = """m{0} AS (
+  SELECT k, e, list(v ORDER BY i) AS c FROM (
+    SELECT k, e, i, floor(sum(v) / count(*)) AS v FROM (
+      SELECT a.k, a.e, unnest(p) AS v, generate_subscripts(p, 1) AS i FROM a{0} a JOIN parts USING (k, r))
+    GROUP BY k, e, i) GROUP BY k, e),
+b{1} AS MATERIALIZED (
+  SELECT b.k, b.e, coalesce(m.c, b.c) AS c FROM b{0} b LEFT JOIN m{0} m ON b.k = m.k AND b.e = m.e)"""
+    steps = [nearest.format(k) + ",\n" + moved.format(k, k + 1) for k in range(n)]
+    return ",\n".join([*steps, nearest.format(n)])
+
+
+OP12 = f"""
+WITH kept AS MATERIALIZED (
+  SELECT vec_id, label, w, row_number() OVER (ORDER BY vec_id NULLS LAST, w) AS r FROM (
+    SELECT vec_id, label, list_transform(embedding, lambda x: floor(x::DOUBLE * 1024)) AS w FROM embeddings
+    WHERE embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0)),
+parts AS MATERIALIZED (
+  SELECT r, k, list_slice(w, k * len(w) // 4 + 1, (k + 1) * len(w) // 4) AS p FROM kept, range(4) t(k)),
+b0 AS MATERIALIZED (SELECT k, r - 1 AS e, p AS c FROM parts WHERE r <= 256),
+{_rounds(4)},
+coded AS (
+  SELECT r, string_agg(printf('%02x', e), '' ORDER BY k) AS code, sum(d)::BIGINT AS error FROM a4 GROUP BY r)
+SELECT vec_id, code, error, (sum(error) OVER (PARTITION BY label))::BIGINT AS label_error,
+  (SELECT sha256(string_agg(v::BIGINT::VARCHAR, ',' ORDER BY k, e, i))
+   FROM (SELECT k, e, unnest(c) AS v, generate_subscripts(c, 1) AS i FROM b4)) AS codebooks_sha256
+FROM kept JOIN coded USING (r)
+"""
+
+OP11 = r"""
+WITH pieces AS (
+  SELECT lang, list_filter(regexp_split_to_array(piece, '[ \t]+'), lambda w: w <> '') AS ws FROM (
+    SELECT coalesce(lang, 'und') AS lang, unnest(regexp_split_to_array(
+      translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+      '[.,;:!?\n\x0B\x0C\r]')) AS piece FROM documents)),
+totals AS (SELECT lang, sum(len(ws))::BIGINT AS n FROM pieces GROUP BY lang),
+runs AS (
+  SELECT lang, size, array_to_string(list_slice(ws, i, i + size - 1), ' ') AS phrase FROM (
+    SELECT lang, size, ws, unnest(range(1, len(ws) - size + 2)) AS i FROM pieces, range(1, 6) s(size))),
+f AS MATERIALIZED (SELECT lang, size, phrase, count(*) AS f FROM runs GROUP BY ALL HAVING count(*) >= 100),
+candidates AS (SELECT lang, size, phrase, f AS a, string_split(phrase, ' ') AS ws FROM f WHERE size > 1),
+cuts AS (
+  SELECT lang, phrase, a, k, array_to_string(list_slice(ws, 1, k), ' ') AS first,
+    array_to_string(list_slice(ws, k + 1, size), ' ') AS rest
+  FROM (SELECT *, unnest(range(1, size)) AS k FROM candidates)),
+scored AS (
+  SELECT c.lang, c.phrase, c.a, k, l.f AS l, r.f AS r, n,
+    ((1000::HUGEINT * c.a * n) // (l.f::HUGEINT * r.f))::BIGINT AS score
+  FROM cuts c JOIN f l ON c.lang = l.lang AND c.first = l.phrase JOIN f r ON c.lang = r.lang AND c.rest = r.phrase
+  JOIN totals t ON c.lang = t.lang),
+worst AS (
+  SELECT lang, phrase, a, n, unnest(arg_min({'l': l, 'r': r, 'score': score}, (score, k)))
+  FROM scored GROUP BY lang, phrase, a, n),
+inner_runs AS (
+  SELECT lang, array_to_string(list_slice(ws, i, i + part - 1), ' ') AS phrase, max(a) AS longer FROM (
+    SELECT *, unnest(range(1, size - part + 2)) AS i FROM (SELECT *, unnest(range(2, size)) AS part FROM candidates))
+  GROUP BY 1, 2)
+SELECT lang, rank, phrase, a, l, r, n, score FROM (
+  SELECT w.lang, row_number() OVER (PARTITION BY w.lang ORDER BY score DESC, a DESC, w.phrase) AS rank, w.phrase, a, l, r, n,
+    score
+  FROM worst w LEFT JOIN inner_runs i ON w.lang = i.lang AND w.phrase = i.phrase WHERE longer IS NULL OR longer < a)
+WHERE rank <= 2000
+"""

@@ -8,7 +8,22 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from feedloom.llm import chat, decontaminate, language, language_model, line_dedup, minhash, neighbours, oracles, packing, suffix_dedup, url_reputation
+from feedloom.llm import (
+    ball_codes,
+    chat,
+    decontaminate,
+    html_text,
+    language,
+    language_model,
+    line_dedup,
+    minhash,
+    neighbours,
+    oracles,
+    packing,
+    phrases,
+    suffix_dedup,
+    url_reputation,
+)
 from feedloom.llm.common import read
 
 
@@ -75,6 +90,20 @@ def op10_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     return url_reputation.judge(read(spark, sf_dir, "pages"), outcomes).drop("bad_bound")
 
 
+def op11_phrases(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return phrases.collocations(read(spark, sf_dir, "documents"), least=100, longest=5, first=2000)
+
+
+def op12_vector_codes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    codes, books = ball_codes.compress(read(spark, sf_dir, "embeddings"), parts=4, entries=256, rounds=4)
+    return ball_codes.with_label_error(codes).withColumn("codebooks_sha256", F.lit(ball_codes.digest(books))).select(
+        "vec_id", "code", "error", "label_error", "codebooks_sha256")
+
+
+def op13_html_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return html_text.extract(read(spark, sf_dir, "pages"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_minhash_near_dedup": op1_minhash_near_dedup,
     "op2_line_dedup": op2_line_dedup,
@@ -86,6 +115,11 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_packing": op8_packing,
     "op9_chat_formatting": op9_chat_formatting,
     "op10_url_filter": op10_url_filter,
+    "op11_phrases": op11_phrases,
+    "op12_vector_codes": op12_vector_codes,
+    "op13_html_text": op13_html_text,
 }
 
-ORACLES: dict[str, str] = {"op9_chat_formatting": oracles.OP9, "op10_url_filter": oracles.OP10}
+ORACLES: dict[str, str] = {"op9_chat_formatting": oracles.OP9, "op10_url_filter": oracles.OP10,
+                           "op11_phrases": oracles.OP11, "op12_vector_codes": oracles.OP12,
+                           "op13_html_text": oracles.OP13}
