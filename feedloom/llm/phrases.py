@@ -1,13 +1,12 @@
 """Phrases that occur more often than their parts explain, by Rabin-Karp fingerprints.
 
 Texts are cut into pieces and words once and stored. Then one pass per phrase length n: numpy prefix polynomials over the
-hashes of the words give the fingerprint of every n-gram by one subtraction; a task counts equal n-grams of the words it
-holds (compared word by word, so that no collision is counted together) and hands out a fingerprint, a count and a pointer
-to the first place. Spark adds the counts per fingerprint. An n-gram is only looked at where both (n-1)-grams in it are
-frequent; a bitmap of fixed size over the frequent fingerprints says so, which may let others pass but misses none. At the
-end the pointers of frequent fingerprints, and only these, are followed into the stored texts, and counts are added per
-text of the phrase: each place handed out is held against what the text says there, so that two phrases of one fingerprint
-part again.
+hashes of the words give the fingerprint of every n-gram by one subtraction; a task counts the n-grams of the words it
+holds, and Spark adds the counts per fingerprint. An n-gram is only looked at where both (n-1)-grams in it are frequent; a
+bitmap of fixed size over the frequent fingerprints says so, which may let others pass but misses none. A last pass hands
+out, for frequent fingerprints only, counts with pointers to the first place of each run in the words a task holds. There
+equal runs are compared word by word, and between tasks by the text each pointer leads to: counts are added per text of
+the phrase, so that two phrases of one fingerprint part again, and only frequent phrases are ever written out.
 
 Defined results: a null text has no words, a null language is `und`; repeated rows count each; a table without frequent
 phrases gives no rows; other columns are ignored, whatever their names. Texts of any length are worked on in pieces of
@@ -50,18 +49,19 @@ def normal(text: bytes) -> bytes:
 
 
 def worded(docs: DataFrame) -> DataFrame:
-    """(row, lang, words): every text in its normal form under a number of its own. Runs a job."""
+    """(row, lang, words, n): every text in its normal form under a number of its own, and its words. Runs a job."""
 
     def over(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            texts = batch.column("text").cast(pa.binary()).to_pylist()
+            texts = [normal(t or b"") for t in batch.column("text").cast(pa.binary()).to_pylist()]
+            n = [len(t) and t.count(b" ") + t.count(b"\n") + 1 for t in texts]
             yield pa.RecordBatch.from_arrays(
-                [batch.column("row"), batch.column("lang"), pa.array([normal(t or b"") for t in texts], pa.binary())],
-                ["row", "lang", "words"])
+                [batch.column("row"), batch.column("lang"), pa.array(texts, pa.binary()), pa.array(n, pa.int64())],
+                ["row", "lang", "words", "n"])
 
     rows = docs.select(F.monotonically_increasing_id().alias("row"),
                        F.coalesce(F.col("lang").cast("string"), F.lit(UNKNOWN)).alias("lang"), "text")
-    return stored(map_batches(rows, over, "row long, lang string, words binary"), "phrases-words")
+    return stored(map_batches(rows, over, "row long, lang string, words binary, n long"), "phrases-words")
 
 
 @dataclass
@@ -110,7 +110,7 @@ def stretches(text: bytes, shared: int, size: int) -> Iterator[tuple[int, int, i
         start = at + 1
 
 
-def chunks(batches: Iterator[pa.RecordBatch], shared: int, size: int = CHUNK) -> Iterator[Chunk]:
+def chunks(batches: Iterator[pa.RecordBatch], shared: int, size: int) -> Iterator[Chunk]:
     held, held_bytes = Chunk(), 0
     for batch in batches:
         for row, lang, text in zip(*(batch.column(c).to_pylist() for c in ("row", "lang", "words"))):
@@ -150,75 +150,104 @@ def fingerprints(hashes: np.ndarray, n: int, salt: np.ndarray) -> np.ndarray:
     return mix((prefix[n:] - prefix[:-n]) * powers[:m - n + 1] ^ salt[:m - n + 1] ^ U64(n * INVERSE & (1 << 64) - 1))
 
 
-def count_chunk(chunk: Chunk, n: int, frequent: np.ndarray | None) -> pa.RecordBatch | None:
-    """(lang, key, count, row, start, size) of the different n-grams of a chunk whose shorter runs may be frequent."""
-    whole = b"\n".join(chunk.parts) + b"\n"
-    words, codes_of = whole.split(), Codes()
-    codes = np.fromiter(map(codes_of.__getitem__, words), np.int64, len(words))
-    distinct = list(codes_of)
-    hashes = np.fromiter(map(xxhash.xxh3_64_intdigest, distinct), U64, len(distinct))[codes]
-    lengths = np.fromiter(map(len, distinct), np.int64, len(distinct))[codes]
-    ends = np.cumsum(lengths + 1) - 1
-    breaks = np.r_[0, np.cumsum(np.frombuffer(whole, np.uint8)[ends] == NEWLINE)]
-    part_ends = np.cumsum([len(p) + 1 for p in chunk.parts]) - 1
-    part = np.searchsorted(part_ends, ends)
-    langs = sorted(set(chunk.langs))
-    lang = np.array([langs.index(x) for x in chunk.langs])[part]
-    salt = np.array([xxhash.xxh3_64_intdigest(x.encode()) for x in langs], U64)[lang]
-    keys = fingerprints(hashes, n, salt)
-    if not len(keys):
-        return None
-    starts = np.arange(len(keys))
-    wanted = (breaks[n - 1:][:len(keys)] == breaks[:len(keys)]) & (starts + n - 1 >= chunk.skip)
-    if frequent is not None:
-        shorter = in_bitmap(frequent, fingerprints(hashes, n - 1, salt))
-        wanted &= shorter[:-1] & shorter[1:]
-    at = np.flatnonzero(wanted)
-    if not len(at):
-        return None
-    at = at[np.argsort(keys[at], kind="stable")]
-    other = (keys[at][1:] != keys[at][:-1]) | (lang[at][1:] != lang[at][:-1])
-    for k in range(n):  # equal fingerprints of different words are different groups
-        other |= codes[at + k][1:] != codes[at + k][:-1]
-    first = np.flatnonzero(np.r_[True, other])
-    counts, place = np.diff(np.r_[first, len(at)]), at[first]
-    begin = ends[place] - lengths[place]
-    offset = begin - (part_ends - np.array([len(p) for p in chunk.parts]))[part[place]]
-    return pa.RecordBatch.from_arrays(
-        [pa.array([langs[k] for k in lang[place].tolist()], pa.string()), pa.array(keys[place].view(np.int64)),
-         pa.array(counts.astype(np.int64)), pa.array(np.array(chunk.rows, np.int64)[part[place]]),
-         pa.array(offset + np.array(chunk.starts, np.int64)[part[place]]),
-         pa.array((ends[place + n - 1] - begin).astype(np.int64))], ["lang", "key", "count", "row", "start", "size"])
-
-
-def counted(words: DataFrame, n: int, frequent: np.ndarray | None) -> DataFrame:
+class Runs:
+    """The words of a chunk as numbers, and its runs of n words."""
+
+    def __init__(self, chunk: Chunk):
+        whole = b"\n".join(chunk.parts) + b"\n"
+        words, codes_of = whole.split(), Codes()
+        self.chunk = chunk
+        self.codes = np.fromiter(map(codes_of.__getitem__, words), np.int64, len(words))
+        distinct = list(codes_of)
+        self.hashes = np.fromiter(map(xxhash.xxh3_64_intdigest, distinct), U64, len(distinct))[self.codes]
+        self.lengths = np.fromiter(map(len, distinct), np.int64, len(distinct))[self.codes]
+        self.ends = np.cumsum(self.lengths + 1) - 1
+        self.breaks = np.r_[0, np.cumsum(np.frombuffer(whole, np.uint8)[self.ends] == NEWLINE)]
+        sizes = np.array([len(p) for p in chunk.parts])
+        part_ends = np.cumsum(sizes + 1) - 1
+        self.part, self.part_starts = np.searchsorted(part_ends, self.ends), part_ends - sizes
+        self.langs = sorted(set(chunk.langs))
+        self.lang = np.array([self.langs.index(x) for x in chunk.langs])[self.part]
+        self.salt = np.array([xxhash.xxh3_64_intdigest(x.encode()) for x in self.langs], U64)[self.lang]
+
+    def keys(self, n: int) -> np.ndarray:
+        return fingerprints(self.hashes, n, self.salt)
+
+    def groups(self, n: int, keys: np.ndarray, wanted: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """(first place, count) of every different run among the wanted ones that lie in one piece and end in words
+        that no chunk before has counted."""
+        wanted = wanted & (self.breaks[n - 1:][:len(keys)] == self.breaks[:len(keys)])
+        wanted[:max(0, self.chunk.skip - n + 1)] = False
+        at = np.flatnonzero(wanted)
+        at = at[np.argsort(keys[at], kind="stable")]
+        other = (keys[at][1:] != keys[at][:-1]) | (self.lang[at][1:] != self.lang[at][:-1])
+        for k in range(n):  # equal fingerprints of different words are different groups
+            other |= self.codes[at + k][1:] != self.codes[at + k][:-1]
+        first = np.flatnonzero(np.r_[len(at) > 0, other])
+        return at[first], np.diff(np.r_[first, len(at)])
+
+
+def in_slices(columns: dict[str, pa.Array], rows: int = 50_000) -> Iterator[pa.RecordBatch]:
+    batch = pa.RecordBatch.from_arrays(list(columns.values()), list(columns))
+    yield from (batch.slice(k, rows) for k in range(0, batch.num_rows, rows))
+
+
+def tally(chunk: Chunk, n: int, shorter: np.ndarray | None) -> Iterator[pa.RecordBatch]:
+    """(key, count) of the different n-grams of a chunk both of whose (n-1)-grams may be frequent."""
+    runs = Runs(chunk)
+    keys = runs.keys(n)
+    wanted = np.ones(len(keys), bool)
+    if shorter is not None and len(keys):
+        may = in_bitmap(shorter, runs.keys(n - 1))
+        wanted = may[:-1] & may[1:]
+    place, counts = runs.groups(n, keys, wanted)
+    yield from in_slices({"key": pa.array(keys[place].view(np.int64)), "count": pa.array(counts)})
+
+
+def places(chunk: Chunk, frequent: list[np.ndarray]) -> Iterator[pa.RecordBatch]:
+    """(lang, n_words, key, count, row, start, size) of the n-grams of a chunk that may be frequent themselves: where
+    each stands first, in bytes of its text."""
+    runs = Runs(chunk)
+    rows, starts = np.array(chunk.rows, np.int64), np.array(chunk.starts, np.int64)
+    for n, bits in enumerate(frequent, 1):
+        keys = runs.keys(n)
+        place, counts = runs.groups(n, keys, in_bitmap(bits, keys))
+        part, begin = runs.part[place], runs.ends[place] - runs.lengths[place]
+        yield from in_slices({
+            "lang": pa.array([runs.langs[k] for k in runs.lang[place].tolist()], pa.string()),
+            "n_words": pa.array(np.full(len(place), n, np.int32)), "key": pa.array(keys[place].view(np.int64)),
+            "count": pa.array(counts), "row": pa.array(rows[part]),
+            "start": pa.array(begin - runs.part_starts[part] + starts[part]),
+            "size": pa.array(runs.ends[place + n - 1] - begin)})
+
+
+def over_chunks(words: DataFrame, shared: int, size: int, fn, schema: str) -> DataFrame:
     def over(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for chunk in chunks(batches, n - 1):
-            found = count_chunk(chunk, n, frequent)
-            if found is not None:
-                yield from (found.slice(k, 50_000) for k in range(0, found.num_rows, 50_000))
+        for chunk in chunks(batches, shared, size):
+            yield from fn(chunk)
 
-    return map_batches(words, over, "lang string, key long, count long, row long, start long, size long")
+    return map_batches(words, over, schema)
 
 
-def frequent_phrases(words: DataFrame, least: int, longest: int) -> tuple[DataFrame, DataFrame]:
+def frequent_phrases(words: DataFrame, least: int, longest: int, chunk_bytes: int) -> tuple[DataFrame, DataFrame]:
     """(lang, n_words, phrase, f) of all phrases up to `longest` words that occur at least so often, and (lang, n) with
     all words of a language. Runs jobs."""
-    pointers, bits, totals = [], None, None
+    often, bits = [], []
     for n in range(1, longest + 1):
-        found = stored(counted(words, n, bits), f"phrases-{n}")
-        if n == 1:
-            totals = found.groupBy("lang").agg(F.sum("count").alias("n"))
-        often = stored(found.groupBy("lang", "key").agg(F.sum("count").alias("f")).where(F.col("f") >= least)
-                       .select("lang", "key"), f"phrases-frequent-{n}")
-        pointers.append(found.join(often, ["lang", "key"], "left_semi").withColumn("n_words", F.lit(n)))
-        bits = bitmap_of(often, "key")
-    all_pointers = reduce(DataFrame.unionByName, pointers)
-    said = all_pointers.join(words.select("row", "words"), "row").select(
+        shorter = bits[-1] if bits else None
+        counted = over_chunks(words, n - 1, chunk_bytes, lambda chunk, n=n, shorter=shorter: tally(chunk, n, shorter),
+                              "key long, count long")
+        often.append(stored(counted.groupBy("key").agg(F.sum("count").alias("f")).where(F.col("f") >= least)
+                            .select("key", F.lit(n).alias("n_words")), f"phrases-frequent-{n}"))
+        bits.append(bitmap_of(often[-1], "key"))
+    pointers = over_chunks(words, longest - 1, chunk_bytes, lambda chunk: places(chunk, bits),
+                           "lang string, n_words int, key long, count long, row long, start long, size long")
+    sure = pointers.join(reduce(DataFrame.unionByName, often), ["key", "n_words"], "left_semi")
+    said = sure.join(words.select("row", "words"), "row").select(
         "lang", "n_words", F.expr("substring(words, cast(start as int) + 1, cast(size as int))").cast("string").alias("phrase"),
         "count")
     exact = said.groupBy("lang", "n_words", "phrase").agg(F.sum("count").alias("f")).where(F.col("f") >= least)
-    return stored(exact, "phrases-exact"), totals
+    return stored(exact, "phrases-exact"), words.groupBy("lang").agg(F.sum("n").alias("n"))
 
 
 def words_between(begin, length):
@@ -259,9 +288,10 @@ def not_held(phrases: DataFrame) -> DataFrame:
         .select("lang", "phrase")
 
 
-def collocations(docs: DataFrame, *, least: int = 100, longest: int = 5, first: int = 2000) -> DataFrame:
+def collocations(docs: DataFrame, *, least: int = 100, longest: int = 5, first: int = 2000,
+                 chunk_bytes: int = CHUNK) -> DataFrame:
     """lang, rank, phrase, a, l, r, n, score: the `first` phrases of each language whose worst cut scores best."""
-    phrases, totals = frequent_phrases(worded(docs), least, longest)
+    phrases, totals = frequent_phrases(worded(docs), least, longest, chunk_bytes)
     kept = scored(phrases, totals).join(not_held(phrases), ["lang", "phrase"], "left_anti")
     order = [F.desc("score"), F.desc("a"), "phrase"]
     slices = Window.partitionBy("lang", F.pmod(F.xxhash64("phrase"), F.lit(RANK_SLICES))).orderBy(*order)

@@ -7,7 +7,8 @@ import numpy as np
 import pytest
 
 from feedloom.llm import phrases
-from feedloom.llm.phrases import Chunk, collocations, count_chunk, normal, stretches
+from feedloom.llm.common import BITMAP_BITS
+from feedloom.llm.phrases import Chunk, Runs, collocations, normal, stretches
 from tests.llm.samples import ODD_TEXTS, documents, prose
 
 
@@ -74,35 +75,46 @@ def test_large_counts_stay_exact(spark):
     assert found.score == 1000 * (big - 11) * (3 * 10 ** 15 + 1) // (big * (big - 7))
 
 
+def counts_of(chunk, n):
+    """Counts by the bytes each group's first place points at."""
+    runs, text = Runs(chunk), b"\n".join(chunk.parts)
+    keys = runs.keys(n)
+    out = Counter()
+    for place, count in zip(*runs.groups(n, keys, np.ones(len(keys), bool))):
+        out[text[runs.ends[place] - runs.lengths[place]:runs.ends[place + n - 1]]] += int(count)
+    return out
+
+
 def test_stretches_of_a_long_text_count_every_run_once():
     text = normal(prose(3, 4000, 50).encode())
     whole = Chunk()
     whole.add(7, "en", 0, text)
     for n in (1, 2, 5):
-        once = Counter()
-        for r in count_chunk(whole, n, None).to_pylist():
-            once[text[r["start"]:r["start"] + r["size"]]] += r["count"]
         cut = Counter()
         for start, end, skip in stretches(text, n - 1, 300):
             part = Chunk(skip=skip)
             part.add(7, "en", start, text[start:end])
-            found = count_chunk(part, n, None)
-            for r in found.to_pylist() if found else []:
-                cut[text[r["start"]:r["start"] + r["size"]]] += r["count"]
-        assert cut == once
+            cut += counts_of(part, n)
+        assert cut == counts_of(whole, n)
+
+
+def test_long_texts_beside_plain_counts(spark):
+    rows = [("en", prose(5, 900, 9)), ("en", "x y z " * 100), (None, prose(6, 10, 9))]
+    found = collocations(table(spark, rows), least=4, longest=5, first=2000, chunk_bytes=200).collect()
+    assert sorted(tuple(r) for r in found) == plain(rows, 4, 5, 2000)
 
 
 def test_colliding_fingerprints_are_told_apart(spark, monkeypatch):
-    """With every word hashed alike, all phrases of a length share a fingerprint, and the texts still part them."""
-    monkeypatch.setattr(phrases, "fingerprints", lambda hashes, n, salt: np.full(max(0, len(hashes) - n + 1), n, np.uint64))
+    """With all phrases of a length under one fingerprint, their texts still part them."""
+    def same(hashes, n, salt):
+        return np.full(max(0, len(hashes) - n + 1), n, np.uint64)
+
+    monkeypatch.setattr(phrases, "fingerprints", same)
     chunk = Chunk()
     chunk.add(1, "en", 0, b"a b a b\nc a b")
-    found = count_chunk(chunk, 2, None).to_pylist()
-    counts = Counter()
-    for r in found:
-        counts[b"a b a b\nc a b"[r["start"]:r["start"] + r["size"]]] += r["count"]
-    assert len({r["key"] for r in found}) == 1
-    assert counts == {b"a b": 3, b"b a": 1, b"c a": 1}
+    assert counts_of(chunk, 2) == {b"a b": 3, b"b a": 1, b"c a": 1}
+    found = phrases.places(chunk, [np.full(BITMAP_BITS // 32, 2 ** 32 - 1, np.uint32)] * 2)
+    assert {b["key"][0].as_py() for b in found} == {1, 2}
 
 
 def test_normal_form():
