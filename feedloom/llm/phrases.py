@@ -1,12 +1,13 @@
 """Phrases that occur more often than their parts explain, by Rabin-Karp fingerprints.
 
-Texts are cut into pieces and words once and stored. Then one pass per phrase length n: numpy prefix polynomials over the
-hashes of the words give the fingerprint of every n-gram by one subtraction; a task counts the n-grams of the words it
-holds, and Spark adds the counts per fingerprint. An n-gram is only looked at where both (n-1)-grams in it are frequent; a
-bitmap of fixed size over the frequent fingerprints says so, which may let others pass but misses none. A last pass hands
-out, for frequent fingerprints only, counts with pointers to the first place of each run in the words a task holds. There
-equal runs are compared word by word, and between tasks by the text each pointer leads to: counts are added per text of
-the phrase, so that two phrases of one fingerprint part again, and only frequent phrases are ever written out.
+Texts are cut into pieces and words once and stored. Then passes over them count: numpy prefix polynomials over the hashes
+of the words give the fingerprint of every n-gram by one subtraction, a task counts the n-grams of the words it holds, and
+Spark adds the counts per fingerprint. Words come first, then pairs whose words are frequent, then longer runs whose pairs
+are; a bitmap of fixed size over the frequent fingerprints says so, which may let others pass but misses none. A last pass
+hands out, for frequent fingerprints only, counts with a pointer to the first place of each run in the words a task holds.
+There equal runs are compared word by word; between tasks a fingerprint goes with a control of other hashes, 128 bits in
+all, so that different phrases of one fingerprint part. One pointer of each is followed into the stored text, and counts
+are added by what is written there: only frequent phrases are ever written out.
 
 Defined results: a null text has no words, a null language is `und`; repeated rows count each; a table without frequent
 phrases gives no rows; other columns are ignored, whatever their names. Texts of any length are worked on in pieces of
@@ -159,7 +160,8 @@ class Runs:
         self.chunk = chunk
         self.codes = np.fromiter(map(codes_of.__getitem__, words), np.int64, len(words))
         distinct = list(codes_of)
-        self.hashes = np.fromiter(map(xxhash.xxh3_64_intdigest, distinct), U64, len(distinct))[self.codes]
+        both = np.frombuffer(b"".join(map(xxhash.xxh3_128_digest, distinct)), ">u8").astype(U64).reshape(-1, 2)
+        self.hashes, self.others = both[self.codes, 0], both[self.codes, 1]
         self.lengths = np.fromiter(map(len, distinct), np.int64, len(distinct))[self.codes]
         self.ends = np.cumsum(self.lengths + 1) - 1
         self.breaks = np.r_[0, np.cumsum(np.frombuffer(whole, np.uint8)[self.ends] == NEWLINE)]
@@ -192,33 +194,37 @@ def in_slices(columns: dict[str, pa.Array], rows: int = 50_000) -> Iterator[pa.R
     yield from (batch.slice(k, rows) for k in range(0, batch.num_rows, rows))
 
 
-def tally(chunk: Chunk, n: int, shorter: np.ndarray | None) -> Iterator[pa.RecordBatch]:
-    """(key, count) of the different n-grams of a chunk both of whose (n-1)-grams may be frequent."""
+def tally(chunk: Chunk, sizes: range, shorter: np.ndarray | None) -> Iterator[pa.RecordBatch]:
+    """(key, count) of the different n-grams of a chunk, for each n of `sizes`, all of whose runs of one word less than
+    the first of the sizes may be frequent."""
     runs = Runs(chunk)
-    keys = runs.keys(n)
-    wanted = np.ones(len(keys), bool)
-    if shorter is not None and len(keys):
-        may = in_bitmap(shorter, runs.keys(n - 1))
-        wanted = may[:-1] & may[1:]
-    place, counts = runs.groups(n, keys, wanted)
-    yield from in_slices({"key": pa.array(keys[place].view(np.int64)), "count": pa.array(counts)})
-
-
-def places(chunk: Chunk, frequent: list[np.ndarray]) -> Iterator[pa.RecordBatch]:
-    """(lang, n_words, key, count, row, start, size) of the n-grams of a chunk that may be frequent themselves: where
-    each stands first, in bytes of its text."""
+    part = sizes[0] - 1
+    may = None if shorter is None else in_bitmap(shorter, runs.keys(part))
+    for n in sizes:
+        keys = runs.keys(n)
+        wanted = np.ones(len(keys), bool)
+        for k in range(n - part + 1 if may is not None else 0):
+            wanted &= may[k:k + len(keys)]
+        place, counts = runs.groups(n, keys, wanted)
+        yield from in_slices({"key": pa.array(keys[place].view(np.int64)), "count": pa.array(counts)})
+
+
+def places(chunk: Chunk, frequent: list[tuple[range, np.ndarray]]) -> Iterator[pa.RecordBatch]:
+    """(key, control, count, row, start, size) of the n-grams of a chunk that may be frequent themselves: where each
+    stands first, in bytes of its text. The control is a second fingerprint, of other hashes of the words."""
     runs = Runs(chunk)
     rows, starts = np.array(chunk.rows, np.int64), np.array(chunk.starts, np.int64)
-    for n, bits in enumerate(frequent, 1):
-        keys = runs.keys(n)
-        place, counts = runs.groups(n, keys, in_bitmap(bits, keys))
-        part, begin = runs.part[place], runs.ends[place] - runs.lengths[place]
-        yield from in_slices({
-            "lang": pa.array([runs.langs[k] for k in runs.lang[place].tolist()], pa.string()),
-            "n_words": pa.array(np.full(len(place), n, np.int32)), "key": pa.array(keys[place].view(np.int64)),
-            "count": pa.array(counts), "row": pa.array(rows[part]),
-            "start": pa.array(begin - runs.part_starts[part] + starts[part]),
-            "size": pa.array(runs.ends[place + n - 1] - begin)})
+    for sizes, bits in frequent:
+        for n in sizes:
+            keys = runs.keys(n)
+            place, counts = runs.groups(n, keys, in_bitmap(bits, keys))
+            part, begin = runs.part[place], runs.ends[place] - runs.lengths[place]
+            yield from in_slices({
+                "key": pa.array(keys[place].view(np.int64)),
+                "control": pa.array(fingerprints(runs.others, n, runs.salt)[place].view(np.int64)),
+                "count": pa.array(counts), "row": pa.array(rows[part]),
+                "start": pa.array(begin - runs.part_starts[part] + starts[part]),
+                "size": pa.array(runs.ends[place + n - 1] - begin)})
 
 
 def over_chunks(words: DataFrame, shared: int, size: int, fn, schema: str) -> DataFrame:
@@ -232,21 +238,23 @@ def over_chunks(words: DataFrame, shared: int, size: int, fn, schema: str) -> Da
 def frequent_phrases(words: DataFrame, least: int, longest: int, chunk_bytes: int) -> tuple[DataFrame, DataFrame]:
     """(lang, n_words, phrase, f) of all phrases up to `longest` words that occur at least so often, and (lang, n) with
     all words of a language. Runs jobs."""
-    often, bits = [], []
-    for n in range(1, longest + 1):
-        shorter = bits[-1] if bits else None
-        counted = over_chunks(words, n - 1, chunk_bytes, lambda chunk, n=n, shorter=shorter: tally(chunk, n, shorter),
-                              "key long, count long")
-        often.append(stored(counted.groupBy("key").agg(F.sum("count").alias("f")).where(F.col("f") >= least)
-                            .select("key", F.lit(n).alias("n_words")), f"phrases-frequent-{n}"))
-        bits.append(bitmap_of(often[-1], "key"))
-    pointers = over_chunks(words, longest - 1, chunk_bytes, lambda chunk: places(chunk, bits),
-                           "lang string, n_words int, key long, count long, row long, start long, size long")
-    sure = pointers.join(reduce(DataFrame.unionByName, often), ["key", "n_words"], "left_semi")
-    said = sure.join(words.select("row", "words"), "row").select(
-        "lang", "n_words", F.expr("substring(words, cast(start as int) + 1, cast(size as int))").cast("string").alias("phrase"),
-        "count")
-    exact = said.groupBy("lang", "n_words", "phrase").agg(F.sum("count").alias("f")).where(F.col("f") >= least)
+    bits: list[tuple[range, np.ndarray]] = []
+    for sizes in (range(1, 2), range(2, 3), range(3, longest + 1)):
+        if sizes and sizes[-1] <= longest:
+            shorter = bits[-1][1] if bits else None
+            counted = over_chunks(words, sizes[-1] - 1, chunk_bytes, lambda c, n=sizes, b=shorter: tally(c, n, b),
+                                  "key long, count long")
+            often = counted.groupBy("key").agg(F.sum("count").alias("f")).where(F.col("f") >= least).select("key")
+            bits.append((sizes, bitmap_of(often, "key")))
+    pointers = over_chunks(words, longest - 1, chunk_bytes, lambda c: places(c, bits),
+                           "key long, control long, count long, row long, start long, size long")
+    # of equal runs any place will do; the least row has one, and the size is that of all of them
+    found = pointers.groupBy("key", "control").agg(
+        F.sum("count").alias("f"), F.min("row").alias("row"), F.min_by("start", "row").alias("start"),
+        F.max("size").alias("size")).where(F.col("f") >= least)
+    said = found.join(words.select("row", "lang", "words"), "row").select(
+        "lang", F.expr("substring(words, cast(start as int) + 1, cast(size as int))").cast("string").alias("phrase"), "f")
+    exact = said.groupBy("lang", "phrase").agg(F.sum("f").alias("f")).withColumn("n_words", F.size(F.split("phrase", " ")))
     return stored(exact, "phrases-exact"), words.groupBy("lang").agg(F.sum("n").alias("n"))
 
 

@@ -109,12 +109,13 @@ def test_colliding_fingerprints_are_told_apart(spark, monkeypatch):
     def same(hashes, n, salt):
         return np.full(max(0, len(hashes) - n + 1), n, np.uint64)
 
-    monkeypatch.setattr(phrases, "fingerprints", same)
+    monkeypatch.setattr(phrases.Runs, "keys", lambda self, n: same(self.hashes, n, self.salt))
     chunk = Chunk()
     chunk.add(1, "en", 0, b"a b a b\nc a b")
     assert counts_of(chunk, 2) == {b"a b": 3, b"b a": 1, b"c a": 1}
-    found = phrases.places(chunk, [np.full(BITMAP_BITS // 32, 2 ** 32 - 1, np.uint32)] * 2)
+    found = list(phrases.places(chunk, [(range(1, 3), np.full(BITMAP_BITS // 32, 2 ** 32 - 1, np.uint32))]))
     assert {b["key"][0].as_py() for b in found} == {1, 2}
+    assert len({c for b in found for c in b["control"].to_pylist()}) == 6
 
 
 def test_normal_form():
