@@ -31,6 +31,8 @@ from pyspark.sql import functions as F
 from feedloom.llm.common import U64, bitmap_of, in_bitmap, map_batches, mix, stored
 
 CHUNK = 6 << 20
+HELD = 1_000_000  # rows of a task; results do not depend on it
+POINTER = ["key", "control", "count", "row", "start", "size"]
 SLICES = 16
 RANK_SLICES = 64
 BASE = 0x9E3779B97F4A7C15  # odd, so it has an inverse modulo 2^64
@@ -196,7 +198,8 @@ def in_slices(columns: dict[str, pa.Array], rows: int = 50_000) -> Iterator[pa.R
 
 def tally(chunk: Chunk, sizes: range, shorter: np.ndarray | None) -> Iterator[pa.RecordBatch]:
     """(key, count) of the different n-grams of a chunk, for each n of `sizes`, all of whose runs of one word less than
-    the first of the sizes may be frequent."""
+    the first of the sizes may be frequent. The key is half a fingerprint: what shares it is counted together, which can
+    only let more pass."""
     runs = Runs(chunk)
     part = sizes[0] - 1
     may = None if shorter is None else in_bitmap(shorter, runs.keys(part))
@@ -206,12 +209,15 @@ def tally(chunk: Chunk, sizes: range, shorter: np.ndarray | None) -> Iterator[pa
         for k in range(n - part + 1 if may is not None else 0):
             wanted &= may[k:k + len(keys)]
         place, counts = runs.groups(n, keys, wanted)
-        yield from in_slices({"key": pa.array(keys[place].view(np.int64)), "count": pa.array(counts)})
+        yield from in_slices({"key": pa.array(keys[place].astype(np.uint32).view(np.int32)), "count": pa.array(counts)})
 
 
-def places(chunk: Chunk, frequent: list[tuple[range, np.ndarray]]) -> Iterator[pa.RecordBatch]:
-    """(key, control, count, row, start, size) of the n-grams of a chunk that may be frequent themselves: where each
-    stands first, in bytes of its text. The control is a second fingerprint, of other hashes of the words."""
+Found = list[np.ndarray]  # key, control, count, row, start, size
+
+
+def places(chunk: Chunk, frequent: list[tuple[range, np.ndarray]]) -> Iterator[Found]:
+    """The n-grams of a chunk that may be frequent themselves: where each stands first, in bytes of its text. The
+    control is a second fingerprint, of other hashes of the words."""
     runs = Runs(chunk)
     rows, starts = np.array(chunk.rows, np.int64), np.array(chunk.starts, np.int64)
     for sizes, bits in frequent:
@@ -219,12 +225,32 @@ def places(chunk: Chunk, frequent: list[tuple[range, np.ndarray]]) -> Iterator[p
             keys = runs.keys(n)
             place, counts = runs.groups(n, keys, in_bitmap(bits, keys))
             part, begin = runs.part[place], runs.ends[place] - runs.lengths[place]
-            yield from in_slices({
-                "key": pa.array(keys[place].view(np.int64)),
-                "control": pa.array(fingerprints(runs.others, n, runs.salt)[place].view(np.int64)),
-                "count": pa.array(counts), "row": pa.array(rows[part]),
-                "start": pa.array(begin - runs.part_starts[part] + starts[part]),
-                "size": pa.array(runs.ends[place + n - 1] - begin)})
+            yield [keys[place].view(np.int64), fingerprints(runs.others, n, runs.salt)[place].view(np.int64), counts,
+                   rows[part], begin - runs.part_starts[part] + starts[part], runs.ends[place + n - 1] - begin]
+
+
+def together(parts: list[Found]) -> Found:
+    """Equal runs once, with their counts added and the place of the first."""
+    found = [np.concatenate(column) for column in zip(*parts)]
+    order = np.lexsort((found[1], found[0]))
+    found = [column[order] for column in found]
+    first = np.flatnonzero(np.r_[len(order) > 0, (found[0][1:] != found[0][:-1]) | (found[1][1:] != found[1][:-1])])
+    return [np.add.reduceat(column, first) if k == 2 and len(first) else column[first] for k, column in enumerate(found)]
+
+
+def pointed(batches: Iterator[pa.RecordBatch], shared: int, size: int, frequent: list[tuple[range, np.ndarray]]) \
+        -> Iterator[pa.RecordBatch]:
+    """The places of all chunks of a task, equal runs together as far as HELD rows go."""
+    held: list[Found] = []
+    for chunk in chunks(batches, shared, size):
+        held += places(chunk, frequent)
+        if sum(len(f[0]) for f in held) > HELD:
+            held = [together(held)]
+            if len(held[0][0]) > HELD // 2:
+                yield from in_slices(dict(zip(POINTER, map(pa.array, held[0]))))
+                held = []
+    if held:
+        yield from in_slices(dict(zip(POINTER, map(pa.array, together(held)))))
 
 
 def over_chunks(words: DataFrame, shared: int, size: int, fn, schema: str) -> DataFrame:
@@ -243,11 +269,11 @@ def frequent_phrases(words: DataFrame, least: int, longest: int, chunk_bytes: in
         if sizes and sizes[-1] <= longest:
             shorter = bits[-1][1] if bits else None
             counted = over_chunks(words, sizes[-1] - 1, chunk_bytes, lambda c, n=sizes, b=shorter: tally(c, n, b),
-                                  "key long, count long")
+                                  "key int, count long")
             often = counted.groupBy("key").agg(F.sum("count").alias("f")).where(F.col("f") >= least).select("key")
-            bits.append((sizes, bitmap_of(often, "key")))
-    pointers = over_chunks(words, longest - 1, chunk_bytes, lambda c: places(c, bits),
-                           "key long, control long, count long, row long, start long, size long")
+            bits.append((sizes, bitmap_of(often.select(F.col("key").cast("long").alias("key")), "key")))
+    pointers = map_batches(words, lambda batches: pointed(batches, longest - 1, chunk_bytes, bits),
+                           ", ".join(f"{c} long" for c in POINTER))
     # of equal runs any place will do; the least row has one, and the size is that of all of them
     found = pointers.groupBy("key", "control").agg(
         F.sum("count").alias("f"), F.min("row").alias("row"), F.min_by("start", "row").alias("start"),
