@@ -13,7 +13,7 @@ from feedloom.operators import classify, compare, incremental, texts
 from feedloom.plans.classify_queries import joined, rounded
 from feedloom.plans.domain import Domain
 from feedloom.plans.domain_sql import check_sql
-from feedloom.plans.feature_queries import SQL_STAMP, longs, stamp
+from feedloom.plans.feature_queries import FEATURE_COLUMNS, SQL_STAMP, feature_columns, longs, stamp
 from feedloom.plans.quality_queries import SPECS
 from feedloom.plans.lexical import ask
 from feedloom.plans.registry import query
@@ -22,6 +22,7 @@ from feedloom.schemas import KEY
 from feedloom.session import fresh_path, materialise
 from feedloom.sources import caches, dataset, growth
 from feedloom.streaming import classify_stream as streaming
+from feedloom.streaming import feature_stream as features
 
 ORDERS = {"orders": SPECS["orders"]}
 # the rules the given tables do keep; one customer may never have ordered and then has no signup
@@ -287,3 +288,28 @@ def classify_stream(d: Domain):
         run()
     streaming.retry_failed(d.spark, sink, catalogue=d.products.select("product_name"), scorer=scorer, columns=[*KEY, "sentence"])
     return streaming.stored_answers(d.spark, sink).select(scored_columns())
+
+
+def arrived_events(d: Domain, source: str) -> None:
+    """Orders and reviews as files of four periods; within and between neighbouring periods they arrive out of order. A
+    last file moves the time on, as the next day of a running shop would."""
+    events = features.events_of(d.orders, d.reviews)
+    days = F.datediff("at", F.lit("1994-01-01").cast("date"))
+    swap = F.pmod(F.xxhash64("event_id", "kind"), F.lit(60))  # up to two months before or after its neighbours
+    period = F.least(F.greatest(F.floor((days + swap) / 730), F.lit(0)), F.lit(3))
+    stored = materialise(events.withColumn("period", period), "events")
+    for p in range(4):
+        stored.where(F.col("period") == p).drop("period").coalesce(1).write.mode("append").parquet(source)
+    tick = stored.where("customer_id IS NOT NULL").select(
+        F.lit(features.ORDER).alias("kind"), F.lit(-1).cast("bigint").alias("customer_id"),
+        F.lit(-1).cast("bigint").alias("event_id"), F.expr("TIMESTAMP '2100-01-01'").alias("at"),
+        F.lit(0).cast("bigint").alias("amount")).limit(1)
+    tick.coalesce(1).write.mode("append").parquet(source)
+
+
+@query("review_features_stream", check_sql(f"SELECT {FEATURE_COLUMNS} FROM features", "features"))
+def review_features_stream(d: Domain):
+    source, sink, checkpoint = (fresh_path(d.spark, n) for n in ("arriving_events", "features", "features_checkpoint"))
+    arrived_events(d, source)
+    features.feature_stream(d.spark, source, sink, checkpoint, key_type="BIGINT", files_per_batch=1).awaitTermination()
+    return features.finished_features(d.spark, sink, d.customers, "BIGINT").select(feature_columns())
