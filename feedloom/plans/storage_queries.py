@@ -20,7 +20,7 @@ from feedloom.plans.registry import query
 from feedloom.plans.text_queries import WRITER, briefs
 from feedloom.schemas import KEY
 from feedloom.session import fresh_path, materialise
-from feedloom.sources import caches, dataset, growth
+from feedloom.sources import caches, dataset, growth, rollups
 from feedloom.streaming import classify_stream as streaming
 from feedloom.streaming import feature_stream as features
 
@@ -313,3 +313,17 @@ def review_features_stream(d: Domain):
     arrived_events(d, source)
     features.feature_stream(d.spark, source, sink, checkpoint, key_type="BIGINT", files_per_batch=1).awaitTermination()
     return features.finished_features(d.spark, sink, d.customers, "BIGINT").select(feature_columns())
+
+
+@query("problems_merged", check_sql("SELECT * FROM problems", "problems"))
+def problems_merged(d: Domain):
+    # early reviews come with the answers of another scorer, later ones follow, then the early answers are revised
+    path = fresh_path(d.spark, "rollups")
+    facts = d.sentences.select("review_id", "review_key", "sentence_index", "product_name", "reviewed_at")
+    by = {salt: materialise(classify.attach_answers(facts, d.answers(salt)), f"classified_{salt}") for salt in ("a", "b")}
+    early = {salt: incremental.time_slice(df, "reviewed_at", until=BORDER) for salt, df in by.items()}
+    later = incremental.time_slice(by["a"], "reviewed_at", since=BORDER)
+    steps = [rollups.changed(None, early["b"]), rollups.changed(None, later), rollups.changed(early["b"], early["a"])]
+    for batch, changes in enumerate(steps, 1):
+        rollups.merge_problems(d.spark, changes, path, batch)
+    return rollups.problems(d.spark, path)
