@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from dataclasses import replace
 from functools import reduce
 
 from pyspark.sql import DataFrame
@@ -178,3 +179,20 @@ _register_integrity("integrity_time_order", ["order_after_signup", "review_after
 _register_integrity("integrity_totals", ["order_total"])
 _register_integrity("integrity_buyer_and_product", ["review_buyer"])
 _register_integrity("integrity_report", list(INTEGRITY_RULES))
+
+
+STRICT = replace(SPECS["orders"], ddl="o_orderkey BIGINT, o_custkey BIGINT, o_totalprice DECIMAL(10,2), "
+                                      "o_orderdate TIMESTAMP_NTZ, o_channel STRING")
+
+
+@query("schema_refusals", """
+    WITH found AS (
+      SELECT column_name AS c, CASE column_type WHEN 'VARCHAR' THEN 'string' WHEN 'TIMESTAMP' THEN 'timestamp_ntz'
+        ELSE lower(column_type) END AS f FROM (DESCRIBE orders)),
+    expected(c, e) AS (VALUES ('o_orderkey', 'bigint'), ('o_custkey', 'bigint'), ('o_totalprice', 'decimal(10,2)'),
+      ('o_orderdate', 'timestamp_ntz'), ('o_channel', 'string'))
+    SELECT coalesce(x.c, y.c) AS "column", e AS expected, f AS found FROM expected x FULL JOIN found y ON x.c = y.c
+    WHERE e IS DISTINCT FROM f""")
+def schema_refusals(d: Domain):
+    # the orders as given against a stricter declaration: a column short, two too many, one of another type
+    return validate.schema_report(d.raw("orders"), STRICT)

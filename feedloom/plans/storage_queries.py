@@ -22,6 +22,7 @@ from feedloom.schemas import KEY
 from feedloom.session import fresh_path, materialise
 from feedloom.sources import caches, dataset, growth, rollups
 from feedloom.streaming import classify_stream as streaming
+from feedloom.streaming import event_time
 from feedloom.streaming import feature_stream as features
 
 ORDERS = {"orders": SPECS["orders"]}
@@ -327,3 +328,118 @@ def problems_merged(d: Domain):
     for batch, changes in enumerate(steps, 1):
         rollups.merge_problems(d.spark, changes, path, batch)
     return rollups.problems(d.spark, path)
+
+
+FAR = "TIMESTAMP '2100-01-01'"  # a row of this time, which no window of the results holds, moves the watermark on
+
+
+def arriving(d: Domain, rows: DataFrame, name: str, end: dict[str, str]) -> DataFrame:
+    """`rows` (with a time `at`) as a stream of one file per two years in order, then one of the last row `end`."""
+    source = fresh_path(d.spark, name)
+    stored = materialise(rows.withColumn("year", F.floor(F.year("at") / 2)), name)
+    for year in sorted(r.year for r in stored.where("year IS NOT NULL").select("year").distinct().collect()):
+        stored.where(F.col("year") == year).drop("year").coalesce(1).write.mode("append").parquet(source)
+    last = [F.expr(end.get(c, "NULL")).cast(t).alias(c) for c, t in rows.dtypes]
+    d.spark.range(1).select(*last).coalesce(1).write.mode("append").parquet(source)
+    return d.spark.readStream.schema(rows.schema).option("maxFilesPerTrigger", 1).parquet(source)
+
+
+def finished(d: Domain, stream: DataFrame, name: str) -> DataFrame:
+    sink = fresh_path(d.spark, name)
+    event_time.run(stream, sink, fresh_path(d.spark, f"{name}_checkpoint")).awaitTermination()
+    return d.spark.read.schema(stream.schema).parquet(sink)
+
+
+def written_reviews(d: Domain) -> DataFrame:
+    kinds = d.products.select("product_id", F.col("category").alias("product_category"))
+    return d.reviews.join(kinds, "product_id").select(
+        "review_id", "customer_id", "product_category", "rating", F.col("reviewed_at").cast("timestamp").alias("at"))
+
+
+@query("review_windows_stream", check_sql(f"""
+    SELECT strftime(time_bucket(INTERVAL 30 DAY, reviewed_at, TIMESTAMP '1970-01-01'), {SQL_STAMP}) AS window_start,
+      product_category, count(*) AS reviews, sum(rating)::BIGINT AS stars, count(*) FILTER (rating <= 2) AS unhappy
+    FROM (SELECT r.*, p.category AS product_category FROM reviews r JOIN products p USING (product_id)) GROUP BY 1, 2""",
+    "reviews", "products"))
+def review_windows_stream(d: Domain):
+    stream = event_time.tumbling(arriving(d, written_reviews(d), "arriving_reviews", {"at": FAR}))
+    return finished(d, stream, "windows").select(stamp("window_start"), "product_category", "reviews", "stars", "unhappy")
+
+
+@query("review_sessions_stream", check_sql(f"""
+    , marked AS (
+      SELECT customer_id, reviewed_at, rating, coalesce(reviewed_at >= lag(reviewed_at) OVER w + INTERVAL 30 DAY, true) AS new
+      FROM reviews JOIN products USING (product_id) WINDOW w AS (PARTITION BY customer_id ORDER BY reviewed_at)),
+    numbered AS (
+      SELECT *, sum(new::INT) OVER (PARTITION BY customer_id ORDER BY reviewed_at ROWS UNBOUNDED PRECEDING) AS session
+      FROM marked)
+    SELECT customer_id, strftime(min(reviewed_at), {SQL_STAMP}) AS session_start,
+      strftime(max(reviewed_at) + INTERVAL 30 DAY, {SQL_STAMP}) AS session_end, count(*) AS reviews,
+      min(rating)::BIGINT AS worst
+    FROM numbered GROUP BY customer_id, session""", "reviews", "products"))
+def review_sessions_stream(d: Domain):
+    stream = event_time.sessions(arriving(d, written_reviews(d), "arriving_reviews", {"at": FAR, "customer_id": "-1"}))
+    return finished(d, stream, "sessions").select("customer_id", stamp("session_start"), stamp("session_end"), "reviews",
+                                                  *longs("worst"))
+
+
+@query("reviews_with_orders_stream", check_sql("""
+    SELECT doc_id AS review_id, CASE WHEN doc_id % 11 = 0 THEN 'no order' WHEN doc_id % 7 = 0 THEN 'another buyer' END AS violation
+    FROM documents JOIN placed ON order_id = doc_id % (SELECT count(*) FROM orders)""", "placed"))
+def reviews_with_orders_stream(d: Domain):
+    # of the given reviews, every eleventh names an order that is not there and every seventh another customer
+    n_orders = d.raw("orders").agg(F.count(F.lit(1))).scalar()
+    orders = d.orders.select("order_id", "customer_id", F.col("ordered_at").cast("timestamp").alias("at"))
+    reviews = d.reviews.select(
+        "review_id", F.when(F.col("review_id") % 11 == 0, -F.col("review_id") - 2).otherwise(F.col("review_id") % n_orders).alias("order_id"),
+        (F.col("customer_id") + (F.col("review_id") % 7 == 0).cast("int")).alias("customer_id"),
+        F.col("reviewed_at").cast("timestamp").alias("at"))
+    stream = event_time.reviews_with_orders(
+        arriving(d, reviews, "arriving_reviews", {"at": FAR, "order_id": "-1"}),
+        arriving(d, orders, "arriving_orders", {"at": FAR, "order_id": "-1"}), delay="800 days")
+    return finished(d, stream, "reviews_with_orders").where("review_id IS NOT NULL")
+
+
+# the given products as a CSV file with faults: words for prices, impossible dates, a missing name, a field too many
+CATALOGUE = replace(SPECS["products"], ddl="product_id BIGINT, product_name STRING, category STRING, list_price DOUBLE, "
+                                           "launched_on DATE", members={}, unique=(), nullable=(), patterns={},
+                    ranges={"list_price": (950.0, None, True)})
+FAULTS = {"price": "product_id % 13 = 0", "date": "product_id % 17 = 0", "name": "product_id % 19 = 0", "field": "product_id % 23 = 0"}
+
+
+def catalogue_file(d: Domain) -> str:
+    path = fresh_path(d.spark, "catalogue")
+    fields = d.products.select(
+        "product_id", F.when(F.expr(FAULTS["name"]), None).otherwise(F.col("product_name")).alias("product_name"), "category",
+        F.when(F.expr(FAULTS["price"]), "n/a").otherwise(F.col("list_price").cast("string")).alias("list_price"),
+        F.when(F.expr(FAULTS["date"]), "2021-13-45").otherwise(F.col("launched_on").cast("string")).alias("launched_on"))
+    line = F.to_csv(F.struct(*fields.columns))
+    fields.select(F.when(F.expr(FAULTS["field"]), F.concat(line, F.lit(",more"))).otherwise(line)).write.text(f"{path}/lines")
+    # one file per task, each without the header, which is a file of its own beside them for the reader of names
+    header = d.spark.createDataFrame([(",".join(fields.columns),)], "line STRING")
+    whole = header.coalesce(1).unionByName(d.spark.read.text(f"{path}/lines").toDF("line").coalesce(1)).coalesce(1)
+    whole.write.text(f"{path}/catalogue")
+    return f"{path}/catalogue"
+
+
+@query("catalogue_accepted", check_sql(f"""
+    SELECT product_id, product_name, category, list_price, strftime(launched_on, '%Y-%m-%d') AS launched_on FROM products
+    WHERE NOT ({' OR '.join(FAULTS.values())}) AND list_price > 950.0""", "products"))
+def catalogue_accepted(d: Domain):
+    accepted, _ = dataset.checked_catalogue(d.spark, catalogue_file(d), CATALOGUE)
+    return accepted.withColumn("launched_on", F.date_format("launched_on", "yyyy-MM-dd"))
+
+
+REASONS = {"the number of fields differs from the header''s": FAULTS["field"],
+           "list_price is not double": f"{FAULTS['price']} AND NOT {FAULTS['field']}",
+           "launched_on is not date": f"{FAULTS['date']} AND NOT {FAULTS['field']}",
+           "product_name is present": f"{FAULTS['name']} AND NOT {FAULTS['field']}",
+           "list_price is in range": f"list_price <= 950.0 AND NOT {FAULTS['price']} AND NOT {FAULTS['field']}"}
+
+
+@query("catalogue_rejected", check_sql(f"""
+    SELECT reason, count(*) AS lines FROM (SELECT unnest([{', '.join(f"CASE WHEN {c} THEN '{r}' END" for r, c in REASONS.items())}])
+      AS reason FROM products) WHERE reason IS NOT NULL GROUP BY 1""", "products"))
+def catalogue_rejected(d: Domain):
+    _, rejected = dataset.checked_catalogue(d.spark, catalogue_file(d), CATALOGUE)
+    return rejected.select(F.explode("reasons").alias("reason")).groupBy("reason").agg(F.count("*").alias("lines"))

@@ -19,10 +19,10 @@ from functools import reduce
 from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.types import IntegerType, StructType
+from pyspark.sql.types import IntegerType, StringType, StructField, StructType
 
 from feedloom.operators.integrity import check_integrity
-from feedloom.operators.validate import check_tables
+from feedloom.operators.validate import check_tables, value_rules
 from feedloom.schemas import COMMITS_DDL, TABLES, TableSpec, conform
 
 COMMITS = "commits"
@@ -44,6 +44,40 @@ def read_catalogue(spark: SparkSession, path: str, spec: TableSpec = TABLES["pro
     return conform(header, spec.ddl)
 
 
+CORRUPT = "__corrupt"
+
+
+def checked_catalogue(spark: SparkSession, path: str, spec: TableSpec = TABLES["products"]) -> tuple[DataFrame, DataFrame]:
+    """(accepted, rejected) from a CSV file with a header: typed rows that keep every value rule, and (line, reasons) of
+    all others.
+
+    Columns are found by name, further ones are ignored and missing ones are null. A line of too few or too many fields,
+    a field that is not of its column's type and a broken rule of `spec` are reasons; a line is listed once with all its
+    reasons. Uniqueness is a rule across rows and is checked on what is accepted, by `validate_unique`. Empty lines are
+    no rows; a file with a header only gives two empty tables. The file is read in parallel and once per table asked for.
+    """
+    names = spark.read.option("header", True).csv(path).columns
+    text = StructType([StructField(c, StringType()) for c in [*names, CORRUPT]])
+    # every column is read, or Spark would not look at fields that are not asked for
+    lines = spark.read.schema(text).option("header", True).option("columnNameOfCorruptRecord", CORRUPT) \
+        .option("columnPruning", False).csv(path)
+    fields = list(spec.schema)
+    raw = {f.name: F.col(f"`{f.name}`") if f.name in names else F.lit(None).cast("string") for f in fields}
+    typed = lines.select(CORRUPT, F.to_csv(F.struct(*[F.col(f"`{c}`") for c in names])).alias("__line"), *[
+        column.alias(f"__raw_{name}") for name, column in raw.items()], *[
+        raw[f.name].try_cast(f.dataType).alias(f.name) for f in fields])
+    whole = F.col(CORRUPT).isNull()
+    reasons = [F.when(~whole, "the number of fields differs from the header's")]
+    reasons += [F.when(whole & F.col(f"__raw_{f.name}").isNotNull() & F.col(f.name).isNull(),
+                       f"{f.name} is not {f.dataType.simpleString()}") for f in fields]
+    misread = {f"{f.name} is present": F.col(f"__raw_{f.name}").isNull() for f in fields}  # not both reasons for one field
+    reasons += [F.when(whole & broken & misread.get(rule, F.lit(True)), rule) for rule, broken in value_rules(spec).items()]
+    judged = typed.withColumn("reasons", F.array_compact(F.array(*reasons)))
+    accepted = judged.where(F.size("reasons") == 0).select(*[f.name for f in fields])
+    rejected = judged.where(F.size("reasons") > 0).select(F.coalesce(CORRUPT, "__line").alias("line"), "reasons")
+    return accepted, rejected
+
+
 # --- commits ---------------------------------------------------------------------------------
 
 def read_commits(spark: SparkSession, path: str) -> DataFrame:

@@ -49,6 +49,25 @@ def test_catalogue_from_csv(spark, tmp_path):
                             "description": "Big, red", "list_price": 9.5, "fuel_type": None, "launched_on": date(2021, 3, 1)}
 
 
+def test_catalogue_lines_that_are_refused(spark, tmp_path):
+    path = tmp_path / "products.csv"
+    path.write_text("note,product_id,sku,product_name,category,description,list_price,fuel_type,launched_on\n"
+                    'x,P001,s1,Kettle,grills,"Big, red",9.5,,2021-03-01\n'
+                    "x,P002,s2,Pot,grills,d,cheap,,2021-03-01\n"
+                    "x,P003,s3,Pan,grills,d,1.0,,2021-03-01,more\n"
+                    "x,P004,s4\n\n"
+                    "x,7,s5,Lid,grills,d,-1,,yesterday\n")
+    accepted, rejected = dataset.checked_catalogue(spark, str(path))
+    assert [r.product_id for r in accepted.collect()] == ["P001"]
+    found = {r.line.split(",")[1]: r.reasons for r in rejected.collect()}
+    assert found["P002"] == ["list_price is not double"]
+    assert found["P003"] == found["P004"] == ["the number of fields differs from the header's"]
+    assert set(found["7"]) == {"launched_on is not date", "product_id matches its pattern", "list_price is in range"}
+    path.write_text("product_id,sku\n")
+    accepted, rejected = dataset.checked_catalogue(spark, str(path))
+    assert accepted.count() == rejected.count() == 0 and "launched_on" in accepted.columns
+
+
 def test_an_interrupted_batch_is_invisible_then_replaced(spark, tmp_path):
     path = str(tmp_path)
     counts = dataset.write_batch({"orders": orders(spark, 0, 30)}, 1, path)
