@@ -18,8 +18,9 @@ from feedloom.sources.dataset import committed, read_commits, read_or_none, writ
 SENTENCE_COLUMNS = ["review_id", "review_key", "product_name", "sentence_index", "sentence_count", "sentence"]
 
 
-def stored_answers(spark: SparkSession, sink: str, *, before: int | None = None) -> DataFrame:
-    """One answer per key of committed batches, or of those before one: the earliest that succeeded, else a failure."""
+def stored_answers(spark: SparkSession, sink: str, *, before: int | None = None, keys: DataFrame | None = None) -> DataFrame:
+    """One answer per key of committed batches, or of those before one: the earliest that succeeded, else a failure. Of
+    all keys or only those of `keys`, which meet the stored rows before anything is grouped."""
     schema = StructType.fromDDL(ANSWERS_DDL).add("batch_id", IntegerType())
     found = read_or_none(spark, f"{sink}/answers", schema)
     if found is None:
@@ -27,6 +28,8 @@ def stored_answers(spark: SparkSession, sink: str, *, before: int | None = None)
     batches = committed(spark, sink)
     rows = found.join(batches if before is None else batches.where(F.col("batch_id") < before), "batch_id",
                       "left_semi").select(*schema.names)
+    if keys is not None:
+        rows = rows.join(keys.select(*KEY), KEY, "left_semi")
     order = F.struct(F.col("error").isNotNull(), F.col("batch_id"), "model", "latency_ms", "answers_json", "error")
     return rows.groupBy(*KEY).agg(F.min_by(F.struct("*"), order).alias("first")).select("first.*")
 
@@ -43,13 +46,26 @@ def stored_sentences(spark: SparkSession, sink: str, *, before: int | None = Non
     return found.join(batches if before is None else batches.where(F.col("batch_id") < before), "batch_id", "left_semi")
 
 
-def still_failed(spark: SparkSession, sink: str, *, before: int | None = None) -> DataFrame | None:
-    """One sentence per key whose every stored answer is a failure; None before the first batch."""
-    sentences = stored_sentences(spark, sink, before=before)
-    if sentences is None:
-        return None
-    failed = stored_answers(spark, sink, before=before).where("error IS NOT NULL").select(*KEY)
-    return distinct_sentences(sentences.join(failed, KEY, "left_semi").select(SENTENCE_COLUMNS))
+def still_failed(spark: SparkSession, sink: str, *, besides: int | None = None) -> DataFrame | None:
+    """One sentence per key whose every stored answer is a failure; None before the first batch.
+
+    Every batch asks again for all open failures and stores those that remain, so the list of the last committed batch
+    (besides one that is run again) is complete, and no older batch is read.
+    """
+    commits = read_commits(spark, sink) if besides is None else read_commits(spark, sink).where(F.col("batch_id") != besides)
+    last = commits.orderBy(F.desc("created_at"), F.desc("batch_id")).select("batch_id").first()
+    return None if last is None else spark.read.parquet(f"{sink}/failures/batch_id={last.batch_id}")
+
+
+def store_scored(asked: DataFrame, raw: DataFrame, catalogue: DataFrame, sink: str, batch: int) -> int:
+    """Write a batch's answers and the sentences that failed; the number of answers. Runs jobs."""
+    scored, place = Observation(), f"{sink}/answers/batch_id={batch}"
+    conform(flatten_answers(raw, catalogue), ANSWERS_DDL).observe(scored, F.count(F.lit(1)).alias("n")) \
+        .write.mode("overwrite").parquet(place)
+    failed = asked.sparkSession.read.parquet(place).where("error IS NOT NULL").select(*KEY)
+    asked.join(failed, KEY, "left_semi").select(SENTENCE_COLUMNS).write.mode("overwrite") \
+        .parquet(f"{sink}/failures/batch_id={batch}")
+    return scored.get["n"]
 
 
 def retry_failed(spark: SparkSession, sink: str, *, catalogue: DataFrame, scorer: Scorer, columns: list[str],
@@ -66,8 +82,7 @@ def retry_failed(spark: SparkSession, sink: str, *, catalogue: DataFrame, scorer
     if n:
         batch = min(0, read_commits(spark, sink).agg(F.min("batch_id")).first()[0]) - 1
         raw = materialise(score_sentences(asked, scorer, columns=columns, partitions=partitions), "stream_raw")
-        conform(flatten_answers(raw, catalogue), ANSWERS_DDL).write.mode("overwrite").parquet(
-            f"{sink}/answers/batch_id={batch}")
+        store_scored(asked, raw, catalogue, sink, batch)
         write_commit(spark, sink, batch_id=batch, kind="retry", counts={"sentences": 0, "answers": n})
     return n
 
@@ -86,18 +101,18 @@ def classify_stream(spark: SparkSession, source: str, sink: str, checkpoint: str
 
     def process(reviews: DataFrame, epoch: int) -> None:
         keyed = reviews.withColumn("review_key", content_key("product_name", "review_text"))
-        place, seen, scored = f"{sink}/sentences/batch_id={epoch}", Observation(), Observation()
+        place, seen = f"{sink}/sentences/batch_id={epoch}", Observation()
         split_sentences(keyed).select(SENTENCE_COLUMNS).observe(seen, F.count(F.lit(1)).alias("n")) \
             .write.mode("overwrite").parquet(place)
         sentences = spark.read.parquet(place)
-        failed = still_failed(spark, sink, before=epoch)
-        known = stored_answers(spark, sink, before=epoch).where("error IS NULL")
-        asked = cache_misses(sentences if failed is None else sentences.unionByName(failed), known)
+        failed = still_failed(spark, sink, besides=epoch)
+        wanted = sentences if failed is None else sentences.unionByName(failed)
+        known = stored_answers(spark, sink, before=epoch, keys=wanted).where("error IS NULL")
+        asked = materialise(cache_misses(wanted, known), "stream_asked")
         raw = materialise(score_sentences(asked, scorer, columns=columns, partitions=partitions), "stream_raw")
-        conform(flatten_answers(raw, catalogue), ANSWERS_DDL).observe(scored, F.count(F.lit(1)).alias("n")) \
-            .write.mode("overwrite").parquet(f"{sink}/answers/batch_id={epoch}")
+        answers = store_scored(asked, raw, catalogue, sink, epoch)
         write_commit(spark, sink, batch_id=epoch, kind="classify",
-                     counts={"sentences": seen.get["n"], "answers": scored.get["n"]})
+                     counts={"sentences": seen.get["n"], "answers": answers})
 
     return (arriving.writeStream.foreachBatch(process).option("checkpointLocation", checkpoint)
             .trigger(availableNow=True).start())
