@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 
 from feedloom.fixed_values import FEELINGS, HOLIDAYS, WRITER_LANGUAGE_NAMES, WRITER_PROMPT, WRITER_SYSTEM
 from feedloom.functions import profile as formulas
-from feedloom.operators import profile, texts
+from feedloom.operators import calendar, profile, texts
 from feedloom.plans.classify_queries import rounded
 from feedloom.plans.domain import Domain
 from feedloom.plans.domain_sql import VIEWS, check_sql, text
@@ -142,11 +142,14 @@ def _holiday_sql(month: int, day: int, boost: float, width: float) -> str:
     return f"{boost}::DOUBLE * exp(-0.5::DOUBLE * pow(least({away}) / 86400 / {width}::DOUBLE, 2))"
 
 
-@query("seasonality_index", check_sql(f"""
+SEASONALITY = check_sql(f"""
     SELECT order_id, round(1 + 0.6::DOUBLE * cos((dayofyear(ordered_at) + hour(ordered_at) / 24::DOUBLE - CASE
         WHEN country IN ({SOUTH_SQL}) THEN 196 + 365.25::DOUBLE / 2 ELSE 196 END) * 2 * pi() / 365.25::DOUBLE)
       + {' + '.join(_holiday_sql(*h) for h in HOLIDAYS)}, 6) AS seasonality
-    FROM placed JOIN customers USING (customer_id)""", "placed", "customers"))
+    FROM placed JOIN customers USING (customer_id)""", "placed", "customers")
+
+
+@query("seasonality_index", SEASONALITY)
 def seasonality_index(d: Domain):
     placed = d.orders.join(d.customers.select("customer_id", "country"), "customer_id")
     return placed.select("order_id", F.round(
@@ -195,3 +198,18 @@ def review_propensity(d: Domain):
     return d.review_truth.select(
         "review_id", F.round(formulas.review_probability(F.col("satisfaction")), 6).alias("probability"),
         formulas.expected_rating(F.col("satisfaction"), noise).cast("bigint").alias("rating"))
+
+
+@query("seasonality_from_calendar", SEASONALITY)
+def seasonality_from_calendar(d: Domain):
+    # the holidays as a table, one row per year and holiday, met by an interval join
+    years = d.orders.agg(F.min(F.year("ordered_at")).alias("a"), F.max(F.year("ordered_at")).alias("z")).select(
+        F.explode(F.sequence(F.col("a") - 1, F.col("z") + 1)).alias("year"))
+    each = F.explode(F.array(*[F.struct(F.lit(m).alias("m"), F.lit(day).alias("day"), F.lit(boost).alias("boost"),
+                                        F.lit(width).alias("width")) for m, day, boost, width in HOLIDAYS]))
+    held = years.select("year", each.alias("h")).select(
+        F.make_timestamp_ntz("year", "h.m", "h.day", F.lit(0), F.lit(0), F.lit(0)).alias("held_at"), "h.boost", "h.width")
+    orders = d.orders.join(d.customers.select("customer_id", "country"), "customer_id")
+    wave = formulas.seasonality_index("ordered_at", F.col("country").isin(SOUTH), holidays=[])
+    return calendar.with_boost(orders, "ordered_at", held).select(
+        "order_id", F.round(wave + F.col("boost"), 6).alias("seasonality"))
