@@ -98,3 +98,20 @@ def test_short_passages_go_whole(spark):
     assert out[36] == line(2003)  # a single line is no passage
     odd = line_dedup.without_passages(documents(spark, ODD_TEXTS))
     assert odd.count() == len(ODD_TEXTS)
+
+
+def test_passages_in_odd_rows(spark):
+    two = "the same line that is long enough to count as one\nand another line after it that is long too\n"
+    texts = ODD_TEXTS + [(20, two * 4), (None, two * 4), (21, two * 4), (20, two * 4), (22, "tie\n" + two)]
+    docs = documents(spark, texts, ("text_key", "chunk", "wanted", "content", "first", "gone"))
+    out = line_dedup.without_passages(docs)
+    assert out.columns == docs.columns
+    rows = out.collect()
+    assert [r for r in rows if r.doc_id == 1][0].text is None
+    assert sum(r.doc_id == 4 for r in rows) == 2
+    # the null doc_id comes first: its first pair of lines is the one that stays
+    assert [r.text for r in rows if r.doc_id is None and "same" in r.text] == [two]
+    assert not [r for r in rows if r.doc_id in (20, 21)]
+    assert [r.text for r in rows if r.doc_id == 22] == ["tie"]
+    assert all(r.n_chars == len(r.text) for r in rows if r.text is not None)
+    assert line_dedup.without_passages(documents(spark, [])).collect() == []

@@ -9,7 +9,7 @@ import corpus_pipeline
 from feedloom.llm.common import prepare, stored
 from tests.llm.samples import ODD_TEXTS, documents, prose
 from tests.llm.test_decontaminate import QUESTION
-from tests.llm.test_line_dedup import plain as without_repeats
+from tests.llm.test_line_dedup import plain_passages
 from tests.llm.test_minhash import plain_components
 
 SF = "/root/testdata/sf0.001"
@@ -30,7 +30,7 @@ def staged(spark):
 def test_stages_follow_the_plain_versions(staged):
     after = {k: {r.doc_id: r.text for r in v} for k, v in staged.items() if k != "run"}
     assert set(after["documents"]) - set(after["language"]) == set()  # all have letters and a main language
-    assert after["lines"] == without_repeats(sorted(after["language"].items()))
+    assert after["lines"] == plain_passages(sorted(after["language"].items()))
     groups = plain_components(list(after["lines"].items()), 5, 80)
     assert set(after["near_duplicates"]) == {i for i, root in groups.items() if i == root}
     passages = [r for r in _benchmark()]
@@ -68,6 +68,33 @@ def test_planted_cases(spark, tmp_path):
     assert tokens[105] < tokens[104] / 2  # the shared passage is cut out of the later one
 
 
+def test_no_fragment_of_a_copy_is_packed(spark, tmp_path):
+    def lines(n):
+        return [prose(3000 + 8 * n + k, 12, 4000) for k in range(8)]
+
+    originals = [(n, "\n".join(lines(n))) for n in range(30)]
+    copies = [(100 + n, text) for n, text in originals] + [(200 + n, text) for n, text in originals]
+    # one line of eight is new: only that line is left of the copy
+    near = [(300 + n, "\n".join([*lines(n)[:3], prose(9000 + n, 12, 4000), *lines(n)[4:]])) for n in range(10)]
+    documents(spark, originals + copies + near).write.parquet(f"{tmp_path}/documents.parquet")
+    spark.createDataFrame([(1, QUESTION)], "item_id long, text string").write.parquet(f"{tmp_path}/benchmark.parquet")
+    rows = corpus_pipeline.run(spark, str(tmp_path)).collect()
+    whole = Tokenizer.from_file(public_tokenizers.path("word_bpe_49k.json"))
+    tokens = {r.doc_id: r.doc_tokens for r in rows}
+    assert set(tokens) == set(range(30)) | {300 + n for n in range(10)}
+    for n in range(30):
+        assert tokens[n] == len(whole.encode(originals[n][1], add_special_tokens=False).ids) + 1
+    for n in range(10):
+        left = prose(9000 + n, 12, 4000)
+        assert tokens[300 + n] == len(whole.encode(left, add_special_tokens=False).ids) + 1
+
+
+@pytest.mark.parametrize("name, stage", corpus_pipeline.STAGES)
+def test_stages_on_an_empty_table(spark, name, stage):
+    out = stage(prepare(spark), documents(spark, []), SF)
+    assert out.collect() == []
+
+
 def test_empty_tables(spark, tmp_path):
     documents(spark, []).write.parquet(f"{tmp_path}/documents.parquet")
     spark.createDataFrame([], "item_id long, text string").write.parquet(f"{tmp_path}/benchmark.parquet")
