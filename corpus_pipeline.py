@@ -18,9 +18,9 @@ def languages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Passages of several lines that an earlier document holds are cut out; documents left without words go."""
+    """Passages of two lines and more that stand at an earlier place are cut out whole; documents left empty go."""
     prepare(spark)
-    return line_dedup.without_repeats(docs)
+    return line_dedup.without_passages(docs)
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -43,7 +43,7 @@ def sequences(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 STAGES = [("language", languages), ("lines", lines), ("near_duplicates", near_duplicates), ("benchmark", benchmark),
           ("packing", sequences)]
 
-#: Viterbi paths, content-defined chunks and verified signatures are not SQL; tests hold run() against brute force.
+#: Viterbi paths, passages compared byte by byte and verified signatures are not SQL; tests hold run() against brute force.
 ORACLE_SQL = None
 
 
