@@ -49,23 +49,46 @@ STRENGTH = """
               FROM {level}))
 """
 
+SECOND_LEVEL = """
+  SELECT unnest(string_split(labels, ' ')) || '.' || country AS name FROM (VALUES
+    ('ar', 'com edu gob net org'), ('at', 'ac co gv or'), ('au', 'asn com edu gov id net org'),
+    ('br', 'com edu gov net org'), ('cn', 'ac com edu gov net org'), ('es', 'com edu gob nom org'),
+    ('fr', 'asso com gouv nom'), ('hk', 'com edu gov net org'), ('id', 'ac co go or sch web'),
+    ('il', 'ac co gov net org'), ('in', 'ac co edu firm gen gov ind net nic org res'),
+    ('jp', 'ac ad co ed go gr lg ne or'), ('kr', 'ac co go ne or pe re'), ('mx', 'com edu gob net org'),
+    ('my', 'com edu gov net org'), ('nz', 'ac co geek gen govt iwi maori net org school'),
+    ('pl', 'com edu gov net org'), ('pt', 'com edu gov org'), ('sg', 'com edu gov net org'),
+    ('th', 'ac co go in net or'), ('tr', 'com edu gov net org'), ('tw', 'com edu gov net org'),
+    ('ua', 'com edu gov net org'), ('uk', 'ac co gov ltd me net nhs org plc police sch'),
+    ('za', 'ac co gov net org web')) t(country, labels)
+"""
+
 OP10 = r"""
-WITH located AS (
+WITH second_level AS (""" + SECOND_LEVEL + r"""),
+located AS (
   SELECT page_id, coalesce(translate(regexp_extract(rest, '^[^/?#]*', 0), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ',
                                      'abcdefghijklmnopqrstuvwxyz'), '') AS host,
     coalesce(regexp_extract(rest, '^[^/?#]*([^?#]*)', 1), '') AS path
   FROM (SELECT page_id, CASE WHEN contains(url, '://') THEN substr(url, strpos(url, '://') + 3) ELSE '' END AS rest
         FROM pages)),
+bares AS (
+  SELECT host, bare, string_split(bare, '.') AS labels, regexp_matches(bare, '^([0-9.]+|\[[^\]]*\])\z') AS address
+  FROM (SELECT DISTINCT host, regexp_replace(regexp_replace(host, '(?s)^.*@', ''), '\.?(:[0-9]*)?\z', '') AS bare
+        FROM located WHERE host <> '')),
+registered AS (
+  SELECT host, suffix, CASE WHEN address THEN bare
+      ELSE array_to_string(labels[-len(string_split(suffix, '.')) - 1:], '.') END AS domain
+  FROM (SELECT b.*, CASE WHEN address THEN '' ELSE coalesce(s.name, labels[-1]) END AS suffix
+        FROM bares b LEFT JOIN second_level s ON array_to_string(labels[-2:], '.') = s.name)),
 labelled AS (
   SELECT l.host, b.bad FROM (SELECT DISTINCT page_id, host FROM located WHERE page_id IS NOT NULL AND host <> '') l
   JOIN (SELECT doc_id, max(CASE WHEN quality = 0 OR toxic = 1 THEN 1 ELSE 0 END) AS bad FROM labels
         WHERE quality IS NOT NULL AND toxic IS NOT NULL GROUP BY doc_id) b ON l.page_id = b.doc_id),
 hosts AS (
-  SELECT host, regexp_extract(regexp_replace(host, ':[0-9]*$', ''), '[^.]*(\.[^.]*)?$', 0) AS domain,
-    count(*) AS n, sum(bad)::BIGINT AS bad FROM labelled GROUP BY host),
+  SELECT host, domain, suffix, count(*) AS n, sum(bad)::BIGINT AS bad
+  FROM labelled JOIN registered USING (host) GROUP BY host, domain, suffix),
 domains AS (
-  SELECT domain, regexp_extract(domain, '[^.]*$', 0) AS suffix, sum(n)::BIGINT AS n, sum(bad)::BIGINT AS bad
-  FROM hosts GROUP BY domain),
+  SELECT domain, suffix, sum(n)::BIGINT AS n, sum(bad)::BIGINT AS bad FROM hosts GROUP BY domain, suffix),
 suffixes AS (SELECT suffix, sum(n)::BIGINT AS n, sum(bad)::BIGINT AS bad FROM domains GROUP BY suffix),
 overall AS (SELECT (coalesce(sum(bad), 0) + 1)::DOUBLE / (coalesce(sum(n), 0) + 2)::DOUBLE AS mean FROM hosts),
 m_suffix AS (""" + STRENGTH.format(level="suffixes") + r"""),
@@ -79,14 +102,10 @@ p_domain AS (
 p_host AS (
   SELECT host, bad + m * p.mean AS a, n - bad + m * (1 - p.mean) AS b
   FROM hosts h JOIN p_domain p ON h.domain = p.domain, m_host),
-named AS (
-  SELECT host, domain, regexp_extract(domain, '[^.]*$', 0) AS suffix FROM (
-    SELECT DISTINCT host, regexp_extract(regexp_replace(host, ':[0-9]*$', ''), '[^.]*(\.[^.]*)?$', 0) AS domain
-    FROM located WHERE host <> '')),
 known AS (
   SELECT n.host, coalesce(h.a, m * coalesce(d.mean, s.mean, o.mean)) AS a,
     coalesce(h.b, m * (1 - coalesce(d.mean, s.mean, o.mean))) AS b
-  FROM named n LEFT JOIN p_host h ON n.host = h.host LEFT JOIN p_domain d ON n.domain = d.domain
+  FROM registered n LEFT JOIN p_host h ON n.host = h.host LEFT JOIN p_domain d ON n.domain = d.domain
   LEFT JOIN p_suffix s ON n.suffix = s.suffix, overall o, m_host),
 bounds AS (
   SELECT host, a / (a + b) - 1.645 * sqrt(a / (a + b) * (1 - a / (a + b)) / (a + b + 1)) AS bad_bound FROM known),

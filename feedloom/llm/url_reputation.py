@@ -18,6 +18,19 @@ Z = 1.645  # ... with 95 % posterior probability, by the normal approximation of
 LEAST_STRENGTH, MOST_STRENGTH = 1.0, 1000.0  # of a prior, in pages
 
 
+#: Labels below a country under which names are registered; other suffixes are one label long.
+SECOND_LEVEL = {
+    "ar": "com edu gob net org", "at": "ac co gv or", "au": "asn com edu gov id net org", "br": "com edu gov net org",
+    "cn": "ac com edu gov net org", "es": "com edu gob nom org", "fr": "asso com gouv nom", "hk": "com edu gov net org",
+    "id": "ac co go or sch web", "il": "ac co gov net org", "in": "ac co edu firm gen gov ind net nic org res",
+    "jp": "ac ad co ed go gr lg ne or", "kr": "ac co go ne or pe re", "mx": "com edu gob net org",
+    "my": "com edu gov net org", "nz": "ac co geek gen govt iwi maori net org school", "pl": "com edu gov net org",
+    "pt": "com edu gov org", "sg": "com edu gov net org", "th": "ac co go in net or", "tr": "com edu gov net org",
+    "tw": "com edu gov net org", "ua": "com edu gov net org", "uk": "ac co gov ltd me net nhs org plc police sch",
+    "za": "ac co gov net org web"}
+SUFFIXES = [f"{label}.{country}" for country, labels in SECOND_LEVEL.items() for label in labels.split()]
+
+
 def host_of(url: Column) -> Column:
     """After the first `://` up to `/`, `?`, `#` or the end, A-Z lower-cased; empty for null or without `://`."""
     rest = F.regexp_extract(url, "(?s)^.*?://(.*)$", 1)
@@ -30,14 +43,32 @@ def path_of(url: Column) -> Column:
     return F.coalesce(F.regexp_extract(rest, "^[^/?#]*([^?#]*)", 1), F.lit(""))
 
 
-def domain_of(host: Column) -> Column:
-    """The last two labels, without a port: the registered domain where suffixes are one label long."""
-    return F.regexp_extract(F.regexp_replace(host, ":[0-9]*$", ""), r"[^.]*(\.[^.]*)?$", 0)
+def bare(host: Column) -> Column:
+    """A host without user, port and closing dot."""
+    return F.regexp_replace(F.regexp_replace(host, "(?s)^.*@", ""), r"\.?(:[0-9]*)?\z", "")
+
+
+def _last(name: Column, labels: int) -> Column:
+    return F.substring_index(name, ".", -labels)  # the whole name, if it has fewer
+
+
+def _by_suffix(name: Column, suffixes: list[str], address: Column, more: int) -> Column:
+    """The labels of the longest suffix that `name` ends in, and `more` before it; `address` for an IP address."""
+    out = F.when(name.rlike(r"^([0-9.]+|\[[^\]]*\])\z"), address)
+    for labels in sorted({s.count(".") + 1 for s in suffixes}, reverse=True):
+        listed = [s for s in suffixes if s.count(".") + 1 == labels]
+        out = out.when(_last(name, labels).isin(listed), _last(name, labels + more))
+    return out.otherwise(_last(name, 1 + more))
+
+
+def domain_of(host: Column, suffixes: list[str] = SUFFIXES) -> Column:
+    """The registered domain: the longest suffix and the label before it. A suffix or an address is its own domain."""
+    return _by_suffix(bare(host), suffixes, bare(host), 1)
 
 
-def suffix_of(host: Column) -> Column:
-    """The last label, without a port."""
-    return F.regexp_extract(F.regexp_replace(host, ":[0-9]*$", ""), r"[^.]*$", 0)
+def suffix_of(domain: Column, suffixes: list[str] = SUFFIXES) -> Column:
+    """The longest listed suffix of a domain, else its last label; empty for an address."""
+    return _by_suffix(domain, suffixes, F.lit(""), 0)
 
 
 def rule_for(host: Column, path: Column, rules: list[tuple[str, str, str]]) -> Column:
@@ -63,7 +94,7 @@ def _strength(children: DataFrame) -> Column:
     return F.round(F.coalesce(strength, F.lit(MOST_STRENGTH)), 3)
 
 
-def reputation(labelled: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame, DataFrame]:
+def reputation(labelled: DataFrame, listed: list[str] = SUFFIXES) -> tuple[DataFrame, DataFrame, DataFrame, DataFrame]:
     """From (host, bad 0/1) rows: posteriors of suffixes, domains and hosts, and of all pages (one row).
 
     Each has its name and (a, b) of its beta posterior; the prior of a host is centred on its domain's
@@ -71,9 +102,10 @@ def reputation(labelled: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame, Da
     priors comes from the spread of the rates on that level.
     """
     hosts = labelled.groupBy("host").agg(F.count("*").alias("n"), F.sum("bad").alias("bad"))
-    hosts = stored(hosts.select("host", domain_of(F.col("host")).alias("domain"), "n", "bad"), "hosts")
+    hosts = stored(hosts.select("host", domain_of(F.col("host"), listed).alias("domain"), "n", "bad"),
+                   "hosts")
     domains = hosts.groupBy("domain").agg(F.sum("n").alias("n"), F.sum("bad").alias("bad"))
-    domains = domains.select("domain", suffix_of(F.col("domain")).alias("suffix"), "n", "bad")
+    domains = domains.select("domain", suffix_of(F.col("domain"), listed).alias("suffix"), "n", "bad")
     suffixes = domains.groupBy("suffix").agg(F.sum("n").alias("n"), F.sum("bad").alias("bad"))
     total = hosts.agg(((F.coalesce(F.sum("bad"), F.lit(0)) + 1) / (F.coalesce(F.sum("n"), F.lit(0)) + 2)).alias("mean"))
 
@@ -94,22 +126,24 @@ def _means(level: DataFrame) -> DataFrame:
 
 
 def judge(pages: DataFrame, outcomes: DataFrame, rules: list[tuple[str, str, str]] = RULES,
-          bad_share: float = BAD_SHARE) -> DataFrame:
+          bad_share: float = BAD_SHARE, suffixes: list[str] = SUFFIXES) -> DataFrame:
     """(page_id, host, path, rule, verdict, bad_bound) per row of `pages` (page_id, url).
 
     The longest rule that fits decides. Else the page is blocked if the lower bound of its host's share of bad pages
     is above `bad_share`; hosts without labelled pages have the posterior of a host of their domain, suffix or all
     pages that has none. `outcomes` are (page_id, bad 0/1): a page labelled twice is bad if any label says so,
     rows with nulls say nothing. Pages of an empty host (null url, no `://`) have no reputation and are allowed.
+    `suffixes` lists the suffixes of several labels below which names are registered; it is a list in the program.
     Without outcomes, all pages without a rule are allowed. Other columns are ignored.
     """
     located = pages.select("page_id", host_of(F.col("url")).alias("host"), path_of(F.col("url")).alias("path"))
     labels = outcomes.select("page_id", "bad").dropna().groupBy("page_id").agg(F.max("bad").cast("long").alias("bad"))
     labelled = (located.select("page_id", "host").filter("page_id is not null and host <> ''").distinct()
                 .join(labels, "page_id").select("host", "bad"))
-    of_suffix, of_domain, of_host, total = reputation(labelled)
+    of_suffix, of_domain, of_host, total = reputation(labelled, suffixes)
     named = (located.filter("host <> ''").select("host").distinct()
-             .withColumn("domain", domain_of(F.col("host"))).withColumn("suffix", suffix_of(F.col("domain"))))
+             .withColumn("domain", domain_of(F.col("host"), suffixes))
+             .withColumn("suffix", suffix_of(F.col("domain"), suffixes)))
     mean = F.coalesce("domain_mean", "suffix_mean", "mean")
     a, b = F.coalesce("a", F.col("m") * mean), F.coalesce("b", F.col("m") * (1 - mean))
     known = (named.join(of_host, "host", "left")

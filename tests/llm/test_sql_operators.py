@@ -72,7 +72,8 @@ def test_chat_runs_no_python(spark):
 URLS = [None, "", "no scheme", "http://", "HTTP://A.B.Example.NET/en/x?q#f", "https://example.net/en/", "x://net", "x://net/",
         "x://sub.net/a", "x://notexample.com/de/1", "x://example.com/de/", "x://example.com/de", "x://w.org/fr/2",
         "x://w.org/FR/2", "x://user@h.com:80/p?a=://b/", "x://h?q", "x://h#f/x", "a://b://c/d", "x://É.Com/ü?x",
-        "x://line\nfeed.com/a\nb", "x://spam.example.com/1", "x://spam.example.com/2", "x://good.example.com/1"]
+        "x://line\nfeed.com/a\nb", "x://a.co.uk/", "x://www.b.co.uk:8080/", "x://co.uk/", "x://10.0.0.1:80/", "x://[::1]:80/",
+        "x://:80/", "x://h.com./", "x://a@b@h.com:1\n/", "x://spam.example.com/1", "x://spam.example.com/2", "x://good.example.com/1"]
 
 
 def test_urls_beside_sql(spark, tmp_path):
@@ -81,6 +82,8 @@ def test_urls_beside_sql(spark, tmp_path):
               for k in range(200)] + [(100, "http://bad1.site.com/again", "", "", "")] * 2
     labels = [(100 + k, 0 if k % 3 else 1, 0) for k in range(0, 200, 2)] + [(101, None, 1), (None, 0, 0), (102, 1, 1),
                                                                           (20, 0, 0), (21, 0, 1), (22, 1, 0)]
+    pages += [(400 + k, f"http://w{k}.{'bad' if k % 2 else 'fine'}{k % 3}.co.uk:80/{k}", "", "", "") for k in range(60)]
+    labels += [(400 + k, 1 - k % 2, 0) for k in range(60)]
     tables = {"pages": spark.createDataFrame(pages, PAGES),
               "labels": spark.createDataFrame(labels, "doc_id long, quality int, toxic int")}
     found = beside_sql(spark, tmp_path, tables, queries.op10_url_filter, oracles.OP10).set_index("page_id")
@@ -95,6 +98,28 @@ def test_urls_beside_sql(spark, tmp_path):
     assert at["x://notexample.com/de/1"].rule is None or pd.isna(at["x://notexample.com/de/1"].rule)
 
 
+def test_registered_domains(spark):
+    hosts = {"a.co.uk": ("a.co.uk", "co.uk"), "www.b.co.uk:8080": ("b.co.uk", "co.uk"), "co.uk": ("co.uk", "co.uk"),
+             "x.y.example.com": ("example.com", "com"), "u:p@h.org:80": ("h.org", "org"), "h.org.": ("h.org", "org"),
+             "10.0.0.1:80": ("10.0.0.1", ""), "[::1]:80": ("[::1]", ""), "localhost": ("localhost", "localhost"),
+             "a.notco.uk": ("notco.uk", "uk"), "": ("", "")}
+    domain = url_reputation.domain_of(F.col("host"))
+    rows = spark.createDataFrame([(h,) for h in hosts], "host string").select(
+        "host", domain.alias("domain"), url_reputation.suffix_of(domain).alias("suffix")).collect()
+    assert {r.host: (r.domain, r.suffix) for r in rows} == hosts
+    city = url_reputation.domain_of(F.lit("a.b.city.kobe.jp"), ["kobe.jp", "city.kobe.jp"])  # the longest suffix counts
+    assert spark.range(1).select(city.alias("d")).first().d == "b.city.kobe.jp"
+
+
+def test_one_suffix_of_two_labels_is_no_domain(spark):
+    pages = [(k, f"http://{'bad' if k < 50 else 'fine'}.co.uk/{k}") for k in range(100)] + [(200, "http://new.fine.co.uk/")]
+    outcomes = [(k, int(k < 50)) for k in range(100)]
+    found = {r.page_id: r for r in url_reputation.judge(
+        spark.createDataFrame(pages, "page_id long, url string"),
+        spark.createDataFrame(outcomes, "page_id long, bad int")).collect()}
+    assert found[0].verdict == "block" and found[99].verdict == found[200].verdict == "allow"
+
+
 @pytest.mark.parametrize("labels", [[], [(1, 0, 1)]])
 def test_urls_without_tables(spark, tmp_path, labels):
     pages = [] if labels else [(1, "x://a.b/c", "", "", "")]
