@@ -54,6 +54,39 @@ def affinity_lift(orders: DataFrame, order_lines: DataFrame, products: DataFrame
                          F.round(F.try_divide(rate, base), 4).alias("lift"))
 
 
+def affinity_pairs(orders: DataFrame, order_lines: DataFrame, *, least: int, block_items: int = 256) -> DataFrame:
+    """Pairs of products that at least `least` customers bought both of: (product_a < product_b) with buyers and lift.
+
+    Products with fewer buyers are left out before pairs are formed. A customer of more than `block_items` such
+    products is cut into blocks of products, and each pair of blocks is a group of its own, so no task holds all
+    of a busy customer. Pairs are counted before they are shuffled. A repeated line counts once; rows with nulls do not.
+    Lift is against independence among all customers with an order; no order lines give no row.
+    """
+    bought = order_lines.select("order_id", "product_id").join(orders.select("order_id", "customer_id"), "order_id") \
+        .select("customer_id", "product_id").dropna().distinct()
+    buyers = bought.groupBy("product_id").agg(F.count(F.lit(1)).alias("buyers")).where(F.col("buyers") >= least)
+    kept = bought.join(buyers.select("product_id"), "product_id", "left_semi")
+    blocks = kept.groupBy("customer_id").agg(F.ceil(F.count(F.lit(1)) / block_items).cast("int").alias("blocks")) \
+        .where("blocks > 0")
+    part, other = F.pmod(F.xxhash64("product_id"), "blocks").cast("int"), F.col("other")
+    dealt = kept.join(blocks, "customer_id").withColumn("part", part).select(
+        "customer_id", "product_id", "part", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("other")).select(
+        "customer_id", F.least("part", other).alias("low"), F.greatest("part", other).alias("high"), "part", "product_id")
+    a, b = dealt.alias("a"), dealt.alias("b")
+    # in a group of two blocks only pairs across them count; those inside a block meet in its own group
+    pairs = a.join(b, F.expr("a.customer_id = b.customer_id AND a.low = b.low AND a.high = b.high "
+                             "AND a.product_id < b.product_id AND (a.low = a.high OR a.part <> b.part)")) \
+        .groupBy(F.col("a.product_id").alias("product_a"), F.col("b.product_id").alias("product_b")) \
+        .agg(F.count(F.lit(1)).alias("both")).where(F.col("both") >= least)
+    everyone = orders.agg(F.count_distinct("customer_id").alias("customers"))  # one row
+    of_a = buyers.select(F.col("product_id").alias("product_a"), F.col("buyers").alias("buyers_a"))
+    of_b = buyers.select(F.col("product_id").alias("product_b"), F.col("buyers").alias("buyers_b"))
+    expected = F.col("buyers_a") * F.col("buyers_b")
+    lift = F.col("both").cast("double") * F.col("customers") / expected
+    return pairs.join(of_a, "product_a").join(of_b, "product_b").crossJoin(everyone).select(
+        "product_a", "product_b", "both", "buyers_a", "buyers_b", "customers", F.round(lift, 4).alias("lift"))
+
+
 def sold_before_launch(orders: DataFrame, order_lines: DataFrame, products: DataFrame) -> DataFrame:
     """Order lines for a product that was not launched yet."""
     return order_lines.select("order_line_id", "order_id", "product_id") \

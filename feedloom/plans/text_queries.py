@@ -23,6 +23,8 @@ FEELING_SQL = "CASE " + " ".join(
 LANGUAGE_SQL = "CASE language " + " ".join(
     f"WHEN {text(k)} THEN {text(v)}" for k, v in WRITER_LANGUAGE_NAMES.items()) + " ELSE language END"
 
+VIEWS["bought"] = (["placed", "order_lines"], """
+    SELECT DISTINCT customer_id, product_id FROM order_lines JOIN placed USING (order_id)""")
 VIEWS["briefs"] = (["reviews", "review_truth", "products"], """
     SELECT r.review_id, r.reviewed_at, p.product_name, p.category AS product_category, p.description AS product_description,
       r.rating, t.satisfaction, t.aspect, t.language,
@@ -181,6 +183,22 @@ def affinity_lift(d: Domain):
                                  (F.col("category") == "SMALL") & (F.col("list_price") < 1200))
 
 
+LEAST_BUYERS = 3
+
+
+@query("affinity_pairs", check_sql(f"""
+    SELECT product_a, product_b, "both", a.buyers AS buyers_a, b.buyers AS buyers_b, customers,
+      round("both"::DOUBLE * customers / (a.buyers * b.buyers), 4) AS lift
+    FROM (SELECT a.product_id AS product_a, b.product_id AS product_b, count(*) AS "both"
+          FROM bought a JOIN bought b ON a.customer_id = b.customer_id AND a.product_id < b.product_id
+          GROUP BY 1, 2 HAVING count(*) >= {LEAST_BUYERS})
+    JOIN (SELECT product_id, count(*) AS buyers FROM bought GROUP BY 1) a ON a.product_id = product_a
+    JOIN (SELECT product_id, count(*) AS buyers FROM bought GROUP BY 1) b ON b.product_id = product_b,
+    (SELECT count(DISTINCT customer_id) AS customers FROM placed)""", "bought"))
+def affinity_pairs(d: Domain):
+    return profile.affinity_pairs(d.orders, d.order_lines, least=LEAST_BUYERS)
+
+
 @query("sold_before_launch", check_sql("""
     SELECT product_id, count(*) AS lines FROM order_lines JOIN placed USING (order_id) JOIN products USING (product_id)
     WHERE ordered_at::DATE < launched_on GROUP BY 1""", "placed", "order_lines", "products"))

@@ -1,7 +1,10 @@
 """Briefs, prompts, text cache, estimates, and the profile formulas."""
 
 import hashlib
+import random
+from collections import Counter
 from datetime import date, datetime
+from itertools import combinations
 
 import pytest
 from pyspark.sql import functions as F
@@ -135,3 +138,22 @@ def test_profiles(spark, shop):
     shares = profile.monthly_share(orders, customers, ["South"], since="2025-01-01", until="2026-01-01").collect()
     assert sum(r.orders for r in shares) == 24
     assert sum(r.share for r in shares if r.southern) == pytest.approx(1.0, abs=1e-3)
+
+
+@pytest.mark.parametrize("block_items", [2, 256])
+def test_affinity_of_all_pairs(spark, block_items):
+    pick = random.Random(5)
+    baskets = {c: {f"P{pick.randrange(14):02}" for _ in range(pick.randrange(1, 12))} for c in range(30)}
+    baskets[30] = {f"P{k:02}" for k in range(14)} | {f"only{k}" for k in range(20)}  # a busy one
+    orders = [(f"O{c}", c) for c in baskets] + [("none", 99)]
+    lines = [(f"O{c}", item) for c, items in baskets.items() for item in items] * 2 + [("O1", None), ("gone", "P01"), (None, "P02")]
+    orders = spark.createDataFrame(orders, "order_id STRING, customer_id LONG")
+    lines = spark.createDataFrame(lines, "order_id STRING, product_id STRING")
+    both = Counter(pair for items in baskets.values() for pair in combinations(sorted(items), 2))
+    buyers = Counter(item for items in baskets.values() for item in items)
+    want = {(a, b): (n, buyers[a], buyers[b], 32, round(n * 32 / (buyers[a] * buyers[b]), 4))
+            for (a, b), n in both.items() if n >= 6}
+    rows = profile.affinity_pairs(orders, lines, least=6, block_items=block_items).collect()
+    assert len(rows) == len(want) > 20
+    assert {(r.product_a, r.product_b): (r.both, r.buyers_a, r.buyers_b, r.customers, r.lift) for r in rows} == want
+    assert profile.affinity_pairs(orders, lines.limit(0), least=1).collect() == []
