@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from feedloom.fixed_values import CHOICES, FLAGS, INSTRUCTIONS, QUESTION_SET_VERSION, STATE_NOTE, STATE_TASK
-from feedloom.operators import classify
+from feedloom.operators import answer_variants, classify
 from feedloom.operators.load import product_catalogue
 from feedloom.plans.domain import Domain
 from feedloom.plans.domain_sql import VIEWS, answers_sql, check_sql, text
@@ -158,9 +159,12 @@ def products_mentioned(d: Domain):
         "review_key", *longs("sentence_index"), joined("products_mentioned"))
 
 
-@query("rethreshold", check_sql(f"""
+RETHRESHOLD_SQL = check_sql(f"""
     SELECT review_key, sentence_index, array_to_string(products_mentioned, ';') AS products_mentioned
-    FROM ({_threshold_sql(0.8)}) WHERE error IS NULL""", "raw_a"))
+    FROM ({_threshold_sql(0.8)}) WHERE error IS NULL""", "raw_a")
+
+
+@query("rethreshold", RETHRESHOLD_SQL)
 def rethreshold(d: Domain):
     catalogue = d.products.select("product_name")
     stored = classify.flatten_answers(d.stored("json", "a"), catalogue)
@@ -168,7 +172,7 @@ def rethreshold(d: Domain):
         "review_key", *longs("sentence_index"), joined("products_mentioned"))
 
 
-@query("explode_answers", check_sql(f"""
+EXPLODE_SQL = check_sql(f"""
     SELECT question, count(*) AS answers, round(avg(confidence), 6) AS mean_confidence,
       round(avg(probability), 6) AS mean_probability, round(avg(score), 6) AS mean_score FROM (
       SELECT 'frustration' AS question, frustration AS score, NULL::DOUBLE AS probability,
@@ -177,15 +181,39 @@ def rethreshold(d: Domain):
       {' '.join(f"UNION ALL SELECT '{f}', NULL, {f}, NULL FROM raw_a WHERE NOT failed" for f in FLAGS)}
       UNION ALL SELECT 'mentions', NULL, own_mention, NULL FROM raw_a WHERE NOT failed
       UNION ALL SELECT 'mentions', NULL, other_mention, NULL FROM raw_a WHERE NOT failed AND other_name <> product_name)
-    GROUP BY 1""", "raw_a"))
+    GROUP BY 1""", "raw_a")
+
+
+@query("explode_answers", EXPLODE_SQL)
 def explode_answers(d: Domain):
-    decoded = classify.explode_answers(d.stored("json", "a"))
+    return answers_per_question(classify.explode_answers(d.stored("json", "a")))
+
+
+def answers_per_question(decoded: DataFrame) -> DataFrame:
     kind = F.when(F.col("question").startswith(classify.MENTION), "mentions").otherwise(F.col("question"))
     return decoded.groupBy(kind.alias("question")).agg(
         F.count(F.lit(1)).alias("answers"), F.round(F.avg("confidence"), 6).alias("mean_confidence"),
         F.round(F.avg("probability"), 6).alias("mean_probability"), F.round(F.avg("score"), 6).alias("mean_score"))
 
 
+@query("explode_answers_variant", EXPLODE_SQL)
+def explode_answers_variant(d: Domain):
+    return answers_per_question(answer_variants.explode_answers(d.stored("variant", "a")))
+
+
+@query("rethreshold_variant", RETHRESHOLD_SQL)
+def rethreshold_variant(d: Domain):
+    stored = d.stored("variant", "a").where("error IS NULL")
+    return answer_variants.rethreshold(stored, d.products.select("product_name"), 0.8).select(
+        "review_key", *longs("sentence_index"), joined("products_mentioned"))
+
+
+@query("flatten_answers_variant", check_sql(f"SELECT {SQL_FLAT} FROM answers_a", "answers_a"))
+def flatten_answers_variant(d: Domain):
+    flat = answer_variants.flatten_answers(d.stored("variant", "a"), d.products.select("product_name"))
+    return flat.select(flat_columns())
+
+
 @query("classified_sentences", check_sql("""
     SELECT review_id, sentence_index, sentence, problem_category, sentiment, language, round(frustration, 6) AS frustration,
       array_to_string(products_mentioned, ';') AS products_mentioned, error FROM classified""", "classified"))

@@ -18,6 +18,7 @@ from feedloom.fixed_values import (
     QUESTION_SET_VERSION,
 )
 from feedloom.functions.keys import product_slug
+from feedloom.operators.answer_variants import with_variant
 from feedloom.operators.classify import clip, unit
 from feedloom.operators.dashboard import assign_risk
 from feedloom.operators.insights import reviews_view
@@ -154,8 +155,12 @@ class Domain:
         """A scorer's output is written before it is read, so that no plan above it evaluates the scorer again. Runs a
         job, once per domain."""
         if (kind, salt) not in self._stored:
-            draw = {"answers": drawn_answers, "raw": drawn_raw, "json": drawn_json}[kind]
-            self._stored[kind, salt] = materialise(draw(self.asked, self.products, salt), f"{kind}_{salt}")
+            if kind == "variant":
+                rows = with_variant(self.stored("json", salt))
+            else:
+                draw = {"answers": drawn_answers, "raw": drawn_raw, "json": drawn_json}[kind]
+                rows = draw(self.asked, self.products, salt)
+            self._stored[kind, salt] = materialise(rows, f"{kind}_{salt}")
         return self._stored[kind, salt]
 
     def answers(self, salt: str = "a") -> DataFrame:

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from feedloom.fixed_values import FLAGS, PROBLEM_CATEGORIES
-from feedloom.operators import dashboard, insights
+from feedloom.operators import cube, dashboard, insights
 from feedloom.plans.classify_queries import joined, rounded
 from feedloom.plans.domain import Domain
 from feedloom.plans.domain_sql import cents, check_sql
@@ -229,6 +229,31 @@ def kpis(d: Domain):
     return dashboard.kpis(d.risky)
 
 
+CUBE_SETS = "CUBE (product_category, product_name, country, text_sentiment)"
+CUBE_NAMES = ", ".join(f"CASE WHEN g{i} = 0 THEN '{c}' END" for i, c in enumerate(cube.FILTERS))
+
+
+def _cube_sql(rows: str, raised: str) -> str:
+    return f"""
+    SELECT concat_ws('+', {CUBE_NAMES}, {raised}) AS filters, {', '.join(cube.FILTERS)},
+      sum(reviews)::BIGINT AS reviews, sum(negative)::BIGINT AS negative_reviews, count(*) AS customers,
+      count(*) FILTER (risk_tier = 'At risk') AS customers_at_risk,
+      round(coalesce(sum(revenue) FILTER (risk_tier = 'At risk'), 0), 2) AS revenue_at_risk, round(sum(revenue), 2) AS revenue
+    FROM (SELECT {', '.join(cube.FILTERS)}, {', '.join(f'grouping({c}) AS g{i}' for i, c in enumerate(cube.FILTERS))},
+            customer_id, count(*) AS reviews, count(*) FILTER (text_sentiment_of = 'negative') AS negative,
+            arg_max(risk_tier, (reviewed_at, review_id)) AS risk_tier,
+            arg_max(lifetime_revenue, (reviewed_at, review_id)) AS revenue
+          FROM (SELECT *, text_sentiment AS text_sentiment_of FROM view WHERE {rows})
+          GROUP BY customer_id, {CUBE_SETS})
+    GROUP BY g0, g1, g2, g3, {', '.join(cube.FILTERS)}"""
+
+
+@query("kpi_cube", check_sql(_cube_sql("true", "NULL") + " UNION ALL " + _cube_sql(
+    "primary_issue <> 'no_issue'", f"'{cube.RAISED}'"), "view"))
+def kpi_cube(d: Domain):
+    return cube.kpi_cube(d.risky).withColumns({c: F.col(c).cast("double") for c in ("revenue_at_risk", "revenue")})
+
+
 @query("issue_counts", check_sql("""
     SELECT primary_issue, count(*) AS reviews, CASE WHEN primary_issue = 'no_issue' THEN 'No issue raised' ELSE
       upper(substr(primary_issue, 1, 1)) || replace(substr(primary_issue, 2), '_', ' ') END AS label

@@ -20,7 +20,7 @@ from feedloom.plans.registry import query
 from feedloom.plans.text_queries import WRITER, briefs
 from feedloom.schemas import KEY
 from feedloom.session import fresh_path, materialise
-from feedloom.sources import caches, dataset, growth, rollups
+from feedloom.sources import caches, dataset, growth, rollups, sketches
 from feedloom.streaming import classify_stream as streaming
 from feedloom.streaming import event_time
 from feedloom.streaming import feature_stream as features
@@ -330,6 +330,43 @@ def problems_merged(d: Domain):
     return rollups.problems(d.spark, path)
 
 
+SPREAD = {"p50": 0.5, "p95": 0.95}
+
+
+def _sketched(d: Domain, rows: DataFrame, by: str, distinct: str, number: str) -> DataFrame:
+    """Sketches of one batch per year, merged, beside the exact numbers; `rows` carry a time `reviewed_at`."""
+    path, key = fresh_path(d.spark, "sketches"), by.split()[0]
+    stored = materialise(rows.withColumn("batch", F.year("reviewed_at") - F.lit(1990)), "sketched_rows")
+    for batch in sorted(r.batch for r in stored.where("batch IS NOT NULL").select("batch").distinct().collect()):
+        one = stored.where(F.col("batch") == batch)
+        sketches.write_batch(d.spark, sketches.sketched(one, [key], distinct=distinct, number=number), path, batch)
+    found = sketches.estimates(sketches.merged(d.spark, path, by), SPREAD)
+    return sketches.beside_exact(stored, found, [key], distinct=distinct, number=number, quantiles=SPREAD)
+
+
+WITHIN = "true AS distinct_within, true AS p50_within, true AS p95_within"
+
+
+@query("text_sketches", check_sql(f"""
+    SELECT text_language, count(*) AS n, count(DISTINCT review_key) AS distinct_values, {WITHIN}
+    FROM texts GROUP BY 1""", "texts"))
+def text_sketches(d: Domain):
+    rows = d.texts.select("text_language", "review_key", "reviewed_at", F.length("review_text").alias("size"))
+    return _sketched(d, rows, "text_language STRING", "review_key", "size")
+
+
+@query("latency_sketches", check_sql(f"""
+    SELECT run, count(*) AS n, count(DISTINCT review_key) AS distinct_values, {WITHIN} FROM (
+      SELECT 'a' AS run, s.review_key, a.latency_ms FROM sentences s JOIN answers_a a USING (review_key, sentence_index)
+      UNION ALL SELECT 'b', s.review_key, b.latency_ms FROM sentences s JOIN answers_b b USING (review_key, sentence_index))
+    GROUP BY 1""", "sentences", "answers_a", "answers_b"))
+def latency_sketches(d: Domain):
+    # latencies of the stand-in scorers follow from the lengths of sentences; they are no measurement
+    at = d.sentences.select("review_key", "sentence_index", "reviewed_at")
+    runs = [at.join(d.answers(salt).select(*KEY, "latency_ms"), KEY).withColumn("run", F.lit(salt)) for salt in ("a", "b")]
+    return _sketched(d, reduce(DataFrame.unionByName, runs), "run STRING", "review_key", "latency_ms")
+
+
 FAR = "TIMESTAMP '2100-01-01'"  # a row of this time, which no window of the results holds, moves the watermark on
 
 

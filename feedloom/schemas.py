@@ -94,6 +94,8 @@ ANSWERS_DDL = ", ".join(
 RAW_ANSWERS_DDL = ("review_key STRING, sentence_index INT, answers_json STRING, model STRING, "
                    "input_tokens BIGINT, output_tokens BIGINT, latency_ms BIGINT, error STRING")
 
+VARIANTS_DDL = RAW_ANSWERS_DDL.replace("answers_json STRING", "answers VARIANT") + ", question_set_version STRING"
+
 TEXT_DDL = TABLES["review_texts"].ddl
 
 COMMITS_DDL = ("batch_id INT, kind STRING, created_at TIMESTAMP_NTZ, as_of TIMESTAMP_NTZ, settings_hash STRING, "

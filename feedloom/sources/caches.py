@@ -7,8 +7,9 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
 from feedloom.fixed_values import QUESTION_SET_VERSION, YES_THRESHOLD
+from feedloom.operators.answer_variants import with_variant
 from feedloom.operators.classify import Scorer, cache_misses, flatten_answers, score_sentences, valid_answers
-from feedloom.schemas import ANSWERS_DDL, KEY, TEXT_DDL, conform
+from feedloom.schemas import ANSWERS_DDL, KEY, TEXT_DDL, VARIANTS_DDL, conform
 from feedloom.session import materialise
 from feedloom.sources.dataset import read_or_none
 
@@ -21,6 +22,28 @@ def append_answers(answers: DataFrame, path: str) -> None:
         .partitionBy(*ANSWER_PARTITIONS).parquet(path)
 
 
+def append_variants(raw: DataFrame, path: str, version: str = QUESTION_SET_VERSION) -> None:
+    """Store scorer output that succeeded with its answers as VARIANT, parsed here and nowhere else. Runs a job."""
+    with_variant(raw.where("error IS NULL")).withColumn("question_set_version", F.lit(version)) \
+        .write.mode("append").partitionBy(*ANSWER_PARTITIONS).parquet(path)
+
+
+def read_variants(spark: SparkSession, path: str, *, version: str = QUESTION_SET_VERSION,
+                  model: str | None = None) -> DataFrame:
+    """Stored VARIANT answers of a version and, if named, a model; no rows where nothing was stored. A key stored by
+    several runs comes back once, always the same: by model, latency and answer."""
+    schema = StructType.fromDDL(VARIANTS_DDL)
+    found = read_or_none(spark, path, schema)
+    if found is None:
+        return spark.createDataFrame([], schema)
+    usable = found.where(F.col("question_set_version") == version)
+    if model is not None:
+        usable = usable.where(F.col("model") == model)
+    # a variant has no order: its JSON text decides between equals, but only the variant is kept
+    first = F.min_by(F.struct(*schema.names), F.struct("model", "latency_ms", F.to_json("answers")))
+    return usable.groupBy(*KEY).agg(first.alias("first")).select("first.*")
+
+
 def read_answers(spark: SparkSession, path: str, *, version: str = QUESTION_SET_VERSION,
                  model: str | None = None, keys: DataFrame | None = None) -> DataFrame:
     """Stored answers that may be reused, one per key, or only those of `keys`.
