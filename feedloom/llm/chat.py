@@ -80,16 +80,28 @@ def assemble(turns: DataFrame) -> DataFrame:
 def pairs_from_replies(conversations: DataFrame) -> tuple[DataFrame, DataFrame]:
     """Preference pairs that plain conversations (conv_id, turn, role, text) imply: (chosen, rejected).
 
-    Chosen is a conversation up to its last assistant turn; rejected is the same but for that turn, in which the
-    assistant says again what it said the time before. Conversations of fewer than two assistant turns give none.
+    One reply of each conversation, that of the least hash of (conv_id, turn), is where the sides part. Chosen keeps it;
+    in the rejected one the assistant says there again what it said the time before or, where it has not spoken yet,
+    what was said last, nothing if nothing was. The rest of the conversation follows on one side only, by the same
+    hash: on the chosen one, which goes on while the rejected one ends, or on the rejected one, which has to go on where
+    the chosen one is done. So every turn of a conversation is kept, the fork may be any reply, and either side may be
+    the longer. Where both sides say the same they part later or, at the end of the conversation, not at all.
+
+    A conversation without a reply gives no pair. Repeated rows, nulls and further columns as in `preference_turns`.
     """
     turns = _one_per_turn(conversations, "conv_id").withColumnRenamed("conv_id", "pair_id")
-    replies = turns.filter(F.col("role") == TRAINED_ROLE)
-    last = replies.groupBy("pair_id").agg(F.max("turn").alias("last"))
-    before = (replies.select("pair_id", "turn").join(last, "pair_id").filter("turn < last")
-              .groupBy("pair_id", "last").agg(F.max("turn").alias("before")))
-    chosen = turns.join(before, "pair_id").filter("turn <= last")
-    stale = (turns.join(before, "pair_id").filter("turn = before")
-             .select("pair_id", F.col("last").alias("turn"), "role", "text"))
-    rejected = chosen.filter("turn < last").select("pair_id", "turn", "role", "text").unionAll(stale)
-    return chosen.select("pair_id", "turn", "role", "text"), rejected
+    drawn = F.md5(F.concat_ws(":", F.col("pair_id").cast("string"), F.col("turn").cast("string")))
+    forks = (turns.filter(F.col("role") == TRAINED_ROLE).groupBy("pair_id")
+             .agg(F.min(F.struct(drawn.alias("drawn"), "turn")).alias("least"))
+             .select("pair_id", F.col("least.turn").alias("fork"), (F.col("least.drawn") < "8").alias("chosen_goes_on")))
+    placed = turns.join(forks, "pair_id")
+    earlier = placed.filter("turn < fork")
+    said = earlier.groupBy("pair_id").agg(
+        F.max_by("text", F.struct(F.col("role") == TRAINED_ROLE, "turn")).alias("text"))
+    stale = (forks.join(said, "pair_id", "left")
+             .select("pair_id", F.col("fork").alias("turn"), F.lit(TRAINED_ROLE).alias("role"),
+                     F.coalesce("text", F.lit("")).alias("text")))
+    columns = ["pair_id", "turn", "role", "text"]
+    chosen = placed.filter("turn <= fork or chosen_goes_on").select(*columns)
+    rejected = placed.filter("turn < fork or (turn > fork and not chosen_goes_on)").select(*columns)
+    return chosen, rejected.unionAll(stale)

@@ -5,16 +5,20 @@ WITH turns AS (
   SELECT conv_id AS pair_id, turn, min({'role': coalesce(role, ''), 'text': coalesce(text, '')}) AS said
   FROM conversations WHERE conv_id IS NOT NULL AND turn IS NOT NULL GROUP BY conv_id, turn),
 replies AS (SELECT pair_id, turn, said FROM turns WHERE said.role = 'assistant'),
-lasts AS (SELECT pair_id, max(turn) AS last_turn FROM replies GROUP BY pair_id),
-befores AS (
-  SELECT r.pair_id, last_turn, max(turn) AS before_turn
-  FROM replies r JOIN lasts l ON r.pair_id = l.pair_id WHERE turn < last_turn GROUP BY r.pair_id, last_turn),
-chosen AS (
-  SELECT t.pair_id, t.turn, t.said FROM turns t JOIN befores b ON t.pair_id = b.pair_id WHERE t.turn <= last_turn),
+places AS (
+  SELECT pair_id, arg_min(turn, (md5(pair_id || ':' || turn), turn)) AS place,
+    min(md5(pair_id || ':' || turn)) < '8' AS chosen_goes_on
+  FROM replies GROUP BY pair_id),
+placed AS (SELECT t.*, place, chosen_goes_on FROM turns t JOIN places p ON t.pair_id = p.pair_id),
+chosen AS (SELECT pair_id, turn, said FROM placed WHERE turn <= place OR chosen_goes_on),
 rejected AS (
-  SELECT t.pair_id, t.turn, t.said FROM turns t JOIN befores b ON t.pair_id = b.pair_id WHERE t.turn < last_turn
+  SELECT pair_id, turn, said FROM placed WHERE turn < place OR (turn > place AND NOT chosen_goes_on)
   UNION ALL
-  SELECT t.pair_id, b.last_turn, t.said FROM turns t JOIN befores b ON t.pair_id = b.pair_id AND t.turn = before_turn),
+  SELECT p.pair_id, p.place, {'role': 'assistant', 'text': coalesce(b.text, '')}
+  FROM places p LEFT JOIN (
+    SELECT pair_id, said.text AS text FROM placed WHERE turn < place
+    QUALIFY row_number() OVER (PARTITION BY pair_id ORDER BY said.role = 'assistant' DESC, turn DESC) = 1) b
+  ON p.pair_id = b.pair_id),
 both_sides AS (
   SELECT coalesce(c.pair_id, r.pair_id) AS pair_id, coalesce(c.turn, r.turn) AS turn, c.said AS c, r.said AS r
   FROM chosen c FULL JOIN rejected r ON c.pair_id = r.pair_id AND c.turn = r.turn),

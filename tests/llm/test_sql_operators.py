@@ -1,5 +1,7 @@
 """The operators that SQL can express, beside their SQL on awkward rows; and what they mean, by example."""
 
+import hashlib
+
 import duckdb
 import pandas as pd
 import pytest
@@ -43,12 +45,45 @@ def conversation(spark):
 
 def test_chat_beside_sql(spark, tmp_path):
     found = beside_sql(spark, tmp_path, {"conversations": conversation(spark)}, queries.op9_chat_formatting, oracles.OP9)
-    assert {20, 21, 23} <= set(found.pair_id) and not {0, 1, 2, 22} & set(found.pair_id)
-    assert set(found[found.pair_id == 20].part) == {"prompt"}  # equal sides
+    assert {2, 20, 21, 23} <= set(found.pair_id) and not {0, 1, 22} & set(found.pair_id)  # these have no reply
     empty = spark.createDataFrame([], CONVERSATIONS)
     assert preference_turns(*chat.pairs_from_replies(empty)).collect() == []
 
 
+def plain_pair(conv, turns):
+    """The two sides of one conversation of unrepeated turns [(turn, role, text)], in plain Python."""
+    turns = sorted(turns)
+    drawn = {t: hashlib.md5(f"{conv}:{t}".encode()).hexdigest() for t, role, _ in turns if role == "assistant"}
+    if not drawn:
+        return None
+    fork = min(drawn, key=lambda t: (drawn[t], t))
+    before, after = [t for t in turns if t[0] < fork], [t for t in turns if t[0] > fork]
+    own = [text for _, role, text in before if role == "assistant"]
+    again = own[-1] if own else before[-1][2] if before else ""
+    good, bad = [t for t in turns if t[0] <= fork], [*before, (fork, "assistant", again)]
+    return (good + after, bad) if drawn[fork] < "8" else (good, bad + after)
+
+
+def test_pairs_fork_at_any_reply_and_lose_no_turn(spark):
+    data = [(c, t, ("user", "assistant", "tool")[(t * t + c) % 3 if c % 4 else (t + 1) % 2], f"says {c} {t % 3}")
+            for c in range(60) for t in range(c % 9)]
+    sides = chat.pairs_from_replies(spark.createDataFrame([(*r, "e", "f") for r in data], CONVERSATIONS + ", part string, fork string"))
+    found = [{}, {}]
+    for side, rows_of in zip(found, sides, strict=True):
+        for r in rows_of.collect():
+            side.setdefault(r.pair_id, []).append((r.turn, r.role, r.text))
+    plain = {c: plain_pair(c, [r[1:] for r in data if r[0] == c]) for c in range(60)}
+    plain = {c: p for c, p in plain.items() if p}
+    assert [{c: sorted(t) for c, t in side.items()} for side in found] == [{c: p[k] for c, p in plain.items()} for k in (0, 1)]
+    pairs = {r.pair_id: r for r in assemble(preference_turns(*sides)).collect()}
+    assert set(pairs) == set(plain)
+    lengths = [len(good) - len(bad) for good, bad in plain.values()]
+    assert min(lengths) < 0 < max(lengths)  # either side may be the longer
+    assert len({len(p.prompt) for p in pairs.values()}) > 5
+    # every text of a conversation is in its pair
+    assert all(f"says {c} {t % 3}" in p.prompt + p.chosen + p.rejected for c, p in pairs.items() for t in range(c % 9))
+
+
 def test_prompt_is_the_longest_common_prefix(spark):
     schema = "pair_id long, turn long, role string, text string, part string, fork string"
     chosen = [(1, 0, "user", "hi"), (1, 1, "assistant", "hello"), (1, 2, "user", "why"), (1, 3, "assistant", "good")]
