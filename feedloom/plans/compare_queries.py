@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from feedloom.operators import classify, compare
-from feedloom.plans.classify_queries import rounded
+from feedloom.plans.classify_queries import rounded, stated
 from feedloom.plans.domain import Domain
 from feedloom.plans.domain_sql import check_sql
 from feedloom.plans.feature_queries import longs
@@ -152,4 +152,4 @@ def cost(d: Domain):
 @query("prompt_tokens", check_sql("""
     SELECT count(*) AS sentences, round_even(sum(length(state)) / 4, 0)::BIGINT AS prompt_tokens FROM states""", "states"))
 def prompt_tokens(d: Domain):
-    return compare.prompt_tokens(d.sentences.drop("review_text"), classify.distinct_reviews(d.texts))
+    return compare.prompt_tokens(stated(d), classify.distinct_reviews(d.texts))

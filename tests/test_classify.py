@@ -8,8 +8,13 @@ from pyspark.sql import functions as F
 
 from feedloom.fixed_values import CHOICES, FLAGS
 from feedloom.operators import classify
+from feedloom.plans.all_queries import REGISTRY
+from feedloom.plans.domain import Domain
 from feedloom.schemas import KEY, RAW_ANSWERS_DDL
 from feedloom.sources import caches
+from tests.conftest import plan_of
+
+DATA = "/root/testdata/sf0.001"
 
 SENTENCES = ("review_id STRING, review_key STRING, sentence_index INT, sentence_count INT, sentence STRING, "
              "review_text STRING, product_name STRING, product_category STRING, rating INT, country STRING")
@@ -81,6 +86,33 @@ def test_state_may_join_the_text_late(sentences):
     assert sorted(late.collect()) == sorted(usual.collect())
 
 
+def test_a_late_text_may_be_null_or_without_product(spark):
+    rows = [(r, r, 0, 1, 'A "b".', t, p, c) for r, t, p, c in (
+        ("R1", "x\n\u00e9", None, None), ("R2", None, None, None), ("R3", None, "p", None), ("R4", "", None, "c"))]
+    odd = spark.createDataFrame(rows, SENTENCES.split(", rating")[0])
+    late = classify.with_state(odd.drop("review_text"), odd.select("review_key", "review_text"))
+    assert sorted(late.select("review_id", "state").collect()) == \
+        sorted(classify.with_state(odd).select("review_id", "state").collect())
+
+
+def test_no_state_and_no_text_per_sentence_is_shuffled(sentences):
+    def peek(row):
+        return {"answers": {"state": row["state"]}}
+    scorer, texts = classify.per_sentence(peek, model="m"), sentences.select("review_key", "review_text").distinct()
+    bare = classify.distinct_sentences(sentences.drop("review_text"))
+    late = classify.score_sentences(bare, scorer, columns=[*KEY, "state"], partitions=2, texts=texts)
+    early = classify.score_sentences(classify.with_state(bare, texts), scorer, columns=[*KEY, "state"], partitions=2)
+    answers = [sorted(df.select(*KEY, "answers_json").collect()) for df in (late, early)]
+    assert answers[0] == answers[1] and len(answers[0]) == 4
+    above = plan_of(late).split("Exchange")[0]  # nothing is shuffled once the states are made
+    assert "state" in above and "Join" in above
+
+
+def test_the_query_for_distinct_sentences_gathers_no_text(spark):
+    gathered = [line for line in plan_of(REGISTRY["distinct_sentences"].run(Domain(spark, DATA))).splitlines() if "min_by" in line]
+    assert gathered and not any("review_text" in line or "product_name" in line for line in gathered)
+
+
 def test_equal_texts_are_asked_once(sentences):
     rows = classify.distinct_sentences(sentences).collect()
     assert sorted((r.review_id, r.review_key, r.sentence_index) for r in rows) == \
