@@ -39,9 +39,11 @@ def sample_composition(sample: DataFrame) -> DataFrame:
                                                F.count(F.lit(1)).alias("sentences"))
 
 
-def paired(a: DataFrame, b: DataFrame) -> DataFrame:
-    """Keys both answered without error; the second run's columns end in `_b`."""
-    asked = ["frustration", *CHOICES, *FLAGS, "products_mentioned"]
+ASKED = ["frustration", *CHOICES, *FLAGS, "products_mentioned"]
+
+
+def paired(a: DataFrame, b: DataFrame, asked: Sequence[str] = ASKED) -> DataFrame:
+    """Keys both answered without error with what they were asked; the second run's columns end in `_b`."""
     ok = F.col("error").isNull()
     second = b.where(ok).select(*KEY, *[F.col(c).alias(f"{c}_b") for c in asked])
     return a.where(ok).select(*KEY, *asked).join(second, KEY)
@@ -63,7 +65,7 @@ def agreement(a: DataFrame, b: DataFrame, threshold: float = YES_THRESHOLD) -> D
 def disagreements(a: DataFrame, b: DataFrame, sentences: DataFrame, question: str, *,
                   names: tuple[str, str] = ("a", "b"), n: int = 5) -> DataFrame:
     """The first n sentences, by key, that two runs labelled differently."""
-    differ = paired(a, b).where(F.col(question) != F.col(f"{question}_b")) \
+    differ = paired(a, b, [question]).where(F.col(question) != F.col(f"{question}_b")) \
         .select(*KEY, F.col(question).alias(names[0]), F.col(f"{question}_b").alias(names[1]))
     shown = sentences.select(*KEY, "review_id", "product_name", "sentence")
     return differ.join(shown, KEY).orderBy(*KEY, "review_id").limit(n) \

@@ -68,7 +68,7 @@ PAIRS = """,
     _agree("competitor_mention", "(competitor_mention >= 0.5) = (competitor2 >= 0.5)"),
     _agree("products_mentioned", "products_mentioned = m2")]))
 def agreement(d: Domain):
-    return compare.agreement(d.answers("a"), d.answers("b"))
+    return compare.agreement(*d.both_answers(*compare.ASKED, "error"))
 
 
 @query("disagreements", check_sql("", "sentences", "answers_a", "answers_b").rstrip() + PAIRS + """
@@ -76,7 +76,7 @@ def agreement(d: Domain):
     FROM pairs JOIN sentences USING (review_key, sentence_index) WHERE problem_category <> p2
     ORDER BY review_key, sentence_index, review_id LIMIT 10""")
 def disagreements(d: Domain):
-    return compare.disagreements(d.answers("a"), d.answers("b"), d.sentences, "problem_category",
+    return compare.disagreements(*d.both_answers("problem_category", "error"), d.sentences, "problem_category",
                                  names=("first", "second"), n=10)
 
 
@@ -102,16 +102,15 @@ def _rows_sql(salt: str) -> str:
 @query("accuracy", check_sql("", "sentences", "answers_a", "answers_b", "review_truth").rstrip()
        + _rows_sql("a") + _rows_sql("b") + _accuracy_sql("a") + " UNION ALL " + _accuracy_sql("b"))
 def accuracy(d: Domain):
-    def of(salt: str):
-        scored = compare.accuracy(d.answers(salt), d.sentences, d.review_truth)
-        return scored.select(F.lit(f"scorer-{salt}").alias("classifier"), "*")
-    return of("a").unionByName(of("b"))
+    a, b = (compare.accuracy(answers, d.sentences, d.review_truth).select(F.lit(f"scorer-{salt}").alias("classifier"), "*")
+            for salt, answers in zip("ab", d.both_answers("language", "problem_category", "frustration", "error")))
+    return a.unionByName(b)
 
 
 def both_runs(d: Domain):
     columns = ["latency_ms", "input_tokens", "output_tokens", "error"]
-    return d.answers("a").select(F.lit("a").alias("run"), *columns).unionByName(
-        d.answers("b").select(F.lit("b").alias("run"), *columns))
+    a, b = (answers.select(F.lit(salt).alias("run"), *columns) for salt, answers in zip("ab", d.both_answers(*columns)))
+    return a.unionByName(b)
 
 
 RUNS_SQL = """,

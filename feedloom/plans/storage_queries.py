@@ -217,8 +217,8 @@ def classify_with_cache(d: Domain):
     "answers_a", "answers_b"))
 def append_answers(d: Domain):
     path = fresh_path(d.spark, "answers")
-    for salt in ("a", "b"):
-        caches.append_answers(d.answers(salt), path)
+    for answers in d.both_answers():
+        caches.append_answers(answers, path)
     read = [caches.read_answers(d.spark, path, model=f"scorer-{salt}") for salt in ("a", "b")]
     return read[0].unionByName(read[1]).groupBy("model").agg(
         F.count(F.lit(1)).alias("answers"), F.sum("input_tokens").alias("input_tokens"))
@@ -241,8 +241,8 @@ def write_classified(d: Domain):
           UNION ALL SELECT 'b', 9000, error FROM answers_b) GROUP BY 1""", "answers_a", "answers_b"))
 def saved_runs(d: Domain):
     path = fresh_path(d.spark, "runs")
-    for salt, seconds in (("a", 1200.0), ("b", 9000.0)):
-        caches.save_run(d.answers(salt), path, run=salt, seconds=seconds, concurrency=8)
+    for salt, seconds, answers in zip("ab", (1200.0, 9000.0), d.both_answers()):
+        caches.save_run(answers, path, run=salt, seconds=seconds, concurrency=8)
     results, runs = caches.load_runs(d.spark, path)
     return compare.speed(results, runs, sentences_in_dataset=1).select("classifier", "sentences", "failed",
                                                                        "sentences_per_s")
@@ -320,8 +320,9 @@ def review_features_stream(d: Domain):
 def problems_merged(d: Domain):
     # early reviews come with the answers of another scorer, later ones follow, then the early answers are revised
     path = fresh_path(d.spark, "rollups")
-    facts = d.sentences.select("review_id", "review_key", "sentence_index", "product_name", "reviewed_at")
-    by = {salt: materialise(classify.attach_answers(facts, d.answers(salt)), f"classified_{salt}") for salt in ("a", "b")}
+    facts = d.sentences.select("review_id", *KEY, "product_name", "reviewed_at")
+    by = {salt: materialise(classify.attach_answers(facts, answers), f"classified_{salt}")
+          for salt, answers in zip("ab", d.both_answers("problem_category", "frustration"))}
     early = {salt: incremental.time_slice(df, "reviewed_at", until=BORDER) for salt, df in by.items()}
     later = incremental.time_slice(by["a"], "reviewed_at", since=BORDER)
     steps = [rollups.changed(None, early["b"]), rollups.changed(None, later), rollups.changed(early["b"], early["a"])]
@@ -363,7 +364,7 @@ def text_sketches(d: Domain):
 def latency_sketches(d: Domain):
     # latencies of the stand-in scorers follow from the lengths of sentences; they are no measurement
     at = d.sentences.select("review_key", "sentence_index", "reviewed_at")
-    runs = [at.join(d.answers(salt).select(*KEY, "latency_ms"), KEY).withColumn("run", F.lit(salt)) for salt in ("a", "b")]
+    runs = [at.join(answers, KEY).withColumn("run", F.lit(salt)) for salt, answers in zip("ab", d.both_answers("latency_ms"))]
     return _sketched(d, reduce(DataFrame.unionByName, runs), "run STRING", "review_key", "latency_ms")
 
 
