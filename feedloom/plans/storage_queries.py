@@ -298,7 +298,9 @@ def arrived_events(d: Domain, source: str) -> None:
     days = F.datediff("at", F.lit("1994-01-01").cast("date"))
     swap = F.pmod(F.xxhash64("event_id", "kind"), F.lit(60))  # up to two months before or after its neighbours
     period = F.least(F.greatest(F.floor((days + swap) / 730), F.lit(0)), F.lit(3))
-    stored = materialise(events.withColumn("period", period), "events")
+    placed, path = events.withColumn("period", period), fresh_path(d.spark, "events")
+    placed.write.partitionBy("period").parquet(path)  # a period is a folder, so that none is read for another
+    stored = d.spark.read.schema(placed.schema).parquet(path)
     for p in range(4):
         stored.where(F.col("period") == p).drop("period").coalesce(1).write.mode("append").parquet(source)
     tick = stored.where("customer_id IS NOT NULL").select(

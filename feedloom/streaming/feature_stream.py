@@ -6,8 +6,8 @@ after the watermark is late: Spark drops it before the state sees it, and `late_
 equal `review_features` over all events that were not late, whatever the order of arrival.
 
 Events without a customer or a time are left out, as no moment can be given to them. Repeated rows are events each. The
-state of a customer is five numbers and the events of the delay; an event-time timer wakes it, so a customer who is never
-heard of again still gets the features of the last review.
+state of a customer is four numbers and the events of the delay; an event-time timer wakes the bucket of customers it is
+kept in, so a customer who is never heard of again still gets the features of the last review.
 """
 
 from __future__ import annotations
@@ -27,7 +27,8 @@ from feedloom.operators.point_in_time import DAY, seconds_between
 MICROS = 1_000_000  # of money: amounts are added as whole numbers, as `prefix` adds decimals of six places
 ORDER, REVIEW = "order", "review"
 EVENT_DDL = "kind STRING, customer_id {key}, event_id {key}, at TIMESTAMP, amount BIGINT"
-STATE_DDL = "orders BIGINT, spent BIGINT, last_order BIGINT, reviews BIGINT, pending STRING"
+STATE_DDL = "customers STRING"
+BUCKETS = 16_384  # of customers, which share a state; a matter of speed only, but fixed for a checkpoint
 OUT = "customer_id {key}, review_id {key}, at_us BIGINT, order_count BIGINT, spent BIGINT, last_order_us BIGINT, " \
       "previous_reviews BIGINT"
 
@@ -67,40 +68,58 @@ class Totals:
                 same.append(event)
 
 
-def feature_rows(events: DataFrame, delay: str) -> DataFrame:
-    """The stream of finished reviews and late events, from a stream of events."""
+def _whole(ids: list) -> list:
+    """Ids as they were before pandas made fractions of whole numbers beside a null."""
+    return [None if i is None or i != i else int(i) if isinstance(i, float) else i for i in ids]
+
+
+def feature_rows(events: DataFrame, delay: str, *, buckets: int = BUCKETS) -> DataFrame:
+    """The stream of finished reviews and late events, from a stream of events.
+
+    Customers share a state by the hash of their id, so that Python is called per bucket and not per customer.
+    """
     kind = dict(events.dtypes)["customer_id"]
     columns = [part.split()[0] for part in OUT.split(", ")]
+    types = dict.fromkeys(columns if kind == "bigint" else columns[2:], "Int64")
 
     def advance(key: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
         mark = state.getCurrentWatermarkMs() * 1000
-        *known, pending = state.get if state.exists else (0, 0, None, 0, "[]")
-        totals, waiting, out = Totals(*known), json.loads(pending), []
+        known = {customer: (Totals(*row), waiting) for customer, *row, waiting in json.loads(state.get[0])} \
+            if state.exists else {}
         for batch in batches:
-            for at, what, amount, event in zip(batch["at"].astype("datetime64[us]").astype("int64").tolist(),
-                                               batch["kind"].tolist(), batch["amount"].tolist(), batch["event_id"].tolist()):
-                waiting.append([at, what, amount, event])
-        waiting.sort(key=lambda e: e[0])
-        ready = [e for e in waiting if e[0] < mark]
-        waiting = waiting[len(ready):]
-        out += [(key[0], review, at, *before) for review, at, before in totals.take(ready)]
-        state.update((*totals.row(), json.dumps(waiting)))
-        if waiting:
-            state.setTimeoutTimestamp(max(waiting[0][0] // 1000, mark // 1000 + 1))
+            for customer, at, what, amount, event in zip(
+                    batch["customer_id"].tolist(), batch["at"].astype("datetime64[us]").astype("int64").tolist(),
+                    batch["kind"].tolist(), batch["amount"].tolist(), _whole(batch["event_id"].tolist())):
+                if customer not in known:
+                    known[customer] = (Totals(), [])
+                known[customer][1].append([at, what, amount, event])
+        out, first = [], None
+        for customer, (totals, waiting) in known.items():
+            if not waiting:
+                continue
+            waiting.sort(key=lambda e: e[0])
+            ready = [e for e in waiting if e[0] < mark]
+            del waiting[:len(ready)]
+            out += [(customer, review, at, *before) for review, at, before in totals.take(ready)]
+            if waiting and (first is None or waiting[0][0] < first):
+                first = waiting[0][0]
+        state.update((json.dumps([[customer, *totals.row(), waiting] for customer, (totals, waiting) in known.items()]),))
+        if first is not None:
+            state.setTimeoutTimestamp(max(first // 1000, mark // 1000 + 1))
         if out:
-            yield pd.DataFrame(out, columns=columns).astype(dict.fromkeys(columns[2:], "Int64"))
+            yield pd.DataFrame(out, columns=columns).astype(types)
 
     placed = events.where(F.col("customer_id").isNotNull() & F.col("at").isNotNull()).withWatermark("at", delay)
-    return placed.groupBy("customer_id").applyInPandasWithState(
+    return placed.withColumn("bucket", F.pmod(F.xxhash64("customer_id"), F.lit(buckets))).groupBy("bucket").applyInPandasWithState(
         advance, OUT.format(key=kind), STATE_DDL, "append", GroupStateTimeout.EventTimeTimeout)
 
 
 def feature_stream(spark: SparkSession, source: str, sink: str, checkpoint: str, *, key_type: str = "STRING",
-                   delay: str = "90 days", files_per_batch: int = 1000) -> StreamingQuery:
+                   delay: str = "90 days", files_per_batch: int = 1000, buckets: int = BUCKETS) -> StreamingQuery:
     """Run over the events that have arrived in `source` since the last run, then stop; finished rows go to `sink`."""
     arriving = spark.readStream.schema(EVENT_DDL.format(key=key_type)) \
         .option("maxFilesPerTrigger", files_per_batch).parquet(source)
-    return (feature_rows(arriving, delay).writeStream.format("parquet").outputMode("append").option("path", sink)
+    return (feature_rows(arriving, delay, buckets=buckets).writeStream.format("parquet").outputMode("append").option("path", sink)
             .option("checkpointLocation", checkpoint).trigger(availableNow=True).start())
 
 

@@ -63,6 +63,19 @@ def test_late_events_are_counted_as_late_and_counted_nowhere(spark, tmp_path):
     assert late_events(again) == 2
 
 
+@pytest.mark.parametrize("buckets", [1, 2])
+def test_customers_share_states(spark, tmp_path, buckets):
+    source, sink, checkpoint = (str(tmp_path / n) for n in ("in", "out", "state"))
+    orders, reviews, people = tables(spark)
+    for part in (events_of(orders, reviews), tick(spark, 500)):
+        part.coalesce(1).write.mode("append").parquet(source)
+        run = feature_stream(spark, source, sink, checkpoint, delay="10 days", buckets=buckets)
+        run.awaitTermination()
+    batch = review_features(reviews.where("customer_id IS NOT NULL"), people, orders)
+    assert sorted(map(str, finished_features(spark, sink, people).collect())) == sorted(map(str, batch.collect()))
+    assert run.recentProgress[-1]["stateOperators"][0]["numRowsTotal"] <= buckets
+
+
 def test_nothing_arrives(spark, tmp_path):
     source, sink, checkpoint = (str(tmp_path / n) for n in ("in", "out", "state"))
     spark.createDataFrame([], EVENT_DDL.format(key="STRING")).write.parquet(source)

@@ -67,5 +67,16 @@ def test_scorer_reads_each_sentence_once(spark):
         assert "regexp_extract_all" not in plan_of(REGISTRY[name].run(d))
 
 
+def test_answers_without_names_join_no_product_and_equal_the_whole_ones(spark):
+    asked = ["problem_category", "frustration", "latency_ms", "error"]
+    d, again = Domain(spark, DATA), Domain(spark, DATA)
+    assert "Join" not in plan_of(drawn_answers(d.heard, d.products, "b", columns=asked))
+    twice = d.products.unionByName(d.products)  # an id that comes twice gives rows of its own, named or not
+    assert drawn_answers(d.heard, twice, "b", columns=asked).count() == drawn_answers(d.heard, twice, "b").count()
+    for salt, few in zip("ab", d.both_answers(*asked)):
+        whole = again.answers(salt).select(few.columns)
+        assert few.count() == whole.count() > 0 and few.exceptAll(whole).isEmpty()
+
+
 def test_entry(spark):
     assert contract.entry(spark).count() > 0
