@@ -28,7 +28,7 @@ MICROS = 1_000_000  # of money: amounts are added as whole numbers, as `prefix`
 ORDER, REVIEW = "order", "review"
 EVENT_DDL = "kind STRING, customer_id {key}, event_id {key}, at TIMESTAMP, amount BIGINT"
 STATE_DDL = "customers STRING"
-BUCKETS = 16_384  # of customers, which share a state; a matter of speed only, but fixed for a checkpoint
+BUCKETS = 4_096  # of customers, which share a state; a matter of speed only, but fixed for a checkpoint
 OUT = "customer_id {key}, review_id {key}, at_us BIGINT, order_count BIGINT, spent BIGINT, last_order_us BIGINT, " \
       "previous_reviews BIGINT"
 
