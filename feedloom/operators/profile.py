@@ -2,10 +2,13 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from feedloom.operators.quantiles import quantiles_of_counts
+from feedloom.session import materialise
+
+TASK_PAIRS = 2_000_000  # pairs of products that one task forms or counts; results do not depend on it
 
 
 def monthly_share(orders: DataFrame, customers: DataFrame, southern: list[str], *, since: str | None = None,
@@ -54,29 +57,42 @@ def affinity_lift(orders: DataFrame, order_lines: DataFrame, products: DataFrame
                          F.round(F.try_divide(rate, base), 4).alias("lift"))
 
 
-def affinity_pairs(orders: DataFrame, order_lines: DataFrame, *, least: int, block_items: int = 256) -> DataFrame:
+def pair_tasks(spark: SparkSession, pairs: int | None, task_pairs: int) -> int:
+    """Tasks for so many pairs, at least one for every core."""
+    return max(spark.sparkContext.defaultParallelism, -(-(pairs or 0) // task_pairs))
+
+
+def affinity_pairs(orders: DataFrame, order_lines: DataFrame, *, least: int, block_items: int = 256,
+                   task_pairs: int = TASK_PAIRS) -> DataFrame:
     """Pairs of products that at least `least` customers bought both of: (product_a < product_b) with buyers and lift.
 
     Products with fewer buyers are left out before pairs are formed. A customer of more than `block_items` such
     products is cut into blocks of products, and each pair of blocks is a group of its own, so no task holds all
-    of a busy customer. Pairs are counted before they are shuffled. A repeated line counts once; rows with nulls do not.
-    Lift is against independence among all customers with an order; no order lines give no row.
+    of a busy customer. Pairs are formed and counted in as many tasks as there are pairs for, about `task_pairs` each,
+    so a task's memory does not grow with the tables. A repeated line counts once; rows with nulls do not.
+    Lift is against independence among all customers with an order; no order lines give no row. Runs jobs.
     """
     bought = order_lines.select("order_id", "product_id").join(orders.select("order_id", "customer_id"), "order_id") \
         .select("customer_id", "product_id").dropna().distinct()
     buyers = bought.groupBy("product_id").agg(F.count(F.lit(1)).alias("buyers")).where(F.col("buyers") >= least)
-    kept = bought.join(buyers.select("product_id"), "product_id", "left_semi")
+    # read three times, and the number of pairs must be known before they are formed
+    kept = materialise(bought.join(buyers.select("product_id"), "product_id", "left_semi"), "bought")
+    of_customer = kept.groupBy("customer_id").agg(F.count(F.lit(1)).alias("n"))
+    formed = of_customer.agg(F.sum(F.expr("n * (n - 1) div 2"))).first()[0]
+    tasks = pair_tasks(orders.sparkSession, formed, task_pairs)
     blocks = kept.groupBy("customer_id").agg(F.ceil(F.count(F.lit(1)) / block_items).cast("int").alias("blocks")) \
         .where("blocks > 0")
     part, other = F.pmod(F.xxhash64("product_id"), "blocks").cast("int"), F.col("other")
     dealt = kept.join(blocks, "customer_id").withColumn("part", part).select(
         "customer_id", "product_id", "part", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("other")).select(
-        "customer_id", F.least("part", other).alias("low"), F.greatest("part", other).alias("high"), "part", "product_id")
+        "customer_id", F.least("part", other).alias("low"), F.greatest("part", other).alias("high"), "part", "product_id") \
+        .repartition(tasks, "customer_id", "low", "high")
     a, b = dealt.alias("a"), dealt.alias("b")
     # in a group of two blocks only pairs across them count; those inside a block meet in its own group
     pairs = a.join(b, F.expr("a.customer_id = b.customer_id AND a.low = b.low AND a.high = b.high "
                              "AND a.product_id < b.product_id AND (a.low = a.high OR a.part <> b.part)")) \
-        .groupBy(F.col("a.product_id").alias("product_a"), F.col("b.product_id").alias("product_b")) \
+        .select(F.col("a.product_id").alias("product_a"), F.col("b.product_id").alias("product_b")) \
+        .repartition(tasks, "product_a", "product_b").groupBy("product_a", "product_b") \
         .agg(F.count(F.lit(1)).alias("both")).where(F.col("both") >= least)
     everyone = orders.agg(F.count_distinct("customer_id").alias("customers"))  # one row
     of_a = buyers.select(F.col("product_id").alias("product_a"), F.col("buyers").alias("buyers_a"))

@@ -2,6 +2,7 @@
 
 import hashlib
 import random
+import re
 from collections import Counter
 from datetime import date, datetime
 from itertools import combinations
@@ -13,6 +14,7 @@ from feedloom.fixed_values import WRITER_SYSTEM
 from feedloom.functions import profile as formulas
 from feedloom.operators import profile, texts
 from feedloom.sources import caches
+from tests.conftest import plan_of
 
 BRIEF = ("R0000000001", "Tongs", "accessories", "Long tongs.", 2, 0.2, "build_quality", "german")
 DDL = ("review_id STRING, product_name STRING, product_category STRING, product_description STRING, rating INT, "
@@ -157,3 +159,15 @@ def test_affinity_of_all_pairs(spark, block_items):
     assert len(rows) == len(want) > 20
     assert {(r.product_a, r.product_b): (r.both, r.buyers_a, r.buyers_b, r.customers, r.lift) for r in rows} == want
     assert profile.affinity_pairs(orders, lines.limit(0), least=1).collect() == []
+
+
+def test_tasks_for_pairs_grow_with_the_pairs(spark):
+    customers, items = 40, 20  # 40 * 190 pairs
+    orders = spark.createDataFrame([(f"O{c}", c) for c in range(customers)], "order_id STRING, customer_id LONG")
+    lines = spark.createDataFrame([(f"O{c}", f"P{k:02}") for c in range(customers) for k in range(items)],
+                                  "order_id STRING, product_id STRING")
+    few, many = (profile.affinity_pairs(orders, lines, least=2, task_pairs=n) for n in (10 ** 6, 100))
+    assert sorted(few.collect()) == sorted(many.collect()) and few.count() == 190
+    assert {r.both for r in many.collect()} == {customers}
+    for key in ("customer_id", "product_a"):
+        assert re.search(rf"hashpartitioning\({key}[^)]*, 76\)", plan_of(many)), key
