@@ -365,7 +365,8 @@ def text_sketches(d: Domain):
     GROUP BY 1""", "sentences", "answers_a", "answers_b"))
 def latency_sketches(d: Domain):
     # latencies of the stand-in scorers follow from the lengths of sentences; they are no measurement
-    at = d.sentences.select("review_key", "sentence_index", "reviewed_at")
+    # both runs meet the sentences: split them once
+    at = materialise(d.sentences.select("review_key", "sentence_index", "reviewed_at"), "sentences")
     runs = [at.join(answers, KEY).withColumn("run", F.lit(salt)) for salt, answers in zip("ab", d.both_answers("latency_ms"))]
     return _sketched(d, reduce(DataFrame.unionByName, runs), "run STRING", "review_key", "latency_ms")
 

@@ -6,6 +6,8 @@ from functools import cached_property
 import pytest
 
 import __spark_entry__ as contract
+from pyspark.sql import functions as F
+
 from feedloom.plans.all_queries import REGISTRY
 from feedloom.plans.domain import Domain, drawn_answers
 from feedloom.session import materialise
@@ -80,3 +82,19 @@ def test_answers_without_names_join_no_product_and_equal_the_whole_ones(spark):
 
 def test_entry(spark):
     assert contract.entry(spark).count() > 0
+
+
+def test_only_what_the_answers_follow_from_is_written(spark):
+    d = Domain(spark, "/root/testdata/sf0.001")
+    whole = ["place", "marks", "product_name"]
+    for asked, unread in ((["latency_ms", "error"], whole), (["sentiment", "error"], ["place", "product_name"]),
+                          (["products_mentioned"], []), ([], [])):
+        rows = d.heard_for(*asked)
+        assert [c for c in whole if rows.where(F.col(c).isNotNull()).isEmpty()] == unread
+        assert sorted(rows.columns) == sorted(d.heard.columns)
+        got = drawn_answers(rows, d.products, "b", columns=asked)
+        want = drawn_answers(d.heard, d.products, "b").select(got.columns)
+        assert got.count() == want.count() and got.exceptAll(want).isEmpty()
+    again = Domain(spark, "/root/testdata/sf0.001")
+    again.products = d.products.union(d.products)  # an id that comes twice gives a row for each, found by the place
+    assert not again.heard_for("latency_ms").where("place is not null").isEmpty()

@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from feedloom.functions.keys import content_key, product_slug, stable_int
 from feedloom.operators.load import LOADED, load_reviews, missing_texts, product_catalogue
-from feedloom.operators.sentences import sentence_counts, split_sentences
+from feedloom.operators.sentences import WHITESPACE, sentence_counts, split_sentences
 
 CASES = {
     "three": ("Lid broke!  Thin steel. Going back to my old one.", ["Lid broke!", "Thin steel.", "Going back to my old one."]),
@@ -46,6 +46,14 @@ def test_split_needs_no_shuffle_and_runs_once(spark, reviews):
     assert plan.count("regexp_replace") == 2  # white space and boundaries, each once
 
 
+def test_white_space_of_any_kind_becomes_one_space(spark):
+    texts = ["a b  c\t d", "\n a\u00a0b \u2003 c\u0085d", " a", "a \n", "a\u3000\u3000b. \r\nc", " ", "a\u200bb", "a\x1cb"]
+    rows = spark.createDataFrame(list(enumerate(texts)), "id INT, t STRING")
+    got = rows.select("id", F.regexp_replace("t", WHITESPACE, " ").alias("got"),
+                      F.regexp_replace("t", r"(?U)\s+", " ").alias("want")).collect()
+    assert all(r.got == r.want for r in got) and got[0].got == "a b c d"
+
+
 def test_a_very_long_review_keeps_every_sentence(spark):
     df = spark.createDataFrame([("x", " ".join(f"S{i}." for i in range(20_000)))], "review_id STRING, review_text STRING")
     assert split_sentences(df).agg(F.count("*"), F.max("sentence_index")).first()[:] == (20_000, 19_999)
