@@ -147,8 +147,8 @@ def prompt_tokens(sentences: DataFrame, texts: DataFrame | None = None, *, chars
     """One row: roughly how many tokens the states of the distinct sentences amount to.
 
     As in `with_state`, `texts` (review_key, review_text) lets the sentences travel without their review.
-    A state lives only as long as it takes to measure it.
+    The sizes are those of the states' parts: a review is measured once, however many sentences it has.
     """
-    sized = with_state(distinct_sentences(sentences), texts).select(F.length("state").cast("bigint").alias("size"))
+    sized = with_state(distinct_sentences(sentences), texts, size="size").select("size")
     return sized.agg(F.count(F.lit(1)).alias("sentences"),
                      F.bround(F.sum("size") / F.lit(chars_per_token), 0).cast("bigint").alias("prompt_tokens"))

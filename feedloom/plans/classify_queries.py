@@ -78,9 +78,8 @@ def stated(d: Domain) -> DataFrame:
 def sentence_state(d: Domain):
     asked = classify.distinct_sentences(stated(d))
     texts = classify.distinct_reviews(d.texts)
-    return classify.with_state(asked, texts).select("review_key", *longs("sentence_index"),
-                                                    F.sha1("state").alias("state_sha1"),
-                                                    F.length("state").cast("bigint").alias("state_length"))
+    return classify.with_state(asked, texts, size="state_length").select(
+        "review_key", *longs("sentence_index"), F.sha1("state").alias("state_sha1"), "state_length")
 
 
 @query("distinct_sentences", check_sql("""

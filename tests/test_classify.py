@@ -95,6 +95,23 @@ def test_a_late_text_may_be_null_or_without_product(spark):
         sorted(classify.with_state(odd).select("review_id", "state").collect())
 
 
+def test_a_state_is_measured_by_its_parts(spark, sentences):
+    odd = spark.createDataFrame(
+        [(f"X{i}", f"x{i}", 0, 1, s, text, name, kind, 1, "Canada") for i, (s, text, name, kind) in enumerate([
+            ("Hot.", "Hot \"quoted\"\n\u4e0d\u597d \U0001f525", "Steel Kettle", "kitchen"), ("A", None, "Steel Kettle", None),
+            ("B", "", None, None), ("C", None, None, None), ("D", "D \\ \t", None, "kitchen")])], SENTENCES)
+    rows = sentences.unionByName(odd)
+    texts = classify.distinct_reviews(rows.select("review_id", "review_key", "review_text").distinct())
+    late = classify.with_state(rows.drop("review_text"), texts, size="size")
+    usual = classify.with_state(rows, size="size").select("review_id", "sentence_index", "state", "size")
+    assert sorted(late.select(*usual.columns).collect()) == sorted(usual.collect())
+    assert all(len(r.state) == r.size for r in late.collect())
+    # the size alone has no state made and carries no sentence to the texts
+    plan = plan_of(late.select("size"))
+    assert "substring(__around" not in plan and "review_text" in plan
+    assert not late.where("size IS NULL").count()
+
+
 def test_no_state_and_no_text_per_sentence_is_shuffled(sentences):
     def peek(row):
         return {"answers": {"state": row["state"]}}
