@@ -72,6 +72,11 @@ def test_nothing_is_parsed_where_it_is_read(stored, catalogue):
         assert "parse_json" not in plan_of(read).lower() and "from_json" not in plan_of(read).lower()
 
 
+def test_all_parts_are_taken_in_one_walk_and_mentions_alone_are_exploded(stored, catalogue):
+    assert "variant_get(answer#" not in plan_of(answer_variants.explode_answers(stored))
+    assert "startswith" in plan_of(answer_variants.mentioned_products(stored, catalogue)).lower().split("generate ")[-1]
+
+
 def test_stated_differences(spark):
     odd = [("k1", 0, '{"frustration": {"score": "2.5"}}', "m", 1, 1, 1, None),
            ("k2", 0, '{"suggestion": {"probability": 0.1}, "suggestion": {"probability": 0.2}}', "m", 1, 1, 1, None)]

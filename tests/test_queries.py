@@ -8,8 +8,10 @@ import pytest
 import __spark_entry__ as contract
 from pyspark.sql import functions as F
 
+from feedloom.operators import classify
 from feedloom.plans.all_queries import REGISTRY
-from feedloom.plans.domain import Domain, drawn_answers
+from feedloom.plans.domain import Domain, drawn_answers, drawn_json, lists_read
+from feedloom.plans.lexical import NAMES, PROBLEM_CUES
 from feedloom.session import materialise
 from tests.conftest import plan_of
 from tools.check_oracle import rows
@@ -98,3 +100,27 @@ def test_only_what_the_answers_follow_from_is_written(spark):
     again = Domain(spark, "/root/testdata/sf0.001")
     again.products = d.products.union(d.products)  # an id that comes twice gives a row for each, found by the place
     assert not again.heard_for("latency_ms").where("place is not null").isEmpty()
+
+
+def test_drawn_json_says_what_the_answers_say(spark):
+    keys = spark.createDataFrame([
+        ("k1", 0, "Iron Kettle 1", 'It is "the" product that broke, the worst.'), ("k1", 1, "Iron Kettle 1", "Hm"),
+        ("k2", 0, "Lamp & Co 2", "un den de that another those the it this"), ("k2", 1, "Lamp & Co 2", "no cue at all here")],
+        "review_key STRING, sentence_index INT, product_name STRING, sentence STRING")
+    products = spark.createDataFrame([(1, "Iron Kettle 1"), (2, "Lamp & Co 2")], "product_id BIGINT, product_name STRING")
+    flat = classify.flatten_answers(drawn_json(keys, products, "a"), products.select("product_name"))
+    want = drawn_answers(keys, products, "a")
+    assert sorted(map(str, flat.select(want.columns).collect())) == sorted(map(str, want.collect()))
+    # what every sentence is asked is written from columns, not gathered entry by entry
+    assert "map_from_entries" not in drawn_json(keys, products, "a")._jdf.queryExecution().optimizedPlan().toString()
+
+
+def test_only_cues_that_are_asked_for_are_counted(spark):
+    assert len(lists_read(("problem_category", "error"))) == len(PROBLEM_CUES)
+    assert {n for n, _ in lists_read(("products_mentioned", "sentiment_confidence"))} == {
+        "own_mention", "other_mention", "sentiment"}
+    assert lists_read(()) == NAMES and not lists_read(("latency_ms",))
+
+
+def test_long_generated_code_is_not_run_uncompiled(spark):
+    assert int(spark.conf.get("spark.sql.codegen.hugeMethodLimit")) <= 8000
