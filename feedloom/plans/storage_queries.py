@@ -322,7 +322,8 @@ def review_features_stream(d: Domain):
 def problems_merged(d: Domain):
     # early reviews come with the answers of another scorer, later ones follow, then the early answers are revised
     path = fresh_path(d.spark, "rollups")
-    facts = d.sentences.select("review_id", *KEY, "product_name", "reviewed_at")
+    # both runs meet the sentences: split them once
+    facts = materialise(d.sentences.select("review_id", *KEY, "product_name", "reviewed_at"), "sentences")
     by = {salt: materialise(classify.attach_answers(facts, answers), f"classified_{salt}")
           for salt, answers in zip("ab", d.both_answers("problem_category", "frustration"))}
     early = {salt: incremental.time_slice(df, "reviewed_at", until=BORDER) for salt, df in by.items()}
