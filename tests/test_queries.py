@@ -9,6 +9,7 @@ import __spark_entry__ as contract
 from pyspark.sql import functions as F
 
 from feedloom.operators import classify
+from feedloom.plans import storage_queries
 from feedloom.plans.all_queries import REGISTRY
 from feedloom.plans.domain import Domain, drawn_answers, drawn_json, lists_read
 from feedloom.plans.lexical import NAMES, PROBLEM_CUES
@@ -124,3 +125,17 @@ def test_only_cues_that_are_asked_for_are_counted(spark):
 
 def test_long_generated_code_is_not_run_uncompiled(spark):
     assert int(spark.conf.get("spark.sql.codegen.hugeMethodLimit")) <= 8000
+
+
+def test_merged_problems_split_the_sentences_once_for_both_runs(spark, monkeypatch):
+    written = {}
+
+    def noted(df, name):
+        written[name] = df._jdf.queryExecution().optimizedPlan().toString()
+        return materialise(df, name)
+
+    monkeypatch.setattr(storage_queries, "materialise", noted)
+    REGISTRY["problems_merged"].run(Domain(spark, DATA))
+    assert "posexplode" in written.pop("sentences").lower()
+    assert set(written) == {"classified_a", "classified_b"}
+    assert not any("posexplode" in plan.lower() for plan in written.values())
