@@ -285,10 +285,10 @@ def classify_stream(d: Domain):
     parts = [incremental.time_slice(arriving, "reviewed_at", until=BORDER),
              incremental.time_slice(arriving, "reviewed_at", since=BORDER)]
     for part in parts:
-        part.drop("reviewed_at").write.mode("append").parquet(source)
+        part.drop("reviewed_at").write.mode("append").parquet(source, compression=streaming.TEXT_CODEC)
         run()
     streaming.retry_failed(d.spark, sink, catalogue=d.products.select("product_name"), scorer=scorer, columns=[*KEY, "sentence"])
-    return streaming.stored_answers(d.spark, sink).select(scored_columns())
+    return streaming.stored_answers(d.spark, sink, columns=["frustration", "model", "error"]).select(scored_columns())
 
 
 def arrived_events(d: Domain, source: str) -> None:

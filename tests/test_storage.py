@@ -10,7 +10,8 @@ from feedloom.operators import classify, incremental
 from feedloom.operators.validate import ValidationError
 from feedloom.schemas import KEY, TABLES, TableSpec
 from feedloom.sources import caches, dataset, growth
-from feedloom.streaming.classify_stream import classify_stream, retry_failed, stored_answers, stored_sentences
+from feedloom.streaming.classify_stream import classify_stream, retry_failed, stored_answers, stored_sentences, to_ask
+from tests.conftest import plan_of
 from test_quality import base
 
 ORDERS = {"orders": TABLES["orders"]}
@@ -309,3 +310,61 @@ def test_stream_scores_each_text_once(spark, tmp_path):
     # a batch whose commit is missing is invisible
     spark.createDataFrame([], answers.drop("batch_id").schema).write.parquet(f"{sink}/answers/batch_id=99")
     assert stored_answers(spark, sink).count() == 3
+
+
+def test_a_batch_moves_its_text_once(spark):
+    ddl = "review_id BIGINT, product_name STRING, review_text STRING, review_key STRING"
+    reviews = spark.createDataFrame([(2, "Kettle", "One. Two. Three.", "a"), (1, "Kettle", "One. Two. Three.", "a"),
+                                     (3, "Kettle", "Four.", "b"), (4, None, "Five.", None), (5, "Kettle", None, None)], ddl)
+    settled = spark.createDataFrame([("a", 1), ("c", 0), (None, 0)], "review_key STRING, sentence_index INT")
+    for partitions in (None, 3):
+        asked = to_ask(reviews, settled, partitions)
+        assert [tuple(r) for r in asked.orderBy("review_key", "sentence_index").collect()] == [
+            (1, "a", "Kettle", 0, 3, "One."), (1, "a", "Kettle", 2, 3, "Three."), (3, "b", "Kettle", 0, 1, "Four.")]
+        plan = plan_of(asked)
+        assert plan.count("Exchange") == 1 and "Join" not in plan
+    assert asked.rdd.getNumPartitions() == 3  # scoring has as many tasks as it asks for
+    assert to_ask(reviews.limit(0), settled, 2).count() == 0
+
+
+def test_failed_sentences_come_back_beside_their_errors(spark):
+    def ask(row):
+        assert list(row) == KEY
+        if row["sentence_index"]:
+            raise TimeoutError("busy")
+        return {"answers": {}}
+
+    asked = spark.createDataFrame([(7, "a", "Kettle", 0, 2, "One."), (7, "a", "Kettle", 1, 2, "Two."), (8, None, "Kettle", 1, 2, "x")],
+                                  "review_id BIGINT, review_key STRING, product_name STRING, sentence_index INT, "
+                                  "sentence_count INT, sentence STRING")
+    raw = classify.score_sentences(asked, classify.per_sentence(ask, model="m"), columns=KEY, partitions=2,
+                                   beside_errors=["review_id", "sentence_count", "sentence"])
+    rows = {(r.review_key, r.sentence_index): (r.error is None, r.review_id, r.sentence_count, r.sentence) for r in raw.collect()}
+    assert rows == {("a", 0): (True, None, None, None), ("a", 1): (False, 7, 2, "Two."), (None, 1): (False, 8, 2, "x")}
+
+
+def test_stored_answers_without_products_meet_no_names(spark):
+    catalogue = spark.createDataFrame([("Kettle",)], "product_name STRING")
+    said = lambda name: '{"' + name + '": {"probability": 0.9}}'
+    raw = spark.createDataFrame(
+        [("a", 0, said("mentions__kettle"), None), ("a", 1, said("\\u006dentions__kettle"), None), ("a", 2, "{}", None),
+         ("a", 3, None, "busy"), ("b", 0, said("mentions__pan"), None), (None, 0, "{}", None), ("c", 0, None, None)],
+        "review_key STRING, sentence_index INT, answers_json STRING, error STRING").selectExpr(
+        "review_key", "sentence_index", "answers_json", "'m' AS model", "1L AS input_tokens", "1L AS output_tokens",
+        "1L AS latency_ms", "error")
+    together, apart = (sorted(map(str, classify.flatten_answers(raw, catalogue, stored=s).collect())) for s in (False, True))
+    assert together == apart and sum("['Kettle']" in row for row in apart) == 2
+    plain = classify.flatten_answers(raw.where("NOT contains(answers_json, 'entions')"), catalogue, stored=True)
+    assert plain.count() == 2
+
+
+def test_only_columns_asked_for_are_gathered_from_stored_answers(spark, tmp_path):
+    arriving, sink, checkpoint = (str(tmp_path / n) for n in ("in", "out", "cp"))
+    spark.createDataFrame([("R1", "Kettle", "Good. Fine.")], REVIEWS).write.parquet(arriving)
+    classify_stream(spark, arriving, sink, checkpoint, reviews_ddl=REVIEWS, columns=KEY, partitions=1,
+                    catalogue=spark.createDataFrame([("Kettle",)], "product_name STRING"),
+                    scorer=classify.per_sentence(lambda row: {"answers": {}}, model="m")).awaitTermination()
+    some = stored_answers(spark, sink, columns=["model"])
+    assert some.columns == [*KEY, "model"] and some.count() == 2
+    gathered = [line for line in plan_of(some).splitlines() if "min_by" in line]
+    assert gathered and not any("latency_ms, answers_json" in line.split("AS first")[0] for line in gathered)
