@@ -32,6 +32,7 @@ from feedloom.llm.common import U64, bitmap_of, in_bitmap, map_batches, mix, sto
 
 CHUNK = 6 << 20
 HELD = 1_000_000  # rows of a task; results do not depend on it
+TASK_WORDS = 20_000_000  # words of a task of the last pass, unless that would be fewer tasks than there are cores
 POINTER = ["key", "control", "count", "row", "start", "size"]
 SLICES = 16
 RANK_SLICES = 64
@@ -217,13 +218,17 @@ Found = list[np.ndarray]  # key, control, count, row, start, size
 
 def places(chunk: Chunk, frequent: list[tuple[range, np.ndarray]]) -> Iterator[Found]:
     """The n-grams of a chunk that may be frequent themselves: where each stands first, in bytes of its text. The
-    control is a second fingerprint, of other hashes of the words."""
+    control is a second fingerprint, of other hashes of the words. A run may be frequent if its bitmap says so and both
+    runs of one word less in it may be: what a bitmap lets pass by chance grows with the words and with the frequent
+    runs, and nearly all of that goes here."""
     runs = Runs(chunk)
     rows, starts = np.array(chunk.rows, np.int64), np.array(chunk.starts, np.int64)
+    may = np.ones(len(runs.hashes) + 1, bool)
     for sizes, bits in frequent:
         for n in sizes:
             keys = runs.keys(n)
-            place, counts = runs.groups(n, keys, in_bitmap(bits, keys))
+            may = in_bitmap(bits, keys) & may[:len(keys)] & may[1:len(keys) + 1]
+            place, counts = runs.groups(n, keys, may)
             part, begin = runs.part[place], runs.ends[place] - runs.lengths[place]
             yield [keys[place].view(np.int64), fingerprints(runs.others, n, runs.salt)[place].view(np.int64), counts,
                    rows[part], begin - runs.part_starts[part] + starts[part], runs.ends[place + n - 1] - begin]
@@ -272,7 +277,12 @@ def frequent_phrases(words: DataFrame, least: int, longest: int, chunk_bytes: in
                                   "key int, count long")
             often = counted.groupBy("key").agg(F.sum("count").alias("f")).where(F.col("f") >= least).select("key")
             bits.append((sizes, bitmap_of(often.select(F.col("key").cast("long").alias("key")), "key")))
-    pointers = map_batches(words, lambda batches: pointed(batches, longest - 1, chunk_bytes, bits),
+    # nearly every task meets nearly every frequent run: tasks that grew in number with the input would hand out as many
+    # rows as there are frequent runs and tasks, so these are fewer and each combines more
+    totals = stored(words.groupBy("lang").agg(F.sum("n").alias("n")), "phrases-totals")
+    all_words = totals.agg(F.sum("n")).first()[0] or 0
+    tasks = max(words.sparkSession.sparkContext.defaultParallelism, -int(-all_words // TASK_WORDS))
+    pointers = map_batches(words.coalesce(tasks), lambda batches: pointed(batches, longest - 1, chunk_bytes, bits),
                            ", ".join(f"{c} long" for c in POINTER))
     # of equal runs any place will do; the least row has one, and the size is that of all of them
     found = pointers.groupBy("key", "control").agg(
@@ -281,7 +291,7 @@ def frequent_phrases(words: DataFrame, least: int, longest: int, chunk_bytes: in
     said = found.join(words.select("row", "lang", "words"), "row").select(
         "lang", F.expr("substring(words, cast(start as int) + 1, cast(size as int))").cast("string").alias("phrase"), "f")
     exact = said.groupBy("lang", "phrase").agg(F.sum("f").alias("f")).withColumn("n_words", F.size(F.split("phrase", " ")))
-    return stored(exact, "phrases-exact"), words.groupBy("lang").agg(F.sum("n").alias("n"))
+    return stored(exact, "phrases-exact"), totals
 
 
 def words_between(begin, length):

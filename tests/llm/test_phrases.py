@@ -120,3 +120,28 @@ def test_colliding_fingerprints_are_told_apart(spark, monkeypatch):
 
 def test_normal_form():
     assert normal("  Ab\tcD. É;;\n x \x0b!y".encode()) == "ab cd\nÉ\nx\ny".encode()
+
+
+def test_only_runs_of_frequent_parts_are_handed_out():
+    chunk = Chunk()
+    chunk.add(0, "en", 0, b"a b c d")
+    runs, everything = Runs(chunk), np.full(BITMAP_BITS // 32, 0xFFFFFFFF, np.uint32)
+    words = np.zeros_like(everything)
+    for key in runs.keys(1)[[0, 1, 3]]:  # all but c; the other bitmaps are full, as they may become
+        slot = int(key) % BITMAP_BITS
+        words[slot >> 5] |= np.uint32(1 << (slot & 31))
+    found = phrases.places(chunk, [(range(1, 2), words), (range(2, 3), everything), (range(3, 6), everything)])
+    assert [sorted(zip(f[4].tolist(), f[5].tolist())) for f in found] == [[(0, 1), (2, 1), (6, 1)], [(0, 3)], [], [], []]
+
+
+def test_the_last_pass_has_few_tasks(spark, monkeypatch):
+    docs = spark.createDataFrame([("a b a b",)] * 20, "text string").selectExpr("text", "'en' AS lang").repartition(20)
+    tasks, mapped = [], phrases.map_batches
+    monkeypatch.setattr(phrases, "map_batches", lambda df, *rest: tasks.append(df.rdd.getNumPartitions()) or mapped(df, *rest))
+    spark.conf.set("spark.sql.files.maxPartitionBytes", "4m")  # a task per file
+    try:
+        got = {(r.phrase, r.a) for r in collocations(docs, least=2, longest=3, first=9).collect()}
+    finally:
+        spark.conf.unset("spark.sql.files.maxPartitionBytes")
+    assert tasks[1] > tasks[-1] == spark.sparkContext.defaultParallelism
+    assert got == {("a b", 40), ("a b a", 20), ("b a b", 20)}
