@@ -1,8 +1,11 @@
 """Questions, state, what is asked, scoring, flattening, and the answer cache."""
 
 import json
+import time
 import uuid
+from concurrent.futures import ThreadPoolExecutor
 
+import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
@@ -228,3 +231,65 @@ def test_scorer_sees_only_the_columns_it_names(sentences):
         return {"answers": {"frustration": {"score": float(len(row)), "confidence": 1.0}}}
     scored = classify.score_sentences(sentences, classify.per_sentence(peek, model="m"), columns=KEY, partitions=2)
     assert {json.loads(r.answers_json)["frustration"]["score"] for r in scored.collect()} == {2.0}
+
+
+def test_sentences_are_not_handed_to_the_pool_one_by_one(monkeypatch):
+    handed, flying, most = [], [], []
+
+    class Pool(ThreadPoolExecutor):
+        def submit(self, *args, **kwargs):
+            handed.append(args)
+            return super().submit(*args, **kwargs)
+
+    def slow(row):
+        flying.append(row)
+        most.append(len(flying))
+        time.sleep(0.02)
+        flying.remove(row)
+        if row["sentence_index"] == 5:
+            raise TimeoutError("busy")
+        return {"answers": {"n": row["sentence_index"]}}
+
+    monkeypatch.setattr(classify, "ThreadPoolExecutor", Pool)
+    batches = [pd.DataFrame({"review_key": [f"k{k}" for k in range(n)], "sentence_index": range(n)}) for n in (40, 0, 3)]
+    out = list(classify.per_sentence(slow, model="m", concurrency=4)(iter(batches)))
+    assert len(handed) <= 3 * 4 and max(most) == 4  # a thread takes the next itself; as many calls in flight as before
+    assert [list(o.review_key) for o in out] == [list(b.review_key) for b in batches]
+    assert [None if pd.isna(a) else json.loads(a)["n"] for a in out[0].answers_json] == [*range(5), None, *range(6, 40)]
+    assert out[0].error[5] == "TimeoutError: busy" and out[0].error.isna().sum() == 39 and (out[0].latency_ms >= 20).all()
+
+
+def test_a_text_goes_to_the_scorer_once_per_review(spark, sentences, monkeypatch):
+    """What crosses to Python holds a review's text once; the scorer sees the whole states, a bounded number at a time."""
+    seen = classify.with_state
+    monkeypatch.setattr(classify, "with_states", lambda scorer, columns: lambda batches: (
+        pd.DataFrame({"review_key": b.review_key, "sentence_index": b.sentence_index, "answers_json": b["__state_rest"], "model": "m",
+                      "input_tokens": b["__state_opening"].str.len(), "output_tokens": 0, "latency_ms": 0, "error": None})
+        for b in batches))
+    many = spark.range(300).select(
+        F.format_string("k%d", F.col("id") % 3).alias("review_key"), F.floor(F.col("id") / 3).cast("int").alias("sentence_index"),
+        F.lit(100).alias("sentence_count"), F.lit("It leaks.").alias("sentence"), F.lit("Kettle").alias("product_name"),
+        F.lit(None).cast("string").alias("product_category"))
+    texts = spark.createDataFrame([(f"k{k}", "x" * 5000) for k in range(3)] + [(None, "y")], "review_key STRING, review_text STRING")
+    crossed = classify.score_sentences(many, None, columns=[*KEY, "state"], partitions=2, texts=texts).collect()
+    assert len(crossed) == 300 and sum(len(r.answers_json or "") for r in crossed) < 3 * 5100
+    monkeypatch.undo()
+
+    def given(batches):
+        for b in batches:
+            assert list(b.columns) == ["state", *KEY] and list(b.index) == list(range(len(b)))
+            yield pd.DataFrame({"review_key": b.review_key, "sentence_index": b.sentence_index, "answers_json": b.state,
+                                "model": str(len(b)), "input_tokens": 0, "output_tokens": 0, "latency_ms": 0, "error": None})
+
+    chars = 20_000
+    bounded = classify.with_states(given, ["state", *KEY])
+    monkeypatch.setattr(classify, "STATE_CHARS", chars)
+    rows = pd.DataFrame({"review_key": ["k"] * 20, "sentence_index": range(20), "__state_opening": "{", "__state_rest": ["x" * 6000] + [None] * 19})
+    assert [len(b) for b in bounded(iter([rows, rows.iloc[1:]]))] == [4] * 5 + [4, 4, 4, 4, 3]
+    monkeypatch.undo()
+    with pytest.raises(RuntimeError, match="without its text"):
+        list(classify.with_states(given, ["state", *KEY])(iter([rows.iloc[1:]])))
+    got = classify.score_sentences(many, given, columns=["state", *KEY], partitions=2, texts=texts.unionByName(texts)).collect()
+    want = seen(many, texts.unionByName(texts)).collect()
+    assert sorted((r.review_key, r.sentence_index, r.answers_json) for r in got) == sorted(
+        (r.review_key, r.sentence_index, r.state) for r in want) and len(got) == 600
