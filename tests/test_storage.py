@@ -368,3 +368,20 @@ def test_only_columns_asked_for_are_gathered_from_stored_answers(spark, tmp_path
     assert some.columns == [*KEY, "model"] and some.count() == 2
     gathered = [line for line in plan_of(some).splitlines() if "min_by" in line]
     assert gathered and not any("latency_ms, answers_json" in line.split("AS first")[0] for line in gathered)
+
+
+def test_a_table_is_not_broadcast_by_its_size_on_disk(spark, tmp_path):
+    """A product list of a few MB on disk takes many times that in the driver: only small guesses count."""
+    path = str(tmp_path / "products")
+    spark.range(150_000).select(F.col("id").alias("product_id"), F.md5(F.col("id").cast("string")).alias("product_name")) \
+        .coalesce(1).write.parquet(path)
+    size = sum(f.stat().st_size for f in (tmp_path / "products").glob("*.parquet"))
+    assert 2 * feed_session.GUESSED_BYTES < size < 10 << 20
+    reviews = spark.range(3_000_000).select("id", (F.col("id") % 150_000).alias("product_id"))
+    assert "BroadcastHashJoin" not in plan_of(reviews.join(spark.read.parquet(path), "product_id"))
+    for allowed, guessed, measured in (("20MB", "1048576b", "20MB"), ("256k", "256k", None), ("-1", "-1", None)):
+        other = spark.newSession()
+        other.conf.set(feed_session.GUESSED, allowed)
+        for _ in range(2):
+            feed_session.tune(other)
+            assert (other.conf.get(feed_session.GUESSED), other.conf.get(feed_session.MEASURED, None)) == (guessed, measured)
