@@ -78,12 +78,18 @@ class ValidationError(ValueError):
     """Raised with every broken rule."""
 
 
-def check_tables(tables: dict[str, DataFrame], specs: dict[str, TableSpec] = TABLES) -> None:
-    """Raise if any table breaks its schema or a rule. Runs jobs; only broken rules reach the driver."""
+def check_schemas(tables: dict[str, DataFrame], specs: dict[str, TableSpec] = TABLES) -> None:
+    """Raise if any table breaks its schema."""
     wrong = [f"{name}.{r.column}: expected {r.expected}, found {r.found}"
              for name, df in tables.items() for r in schema_report(df, specs[name]).collect()]
-    if not wrong:
-        wrong = [f"{r.table}: {r.rule} ({r.violations} rows)"
-                 for r in validate_dataset(tables, specs).where("violations > 0").collect()]
+    if wrong:
+        raise ValidationError("\n".join(wrong))
+
+
+def check_tables(tables: dict[str, DataFrame], specs: dict[str, TableSpec] = TABLES) -> None:
+    """Raise if any table breaks its schema or a rule. Runs jobs; only broken rules reach the driver."""
+    check_schemas(tables, specs)
+    wrong = [f"{r.table}: {r.rule} ({r.violations} rows)"
+             for r in validate_dataset(tables, specs).where("violations > 0").collect()]
     if wrong:
         raise ValidationError("\n".join(wrong))

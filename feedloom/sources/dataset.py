@@ -21,11 +21,12 @@ from pyspark.sql import DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import IntegerType, StringType, StructField, StructType
 
-from feedloom.operators.integrity import check_integrity
-from feedloom.operators.validate import check_tables, value_rules
+from feedloom.operators.integrity import check_integrity, integrity_report
+from feedloom.operators.validate import check_schemas, check_tables, validate_dataset, value_rules
 from feedloom.schemas import COMMITS_DDL, TABLES, TableSpec, conform
 
 COMMITS = "commits"
+BROKEN, BROKEN_DDL = "broken_rules", "rule STRING, violations BIGINT, sample STRING"
 
 
 def read_or_none(spark: SparkSession, path: str, schema: StructType) -> DataFrame | None:
@@ -141,17 +142,34 @@ def read_dataset(spark: SparkSession, path: str, *, batches: Iterable[int] | Non
 
 
 def write_dataset(tables: Mapping[str, DataFrame], path: str, *, specs: Mapping[str, TableSpec] = TABLES,
-                  rules: list[str] | None = None) -> None:
-    """Check every table and the rules across them, or those of `rules`, then write each whole. Runs jobs."""
+                  rules: list[str] | None = None, refuse: bool = True) -> None:
+    """Check every table and the rules across them, or those of `rules`, then write each whole. Runs jobs.
+
+    A broken rule refuses them all. Without `refuse` it is stored beside them instead, see `broken_rules`: for tables that
+    come as they are. Columns that are missing or of another type refuse them always, as they could not be read back.
+    """
     unknown = set(tables) - set(specs)
     if unknown:
         raise ValueError(f"unknown tables: {sorted(unknown)}")
-    check_tables(dict(tables), dict(specs))
-    check_integrity(dict(tables), rules=rules)
+    if refuse:
+        check_tables(dict(tables), dict(specs))
+        check_integrity(dict(tables), rules=rules)
+    else:
+        check_schemas(dict(tables), dict(specs))
+        within = validate_dataset(dict(tables), dict(specs)).select(
+            F.concat_ws(": ", "table", "rule").alias("rule"), "violations", F.lit("").alias("sample"))
+        across = integrity_report(dict(tables), rules=rules)
+        within.unionByName(across).where("violations > 0").write.mode("overwrite").parquet(f"{path}/{BROKEN}")
     for name, df in tables.items():
         df.write.mode("overwrite").parquet(f"{path}/{name}.parquet")
 
 
+def broken_rules(spark: SparkSession, path: str) -> DataFrame:
+    """(rule, violations, sample) of what was broken when a dataset was written without refusing; sample keys of rules
+    across tables."""
+    return spark.read.schema(BROKEN_DDL).parquet(f"{path}/{BROKEN}")
+
+
 def write_batch(tables: Mapping[str, DataFrame], batch_id: int, path: str, *,
                 specs: Mapping[str, TableSpec] = TABLES) -> dict[str, int]:
     """Write one folder per table for this batch and count its rows while writing. Runs jobs.

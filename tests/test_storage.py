@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from feedloom import session as feed_session
 from feedloom.operators import classify, incremental
 from feedloom.operators.validate import ValidationError
+from feedloom.plans import all_queries
 from feedloom.schemas import KEY, TABLES, TableSpec
 from feedloom.sources import caches, dataset, growth
 from feedloom.streaming.classify_stream import classify_stream, retry_failed, stored_answers, stored_sentences, to_ask
@@ -385,3 +386,33 @@ def test_a_table_is_not_broadcast_by_its_size_on_disk(spark, tmp_path):
         for _ in range(2):
             feed_session.tune(other)
             assert (other.conf.get(feed_session.GUESSED), other.conf.get(feed_session.MEASURED, None)) == (guessed, measured)
+
+
+def test_tables_with_broken_rules_are_written_with_what_was_broken(spark, tmp_path):
+    tables = {"orders": orders(spark, 0, 3).withColumn("order_total", F.lit(-1.0)), "customers": base(spark)["customers"]}
+    path = str(tmp_path / "kept")
+    dataset.write_dataset(tables, path, rules=["order_customer"], refuse=False)
+    assert dataset.read_dataset(spark, path)["orders"].count() == 3
+    known = {r.customer_id for r in tables["customers"].collect()}
+    strangers = [f"C{k:07d}" for k in range(3) if f"C{k:07d}" not in known]
+    broken = {r.rule: (r.violations, r["sample"]) for r in dataset.broken_rules(spark, path).collect()}
+    assert broken.pop("orders: order_total is in range") == (3, "")
+    assert list(broken.values()) == [(len(strangers), ";".join(strangers))]
+    with pytest.raises(ValidationError):
+        dataset.write_dataset(tables, path, rules=["order_customer"])
+    with pytest.raises(ValidationError, match="expected"):
+        dataset.write_dataset({"orders": tables["orders"].drop("batch_id")}, path, refuse=False)
+
+
+def test_dataset_query_writes_tables_whose_ids_have_gaps(spark, tmp_path):
+    """Reviews find their order by a position, so with gaps in the ids some texts have none; the rows are written all the same."""
+    sf, apart = "/root/testdata/sf0.001", {"orders": "o_orderkey", "lineitem": "l_orderkey"}
+    for name in ("customer", "orders", "lineitem", "part", "nation", "documents", "labels"):
+        df = spark.read.parquet(f"{sf}/{name}.parquet")
+        if name in apart:
+            df = df.withColumn(apart[name], F.col(apart[name]) * 3)
+        df.coalesce(1).write.parquet(f"{tmp_path}/{name}.parquet")
+    rows = {r["table"]: r["rows"] for r in all_queries.runner("write_dataset")(spark, str(tmp_path)).collect()}
+    n = {name: spark.read.parquet(f"{tmp_path}/{name}.parquet").count() for name in ("customer", "orders", "lineitem", "documents")}
+    assert (rows["customers"], rows["orders"], rows["order_lines"], rows["review_texts"]) == tuple(n.values())
+    assert 0 < rows["reviews"] < n["documents"]
