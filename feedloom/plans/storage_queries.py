@@ -230,7 +230,7 @@ def append_answers(d: Domain):
       AS products_mentioned, error FROM classified""", "classified"))
 def write_classified(d: Domain):
     path = fresh_path(d.spark, "classified")
-    caches.write_classified(d.classified(), path)
+    caches.write_classified(d.classified_by_review(), path)
     return caches.read_classified(d.spark, path).select(
         "review_id", *longs("sentence_index"), "sentence", "problem_category", joined("products_mentioned"), "error")
 

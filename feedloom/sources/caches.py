@@ -10,7 +10,7 @@ from feedloom.fixed_values import QUESTION_SET_VERSION, YES_THRESHOLD
 from feedloom.operators.answer_variants import with_variant
 from feedloom.operators.classify import Scorer, cache_misses, flatten_answers, score_sentences, valid_answers
 from feedloom.schemas import ANSWERS_DDL, KEY, TEXT_DDL, VARIANTS_DDL, conform
-from feedloom.session import materialise
+from feedloom.session import TEXT_CODEC, kept_together, materialise
 from feedloom.sources.dataset import read_or_none
 
 ANSWER_PARTITIONS = ["model", "question_set_version"]
@@ -102,7 +102,8 @@ def read_texts(spark: SparkSession, path: str, schema: str = TEXT_DDL) -> DataFr
 
 def write_classified(classified: DataFrame, path: str) -> None:
     """The flat classified sentences, without raw JSON and without the review text on every row. Runs a job."""
-    classified.drop("answers_json", "review_text").write.mode("overwrite").parquet(path)
+    with kept_together(classified.sparkSession):
+        classified.drop("answers_json", "review_text").write.mode("overwrite").parquet(path, compression=TEXT_CODEC)
 
 
 def read_classified(spark: SparkSession, path: str) -> DataFrame:

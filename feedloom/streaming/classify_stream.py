@@ -12,11 +12,10 @@ from feedloom.functions.keys import content_key
 from feedloom.operators.classify import Scorer, cache_misses, flatten_answers, score_sentences
 from feedloom.operators.sentences import split_sentences
 from feedloom.schemas import ANSWERS_DDL, KEY, conform
-from feedloom.session import materialise
+from feedloom.session import TEXT_CODEC, materialise
 from feedloom.sources.dataset import committed, read_commits, read_or_none, write_commit
 
 SENTENCE_COLUMNS = ["review_id", "review_key", "product_name", "sentence_index", "sentence_count", "sentence"]
-TEXT_CODEC = "zstd"  # sentences are written for good: a third smaller than by Spark's usual codec
 
 
 def committed_answers(spark: SparkSession, sink: str, before: int | None = None) -> DataFrame:

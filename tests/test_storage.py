@@ -9,6 +9,7 @@ from feedloom import session as feed_session
 from feedloom.operators import classify, incremental
 from feedloom.operators.validate import ValidationError
 from feedloom.plans import all_queries
+from feedloom.plans.domain import Domain
 from feedloom.schemas import KEY, TABLES, TableSpec
 from feedloom.sources import caches, dataset, growth
 from feedloom.streaming.classify_stream import classify_stream, retry_failed, stored_answers, stored_sentences, to_ask
@@ -416,3 +417,21 @@ def test_dataset_query_writes_tables_whose_ids_have_gaps(spark, tmp_path):
     n = {name: spark.read.parquet(f"{tmp_path}/{name}.parquet").count() for name in ("customer", "orders", "lineitem", "documents")}
     assert (rows["customers"], rows["orders"], rows["order_lines"], rows["review_texts"]) == tuple(n.values())
     assert 0 < rows["reviews"] < n["documents"]
+
+
+def test_sentences_are_not_shuffled_to_be_written_with_their_answers(spark, tmp_path):
+    sf = "/root/testdata/sf0.001"
+    for name in ("customer", "nation", "orders", "lineitem", "part", "labels"):
+        spark.read.parquet(f"{sf}/{name}.parquet").coalesce(1).write.parquet(f"{tmp_path}/{name}.parquet")
+    spark.createDataFrame([(k, None if k == 2 else f"It leaks {k % 3 // 2}. The pot broke, and it is the worst.  No.", "en", "s", 9)
+                           for k in (0, 1, 2, 3, 4, 4, 5)], "doc_id long, text string, lang string, source string, n_chars long") \
+        .write.parquet(f"{tmp_path}/documents.parquet")
+    d = Domain(spark, str(tmp_path))
+    plain, ours = d.classified(), Domain(spark, str(tmp_path)).classified_by_review()
+    assert ours.dtypes == plain.dtypes and sorted(map(str, ours.collect())) == sorted(map(str, plain.collect()))
+    assert plain.count() == 24 and ours.where("model IS NOT NULL").count() > 0
+    with feed_session.kept_together(spark):
+        plan = plan_of(ours.select("review_id", "sentence", "model"))
+    moved = [line for line in plan.splitlines() if " Exchange " in line]
+    assert len(moved) == 2 and not any("sentence_index" in line for line in moved)
+    assert spark.conf.get("spark.sql.requireAllClusterKeysForCoPartition") == "true"
