@@ -381,7 +381,7 @@ def test_a_table_is_not_broadcast_by_its_size_on_disk(spark, tmp_path):
     assert 2 * feed_session.GUESSED_BYTES < size < 10 << 20
     reviews = spark.range(3_000_000).select("id", (F.col("id") % 150_000).alias("product_id"))
     assert "BroadcastHashJoin" not in plan_of(reviews.join(spark.read.parquet(path), "product_id"))
-    for allowed, guessed, measured in (("20MB", "1048576b", "20MB"), ("256k", "256k", None), ("-1", "-1", None)):
+    for allowed, guessed, measured in (("20MB", "262144b", "20MB"), ("256k", "256k", None), ("-1", "-1", None)):
         other = spark.newSession()
         other.conf.set(feed_session.GUESSED, allowed)
         for _ in range(2):
